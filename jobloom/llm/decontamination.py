@@ -66,17 +66,15 @@ def scan(docs: DataFrame, bench: DataFrame, size: int = SIZE, id_col: str = "doc
         possible = lambda i, n: F.get("_in", i) & F.get("_in", i + (n - 1)) & F.forall(F.slice("_in", i + 1, F.lit(n)), lambda x: x)
     else:
         possible = lambda i, n: F.lit(True)
-    places = [
-        F.transform(
-            F.filter(indexes(F.size("_w") - (n - 1)), lambda i, n=n: possible(i, n)),
-            lambda i, n=n: as_struct(start=i, end=i + n, win=F.slice("_w", i + 1, F.lit(n))),
-        )
-        for n in lengths
-    ]
+    def places(n: int) -> Column:
+        starts = F.filter(indexes(F.size("_w") - (n - 1)), lambda i: possible(i, n))
+        return F.transform(starts, lambda i: as_struct(start=i, end=i + n, win=F.slice("_w", i + 1, F.lit(n))))
+
+    candidates = [places(n) for n in lengths]
     none = F.array().cast("array<struct<start:int,end:int,win:array<string>>>")
     found = keyed.select(
         "_id", "_h", "_h2", F.size("_w").cast("long").alias("n_words"),
-        F.posexplode_outer(F.concat(*places) if places else none).alias("_pos", "_c"),
+        F.posexplode_outer(F.concat(*candidates) if candidates else none).alias("_pos", "_c"),
     ).select("_id", "_h", "_h2", "n_words", "_pos", F.col("_c.start").alias("_start"), F.col("_c.end").alias("_end"), F.col("_c.win").alias("_win"))
     right = windows.select(F.col("win").alias("_win"), "items")
     hits = found.join(F.broadcast(right) if total <= BROADCAST_BYTES else right, "_win", "left")
