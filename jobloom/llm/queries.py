@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules
+from . import decontamination, piece_codec, quality_rules, secret_scans
 
 
 def queries() -> dict:
     return {
+        "op3_piece_codec": piece_codec.query,
         "op6_decontamination": decontamination.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_secret_scans": secret_scans.query,
     }
 
 
@@ -16,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
+        "op9_secret_scans": secret_scans.sql("documents"),
     }
