@@ -91,3 +91,25 @@ def partitions(spark: SparkSession) -> int:
 
 def as_struct(**columns: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+_shipped: dict[str, bool] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, as --py-files would."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="jobloom-"), "jobloom.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(x for x in files if x.endswith(".py")):
+                path = os.path.join(folder, f)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(to)
+    _shipped[app] = True

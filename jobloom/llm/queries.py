@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from . import decontamination, piece_codec, quality_rules, secret_scans
+from . import decontamination, piece_codec, quality_rules, secret_scans, substring_dedup
+
+from .common import ship
+
+
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op3_piece_codec": piece_codec.query,
+        "op4_substring_dedup": substring_dedup.query,
         "op6_decontamination": decontamination.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
     }
+    return {name: _shipped(q) for name, q in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": substring_dedup.SQL.format(docs="documents"),
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
         "op9_secret_scans": secret_scans.sql("documents"),
