@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, piece_codec, quality_rules, secret_scans, substring_dedup
+from . import decontamination, jaccard_join, piece_codec, quality_rules, secret_scans, substring_dedup
 
 from .common import ship
 
@@ -18,6 +18,7 @@ def _shipped(query):
 def queries() -> dict:
     found = {
         "op3_piece_codec": piece_codec.query,
+        "op10_jaccard_join": jaccard_join.query,
         "op4_substring_dedup": substring_dedup.query,
         "op6_decontamination": decontamination.query,
         "op8_quality_rules": quality_rules.query,
