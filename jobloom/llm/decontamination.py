@@ -129,9 +129,9 @@ def verdicts(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
 def remove_documents(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
     """docs without contaminated documents; all columns and clean rows stay."""
     bad = verdicts(docs, bench, size).where("contaminated").select(
-        F.col("doc_id").alias("_bad_id"), F.col("_h").alias("_bad_h"), F.col("_h2").alias("_bad_h2")
+        F.col("doc_id").alias("__bad_id"), F.col("_h").alias("__bad_h"), F.col("_h2").alias("__bad_h2")
     ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_h")) & (F.hash(F.col("text"), F.lit(1)) == F.col("_bad_h2"))
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_h")) & (F.hash(F.col("text"), F.lit(1)) == F.col("__bad_h2"))
     return docs.join(bad, same, "left_anti")
 
 

@@ -268,19 +268,44 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         release(spark)
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the least id reachable by links) for each row."""
+def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """id, t, n and label (the least id of the component; null for empty sets) for each row."""
     ship(docs.sparkSession)
     known = stored(sets(docs, size, id_col, text), "sets")
     own = known.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("label"))
     moved = components(links(docs, size, percent, text, known), own)
     label = own.join(moved.withColumnRenamed("label", "lower"), ["s", "n"], "left").select("s", "n", F.coalesce("lower", "label").alias("label"))
-    return (
-        known.join(label, ["s", "n"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    return known.join(label, ["s", "n"], "left").select("id", "t", "s", "n", "label")
+
+
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_shingles and component_id (the least id reachable by links) for each row."""
+    return _classes(docs, size, percent, id_col, text).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component, the one whose id (then text hash) is least; rows without words all stay.
+    Components whose ids are all null are told apart by their least set."""
+    rows = _classes(docs, size, percent, id_col, text)
+    group = [F.coalesce(F.col("label").isNull(), F.lit(True)), F.coalesce("label", F.lit(0)), F.when(F.col("label").isNull(), F.struct("s", "n"))]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("w")
+    kept = rows.where("n > 0").groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(first).select("w.id", "w.t")
+    kept = stored(kept.union(rows.where("n = 0").select("id", "t")).distinct(), "kept")
+    again = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["t"] == kept["t"]), "left_semi").where("n > 0").groupBy("id", "t").count()
+    kept = kept.select(F.col("id").alias("__id"), F.col("t").alias("__t"))
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left_semi")
+    if again.where("count > 1").isEmpty():
+        return out
+    # rows that repeat another's id and text; those without words are not copies of one another
+    empty = kept.join(rows.where("n = 0").select("id", "t").distinct(), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__t") == F.col("t")), "left_semi")
+    keyed = out.withColumn("__t", F.xxhash64(text))
+    bare = keyed.join(empty.select("__t").distinct(), "__t", "left_semi").select(*docs.columns)
+    full = keyed.join(empty.select("__t").distinct(), "__t", "left_anti").dropDuplicates([id_col, "__t"]).select(*docs.columns)
+    return full.unionByName(bare)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 

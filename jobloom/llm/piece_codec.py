@@ -265,13 +265,14 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return df.select(df[id_col], df[ids_col]).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """What encode() and decode() give for each document, as counts and SHA-256 digests: id, n_tokens, ids_sha256,
-    decoded_sha256, spans_sha256 (begin and end of each id as little-endian 32-bit integers), source_bytes.
+    decoded_sha256, spans_sha256 (begin and end of each id as little-endian 32-bit integers), source_bytes,
+    then the columns to keep.
     """
     model = _load(docs.sparkSession, model_path)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "source_bytes"]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "source_bytes", *keep]
 
     def run(batches):
         c = codec(model.value)
@@ -285,10 +286,11 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 rows.append((len(ids), sha(raw), sha(c.decode(ids)), sha(c.spans(ids, origin).tobytes()), int(origin[-1])))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], *b.columns[2:]], names)
 
     out = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string, source_bytes bigint"
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    out += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(docs[id_col], docs[text_col], *[docs[c] for c in keep]).mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 MODEL = "piece_bpe_32k.model"

@@ -98,14 +98,14 @@ def mask(policy: str) -> int:
     return sum(1 << by_name[n].bit for n in POLICIES[policy])
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the measurements, and ``fail_bits`` with bit r.bit set for each failed rule."""
-    m = docs.select(F.col(id_col), measures(F.col(text_col)).alias("_m")).select(
-        F.col(id_col),
-        *[F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")],
-        F.col("_m.n_lines.all").cast("long").alias("n_lines"),
-        (F.col("_m.n_lines.all") - F.col("_m.n_lines.distinct")).cast("long").alias("n_dup_lines"),
-        F.col("_m.n_repeat_words").alias("n_repeat_words"),
+def _judged(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each input row as the struct ``__row`` (so its names cannot clash), the measurements, and the failure bits."""
+    m = docs.select(F.struct("*").alias("__row"), measures(F.col(text_col)).alias("__m")).select(
+        "__row",
+        *[F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")],
+        F.col("__m.n_lines.all").cast("long").alias("n_lines"),
+        (F.col("__m.n_lines.all") - F.col("__m.n_lines.distinct")).cast("long").alias("n_dup_lines"),
+        F.col("__m.n_repeat_words").alias("n_repeat_words"),
     )
     bits = sum(
         (F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES),
@@ -114,6 +114,18 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return m.withColumn("fail_bits", bits)
 
 
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, the measurements, and ``fail_bits`` with bit r.bit set for each failed rule."""
+    judged = _judged(docs, text_col)
+    return judged.select(F.col(f"__row.`{id_col}`").alias(id_col), *judged.columns[1:])
+
+
+def keep(docs: DataFrame, policy: str | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that a policy does not reject."""
+    kept = _judged(docs, text_col).where(passes(policy or DEFAULT_POLICY))
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
 def passes(policy: str, bits: Column | str = "fail_bits") -> Column:
     """True where no rule of the policy failed."""
     c = F.col(bits) if isinstance(bits, str) else bits

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, piece_codec, quality_rules, secret_scans, substring_dedup
+from . import decontamination, jaccard_join, piece_codec, quality_rules, secret_scans, substring_dedup, suffix_tree_lm
 
 from .common import ship
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op3_piece_codec": piece_codec.query,
         "op10_jaccard_join": jaccard_join.query,
         "op4_substring_dedup": substring_dedup.query,
+        "op5_suffix_tree_lm": suffix_tree_lm.query,
         "op6_decontamination": decontamination.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
