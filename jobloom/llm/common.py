@@ -71,11 +71,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: With this set, Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and lets Spark drop the shuffles behind it."""
+    """df written to the shared folder and read again: cuts the lineage, and the shuffles behind it go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,10 +29,12 @@ from .common import release, ship, stored
 SHINGLE, PERCENT = 3, 90
 #: One text in so many is counted to estimate how frequent shingles are. It only shapes costs, never results.
 SAMPLE = 16
-#: Shingles of at least this share of the sampled ones are known as frequent: a million at most, broadcast.
+#: Shingles and words of at least this share of the sampled ones are known as frequent: a million each at most, broadcast.
 FREQUENT = 1e-6
-#: A shingle with up to so many sets makes pairs.
-SMALL = 32
+#: A shingle with up to so many sets makes pairs at once.
+SMALL = 4
+#: Differences from pivots make pairs where these are up to so many times their rows.
+PAIRS = 16
 MOST_MATCHES = 4
 LEVELS = 6
 
@@ -82,51 +84,74 @@ def sets(docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col(text), F.xxhash64(text)).mapInArrow(run, f"id {kind}, t bigint, s bigint, n bigint")
 
 
-def frequencies(docs: DataFrame, size: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample, sorted, and how often each occurs there; 1 / FREQUENT at most."""
+def frequencies(docs: DataFrame, size: int, text: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of a sample of texts, the frequent shingles and the frequent words: sorted hashes and how often each occurs."""
 
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in hashing.chunks(texts):
-                h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(texts[i:j], size)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                none = np.zeros(0, np.uint64)
+                for kind, all_ in (("shingle", np.concatenate([none, *shingles(texts[i:j], size)])), ("word", hashing.Words(texts[i:j], lower=True).hash)):
+                    h, c = np.unique(all_, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c)], ["kind", "h", "c"])
 
     some = docs.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).distinct()
-    counts = stored(some.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 2"), "shingles")
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    rows = counts.where(F.col("c") >= max(3, FREQUENT * total)).toArrow()
-    h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
+    counts = some.mapInArrow(run, "kind string, h bigint, c bigint").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    counts = stored(counts.where("c >= 2"), "frequencies")
+    found = {}
+    for kind, least in (("shingle", 3), ("word", 2)):
+        own = counts.where(F.col("kind") == kind)
+        total = own.agg(F.sum("c")).first()[0] or 0
+        rows = own.where(F.col("c") >= max(least, FREQUENT * total)).toArrow()
+        h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+        order = np.argsort(h)
+        found[kind] = (h[order], c[order])
+    return found
+
+
+def _count(table: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """How often each x occurs in the sample, 0 if it is not frequent."""
+    known, times = table
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, times[at], 0)
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
-    """token, s, n, m: the prefix of each set, lengthened for m matches."""
+    """token, s, n, m: the prefix of each set, lengthened for m matches.
+
+    The order: by how often the sample has the shingle, then by how often it has its words, then by hash.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text))
 
     def run(batches):
-        known, times = frequent.value
+        shingle, word = frequent.value["shingle"], frequent.value["word"]
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in hashing.chunks(texts):
+                w = hashing.Words(texts[i:j], lower=True)
+                full, common = hashing.window_hashes(w.hash, size), np.log2(_count(word, w.hash) + 0.5)
+                likely = sum(common[k : len(common) - size + 1 + k] for k in range(size)).astype(np.int64) if len(full) else np.zeros(0, np.int64)
                 tokens, s, n, m, seen = [], [], [], [], set()
-                for x in shingles(texts[i:j], size):
+                for k, x in enumerate(shingles(texts[i:j], size)):
                     node = (_node(x), len(x))
                     if not len(x) or node in seen:
                         continue
                     seen.add(node)
-                    cost = np.zeros(len(x), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                        cost = np.where(known[at] == x, times[at], 0)
+                    words = np.zeros(len(x), np.int64)
+                    if w.count[k] >= size:
+                        _, at = np.unique(full[w.first[k] : w.first[k + 1] - size + 1], return_index=True)
+                        words = likely[w.first[k] + at]
+                    cost = _count(shingle, x)
                     length = _prefix(len(x), percent)
-                    order = np.lexsort((x, cost))[: length + MOST_MATCHES - 1]
+                    order = np.lexsort((x, words, cost))[: length + MOST_MATCHES - 1]
                     scanned = np.cumsum(cost[order])
-                    # entries of the index to read, and candidates to verify if k matches are asked for
-                    k = np.arange(1, len(order) - length + 2)
-                    bill = scanned[length - 2 + k] * (1 + (8 + len(x) / 16) / k)
-                    best = int(k[np.argmin(bill)])
+                    # entries of the index to read, and candidates to verify if so many matches are asked for
+                    asked = np.arange(1, len(order) - length + 2)
+                    bill = scanned[length - 2 + asked] * (1 + (8 + len(x) / 16) / asked)
+                    best = int(asked[np.argmin(bill)])
                     order = order[: length + best - 1]
                     tokens.append(x[order])
                     for out, v in ((s, node[0]), (n, len(x)), (m, best)):
@@ -226,9 +251,11 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
         release(spark)
         if not size_of["rows"]:
             break
-        if size_of["pairs"] <= 4 * SMALL * size_of["rows"] or level == LEVELS - 1:
+        if size_of["pairs"] <= PAIRS * size_of["rows"] or level == LEVELS - 1:
             keep = ["s", "n", "differ", "linked", "whole", "p_s", "p_n"]
-            pairs = _pairs(r, keep, percent).where("not (a_linked and b_linked)").groupBy("a_s", "a_n", "b_s", "b_n", "a_p_s", "a_p_n").agg(
+            # the two distances from a pivot differ by no more than two similar sets do
+            near = (100 + percent) * F.abs(F.col("a_differ") - F.col("b_differ")) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+            pairs = _pairs(r, keep, percent).where(near & ~(F.col("a_linked") & F.col("b_linked"))).groupBy("a_s", "a_n", "b_s", "b_n", "a_p_s", "a_p_n").agg(
                 F.count("*").alias("common"), F.first("a_differ").alias("x"), F.first("b_differ").alias("y"), F.min(F.col("a_whole") & F.col("b_whole")).alias("whole")
             )
             pairs = stored(pairs, "pairs")
