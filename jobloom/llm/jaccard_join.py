@@ -28,11 +28,11 @@ from .common import release, ship, stored
 
 SHINGLE, PERCENT = 3, 90
 #: One text in so many is counted to estimate how frequent shingles are. It only shapes costs, never results.
-SAMPLE = 16
+SAMPLE = 8
 #: Shingles and words of at least this share of the sampled ones are known as frequent: a million each at most, broadcast.
 FREQUENT = 1e-6
 #: A shingle with up to so many sets makes pairs at once.
-SMALL = 4
+SMALL = 64
 #: Differences from pivots make pairs where these are up to so many times their rows.
 PAIRS = 16
 MOST_MATCHES = 4
@@ -200,9 +200,20 @@ def _may(percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _collapsed(rows: DataFrame, carry: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Groups g that have the same sets (as the shingles of one passage do) become one, whose ``weight`` is their
+    number; ``sets`` is how many sets it has. carry: columns whose largest value is taken; also: what equal
+    groups must share besides."""
+    by = Window.partitionBy("g")
+    of = lambda *c: F.bit_xor(F.xxhash64(*c)).over(by)
+    marked = rows.withColumn("sets", F.count("*").over(by)).withColumn("_h", of("s", "n")).withColumn("_k", of("n", "s"))
+    one = marked.groupBy("_h", "_k", "sets", *also, "s", "n").agg(F.count("*").alias("weight"), *[F.max(c).alias(c) for c in carry])
+    return one.withColumn("g", F.xxhash64("_h", "_k", "sets", *also)).drop("_h", "_k")
+
+
 def _pairs(rows: DataFrame, keep: list[str], percent: int) -> DataFrame:
     """Each two rows of a small group once, as a and b."""
-    side = lambda p: rows.select("g", *[F.col(c).alias(f"{p}_{c}") for c in keep])
+    side = lambda p: rows.select("g", *(["weight"] if p == "a" else []), *[F.col(c).alias(f"{p}_{c}") for c in keep])
     order = (F.col("a_s") < F.col("b_s")) | ((F.col("a_s") == F.col("b_s")) & (F.col("a_n") < F.col("b_n")))
     return side("a").join(side("b"), "g").where(order & _may(percent))
 
@@ -224,9 +235,9 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
     texts = stored(found, "texts")
     release(spark)
 
-    rows = p.withColumnRenamed("token", "g").withColumn("sets", F.count("*").over(Window.partitionBy("g")))
+    rows = stored(_collapsed(p.withColumnRenamed("token", "g"), ["m"]), "rows")
     small = _pairs(rows.where(F.col("sets") <= SMALL), ["s", "n", "m"], percent)
-    asked = small.groupBy("a_s", "a_n", "b_s", "b_n").agg(F.count("*").alias("shared"), F.least(F.first("a_m"), F.first("b_m")).alias("m")).where("shared >= m")
+    asked = small.groupBy("a_s", "a_n", "b_s", "b_n").agg(F.sum("weight").alias("shared"), F.least(F.first("a_m"), F.first("b_m")).alias("m")).where("shared >= m")
     out = [stored(compare(asked.drop("shared", "m"), texts, size, percent).where("linked").select("a_s", "a_n", "b_s", "b_n"), "links")]
 
     central = one.select("s", "n", (F.col("shared") / F.col("n")).alias("c"))
@@ -245,8 +256,8 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
             "differ", "linked", whole.alias("whole"), F.explode("delta").alias("token"),
         ).withColumn("g", F.xxhash64("p_s", "p_n", "token"))
         by = Window.partitionBy("g")
-        r = r.withColumn("sets", F.count("*").over(by)).withColumn("_open", F.max(~F.col("linked")).over(by)).where("sets >= 2 and _open")
-        r = stored(r, "differences")
+        r = r.withColumn("_n", F.count("*").over(by)).withColumn("_open", F.max(~F.col("linked")).over(by)).where("_n >= 2 and _open")
+        r = stored(_collapsed(r, ["differ", "linked", "whole"], ("p_s", "p_n")), "differences")
         size_of = r.agg(F.sum("sets").alias("pairs"), F.count("*").alias("rows")).first()
         release(spark)
         if not size_of["rows"]:
@@ -256,7 +267,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
             # the two distances from a pivot differ by no more than two similar sets do
             near = (100 + percent) * F.abs(F.col("a_differ") - F.col("b_differ")) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
             pairs = _pairs(r, keep, percent).where(near & ~(F.col("a_linked") & F.col("b_linked"))).groupBy("a_s", "a_n", "b_s", "b_n", "a_p_s", "a_p_n").agg(
-                F.count("*").alias("common"), F.first("a_differ").alias("x"), F.first("b_differ").alias("y"), F.min(F.col("a_whole") & F.col("b_whole")).alias("whole")
+                F.sum("weight").alias("common"), F.first("a_differ").alias("x"), F.first("b_differ").alias("y"), F.min(F.col("a_whole") & F.col("b_whole")).alias("whole")
             )
             pairs = stored(pairs, "pairs")
             # where all differences from the pivot are at hand, the two sets differ in just so many
