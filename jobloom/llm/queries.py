@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, piece_codec, quality_rules, secret_scans, substring_dedup, suffix_tree_lm
-
+from . import (
+    decontamination,
+    jaccard_join,
+    piece_codec,
+    quality_rules,
+    secret_scans,
+    sharding,
+    substring_dedup,
+    suffix_tree_lm,
+    token_counts,
+    tool_links,
+)
 from .common import ship
 
 
@@ -17,11 +27,14 @@ def _shipped(query):
 
 def queries() -> dict:
     found = {
+        "op1_sharding": sharding.query,
+        "op2_tool_links": tool_links.query,
         "op3_piece_codec": piece_codec.query,
         "op10_jaccard_join": jaccard_join.query,
         "op4_substring_dedup": substring_dedup.query,
         "op5_suffix_tree_lm": suffix_tree_lm.query,
         "op6_decontamination": decontamination.query,
+        "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
     }
@@ -30,6 +43,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_sharding": sharding.SQL.format(docs="documents"),
         "op4_substring_dedup": substring_dedup.SQL.format(docs="documents"),
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
