@@ -30,8 +30,8 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
-            grow = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))])
+            size = max(n, 1 << 16)
+            grow = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))])
             self.up, self.down = grow(np.uint64(self.base)), grow(np.uint64(self.back))
         return self.up[:n], self.down[:n]
 
