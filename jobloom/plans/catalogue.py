@@ -2,10 +2,489 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from jobloom.functions import extract, language, text
+from jobloom.operators import offers as O
+from jobloom.operators import pages as P
+from jobloom.operators import tracker as T
+from jobloom.sources import adapters
+from jobloom.sources.tables import OFFERS_SQL, SEQ, TRACKER_SQL, landing, offers, read, tracker
+
+PROFILE = O.Profile()
+ORDER = O.Order(SEQ)
+TOP = 100  # a report's length, which is what these two queries are about
+
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+# The same folding for DuckDB.
+def _fold(x: str) -> str:
+    return f"regexp_replace(translate(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '\\p{{M}}+', '', 'g')"
+
+
+def _padded(x: str) -> str:
+    return f"(' ' || regexp_replace({_fold(x)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ')"
+
+
+def _keyword(x: str, keywords) -> str:
+    marks = [" ".join(text.fold_literal(k).split()) for k in keywords]
+    return "(" + " OR ".join(f"contains({_padded(x)}, ' {m}{' ' if len(m) <= 3 else ''}')" for m in marks) + ")"
+
+
+def _title(x: str) -> str:
+    inner = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\([^)]*\\)', '', 'g'), '\\[[^\\]]*\\]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({inner}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _core(x: str) -> str:
+    tokens = f"list_filter(regexp_split_to_array({_fold(x)}, '[^a-z0-9]+'), lambda t: t <> '')"
+    noise = ", ".join(f"'{n}'" for n in text.COMPANY_NOISE)
+    core = f"list_filter({tokens}, lambda t: t NOT IN ({noise}))"
+    return f"array_to_string(CASE WHEN len({core}) > 0 THEN {core} ELSE {tokens} END, ' ')"
+
+
+def _any(x: str, marks) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{m}')" for m in marks) + ")"
+
+
+def _marked(x: str, table) -> str:
+    """Names whose marks occur, comma-joined."""
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any(x, marks)} THEN '{name}' END" for name, marks in table) + "], lambda v: v IS NOT NULL), ',')"
+
+
+def _numbers(x: str) -> str:
+    return f"list_transform(regexp_extract_all(replace(replace({x}, chr(160), ''), ' ', ''), '\\d+(?:[.,]\\d+)?'), lambda n: replace(n, ',', '.')::DOUBLE)"
+
+
+ALLOWED = f"({_any(_fold('location'), ['wroclaw', 'breslau'])} OR work_mode = 'Remote')"
+OFFERS = f"o AS ({OFFERS_SQL})"
+_order = ", ".join(SEQ)
+DEDUPED = f"""WITH {OFFERS}, k AS (SELECT *, {_core('company')} AS core, {_title('title')} AS norm_title FROM o),
+d AS (SELECT *, row_number() OVER (PARTITION BY core, norm_title ORDER BY {ALLOWED}::INT DESC, (salary <> '')::INT DESC, (source <> 'LinkedIn')::INT DESC, {_order}) AS n FROM k)"""
+
+
+# -- text ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({_fold('text')}) AS folded FROM documents")
+def fold_text(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.md5(text.fold_text(F.col("text"))).alias("folded"))
+
+
+@query(f"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER ({_keyword('text', ['und', 'tion', 'qu'])})::BIGINT AS hits FROM documents GROUP BY lang")
+def keyword_match(spark, d) -> DataFrame:
+    hit = text.keyword_match(F.col("text"), ["und", "tion", "qu"])
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+
+
+@query(f"WITH {OFFERS} SELECT {_title('title')} AS norm_title, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def normalize_title(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy(text.normalize_title(F.col("title")).alias("norm_title")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {OFFERS} SELECT {_core('company')} AS core, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def company_core(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy(text.company_core(F.col("company")).alias("core")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages")
+def canonical_url(spark, d) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", text.strip_url(F.col("url")).alias("url"))
+
+
+def _plain(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+def _main(x: str) -> str:
+    t = x
+    for tag in ("script", "style", "noscript", "header", "footer", "nav", "form", "svg"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    parts = ", ".join(f"nullif(regexp_extract(t, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '')" for tag in ("main", "article", "body"))
+    return f"(SELECT {_plain(f'regexp_replace(coalesce({parts}, t), ' + chr(39) + '(?s)<!--.*?-->' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} FROM (SELECT {t} AS t))"
+
+
+@query(f"SELECT page_id, md5({_plain('html')}) AS digest FROM pages")
+def html_text(spark, d) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("digest"))
+
+
+@query(f"SELECT page_id, md5({_main('html')}) AS digest FROM pages")
+def page_main_text(spark, d) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.md5(text.page_main_text(F.col("html"))).alias("digest"))
+
+
+# -- extraction --------------------------------------------------------------------------------------
+
+
+def _mode(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(x, marks)} THEN '{mode}'" for mode, marks in extract.WORK_MODES) + " ELSE 'Nie podano' END"
+
+
+@query(f"WITH {OFFERS} SELECT {_mode('lower(title || chr(32) || work_mode)')} AS mode, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def work_mode(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy(extract.work_mode(F.concat_ws(" ", "title", "work_mode")).alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {OFFERS} SELECT {_marked('lower(contract || chr(32) || title)', extract.CONTRACTS)} AS kinds, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def contracts(spark, d) -> DataFrame:
+    kinds = F.array_join(extract.contracts(F.concat_ws(" ", "contract", "title")), ",")
+    return offers(spark, d).groupBy(kinds.alias("kinds")).agg(F.count("*").alias("n"))
+
+
+_skills = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){s}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{s}' END" for s in extract.SKILLS)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_skills}], lambda v: v IS NOT NULL), ',') AS skills FROM documents")
+def extract_skills(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.array_join(extract.extract_skills(F.col("text")), ",").alias("skills"))
+
+
+_cities = _marked(f"(' ' || regexp_replace({_fold('location')}, '[^a-z]+', ' ', 'g') || ' ')", [(n, [f" {v} " for v in vs]) for n, vs in extract.CITIES])
+
+
+@query(f"WITH {OFFERS} SELECT {_cities} AS cities, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def extract_cities(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy(F.array_join(extract.extract_cities(F.col("location")), ",").alias("cities")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {OFFERS} SELECT source, count(*) FILTER (salary <> '')::BIGINT AS n, sum(list_max({_numbers('salary')})) AS total FROM o GROUP BY 1")
+def salary_numbers(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy("source").agg(F.count_if(F.col("salary") != "").alias("n"), F.sum(F.array_max(extract.salary_numbers(F.col("salary")))).alias("total"))
+
+
+@query()
+def extract_salary(spark, d) -> DataFrame:
+    said = F.concat_ws(" ", "title", "salary", F.lit("zdalnie"))
+    return offers(spark, d).select("salary", extract.extract_salary(said).alias("found")).groupBy("salary", "found").agg(F.count("*").alias("n"))
+
+
+_class = f"""CASE WHEN salary = '' THEN 'none' WHEN contract = 'B2B' AND m / (CASE WHEN contains(salary, '/h') THEN 1 ELSE 160 END) >= 110 THEN 'b2b_ok'
+  WHEN contract = 'B2B' AND m / (CASE WHEN contains(salary, '/h') THEN 1 ELSE 160 END) >= 80 THEN 'b2b_consider' WHEN contract = 'B2B' THEN 'b2b_low'
+  WHEN m >= 9000 THEN 'uop_ok' ELSE 'uop_low' END"""
+CLASSED = f"c AS (SELECT *, {_class} AS salary_class FROM (SELECT *, list_max({_numbers('salary')}) AS m FROM o))"
+
+
+@query(f"WITH {OFFERS}, {CLASSED} SELECT contract, salary_class, salary_class NOT IN ('b2b_low', 'uop_low') AS salary_ok, count(*)::BIGINT AS n FROM c GROUP BY ALL")
+def assess_salary(spark, d) -> DataFrame:
+    return O.assess_salary(offers(spark, d), PROFILE).groupBy("contract", "salary_class", "salary_ok").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {OFFERS} SELECT location, {_any(_fold('location'), ['wroclaw', 'breslau'])} AS near, count(*)::BIGINT AS n FROM o GROUP BY ALL")
+def preferred_city(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy("location", O.preferred_city(F.col("location"), PROFILE).alias("near")).agg(F.count("*").alias("n"))
+
+
+_folded_cities = tuple(v for _, vs in extract.CITIES for v in vs)
+_regions, _remote = ["emea", "europe", "eu", "cee", "worldwide", "global"], ["remote", "zdaln"]
+
+
+@query(
+    f"WITH {OFFERS} SELECT location, (location = 'Nie podano' OR {_any(_fold('location'), ['poland', 'polska', *_folded_cities])} "
+    f"OR ({_any(_fold('location'), _regions)} AND {_any(_fold('location'), _remote)})) AS inside, count(*)::BIGINT AS n FROM o GROUP BY ALL"
+)
+def target_country(spark, d) -> DataFrame:
+    return offers(spark, d).groupBy("location", O.target_country(F.col("location"), PROFILE, _folded_cities).alias("inside")).agg(F.count("*").alias("n"))
+
+
+# -- offers ------------------------------------------------------------------------------------------
+
+
+@query(f"{DEDUPED} SELECT core, norm_title, company, title, location, work_mode, salary, url, source FROM d WHERE n = 1")
+def dedupe_best(spark, d) -> DataFrame:
+    return O.dedupe_best(offers(spark, d), PROFILE, ORDER).select("core", "norm_title", "company", "title", "location", "work_mode", "salary", "url", "source")
+
+
+def _url_sql(direction: str) -> str:
+    order = ", ".join(f"{c} {direction}" for c in SEQ)
+    return f"WITH {OFFERS} SELECT url, company, title, salary FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY {order}) AS n FROM o) WHERE n = 1"
+
+
+def _by_url(spark, d, last: bool) -> DataFrame:
+    kept = offers(spark, d).withColumnRenamed("url", "full_url").withColumn("url", text.strip_url(F.col("full_url")))
+    return O.url_dedupe(kept, ORDER, last).select(F.col("full_url").alias("url"), "company", "title", "salary")
+
+
+@query(_url_sql("ASC"))
+def url_dedupe_first(spark, d) -> DataFrame:
+    return _by_url(spark, d, False)
+
+
+@query(_url_sql("DESC"))
+def url_dedupe_last(spark, d) -> DataFrame:
+    return _by_url(spark, d, True)
+
+
+@query(
+    f"WITH {OFFERS}, p AS (SELECT *, title AS phrase, l_partkey % 10 AS phrase_no FROM o), c AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY {_order}) AS n FROM p), "
+    f"u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY phrase_no, {_order}) AS r FROM c WHERE n <= 60) SELECT phrase, url, company FROM u WHERE r = 1"
+)
+def phrase_cap(spark, d) -> DataFrame:
+    rows = offers(spark, d).withColumn("phrase", F.col("title")).withColumn("phrase_no", F.col("l_partkey") % 10)
+    return O.phrase_cap(rows, 60, ORDER).select("phrase", "url", "company")
+
+
+@query(f"WITH {OFFERS} SELECT source, count(*)::BIGINT AS n FROM (SELECT source FROM o WHERE source IN ('src0', 'src1') UNION ALL SELECT source FROM o WHERE source IN ('src3', 'src4')) GROUP BY 1")
+def union_sources(spark, d) -> DataFrame:
+    o = offers(spark, d)
+    return o.where(F.col("source").isin("src0", "src1")).unionByName(o.where(F.col("source").isin("src3", "src4"))).groupBy("source").agg(F.count("*").alias("n"))
+
+
+_manual, _general = _keyword("title", PROFILE.manual), _keyword("title", [*PROFILE.general, *PROFILE.include])
+_near = _any(_fold("location"), ["wroclaw", "breslau"])
+_score = f"""(CASE WHEN {_manual} THEN 6 ELSE 0 END + CASE WHEN {_general} THEN 3 ELSE 0 END + CASE WHEN work_mode = 'Remote' THEN 3 WHEN {_near} THEN 2 ELSE 0 END
+  + CASE WHEN salary_class IN ('b2b_ok', 'uop_ok') THEN 2 WHEN salary_class = 'none' THEN 1 ELSE 0 END)"""
+_reason = f"""CASE WHEN NOT {_keyword('title', PROFILE.include)} THEN 'title' WHEN {_keyword('title', PROFILE.automation_first)} AND NOT {_manual} THEN 'automation'
+  WHEN {_keyword('title', PROFILE.seniority)} THEN 'seniority' WHEN NOT {ALLOWED} THEN 'location' WHEN salary_class IN ('b2b_low', 'uop_low') THEN 'salary' WHEN score < 1 THEN 'score' END"""
+JUDGED = f"WITH {OFFERS}, {CLASSED}, s AS (SELECT *, {_score} AS score FROM c), j AS (SELECT *, {_reason} AS reason FROM s)"
+
+
+@query(f"{JUDGED} SELECT url, company, title, coalesce(reason, 'kept') AS reason, score::INTEGER AS match_score FROM j")
+def reject_cascade(spark, d) -> DataFrame:
+    j = O.reject_cascade(offers(spark, d), PROFILE)
+    return j.select("url", "company", "title", F.coalesce("reject_reason", F.lit("kept")).alias("reason"), "match_score")
+
+
+@query(f"{JUDGED} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM j GROUP BY 1")
+def reject_counts(spark, d) -> DataFrame:
+    return O.reject_counts(O.reject_cascade(offers(spark, d), PROFILE))
+
+
+_reasons = f"array_to_string(list_filter([CASE WHEN {_manual} THEN 'manual' END, CASE WHEN work_mode = 'Remote' THEN '100% remote' WHEN {_near} THEN 'Wrocław' END], lambda v: v IS NOT NULL), ',')"
+
+
+@query(f"{JUDGED} SELECT score::INTEGER AS match_score, {_reasons} AS reasons, count(*)::BIGINT AS n FROM j GROUP BY ALL")
+def score_offers(spark, d) -> DataFrame:
+    s = O.score(O.assess_salary(offers(spark, d), PROFILE), PROFILE)
+    return s.groupBy("match_score", F.array_join("match_reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query(f"{JUDGED} SELECT url, title, score::INTEGER AS match_score FROM j WHERE reason IS NULL ORDER BY score DESC, (work_mode = 'Remote')::INT DESC, {_order} LIMIT {TOP}")
+def topk_candidates(spark, d) -> DataFrame:
+    return O.top(O.reject_cascade(offers(spark, d), PROFILE), TOP, ORDER).select("url", "title", "match_score")
+
+
+@query(
+    f"{JUDGED} SELECT url, company, title, CASE WHEN score >= 12 THEN 'Tak' ELSE 'Nie' END AS priority, greatest(1, least(10, round_even(score / 2, 0)::INTEGER))::VARCHAR || '/10' AS fit, "
+    "contract AS contracts, CASE WHEN salary = '' THEN 'Nie podano' ELSE salary END AS salary FROM j WHERE reason IS NULL"
+)
+def report_row(spark, d) -> DataFrame:
+    return O.report_row(O.reject_cascade(offers(spark, d), PROFILE).where("reject_reason is null"))
+
+
+@query(f"{JUDGED} SELECT source, reason, count(*)::BIGINT AS n FROM (SELECT source, coalesce(reason, 'kept') AS reason FROM j) GROUP BY ROLLUP (source, reason)")
+def reject_rollup(spark, d) -> DataFrame:
+    j = O.reject_cascade(offers(spark, d), PROFILE).select("source", F.coalesce("reject_reason", F.lit("kept")).alias("reason"))
+    return j.rollup("source", "reason").agg(F.count("*").alias("n"))
+
+
+# -- language and work profile -----------------------------------------------------------------------
+
+
+def _written(lang: str, marks: str) -> str:
+    listed = ", ".join(f"'{m}'" for m in marks.split())
+    hits = f"len(list_filter(w, lambda x: x IN ({listed})))"
+    head = f"len(list_filter(list_distinct(h), lambda x: x IN ({listed})))"
+    return f"CASE WHEN {head} >= 2 OR ({hits} >= 12 AND {hits}::DOUBLE / greatest(len(w), 1) >= 0.06) THEN '{lang}' END"
+
+
+_langs = ", ".join(_written(k, v) for k, v in language.WRITTEN_IN.items())
+
+
+@query(
+    f"SELECT doc_id, array_to_string(list_filter([{_langs}], lambda v: v IS NOT NULL), ',') AS languages FROM "
+    f"(SELECT doc_id, regexp_extract_all({_fold('text')}, '[a-z]+') AS w, regexp_extract_all({_fold('source')}, '[a-z]+') AS h FROM documents)"
+)
+def written_in(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.array_join(language.written_in(F.col("source"), F.col("text")), ",").alias("languages"))
+
+
+@query()
+def foreign_language(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.array_join(language.foreign_languages(F.col("source"), F.col("text")), ",").alias("languages"))
+
+
+@query()
+def work_profile(spark, d) -> DataFrame:
+    p = language.work_profile(F.col("source"), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.manual_share", F.array_join("p.manual", ",").alias("manual"), F.array_join("p.automation", ",").alias("automation"))
+
+
+# -- pages ---------------------------------------------------------------------------------------------
+
+_status = "(CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END)"
+
+
+def _pages(spark, d) -> DataFrame:
+    return read(spark, d, "pages").withColumn("status", F.expr(_status))
+
+
+@query(f"SELECT page_id, CASE {_status} WHEN 404 THEN 'outdated' WHEN 403 THEN 'blocked' WHEN 200 THEN 'ok' ELSE 'technical' END AS class FROM pages")
+def response_class(spark, d) -> DataFrame:
+    return _pages(spark, d).select("page_id", P.response_class(F.col("status")).alias("class"))
+
+
+_ptitle = _plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+
+
+@query(
+    f"SELECT page_id, CASE WHEN {_any('lower(regexp_extract(url, ' + chr(39) + '^[a-zA-Z]+://[^/]+([^?#]*)' + chr(39) + ', 1))', P.ERROR_PATHS)} THEN 'error path' "
+    f"WHEN page_id % 5 = 0 AND rtrim(regexp_extract(url, '^[a-zA-Z]+://[^/]+([^?#]*)', 1), '/') <> '' THEN 'redirected home' "
+    f"WHEN {_any('lower(' + _ptitle + ')', P.ERROR_TITLES)} THEN 'error title' END AS reason FROM pages"
+)
+def soft_404(spark, d) -> DataFrame:
+    final = F.when(F.col("page_id") % 5 == 0, F.lit("https://example.com/")).otherwise(F.col("url"))
+    return read(spark, d, "pages").select("page_id", P.soft_404(F.col("url"), final, F.col("html")).alias("reason"))
+
+
+def _page_offers(spark, d) -> tuple[DataFrame, DataFrame]:
+    pages = _pages(spark, d)
+    title = P.heading(F.col("html"))
+    made = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.lit("quite another job")).otherwise(title).alias("title"), (F.col("page_id") % 4 == 0).alias("api_confirmed"))
+    return made.where("page_id % 11 <> 0"), pages.where("page_id % 13 <> 0").select("url", "status", "html").dropDuplicates(["url"])
+
+
+@query()
+def verify_offers(spark, d) -> DataFrame:
+    return P.verify_offers(*_page_offers(spark, d)).select("page_id", "reason", "verified")
+
+
+@query()
+def verify_counts(spark, d) -> DataFrame:
+    v = P.verify_offers(*_page_offers(spark, d))
+    return v.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("verified").alias("passed"))
+
+
+@query()
+def page_links(spark, d) -> DataFrame:
+    return P.links(read(spark, d, "pages"))
+
+
+@query("SELECT host, count(*)::BIGINT AS n FROM (SELECT regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS host FROM pages) GROUP BY 1")
+def pages_by_host(spark, d) -> DataFrame:
+    return read(spark, d, "pages").groupBy(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query()
+def boards_in_pages(spark, d) -> DataFrame:
+    linked = read(spark, d, "pages").withColumn("html", F.concat("html", F.lit('<a href="https://jobs.lever.co/board'), (F.col("page_id") % 9).cast("string"), F.lit('/x">')))
+    return P.boards_in_pages(linked)
+
+
+# -- tracker -------------------------------------------------------------------------------------------
+
+TR = f"t AS ({TRACKER_SQL.replace('STRING', 'VARCHAR')})"
+_rank = "CASE WHEN status IN ('', 'Nowa') THEN 0 WHEN status = 'Obejrzana' THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {TR} SELECT key, status FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_rank} DESC, list_name, event_id) AS n FROM t WHERE {_rank} > 0) WHERE n = 1")
+def shared_status(spark, d) -> DataFrame:
+    return T.shared_status(tracker(spark, d), ["list_name", "event_id"])
+
+
+_match = f"""WITH {TR}, p AS (SELECT * FROM t WHERE before), c AS (SELECT * FROM t WHERE NOT before),
+bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY event_id DESC) AS n FROM p) WHERE n = 1),
+bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id DESC) AS n FROM p) WHERE n = 1),
+h AS (SELECT c.*, coalesce(bl.event_id, bk.event_id) AS hit FROM c LEFT JOIN bl ON bl.link = c.link LEFT JOIN bk ON bk.key = c.key),
+m AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY event_id) AS claim FROM h)"""
+
+
+def _matched(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = tracker(spark, d)
+    previous, current = t.where("before"), t.where("not before").drop("status", "first_seen")
+    return previous, T.match(previous, current, ["event_id"])
+
+
+@query(
+    f"{_match} SELECT m.event_id, CASE WHEN claim = 1 AND hit IS NOT NULL THEN p.status ELSE 'Nowa' END AS status, "
+    "CASE WHEN claim = 1 AND hit IS NOT NULL THEN p.first_seen END AS prev_first_seen, NOT (claim = 1 AND hit IS NOT NULL) AS is_new FROM m LEFT JOIN p ON p.event_id = m.hit"
+)
+def tracker_match(spark, d) -> DataFrame:
+    return _matched(spark, d)[1].select("event_id", "status", "prev_first_seen", "is_new")
+
+
+@query(f"{_match} SELECT event_id, key, CASE WHEN list_name = 'list0' THEN 'Nie' ELSE active END AS active FROM p WHERE event_id NOT IN (SELECT hit FROM m WHERE hit IS NOT NULL)")
+def tracker_gone(spark, d) -> DataFrame:
+    previous, matched = _matched(spark, d)
+    return T.gone(previous, matched, ["event_id"], F.col("list_name") == "list0").select("event_id", "key", "active")
+
+
+@query()
+def tracker_collapse(spark, d) -> DataFrame:
+    return T.collapse(tracker(spark, d), ["event_id"])
+
+
+@query(
+    f"WITH {TR} SELECT event_id, key, status, active FROM t ORDER BY (active = 'Tak') DESC, {_rank} = 2, list_position(['Nowa', 'Obejrzana', 'CV wysłane', 'Rozmowa', 'Odrzucona'], status), first_seen DESC, event_id LIMIT {TOP}"
+)
+def tracker_order(spark, d) -> DataFrame:
+    return T.order(tracker(spark, d), ["event_id"]).select("event_id", "key", "status", "active").limit(TOP)
+
+
+@query(f"WITH {TR} SELECT list_name, CASE WHEN {_rank} = 2 THEN 'done' WHEN active = 'Tak' THEN 'active' ELSE 'gone' END AS section, count(*)::BIGINT AS n, count(*) FILTER (active = 'Tak')::BIGINT AS n_active FROM t GROUP BY ALL")
+def report_sections(spark, d) -> DataFrame:
+    return T.sections(tracker(spark, d)).groupBy("list_name", "section").agg(F.count("*").alias("n"), F.count_if(F.col("active") == "Tak").alias("n_active"))
+
+
+@query(f"WITH {TR} SELECT list_name, count(*) FILTER (NOT before)::BIGINT AS n_new, count(*) FILTER (active = 'Tak')::BIGINT AS n_active, count(*)::BIGINT AS n, count(*) FILTER (NOT before) > 0 AS send FROM t GROUP BY 1")
+def run_digest(spark, d) -> DataFrame:
+    t = tracker(spark, d).groupBy("list_name").agg(F.count_if(~F.col("before")).alias("n_new"), F.count_if(F.col("active") == "Tak").alias("n_active"), F.count("*").alias("n"))
+    return t.withColumn("send", F.col("n_new") > 0)
+
+
+@query(f"WITH {TR}, a AS (SELECT * FROM t WHERE list_name = 'list1') SELECT list_name, count(*)::BIGINT AS n FROM (SELECT list_name FROM a UNION ALL SELECT list_name FROM t WHERE list_name <> 'list1') GROUP BY 1")
+def seed_if_empty(spark, d) -> DataFrame:
+    t = tracker(spark, d)
+    return T.seed_if_empty(t.where("list_name = 'list1'"), t).groupBy("list_name").agg(F.count("*").alias("n"))
+
+
+# -- adapters ------------------------------------------------------------------------------------------
+
+_loc = "location"
+_EXPECT = {
+    # how the board's payload shapes location, work mode and contract
+    "greenhouse": (_loc, None, "''"), "lever": (_loc, "'Hybrid'", "''"), "smartrecruiters": (_loc, "'Remote'", "''"), "workable": (_loc, "'Remote'", "'B2B'"),
+    "recruitee": (_loc, "'Hybrid'", "''"), "ashby": (_loc, "'Office'", "''"), "oracle_hcm": (_loc, None, "''"), "capgemini": ("location || ', Poland'", None, "''"),
+    "phenom": (_loc, None, "''"), "nabory_api": ("location || ', Polska'", "'Office'", "'Permanent'"),
+}
+
+
+def _adapter(source: str):
+    place, mode, contract = _EXPECT[source]
+    shown = mode or _mode(f"lower({place} || ' ' || title)")
+    url = "'https://example.com/job/' || url" if source == "oracle_hcm" else "'https://example.com' || url" if source == "nabory_api" else "url"
+
+    @query(f"WITH {OFFERS} SELECT company, trim(title) AS title, {place} AS location, {shown} AS work_mode, {contract} AS contracts, {'salary' if source == 'ashby' else chr(39) * 2} AS salary, {url} AS url FROM o")
+    def norm(spark, d) -> DataFrame:
+        made = adapters.normalise(landing(spark, d, source), source)
+        return made.select("company", "title", "location", "work_mode", F.array_join("contract_types", ",").alias("contracts"), "salary", "url")
+
+    _queries[f"norm_{source}"], _sql[f"norm_{source}"] = _queries.pop("norm"), _sql.pop("norm")
+
+
+for _source in _EXPECT:
+    _adapter(_source)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
