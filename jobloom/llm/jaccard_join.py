@@ -32,7 +32,7 @@ SAMPLE = 8
 #: Shingles and words of at least this share of the sampled ones are known as frequent: a million each at most, broadcast.
 FREQUENT = 1e-6
 #: A shingle with up to so many sets makes pairs at once.
-SMALL = 64
+SMALL = 16
 #: Differences from pivots make pairs where these are up to so many times their rows.
 PAIRS = 16
 MOST_MATCHES = 4
@@ -119,32 +119,37 @@ def _count(table: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.where(known[at] == x, times[at], 0)
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
+def ranked(texts: list, size: int, tables: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The shingles of each text as in shingles(), how often the sample has each, and how likely its words make it."""
+    w = hashing.Words(texts, lower=True)
+    full, common = hashing.window_hashes(w.hash, size), np.log2(_count(tables["word"], w.hash) + 0.5)
+    likely = sum(common[k : len(common) - size + 1 + k] for k in range(size)).astype(np.int64) if len(full) else np.zeros(0, np.int64)
+    out = []
+    for k, x in enumerate(shingles(texts, size)):
+        words = np.zeros(len(x), np.int64)
+        if w.count[k] >= size:
+            _, at = np.unique(full[w.first[k] : w.first[k + 1] - size + 1], return_index=True)
+            words = likely[w.first[k] + at]
+        out.append((x, _count(tables["shingle"], x), words))
+    return out
+
+
+def prefixes(docs: DataFrame, size: int, percent: int, text: str, shared) -> DataFrame:
     """token, s, n, m: the prefix of each set, lengthened for m matches.
 
     The order: by how often the sample has the shingle, then by how often it has its words, then by hash.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text))
 
     def run(batches):
-        shingle, word = frequent.value["shingle"], frequent.value["word"]
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in hashing.chunks(texts):
-                w = hashing.Words(texts[i:j], lower=True)
-                full, common = hashing.window_hashes(w.hash, size), np.log2(_count(word, w.hash) + 0.5)
-                likely = sum(common[k : len(common) - size + 1 + k] for k in range(size)).astype(np.int64) if len(full) else np.zeros(0, np.int64)
                 tokens, s, n, m, seen = [], [], [], [], set()
-                for k, x in enumerate(shingles(texts[i:j], size)):
+                for x, cost, words in ranked(texts[i:j], size, shared.value):
                     node = (_node(x), len(x))
                     if not len(x) or node in seen:
                         continue
                     seen.add(node)
-                    words = np.zeros(len(x), np.int64)
-                    if w.count[k] >= size:
-                        _, at = np.unique(full[w.first[k] : w.first[k + 1] - size + 1], return_index=True)
-                        words = likely[w.first[k] + at]
-                    cost = _count(shingle, x)
                     length = _prefix(len(x), percent)
                     order = np.lexsort((x, words, cost))[: length + MOST_MATCHES - 1]
                     scanned = np.cumsum(cost[order])
@@ -163,9 +168,9 @@ def prefixes(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(run, "token bigint, s bigint, n bigint, m bigint")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, shared) -> DataFrame:
     """a, b (nodes' digests and sizes), differ (their symmetric difference), linked, and delta: the first
-    shingles in which a differs from b, enough to share one with any set similar to a."""
+    shingles, in the common order, in which a differs from b, enough to share one with any set similar to a."""
 
     def run(batches):
         for b in batches:
@@ -173,16 +178,17 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             ta, tb = b.column(4).to_pylist(), b.column(5).to_pylist()
             differ, linked, delta, last, held = [], [], [], None, None
             for i, j in hashing.chunks(ta, hashing.BLOCK // 2):
-                left = shingles(ta[i:j], size)
-                for k, x in zip(range(i, j), left, strict=True):
+                for k, left in zip(range(i, j), ranked(ta[i:j], size, shared.value), strict=True):
                     if tb[k] != last:
-                        last, held = tb[k], shingles([tb[k]], size)[0]
-                    d = np.setxor1d(x, held, assume_unique=True)
+                        last, held = tb[k], ranked([tb[k]], size, shared.value)[0]
+                    mine, theirs = ~np.isin(left[0], held[0], assume_unique=True), ~np.isin(held[0], left[0], assume_unique=True)
+                    d, cost, words = (np.concatenate([x[mine], y[theirs]]) for x, y in zip(left, held, strict=True))
+                    n = len(left[0])
                     differ.append(len(d))
-                    linked.append(_similar(len(x), len(held), len(d), percent))
+                    linked.append(_similar(n, len(held[0]), len(d), percent))
                     # similar sets are at most n / 0.percent as large, and differ in at most so many
-                    most = (100 - percent) * (len(x) + 100 * len(x) // percent + 1) // (100 + percent)
-                    delta.append(d[: most + 1].view(np.int64))
+                    most = (100 - percent) * (n + 100 * n // percent + 1) // (100 + percent)
+                    delta.append(d[np.lexsort((d, words, cost))[: most + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(v) for v in (a_s, a_n, b_s, b_n)], pa.array(differ, pa.int64()), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))],
                 ["a_s", "a_n", "b_s", "b_n", "differ", "linked", "delta"],
@@ -223,7 +229,8 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
     spark = docs.sparkSession
     known = known if known is not None else stored(sets(docs, size, "doc_id", text), "sets")
     by = Window.partitionBy("token")
-    p = prefixes(docs, size, percent, text)
+    shared = spark.sparkContext.broadcast(frequencies(docs, size, text))
+    p = prefixes(docs, size, percent, text, shared)
     p = p.withColumn("_low", F.min(F.struct("s", "n")).over(by)).withColumn("_high", F.max(F.struct("s", "n")).over(by)).where("_low <> _high")
     p = stored(p.groupBy("token", "s", "n").agg(F.max("m").alias("m")), "prefixes")
     release(spark)
@@ -238,7 +245,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
     rows = stored(_collapsed(p.withColumnRenamed("token", "g"), ["m"]), "rows")
     small = _pairs(rows.where(F.col("sets") <= SMALL), ["s", "n", "m"], percent)
     asked = small.groupBy("a_s", "a_n", "b_s", "b_n").agg(F.sum("weight").alias("shared"), F.least(F.first("a_m"), F.first("b_m")).alias("m")).where("shared >= m")
-    out = [stored(compare(asked.drop("shared", "m"), texts, size, percent).where("linked").select("a_s", "a_n", "b_s", "b_n"), "links")]
+    out = [stored(compare(asked.drop("shared", "m"), texts, size, percent, shared).where("linked").select("a_s", "a_n", "b_s", "b_n"), "links")]
 
     central = one.select("s", "n", (F.col("shared") / F.col("n")).alias("c"))
     groups = stored(rows.where(F.col("sets") > SMALL).join(central, ["s", "n"]).select("g", "s", "n", "c"), "groups")
@@ -248,7 +255,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
         pivot = F.max(F.struct("c", "s", "n")).over(Window.partitionBy("g"))
         edges = groups.withColumn("p", pivot).select(F.col("s").alias("a_s"), F.col("n").alias("a_n"), "c", F.col("p.s").alias("b_s"), F.col("p.n").alias("b_n"))
         edges = edges.where((F.col("a_s") != F.col("b_s")) | (F.col("a_n") != F.col("b_n"))).groupBy("a_s", "a_n", "b_s", "b_n").agg(F.max("c").alias("c"))
-        d = stored(compare(edges, texts, size, percent), "pivots")
+        d = stored(compare(edges, texts, size, percent, shared), "pivots")
         out.append(d.where("linked").select("a_s", "a_n", "b_s", "b_n"))
         whole = F.size("delta") == F.col("differ")
         r = d.select(
@@ -275,7 +282,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: st
             exact = pairs.where(F.col("whole") & (100 * (total - differ) >= percent * (total + differ)))
             rest = pairs.where("not whole").select("a_s", "a_n", "b_s", "b_n").distinct()
             out.append(exact.select("a_s", "a_n", "b_s", "b_n"))
-            out.append(stored(compare(rest, texts, size, percent).where("linked").select("a_s", "a_n", "b_s", "b_n"), "links"))
+            out.append(stored(compare(rest, texts, size, percent, shared).where("linked").select("a_s", "a_n", "b_s", "b_n"), "links"))
             break
         groups = r.join(central, ["s", "n"]).select("g", "s", "n", "c")
     every = out[0]
