@@ -34,7 +34,7 @@ FREQUENT = 1e-6
 #: A shingle with up to so many sets makes pairs at once.
 SMALL = 16
 #: Differences from pivots make pairs where these are up to so many times their rows.
-PAIRS = 16
+PAIRS = 64
 MOST_MATCHES = 4
 LEVELS = 6
 
