@@ -1,16 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are the last one to three words. A context is a candidate if it makes up a least share of the
-training tokens; it is kept if its next-word distribution diverges enough from that of its suffix, or if a longer
-kept context needs it. Next words are explicit where context and word together reach a least share; each
-kept context mixes its discounted counts with its suffix's distribution, down to the smoothed word
-frequencies. A text is scored from the longest kept suffix at each place.
+Contexts are the last one to three words. A context is a candidate if it occurs often enough; it is kept if its
+next-word distribution diverges enough from that of its suffix, or if a longer kept context needs it. Next words
+are explicit where context and word occur together often enough; each kept context mixes its discounted counts
+with its suffix's distribution, down to the smoothed word frequencies. A text is scored from the longest kept
+suffix at each place.
 
-Least shares bound the model whatever the input: at most 1 / share contexts or next words a depth, which are
-broadcast. Counts of all other words stay in a table, joined by word. All counts cover every training text.
+All counts cover every training text, and the tree grows with them: least counts are fixed numbers, and
+words, contexts and next words are stored tables, joined by hash. A fixed number of the most frequent of each is
+broadcast as a cache; what a text needs beyond that is joined. A bitmap of fixed size tells most of what is in no table;
+what it cannot tell is joined as well, so it changes no result.
 
 Edge cases: a null text is one end token; a null id counts as an empty string when the fold is drawn; rows
-and ids may repeat and each row is scored; other columns are not carried. Words are told apart by
+and ids may repeat and each row is scored; other columns are not carried. Words and contexts are told apart by
 64-bit hashes.
 """
 
@@ -27,12 +29,10 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import release, ship, stored
 
-#: Words of at least this share of the training tokens are broadcast with their counts.
-FREQUENT = 2e-6
-#: A context with its next word is explicit from this share on, and from this count on.
-JOINT, JOINT_LEAST = 2e-6, 2
-#: A context is a candidate from this share on, and from this count on.
-CONTEXT, CONTEXT_LEAST = 2e-5, 8
+#: A context with its next word is explicit from this count on.
+JOINT_LEAST = 2
+#: A context is a candidate from this count on.
+CONTEXT_LEAST = 8
 DEPTH = 3
 DISCOUNT = 0.5
 #: Nats an occurrence that a context must gain over its suffix, and half a logarithm of the tokens in all.
@@ -42,6 +42,12 @@ PRIOR = 0.1
 END = np.uint64(0x5EED00000000E0D1)
 #: Words whose counts are summed before they leave Python.
 GATHER = 1 << 21
+#: The most words, and contexts and next words of a depth, in the cache.
+CACHED = 1 << 20
+#: Logarithm of the bits of a bitmap.
+BITS = 28
+#: Tells keys of contexts from those of next words (which are contexts one longer), and both from words.
+_CONTEXT, _NEXT = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -60,35 +66,83 @@ def tokens(texts: list):
     return out, np.repeat(np.arange(len(texts)), count), count
 
 
-def _counted(docs: DataFrame, make, text: str) -> DataFrame:
-    """key, n: how often make(tokens) gives each key, summed in Python first, then by Spark."""
+def join_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context and a word after it, which is that of the context one longer."""
+    return hashing.mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def before(hashes: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
+    """For each depth: the context before each token, whether it has one, and the hash of both."""
+    last = hashes
+    for k in range(1, depth + 1):
+        context, ok = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
+        context[1:] = last[:-1]
+        ok[k:] = doc[k:] == doc[:-k]
+        last = join_key(context, hashes)
+        yield context, ok, last
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for the first bits of each ``key``: keys without one are not in the table."""
+    slot = F.shiftrightunsigned("key", 64 - BITS)
+    word = F.shiftright(slot, 6).alias("at")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")
+    found = keys.select(word, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _counted(docs: DataFrame, make, text: str, names: list[str]) -> DataFrame:
+    """``names``, n: how often make(tokens) gives each row of keys (the last tells rows apart and is left out if there are more),
+    summed in Python first, then by Spark."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["key", "n"])
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            _, first, c = np.unique(columns[-1], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*[pa.array(x[first].view(np.int64)) for x in columns[: len(names)]], pa.array(c)], [*names, "n"])
 
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in hashing.chunks(texts):
                 held.append(make(*tokens(texts[i:j])))
-                size += len(held[-1])
+                size += len(held[-1][0])
                 if size >= GATHER:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(F.col(text)).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
+    return docs.select(F.col(text)).mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _keyed(rows: DataFrame, a: str, b: str, name: str, tag: np.uint64 = np.uint64(0)) -> DataFrame:
+    """rows with the hash of two columns."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), f"{name} bigint"])
+
+    def run(batches):
+        for t in batches:
+            view = lambda c, t=t: t.column(t.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(np.uint64)
+            key = join_key(view(a), view(b)) ^ tag
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(key.view(np.int64))], [*t.schema.names, name])
+
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass
 class Level:
-    """Contexts of one depth. ``entries``: sorted context * width + word, with ``p``: the discounted share of each."""
+    """Kept contexts of one depth. ``entries``: sorted context * width + word, with ``p``: the discounted share of each."""
 
-    keys: np.ndarray  # older word * previous contexts + previous context, sorted; for depth 1 the word
+    keys: np.ndarray  # sorted hashes
     kept: np.ndarray
     rest: np.ndarray  # the weight of the suffix's distribution
     entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -105,186 +159,226 @@ def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    words: np.ndarray  # sorted hashes of frequent words
+    """The most frequent words, contexts and next words: all of them if they are few."""
+
+    words: np.ndarray  # sorted hashes
     prior: np.ndarray  # probability of each by frequency alone
     levels: list[Level]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         return find(self.words, hashes)
 
-    def contexts(self, ids: np.ndarray, doc: np.ndarray, kept: bool = True) -> list[np.ndarray]:
-        """For each depth, the context before each token, -1 if there is none."""
-        out: list[np.ndarray] = []
-        for depth, level in enumerate(self.levels, 1):
-            if len(ids) <= depth:
-                out.append(np.full(len(ids), -1))
-                continue
-            old = np.full(len(ids), -1)
-            old[depth:] = np.where(doc[depth:] == doc[:-depth], ids[:-depth], -1)
-            if depth == 1:
-                at = np.where(old >= 0, find(level.keys, np.maximum(old, 0)), -1)
-            else:
-                at = np.full(len(ids), -1)
-                some = np.flatnonzero((out[-1] >= 0) & (old >= 0))
-                at[some] = find(level.keys, old[some] * len(self.levels[depth - 2].keys) + out[-1][some])
-            out.append(at)
-        if kept:
-            out = [np.where((at >= 0) & level.kept[np.maximum(at, 0)], at, -1) if len(level.keys) else at for at, level in zip(out, self.levels, strict=True)]
-        return out
-
     def share(self, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The explicit part of a context's distribution at each word."""
-        at = find(level.entries, context * len(self.words) + word)
-        return np.where(at >= 0, level.p[np.maximum(at, 0)], 0.0) if len(level.p) else np.zeros(len(context))
+        """The place of each context and word among the entries, -1 if there is none."""
+        return np.where((context >= 0) & (word >= 0), find(level.entries, context * len(self.words) + word), -1)
 
     def log10(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Log-probability of each token; for words outside the table, only the factor of their frequency's."""
+        """Log-probability of each token by the cache alone; for words outside it, only the factor of their frequency's."""
         known = ids >= 0
         p = np.where(known, self.prior[np.maximum(ids, 0)], 1.0)
-        for at, level in zip(self.contexts(ids, doc), self.levels, strict=True):
+        hashes = np.where(known, self.words[np.maximum(ids, 0)], np.uint64(0))
+        for (context, ok, _), level in zip(before(hashes, doc), self.levels, strict=True):
+            at = np.where(ok, find(level.keys, context), -1)
             on = np.flatnonzero(at >= 0)
-            if not len(on):
-                continue
+            where = self.share(level, at[on], ids[on])
             p[on] *= level.rest[at[on]]
-            both = on[known[on]]
-            p[both] += self.share(level, at[both], ids[both])
+            p[on[where >= 0]] += level.p[where[where >= 0]]
         return np.log10(p)
 
 
-def learn(docs: DataFrame, text: str = "text") -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table of all counts (key, n), and how many tokens and distinct tokens the training texts have."""
+@dataclass
+class Model:
+    """Stored tables. ``counts``: key, n. For each depth, ``contexts``: ctx, occurs, rest of those kept; ``entries``: ctx, word, n, p, key under them."""
+
+    counts: DataFrame
+    total: int
+    distinct: int
+    contexts: list[DataFrame]
+    entries: list[DataFrame]
+
+    def prior(self, n: Column) -> Column:
+        return (n + PRIOR) / (self.total + PRIOR * (self.distinct + 1))
+
+
+def build(docs: DataFrame, text: str = "text") -> Model:
+    """All counts and the kept contexts, by joins."""
     spark = docs.sparkSession
-    counts = stored(_counted(docs, lambda t, doc, count: t, text), "words")
+    counts = stored(_counted(docs, lambda hashes, doc, count: (hashes,), text, ["key"]), "words")
     release(spark)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.where((F.col("n") >= FREQUENT * total) | (F.col("key") == int(END.view(np.int64)))).toArrow()
-    order = np.argsort(rows["key"].to_numpy().view(np.uint64))
-    words, n = rows["key"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order]
-    prior = (n + PRIOR) / (total + PRIOR * (distinct + 1))
-    tree = Tree(words, prior, [])
-    size, least = len(words), max(CONTEXT_LEAST, CONTEXT * total)
-    end = int(find(words, np.array([END]))[0]) if size else -1
-    some = np.flatnonzero((n >= least) & (np.arange(size) != end))
-    keys, occurs = some, n[some]
-    flags: list[np.ndarray] = []
+    model = Model(counts, total, distinct, [], [])
+    end = int(END.view(np.int64))
+    candidates = counts.where((F.col("n") >= CONTEXT_LEAST) & (F.col("key") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("occurs"), F.lit(0).cast("long").alias("suffix"))
+    below = counts.select(F.col("key").alias("word"), model.prior(F.col("n")).alias("below"))
+    on = ["word"]
+    every, judged = [], []
     for depth in range(1, DEPTH + 1):
-        level = Level(keys, np.ones(len(keys), bool), np.ones(len(keys)))
-        tree.levels.append(level)
-        if not len(keys):
-            flags.append(np.zeros(0, bool))
-            continue
-        shared = spark.sparkContext.broadcast(tree)
+        shared = spark.sparkContext.broadcast(bitmap(candidates.select(F.col("ctx").alias("key"))))
 
         def make(hashes, doc, count, depth=depth, shared=shared):
-            t = shared.value
-            ids = t.ids(hashes)
-            at = t.contexts(ids, doc, kept=False)[depth - 1]
-            on = (at >= 0) & (ids >= 0)
-            return at[on] * len(t.words) + ids[on]
+            *_, (context, ok, key) = before(hashes, doc, depth)
+            here = ok & marked(shared.value, context)
+            return context[here], hashes[here], key[here]
 
-        found = _counted(docs, make, text).where(F.col("n") >= max(JOINT_LEAST, JOINT * total)).toArrow()
+        pairs = stored(_counted(docs, make, text, ["ctx", "word"]).where(F.col("n") >= JOINT_LEAST), "pairs")
         shared.unpersist()
         release(spark)
-        order = np.argsort(found["key"].to_numpy())
-        level.entries, joint = found["key"].to_numpy()[order], found["n"].to_numpy()[order]
-        context, word = level.entries // size, level.entries % size
-        level.p = (joint - DISCOUNT) / occurs[context]
-        explicit = np.bincount(context, joint, len(keys))
-        level.rest = 1 - np.bincount(context, level.p, len(keys))
-        # what the suffix says of the same words
-        below = _below(tree, depth, keys, context, word)
-        gain = np.bincount(context, joint * np.log((level.p + level.rest[context] * below) / below), len(keys))
-        gain += (occurs - explicit) * np.log(np.maximum(level.rest, 1e-12))
-        flags.append(gain >= np.maximum(DIVERGENCE * occurs, 0.5 * math.log(max(total, 2))))
+        sums = pairs.groupBy("ctx").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
+        facts = candidates.join(sums, "ctx").withColumn("rest", 1 - (F.col("explicit") - DISCOUNT * F.col("kinds")) / F.col("occurs"))
+        p = (F.col("n") - DISCOUNT) / F.col("occurs")
+        made = pairs.join(facts, "ctx").withColumn("p", p).join(below, on).withColumn("mixed", F.col("p") + F.col("rest") * F.col("below"))
+        entries = stored(made.select("ctx", "word", "n", "occurs", "suffix", "rest", "explicit", "p", "below", "mixed"), "entries")
+        release(spark)
+        told = F.sum(F.col("n") * F.log(F.col("mixed") / F.col("below")))
+        untold = (F.first("occurs") - F.first("explicit")) * F.log(F.greatest(F.first("rest"), F.lit(1e-12)))
+        gain = entries.groupBy("ctx").agg((told + untold).alias("gain"), *[F.first(c).alias(c) for c in ("occurs", "suffix", "rest")])
+        enough = F.col("gain") >= F.greatest(DIVERGENCE * F.col("occurs"), F.lit(0.5 * math.log(max(total, 2))))
+        judged.append(stored(gain.select("ctx", "occurs", "suffix", "rest", enough.alias("enough")), "contexts"))
+        every.append(entries)
+        below, on = entries.select(F.col("ctx").alias("suffix"), "word", F.col("mixed").alias("below")), ["suffix", "word"]
         if depth < DEPTH:
-            longer = (joint >= least) & (word != end)
-            keys, occurs = _longer(tree, depth, context[longer], word[longer], joint[longer])
+            longer = _keyed(entries.where((F.col("n") >= CONTEXT_LEAST) & (F.col("word") != end)).select("ctx", "word", "suffix", "n"), "ctx", "word", "key")
+            if depth > 1:
+                longer = _keyed(longer, "suffix", "word", "shorter")
+            shorter = F.col("shorter" if depth > 1 else "word")
+            candidates = stored(longer.select(F.col("key").alias("ctx"), F.col("n").alias("occurs"), shorter.alias("suffix")), "candidates")
+    needed = None
     for depth in range(DEPTH, 0, -1):
-        level = tree.levels[depth - 1]
-        level.kept = flags[depth - 1].copy()
-        if depth < DEPTH and len(tree.levels[depth].keys):
-            above = tree.levels[depth]
-            level.kept[np.unique(above.keys[above.kept] % len(level.keys))] = True
-    return tree, counts, total, distinct
-
-
-def _below(tree: Tree, depth: int, keys: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The probability of each word under its context's suffix, all depths mixed."""
-    chain = []
-    at = keys[context]
-    for k in range(depth - 1, 0, -1):
-        at = at % len(tree.levels[k - 1].keys)
-        chain.append((tree.levels[k - 1], at))
-        at = tree.levels[k - 1].keys[at]
-    p = tree.prior[word]
-    for level, where in reversed(chain):
-        p = level.rest[where] * p + tree.share(level, where, word)
-    return p
-
-
-def _longer(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts one word longer: a context of ``depth`` words followed by a word, if its last words are a context too."""
-    # its words, oldest first
-    words, at = [], context
-    for k in range(depth, 0, -1):
-        key = tree.levels[k - 1].keys[at]
-        if k == 1:
-            words.append(key)
+        kept = judged[depth - 1]
+        if needed is not None:
+            kept = kept.join(needed, "ctx", "left").where(F.col("enough") | F.col("needed"))
         else:
-            below = len(tree.levels[k - 2].keys)
-            words.append(key // below)
-            at = key % below
-    words.append(word)
-    # the suffix: all but the oldest, looked up depth by depth from the newest word
-    at = find(tree.levels[0].keys, words[-1])
-    for k in range(2, depth + 1):
-        at = np.where(at >= 0, find(tree.levels[k - 1].keys, words[-k] * len(tree.levels[k - 2].keys) + np.maximum(at, 0)), -1)
-    ok = at >= 0
-    keys = words[0][ok] * len(tree.levels[depth - 1].keys) + at[ok]
-    order = np.argsort(keys)
-    return keys[order], joint[ok][order]
+            kept = kept.where("enough")
+        kept = stored(kept.select("ctx", "occurs", "rest", "suffix"), "kept")
+        needed = kept.select(F.col("suffix").alias("ctx")).distinct().withColumn("needed", F.lit(True))
+        under = every[depth - 1].select("ctx", "word", "n", "p").join(kept.select("ctx"), "ctx", "left_semi")
+        model.contexts.insert(0, kept)
+        model.entries.insert(0, stored(_keyed(under, "ctx", "word", "key", _NEXT), "next"))
+    release(spark)
+    return model
+
+
+def hottest(table: DataFrame, n: str) -> Column:
+    """Which rows have one of the CACHED largest counts, by classes of counts."""
+    kind = F.floor(F.log2(n) * 16)
+    classes = sorted(((r[0], r[1]) for r in table.groupBy(kind.alias("c")).count().collect()), reverse=True)
+    least, size = None, 0
+    for c, rows in classes:
+        size += rows
+        if size > CACHED:
+            break
+        least = c
+    return kind >= least if least is not None else F.lit(False)
+
+
+def cache(model: Model) -> Tree:
+    """The hottest part of the model."""
+    rows = model.counts.where(hottest(model.counts, "n")).toArrow()
+    words, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(words)
+    tree = Tree(words[order], (n[order] + PRIOR) / (model.total + PRIOR * (model.distinct + 1)), [])
+    for contexts, entries in zip(model.contexts, model.entries, strict=True):
+        rows = contexts.where(hottest(contexts, "occurs")).select("ctx", "rest").toArrow()
+        keys = rows["ctx"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        level = Level(keys[order], np.ones(len(keys), bool), rows["rest"].to_numpy()[order])
+        rows = entries.where(hottest(entries, "n")).select("ctx", "word", "p").toArrow()
+        context, word = find(level.keys, rows["ctx"].to_numpy().view(np.uint64)), tree.ids(rows["word"].to_numpy().view(np.uint64))
+        on = (context >= 0) & (word >= 0)
+        code = context[on] * len(tree.words) + word[on]
+        order = np.argsort(code)
+        level.entries, level.p = code[order], rows["p"].to_numpy()[on][order]
+        tree.levels.append(level)
+    return tree
+
+
+def learn(docs: DataFrame, text: str = "text") -> tuple[Tree, DataFrame, int, int]:
+    """The cache of the tree, the table of all counts (key, n), and how many tokens and distinct tokens the training texts have."""
+    model = build(docs, text)
+    return cache(model), model.counts, model.total, model.distinct
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row, learning from rows not held out."""
     spark = docs.sparkSession
     ship(spark)
-    tree, counts, total, distinct = learn(docs.where(~held_out(id_col)), text)
-    shared = spark.sparkContext.broadcast(tree)
+    model = build(docs.where(~held_out(id_col)), text)
+    tag = F.lit(int(_CONTEXT.view(np.int64)))
+    facts = [c.select(F.col("ctx").bitwiseXOR(tag).alias("key"), F.col("rest").alias("found")) for c in model.contexts]
+    facts += [e.select("key", F.col("p").alias("found")) for e in model.entries]
+    table = model.counts.select("key", model.prior(F.col("n")).alias("found"))
+    there = None
+    for f in facts:
+        there = f if there is None else there.unionByName(f)
+    shared = spark.sparkContext.broadcast((cache(model), bitmap(there.select("key"))))
 
     def run(batches):
-        t = shared.value
-        log_prior = np.log10(t.prior)
+        t, bits = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in hashing.chunks(texts):
                 hashes, doc, count = tokens(texts[i:j])
                 ids = t.ids(hashes)
                 known = ids >= 0
-                add = lambda x, d=doc, n=j - i: np.bincount(d, x, n)
-                rare, where = hashes[~known], doc[~known]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=j - i))]).astype(np.int32)
-                base = add(np.where(known, log_prior[np.maximum(ids, 0)], 0.0) if len(log_prior) else np.zeros(len(ids)))
+                prior = t.prior[np.maximum(ids, 0)] if len(t.prior) else np.ones(len(ids))
+                p, parts = prior.copy(), [(0, ~known, hashes, known, prior)]
+                for k, ((context, ok, key), level) in enumerate(zip(before(hashes, doc), t.levels, strict=True), 1):
+                    at = np.where(ok, find(level.keys, context), -1)
+                    context, key = context ^ _CONTEXT, key ^ _NEXT
+                    cached = at >= 0
+                    asked = ok & ~cached & marked(bits, context)
+                    rest = level.rest[np.maximum(at, 0)] if len(level.rest) else np.ones(len(at))
+                    place = t.share(level, at, ids)
+                    own = np.where(place >= 0, level.p[np.maximum(place, 0)], 0.0) if len(level.p) else np.zeros(len(at))
+                    unsure = (cached | asked) & (place < 0) & marked(bits, key)
+                    parts += [(k, asked, context, cached, rest), (k + DEPTH, unsure, key, place >= 0, own)]
+                    p = np.where(cached, own + rest * p, p)
+                # tokens with a part that is neither in the cache nor surely nowhere are finished by a join
+                later = np.logical_or.reduce([q[1] for q in parts])
+                now = ~later
+                add = lambda x, on, d=doc, n=j - i: np.bincount(d[on], x[on], n)
+                where, slot, keys, values = [], [], [], []
+                for s, join, key, have, value in parts:
+                    for on, joined in ((np.flatnonzero(join), True), (np.flatnonzero(have & later), False)):
+                        where.append(on)
+                        slot.append(np.full(len(on), s, np.int8))
+                        keys.append(pa.array(key[on].view(np.int64)) if joined else pa.nulls(len(on), pa.int64()))
+                        values.append(pa.nulls(len(on), pa.float64()) if joined else pa.array(value[on]))
+                where, slot = np.concatenate(where), np.concatenate(slot)
+                order = np.argsort(doc[where], kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[where], minlength=j - i))]).astype(np.int32)
+                take = pa.array(order)
+                items = pa.StructArray.from_arrays(
+                    [pa.array(where[order]), pa.array(slot[order]), pa.concat_arrays(keys).take(take), pa.concat_arrays(values).take(take)], ["token", "slot", "key", "value"]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0)[i:j], b.column(2)[i:j], pa.array(count.astype(np.int64)), pa.array(add(known).astype(np.int64)),
-                        pa.array(base), pa.array(add(t.log10(ids, doc)) if len(log_prior) else np.zeros(j - i)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
+                        b.column(0)[i:j], b.column(2)[i:j], pa.array(count.astype(np.int64)), pa.array(np.bincount(doc[known], minlength=j - i)),
+                        pa.array(add(np.log10(prior), now)), pa.array(add(np.log10(p), now)), pa.ListArray.from_arrays(pa.array(offsets), items),
                     ],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "open"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
+    out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, open array<struct<token:bigint,slot:tinyint,key:bigint,value:double>>"
     made = docs.select(F.col(id_col), F.col(text), held_out(id_col)).mapInArrow(run, out)
     made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    words = made.select("row", F.explode("rare").alias("key"))
-    p = (F.coalesce("n", F.lit(0)) + PRIOR) / (total + PRIOR * (distinct + 1))
-    rest = words.join(counts, "key", "left").groupBy("row").agg(F.sum(F.log10(p)).alias("more"), F.count("n").alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return made.drop("rare").join(rest, "row", "left").select(
+    items = made.select("row", F.inline("open"))
+    for f in facts:
+        table = table.unionByName(f)
+    asked = items.where("key is not null").join(table, "key", "left").select("row", "token", "slot", "found", (F.col("found").isNotNull() & (F.col("slot") == 0)).cast("long").alias("seen"))
+    had = items.where("key is null").select("row", "token", "slot", F.col("value").alias("found"), F.lit(0).cast("long").alias("seen"))
+    part = lambda s: F.max(F.when(F.col("slot") == s, F.col("found")))
+    parts = [part(s).alias(f"v{s}") for s in range(2 * DEPTH + 1)]
+    token = asked.unionByName(had).groupBy("row", "token").agg(F.sum("seen").alias("seen"), *parts)
+    prior = F.coalesce("v0", model.prior(F.lit(0)))
+    p = prior
+    for k in range(1, DEPTH + 1):
+        p = F.when(F.col(f"v{k}").isNull(), p).otherwise(F.coalesce(f"v{k + DEPTH}", F.lit(0.0)) + F.col(f"v{k}") * p)
+    rest = token.groupBy("row").agg(F.sum(F.log10(prior)).alias("more_base"), F.sum(F.log10(p)).alias("more"), F.sum("seen").alias("seen"))
+    return made.drop("open").join(rest, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

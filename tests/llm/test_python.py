@@ -219,3 +219,51 @@ def test_tool_links(spark):
     assert sum(r["status"] == "repeated" for r in got) == 2
     lines = K.serialise(K.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas)).collect()
     assert [r["json"] for r in lines] == ['{"arguments":{"a":1,"note":"n"},"id":"x","name":"add","result":"one"}']
+
+
+@pytest.mark.parametrize("cached", [1 << 20, 3])
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, cached):
+    """Contexts far below any share of the tokens count, from the cache or by joins, as in a plain loop."""
+    monkeypatch.setattr(L, "CACHED", cached)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(5)], k=5000)) for _ in range(160)]
+    for i in range(0, 160, 16):
+        texts[i] += " rare pair of words here"
+    texts += ["rare pair of words here"] * 3 + ["rare pair of nothing", None, ""]
+    toks = [[*words(t, True), None] for t in texts]
+    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 10]
+    grams = [collections.Counter(tuple(t[i : i + m]) for t in train for i in range(len(t) - m + 1)) for m in range(1, 5)]
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    prior = lambda w: (grams[0][(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+    nexts = [collections.defaultdict(dict) for _ in range(4)]
+    for m in (1, 2, 3):
+        for g, n in grams[m].items():
+            if n >= 2 and grams[m - 1][g[:-1]] >= 8:
+                nexts[m][g[:-1]][g[-1]] = n
+
+    def mixed(c, w, kept=None):
+        if not c:
+            return prior(w)
+        below = mixed(c[1:], w, kept)
+        own = nexts[len(c)].get(c)
+        if not own or (kept is not None and c not in kept):
+            return below
+        occurs = grams[len(c) - 1][c]
+        rest = 1 - sum(n - 0.5 for n in own.values()) / occurs
+        return max(own.get(w, 0) - 0.5, 0) / occurs + rest * below
+
+    kept = set()
+    for m in (3, 2, 1):
+        for c, own in nexts[m].items():
+            occurs = grams[m - 1][c]
+            rest = 1 - sum(n - 0.5 for n in own.values()) / occurs
+            gain = sum(n * math.log(mixed(c, w) / mixed(c[1:], w)) for w, n in own.items()) + (occurs - sum(own.values())) * math.log(max(rest, 1e-12))
+            if gain >= max(0.01 * occurs, 0.5 * math.log(total)):
+                kept |= {c[i:] for i in range(m)}
+    assert ("rare",) in kept and 8 <= grams[0][("rare",)] < 2e-5 * total
+    got = {r["doc_id"]: r for r in L.score(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(toks):
+        wanted = sum(math.log10(mixed(tuple(t[max(0, j - 3) : j]), w, kept)) for j, w in enumerate(t))
+        assert abs(got[i]["score"] - wanted) < 1e-6 * max(1, len(t))
+        assert abs(got[i]["base_score"] - sum(math.log10(prior(w)) for w in t)) < 1e-6 * max(1, len(t))
+        assert got[i]["n_known"] == sum((w,) in grams[0] for w in t)
