@@ -44,15 +44,40 @@ def soft_404(requested: Column, final: Column, html: Column) -> Column:
     )
 
 
+def og_title(html: Column) -> Column:
+    tag = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<meta\b[^>]*property\s*=\s*["']og:title["'][^>]*>""", 0)
+    return html_text(F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\bcontent\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in ('"', "'")], F.lit("")))
+
+
+#: Sources whose links go straight to an employer, and what a link of each portal has; '' is any source.
+DIRECT = ("Kariera:", "Strona kariery", "Budżetówka")
+OFFER_PATHS = (("", "/job-offer/"), ("LinkedIn", "/jobs/view/"), ("No Fluff Jobs", "/pl/job/"), ("RocketJobs", "/oferta-pracy/"), ("Pracuj.pl", ",oferta,"))
+
+
+def offer_path(source: Column, url: Column) -> Column:
+    """Whether an offer's source is direct, or its URL one of an offer of that portal."""
+    out = F.lit(False)
+    for prefix in DIRECT:
+        out = out | source.startswith(prefix)
+    for name, part in OFFER_PATHS:
+        out = out | (F.contains(url, F.lit(part)) & (source == name if name else F.lit(True)))
+    return F.coalesce(out, F.lit(False))
+
+
 def verify_offers(offers: DataFrame, pages: DataFrame) -> DataFrame:
-    """offers (url, title, api_confirmed) with verified and reason, by their pages (url, status, html). First rule decides."""
+    """offers (url, title, api_confirmed, perhaps source) with verified and reason, by their pages (url, status, html, perhaps
+    final_url). First rule decides. Offers without a source column count as direct."""
     both = offers.join(pages, "url", "left")
     text = F.lower(html_text(F.col("html")))
-    matches = titles_match(F.col("title"), heading(F.col("html"))) | titles_match(F.col("title"), page_title(F.col("html")))
+    path = offer_path(F.col("source"), F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")) if "source" in offers.columns else F.lit(True)
+    matches = F.lit(False)
+    for candidate in (heading, og_title, page_title):
+        matches = matches | titles_match(F.col("title"), candidate(F.col("html")))
     reason = (
         F.when(F.col("status").isNull(), "no page")
         .when(F.col("api_confirmed") & F.col("status").isin(401, 403, 429), "confirmed, blocked")
         .when(F.col("status") != 200, "status")
+        .when(~path, "path")
         .when(has_any(text, CLOSED), "closed")
         .when(F.col("api_confirmed"), "confirmed")
         .when(matches, "title")
@@ -96,4 +121,4 @@ def boards_in_pages(pages: DataFrame) -> DataFrame:
     return found.where("b is not null").select("page_id", "b.type", "b.key").distinct()
 
 
-__all__ = ["boards_in_pages", "detect_board", "heading", "links", "page_main_text", "page_title", "response_class", "soft_404", "verify_offers"]
+__all__ = ["boards_in_pages", "detect_board", "heading", "links", "offer_path", "og_title", "page_main_text", "page_title", "response_class", "soft_404", "verify_offers"]

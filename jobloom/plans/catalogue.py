@@ -357,7 +357,9 @@ def _page_offers(spark, d) -> tuple[DataFrame, DataFrame]:
     pages = _pages(spark, d)
     title = P.heading(F.col("html"))
     made = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.lit("quite another job")).otherwise(title).alias("title"), (F.col("page_id") % 4 == 0).alias("api_confirmed"))
-    return made.where("page_id % 11 <> 0"), pages.where("page_id % 13 <> 0").select("url", "status", "html").dropDuplicates(["url"])
+    source = F.when(F.col("page_id") % 2 == 0, "Strona kariery (test)").otherwise("Pracuj.pl")
+    # a url that was fetched more than once counts as it was last, by page_id
+    return made.withColumn("source", source), pages.groupBy("url").agg(F.max_by(F.struct("status", "html"), "page_id").alias("p")).select("url", "p.status", "p.html")
 
 
 @query()

@@ -79,3 +79,22 @@ def test_boards(spark):
     df = spark.createDataFrame([("https://jobs.lever.co/Acme/1",), ("https://acme.recruitee.com/o/x",), ("https://example.com",)], "u string")
     got = [r["b"] and tuple(r["b"]) for r in df.select(P.detect_board(F.col("u")).alias("b")).collect()]
     assert got == [("lever", "acme"), ("recruitee", "acme"), None]
+
+
+def test_verification_by_path_and_og_title(spark):
+    rows = [("https://x/cv/1", "Pracuj.pl"), ("https://x/qa,oferta,1", "Pracuj.pl"), ("https://x/job-offer/1", "other"), ("https://x/pl/job/1", "LinkedIn"), ("https://x/1", "Kariera: Acme"), ("https://x/gone", "Kariera: Acme")]
+    offers = spark.createDataFrame([(u, s, "QA Tester", False) for u, s in rows], "url string, source string, title string, api_confirmed boolean")
+    html = """<meta content='Qa tester' property="og:title"><h1>Welcome</h1>"""
+    pages = spark.createDataFrame([(u, 200, html) for u, _ in rows[:-1]], "url string, status int, html string")
+    got = {r["url"]: (r["reason"], r["verified"]) for r in P.verify_offers(offers, pages).collect()}
+    assert [got[u] for u, _ in rows] == [("path", False), ("title", True), ("title", True), ("path", False), ("title", True), ("no page", False)]
+
+
+def test_verify_queries_run_over_every_page(spark, tmp_path):
+    from jobloom.plans import catalogue
+
+    rows = [(i, f"https://x/{i % 30}", f"<h1>QA {i}</h1>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.queries()["verify_offers"](spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(40)) and not any(r["reason"] == "no page" for r in got)
+    assert sum(r["n"] for r in catalogue.queries()["verify_counts"](spark, str(tmp_path)).collect()) == 40
