@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.extract import NOT_GIVEN, contracts, extract_salary, work_mode
+from jobloom.functions.extract import NOT_GIVEN, contracts, extract_salary, extract_skills, work_mode
 from jobloom.functions.text import html_text
 
 
@@ -93,14 +93,15 @@ def register_adapter(source: str, adapter: Callable[[DataFrame], DataFrame]) ->
 def _offer(rows: DataFrame, source: str) -> DataFrame:
     """The common columns from title, url, location, description, mode, contract, salary as the source has them."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    description = F.substring(html_text(text("description")), 1, 8000)
+    description = html_text(text("description"))  # read whole; only the stored column is cut
     named = work_mode(text("mode"))
     return rows.select(
         F.col("company"), F.trim(text("title")).alias("title"), F.coalesce(F.nullif(F.trim(text("location")), F.lit("")), F.lit(NOT_GIVEN)).alias("location"),
         F.when(named != NOT_GIVEN, named).otherwise(work_mode(F.concat_ws(" ", text("location"), text("title")))).alias("work_mode"),
         F.when(text("contract") != "", contracts(text("contract"))).otherwise(contracts(description)).alias("contract_types"),
         F.when(text("salary") != "", text("salary")).otherwise(extract_salary(description)).alias("salary"),
-        text("url").alias("url"), F.lit(f"Strona kariery ({source})").alias("source"), description.alias("description"), F.lit(True).alias("api_confirmed"),
+        text("url").alias("url"), F.lit(f"Strona kariery ({source})").alias("source"), extract_skills(description).alias("skills"),
+        F.substring(description, 1, 8000).alias("description"), F.lit(True).alias("api_confirmed"),
     )
 
 

@@ -30,3 +30,13 @@ def test_cards(spark):
     rules = [("title", '(?s)<a class="t">(.*?)</a>'), ("title", "(?s)<b>(.*?)</b>"), ("company", "(?s)<i>(.*?)</i>")]
     got = adapters.extract_cards(spark.createDataFrame([(1, html)], "page_id int, html string"), rules, '(?s)<div class="c">.*?</div>')
     assert [(r["title"], r["company"]) for r in got.orderBy("place").collect()] == [("QA", "Acme"), ("Dev", "")]
+
+
+def test_long_descriptions_are_read_whole(spark):
+    from jobloom.functions.extract import SKILLS
+
+    body = json.dumps({"offers": [{"title": "QA", "careers_url": "u", "city": "Opole", "description": "x " * 4500, "requirements": f"B2B, 100 PLN/h, {SKILLS[0]}"}]})
+    landing = spark.createDataFrame([("recruitee", "Acme", body)], "source string, company string, body string")
+    got = adapters.normalise(landing, "recruitee").first()
+    assert (got["contract_types"], got["salary"], len(got["description"])) == (["B2B"], "100 PLN /h", 8000)
+    assert SKILLS[0] in got["skills"]
