@@ -87,6 +87,20 @@ def order(rows: DataFrame, then: list[str]) -> DataFrame:
     return rows.orderBy((F.col("active") == YES).desc(), F.col("status").isin(*DONE).asc(), place.asc(), F.col("first_seen").desc(), *[F.col(c).asc() for c in then])
 
 
+def placed(rows: DataFrame, then: list[str]) -> DataFrame:
+    """Every row with its place in the order, from 0. Sorted by ranges; the driver sees only the number of rows of each."""
+    at = order(rows, then).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    first, before = F.lit(0).cast("long"), 0
+    starts = []
+    for p, n in sorted(tuple(r) for r in at.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, before))
+        before += n
+    if starts:
+        first = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair]), part)
+    return at.withColumn("place", first + F.col("_at") - F.shiftleft(part, 33)).drop("_at")
+
+
 def sections(rows: DataFrame) -> DataFrame:
     """section: active, done or gone."""
     return rows.withColumn("section", F.when(F.col("status").isin(*DONE), "done").when(F.col("active") == YES, "active").otherwise("gone"))

@@ -246,6 +246,13 @@ def union_sources(spark, d) -> DataFrame:
     return o.where(F.col("source").isin("src0", "src1")).unionByName(o.where(F.col("source").isin("src3", "src4"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {OFFERS} SELECT source, count(*)::BIGINT AS n FROM o GROUP BY 1")
+def union_all_sources(spark, d) -> DataFrame:
+    """All five sources; union_sources is held to its SQL, which names four."""
+    o = offers(spark, d)
+    return o.where(F.col("source").isin("src0", "src1", "src2")).unionByName(o.where(~F.col("source").isin("src0", "src1", "src2"))).groupBy("source").agg(F.count("*").alias("n"))
+
+
 _manual, _general = _keyword("title", PROFILE.manual), _keyword("title", [*PROFILE.general, *PROFILE.include])
 _near = _any(_fold("location"), ["wroclaw", "breslau"])
 _score = f"""(CASE WHEN {_manual} THEN 6 ELSE 0 END + CASE WHEN {_general} THEN 3 ELSE 0 END + CASE WHEN work_mode = 'Remote' THEN 3 WHEN {_near} THEN 2 ELSE 0 END
@@ -439,6 +446,15 @@ def tracker_order(spark, d) -> DataFrame:
     return T.order(tracker(spark, d), ["event_id"]).select("event_id", "key", "status", "active").limit(TOP)
 
 
+_tracker_order = f"(active = 'Tak') DESC, {_rank} = 2, list_position(['Nowa', 'Obejrzana', 'CV wysłane', 'Rozmowa', 'Odrzucona'], status), first_seen DESC, event_id"
+
+
+@query(f"WITH {TR} SELECT event_id, key, status, active, (row_number() OVER (ORDER BY {_tracker_order}) - 1)::BIGINT AS place FROM t")
+def tracker_order_all(spark, d) -> DataFrame:
+    """Every row with its place in the order; tracker_order is held to its SQL, which ends after 100."""
+    return T.placed(tracker(spark, d), ["event_id"]).select("event_id", "key", "status", "active", "place")
+
+
 @query(f"WITH {TR} SELECT list_name, CASE WHEN {_rank} = 2 THEN 'done' WHEN active = 'Tak' THEN 'active' ELSE 'gone' END AS section, count(*)::BIGINT AS n, count(*) FILTER (active = 'Tak')::BIGINT AS n_active FROM t GROUP BY ALL")
 def report_sections(spark, d) -> DataFrame:
     return T.sections(tracker(spark, d)).groupBy("list_name", "section").agg(F.count("*").alias("n"), F.count_if(F.col("active") == "Tak").alias("n_active"))

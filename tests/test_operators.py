@@ -98,3 +98,17 @@ def test_verify_queries_run_over_every_page(spark, tmp_path):
     got = catalogue.queries()["verify_offers"](spark, str(tmp_path)).collect()
     assert sorted(r["page_id"] for r in got) == list(range(40)) and not any(r["reason"] == "no page" for r in got)
     assert sum(r["n"] for r in catalogue.queries()["verify_counts"](spark, str(tmp_path)).collect()) == 40
+
+
+def test_whole_order_and_union(spark):
+    from jobloom.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    got = sorted(catalogue.queries()["tracker_order_all"](spark, d).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(spark.read.parquet(f"{d}/events.parquet").count())) and len(got) > 100
+    head = catalogue.queries()["tracker_order"](spark, d).collect()
+    assert [r["event_id"] for r in got[:100]] == [r["event_id"] for r in head]
+    assert {r["source"] for r in catalogue.queries()["union_all_sources"](spark, d).collect()} == {f"src{i}" for i in range(5)}
+    rows = spark.createDataFrame([(i, "Tak" if i % 3 else "Nie", "Nowa", f"2024-01-{i % 28 + 1:02}") for i in range(5000)], "seq int, active string, status string, first_seen string")
+    placed = {r["place"]: r["seq"] for r in T.placed(rows.repartition(7), ["seq"]).collect()}
+    assert [placed[i] for i in range(5000)] == [r["seq"] for r in T.order(rows, ["seq"]).collect()]
