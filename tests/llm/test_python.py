@@ -267,3 +267,11 @@ def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, cached):
         assert abs(got[i]["score"] - wanted) < 1e-6 * max(1, len(t))
         assert abs(got[i]["base_score"] - sum(math.log10(prior(w)) for w in t)) < 1e-6 * max(1, len(t))
         assert got[i]["n_known"] == sum((w,) in grams[0] for w in t)
+
+
+def test_tool_links_keep_null_ids(spark):
+    calls = [(1, "x", 0, "add", "{}", None), (1, None, 1, "add", '{"a": 1}', ["x", "nobody"]), (1, None, 1, "add", '{"a": 1}', ["x", "nobody"]), (2, None, 0, "add", "no", None), (None, None, 0, "add", "{}", ["x"])]
+    results = [(1, None, 2, "r"), (None, None, 3, None)]
+    got = K.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), {"add": {"properties": {"a": {"type": "integer"}}}}).collect()
+    rows = collections.Counter((r["conv_id"], r["status"], r["position"], r["result_position"], r["step"], r["valid"], r["content"]) for r in got if r["call_id"] is None)
+    assert rows == {(1, "open", 1, None, 1, True, None): 2, (2, "open", 0, None, 0, False, None): 1, (None, "open", 0, None, None, True, None): 1, (1, "orphan", None, 2, None, False, "r"): 1, (None, "orphan", None, 3, None, False, None): 1}
