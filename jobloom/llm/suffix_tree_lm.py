@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import release, ship, stored
+from .common import free, release, ship, stored
 
 #: A context with its next word is explicit from this count on.
 JOINT_LEAST = 2
@@ -224,16 +224,17 @@ def build(docs: DataFrame, text: str = "text") -> Model:
         shared.unpersist()
         release(spark)
         sums = pairs.groupBy("ctx").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
-        facts = candidates.join(sums, "ctx").withColumn("rest", 1 - (F.col("explicit") - DISCOUNT * F.col("kinds")) / F.col("occurs"))
-        p = (F.col("n") - DISCOUNT) / F.col("occurs")
-        made = pairs.join(facts, "ctx").withColumn("p", p).join(below, on).withColumn("mixed", F.col("p") + F.col("rest") * F.col("below"))
-        entries = stored(made.select("ctx", "word", "n", "occurs", "suffix", "rest", "explicit", "p", "below", "mixed"), "entries")
+        facts = candidates.join(sums, "ctx").withColumn("rest", 1 - (F.col("explicit") - DISCOUNT * F.col("kinds")) / F.col("occurs")).drop("kinds")
+        facts = stored(facts, "facts")
+        made = pairs.join(facts, "ctx").join(below, on).withColumn("mixed", (F.col("n") - DISCOUNT) / F.col("occurs") + F.col("rest") * F.col("below"))
+        entries = stored(made.select("ctx", "word", "n", "suffix", "below", "mixed"), "entries")
+        free(pairs)
         release(spark)
-        told = F.sum(F.col("n") * F.log(F.col("mixed") / F.col("below")))
-        untold = (F.first("occurs") - F.first("explicit")) * F.log(F.greatest(F.first("rest"), F.lit(1e-12)))
-        gain = entries.groupBy("ctx").agg((told + untold).alias("gain"), *[F.first(c).alias(c) for c in ("occurs", "suffix", "rest")])
-        enough = F.col("gain") >= F.greatest(DIVERGENCE * F.col("occurs"), F.lit(0.5 * math.log(max(total, 2))))
-        judged.append(stored(gain.select("ctx", "occurs", "suffix", "rest", enough.alias("enough")), "contexts"))
+        told = entries.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("mixed") / F.col("below"))).alias("told"))
+        gain = F.col("told") + (F.col("occurs") - F.col("explicit")) * F.log(F.greatest(F.col("rest"), F.lit(1e-12)))
+        enough = gain >= F.greatest(DIVERGENCE * F.col("occurs"), F.lit(0.5 * math.log(max(total, 2))))
+        judged.append(stored(facts.join(told, "ctx").select("ctx", "occurs", "suffix", "rest", enough.alias("enough")), "contexts"))
+        free(facts, *([candidates] if depth > 1 else []))
         every.append(entries)
         below, on = entries.select(F.col("ctx").alias("suffix"), "word", F.col("mixed").alias("below")), ["suffix", "word"]
         if depth < DEPTH:
@@ -251,9 +252,11 @@ def build(docs: DataFrame, text: str = "text") -> Model:
             kept = kept.where("enough")
         kept = stored(kept.select("ctx", "occurs", "rest", "suffix"), "kept")
         needed = kept.select(F.col("suffix").alias("ctx")).distinct().withColumn("needed", F.lit(True))
-        under = every[depth - 1].select("ctx", "word", "n", "p").join(kept.select("ctx"), "ctx", "left_semi")
+        under = every[depth - 1].select("ctx", "word", "n").join(kept.select("ctx", "occurs"), "ctx")
+        under = under.select("ctx", "word", "n", ((F.col("n") - DISCOUNT) / F.col("occurs")).alias("p"))
         model.contexts.insert(0, kept)
         model.entries.insert(0, stored(_keyed(under, "ctx", "word", "key", _NEXT), "next"))
+        free(judged[depth - 1], every[depth - 1])
     release(spark)
     return model
 
