@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_text
+from .text import fold_text, let
 
 NOT_GIVEN = "Nie podano"
 
@@ -46,16 +46,18 @@ def has_any(text: Column, marks) -> Column:
 
 
 def work_mode(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    out = F
-    for mode, marks in WORK_MODES:
-        out = out.when(has_any(t, marks), mode)
-    return out.otherwise(NOT_GIVEN)
+    def named(t: Column) -> Column:
+        out = F
+        for mode, marks in WORK_MODES:
+            out = out.when(has_any(t, marks), mode)
+        return out.otherwise(NOT_GIVEN)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), named)
 
 
 def contracts(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(has_any(t, marks), F.lit(name)) for name, marks in CONTRACTS]))
+    found = lambda t: F.array(*[F.when(has_any(t, marks), F.lit(name)) for name, marks in CONTRACTS])
+    return F.array_compact(let(F.lower(F.coalesce(text, F.lit(""))), found))
 
 
 def extract_skills(text: Column) -> Column:
@@ -65,7 +67,8 @@ def extract_skills(text: Column) -> Column:
 
 def extract_cities(text: Column) -> Column:
     padded = F.concat(F.lit(" "), F.regexp_replace(fold_text(text), "[^a-z]+", " "), F.lit(" "))
-    return F.array_compact(F.array(*[F.when(has_any(padded, [f" {v} " for v in spellings]), F.lit(name)) for name, spellings in CITIES]))
+    found = lambda p: F.array(*[F.when(has_any(p, [f" {v} " for v in spellings]), F.lit(name)) for name, spellings in CITIES])
+    return F.array_compact(let(padded, found))
 
 
 # The pattern of a salary with a currency, and of one without.
@@ -95,5 +98,17 @@ def extract_salary(text: Column) -> Column:
 
 def salary_numbers(salary: Column) -> Column:
     """The numbers of a salary text, blanks within them removed; what does not read as a number is skipped."""
-    parts = F.regexp_extract_all(F.regexp_replace(F.coalesce(salary, F.lit("")), "[  ]", ""), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
-    return F.array_compact(F.transform(parts, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
+    parts = F.regexp_extract_all(F.coalesce(salary, F.lit("")), F.lit(r"(?U)\d[\d\s,.]*"), F.lit(0))
+    return F.array_compact(F.transform(parts, lambda x: F.replace(F.regexp_replace(x, r"(?U)\s", ""), F.lit(","), F.lit(".")).try_cast("double")))
+
+
+def mode_of_flags(remote: Column, hybrid: Column) -> Column:
+    return F.when(remote, "Remote").when(hybrid, "Hybrid").otherwise(NOT_GIVEN)
+
+
+def cities_first(text: Column, city: str, near: Column) -> Column:
+    """Cities of a text, joined, the preferred one first where the text is ``near`` it; "not given" if there are none."""
+    found = extract_cities(text)
+    own = F.array(F.lit(city))
+    moved = F.when(near | F.array_contains(found, city), F.concat(own, F.array_remove(found, city))).otherwise(found)
+    return F.coalesce(F.nullif(F.array_join(moved, "; "), F.lit("")), F.lit(NOT_GIVEN))

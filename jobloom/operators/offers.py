@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.functions.extract import NOT_GIVEN, salary_numbers
-from jobloom.functions.text import company_core, fold_literal, fold_text, keyword_match, normalize_title
+from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, salary_numbers, work_mode
+from jobloom.functions.language import foreign_languages, work_profile
+from jobloom.functions.text import company_core, fold_literal, fold_text, keyword_match, let, normalize_title, once, spaced, spaced_match
 
 
 @dataclass(frozen=True)
 class Profile:
-    """What the user looks for; turned into literals when a plan is built."""
+    """What the user looks for; turned into literals when a plan is built. The defaults are those of a tester in one city."""
 
     city: str = "Wrocław"
     city_aliases: tuple[str, ...] = ("Breslau",)
     country: str = "Poland"
     allow_remote: bool = True
     allow_hybrid_elsewhere: bool = False
-    include: tuple[str, ...] = ("bolt", "gear", "widget")
-    automation_first: tuple[str, ...] = ("red",)
-    seniority: tuple[str, ...] = ("old",)
-    manual: tuple[str, ...] = ("small",)
-    general: tuple[str, ...] = ("plate", "rod")
+    include: tuple[str, ...] = ("tester", "qa", "quality assurance", "test engineer")
+    automation_first: tuple[str, ...] = ("automation", "sdet")
+    seniority: tuple[str, ...] = ("senior", "lead", "manager")
+    manual: tuple[str, ...] = ("manual",)
+    general: tuple[str, ...] = ("tester", "qa", "quality assurance", "test engineer")
     skills: tuple[tuple[str, int], ...] = (("SQL", 2), ("Jira", 1))
     min_employment: int = 9000
     min_b2b: int = 80
@@ -32,6 +35,27 @@ class Profile:
     without_salary: bool = True
     min_score: int = 1
     candidates: int = 30
+    report: int = 30
+
+
+#: Keys of a profile file, by its sections, and the fields they set.
+PROFILE_KEYS = (
+    ("location", "preferred_city", "city"), ("location", "city_aliases", "city_aliases"), ("location", "country", "country"), ("location", "allow_remote", "allow_remote"),
+    ("location", "allow_hybrid_outside_preferred_city", "allow_hybrid_elsewhere"), ("salary", "min_uop_gross_pln", "min_employment"), ("salary", "min_b2b_hourly_pln", "min_b2b"),
+    ("salary", "preferred_b2b_hourly_pln", "preferred_b2b"), ("salary", "include_offers_without_salary", "without_salary"), ("job_titles", "include", "include"),
+    ("job_titles", "automation_first_exclude", "automation_first"), ("job_titles", "seniority_exclude", "seniority"), ("filtering", "min_match_score", "min_score"),
+    ("filtering", "candidates_for_verification", "candidates"), ("filtering", "max_report_offers", "report"),
+)
+
+
+def load_profile(path: str) -> Profile:
+    """A profile from a JSON file; what it leaves out keeps its default."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    found = {field: raw[section][key] for section, key, field in PROFILE_KEYS if key in raw.get(section, {})}
+    if "matching_skills" in raw:
+        found["skills"] = tuple((x["name"], int(x["points"])) for x in raw["matching_skills"])
+    return Profile(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
 
 @dataclass(frozen=True)
@@ -44,37 +68,73 @@ class Order:
         return [F.col(c).asc() for c in self.columns]
 
 
-def preferred_city(location: Column, profile: Profile) -> Column:
-    folded, out = fold_text(location), F.lit(False)
-    for name in (profile.city, *profile.city_aliases):
+def _near(folded: Column, profile: Profile) -> Column:
+    out = F.lit(False)
+    for name in filter(None, (profile.city, *profile.city_aliases)):
         out = out | folded.contains(fold_literal(name))
     return out
 
 
-def allowed_location(profile: Profile) -> Column:
-    mode = F.col("work_mode")
-    out = preferred_city(F.col("location"), profile)
+def preferred_city(location: Column, profile: Profile) -> Column:
+    return let(fold_text(location), lambda folded: _near(folded, profile))
+
+
+def _allowed(mode: Column, near: Column, profile: Profile) -> Column:
+    low, out = F.lower(mode), near
     if profile.allow_remote:
-        out = out | (mode == "Remote")
+        out = out | (low == "remote")
     if profile.allow_hybrid_elsewhere:
-        out = out | (mode == "Hybrid")
-    return out
+        out = out | (low == "hybrid")
+    return F.coalesce(out, F.lit(False))
+
+
+def allowed_location(profile: Profile) -> Column:
+    return _allowed(F.col("work_mode"), preferred_city(F.col("location"), profile), profile)
+
+
+# Names and codes of countries, and regions that a remote job may cover.
+COUNTRIES = (("poland", ("Poland", "Polska", "PL", "POL")), ("germany", ("Germany", "Deutschland", "DE", "DEU")))
+REGIONS = ("europe", "emea", "anywhere", "worldwide", "global", "cee")
+REMOTE_WORDS = ("remote", "zdalnie")
+
+
+def target_country(location: Column, profile: Profile) -> Column:
+    """Not given; or the preferred city, a name of the country or, for Poland, one of its cities; or a wide region together with a word for remote work."""
+    here = fold_literal(profile.country)
+    aliases = dict(COUNTRIES).get(here, (profile.country,))
+    inside = preferred_city(location, profile) | keyword_match(location, aliases)
+    if here == "poland":
+        inside = inside | (F.size(extract_cities(location)) > 0)
+    given = F.coalesce(location, F.lit(""))
+    return (given == "") | (given == NOT_GIVEN) | inside | (keyword_match(location, REGIONS) & keyword_match(location, REMOTE_WORDS))
 
 
-def target_country(location: Column, profile: Profile, cities: tuple[str, ...], aliases=("poland", "polska"), regions=("emea", "europe", "eu", "cee", "worldwide", "global"), remote=("remote", "zdaln")) -> Column:
-    """Not given, or a city or name of the country, or a wide region together with a word for remote work."""
-    folded = fold_text(location)
-    any_of = lambda xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.contains(folded, x))
-    return (folded == "") | (location == NOT_GIVEN) | any_of(aliases) | any_of(cities) | (any_of(regions) & any_of(remote))
+def board_relevant(offers: DataFrame, profile: Profile, keywords=()) -> DataFrame:
+    """Offers of a board whose title has a keyword and whose place is in the country."""
+    return offers.where(keyword_match(F.col("title"), list(keywords or profile.include)) & target_country(F.col("location"), profile))
 
 
 def dedupe_best(offers: DataFrame, profile: Profile, order: Order) -> DataFrame:
-    """One offer for each company and title: the richest, the earlier of equals. It takes the place (``first_seq``)
-    of the first of its group. Only a row a task and key reaches the shuffle (WindowGroupLimit)."""
+    """One offer for each company and title: the richest, the earlier of equals, with ``first_seq``: the order columns of the first of its
+    group, whose place it takes. Only a row a task and key reaches the shuffle (WindowGroupLimit), and no description does: it is
+    fetched for the winners by the order columns, which tell rows apart."""
+    key = ["core", "norm_title"]
     keyed = offers.withColumn("core", company_core(F.col("company"))).withColumn("norm_title", normalize_title(F.col("title")))
-    rich = [allowed_location(profile).cast("int"), (F.col("salary") != "").cast("int"), F.size("skills"), F.size("contract_types"), (F.col("source") != "LinkedIn").cast("int")]
-    by = Window.partitionBy("core", "norm_title").orderBy(*[r.desc() for r in rich], *order.asc())
-    return keyed.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    slim = keyed.drop("description")
+    rich = [allowed_location(profile).cast("int"), (F.coalesce("salary", F.lit("")) != "").cast("int"), F.size("skills"), F.size("contract_types"), (F.col("source") != "LinkedIn").cast("int")]
+    by = Window.partitionBy(*key).orderBy(*[r.desc() for r in rich], *order.asc())
+    best = slim.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    first = slim.groupBy(*key).agg(F.min(F.struct(*order.columns)).alias("first_seq"))
+    made = best.join(first, key)
+    if "description" in offers.columns:
+        made = made.join(offers.select(*order.columns, "description"), [*order.columns], "left")
+    return made
+
+
+def union_sources(parts: list[DataFrame]) -> DataFrame:
+    """All rows of several sources, with source_rank: the place of the source, which orders rows before their own order."""
+    ranked = [p.withColumn("source_rank", F.lit(i)) for i, p in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
 def url_dedupe(offers: DataFrame, order: Order, last: bool = False) -> DataFrame:
@@ -97,7 +157,8 @@ def assess_salary(offers: DataFrame, profile: Profile) -> DataFrame:
     hourly = low.contains("/h") | low.contains("/hour") | low.contains("/day")
     value = F.when(low.contains("/year"), top / 12).otherwise(top)
     value = F.when(low.contains("/day"), value / 8).otherwise(value)
-    said_b2b, said_uop = F.array_contains(kinds, "B2B"), F.array_contains(kinds, "Permanent")
+    named = lambda k: F.coalesce(F.array_contains(kinds, k), F.lit(False))
+    said_b2b, said_uop = named("B2B"), named("Permanent")
     neither = ~said_b2b & ~said_uop
     net = hourly | low.contains("netto") | F.array_contains(F.split(low, r"\s+"), "net") | low.contains("vat")
     b2b = said_b2b | (neither & net)
@@ -113,16 +174,19 @@ def assess_salary(offers: DataFrame, profile: Profile) -> DataFrame:
     return out.withColumn("salary_ok", ok)
 
 
-def score(offers: DataFrame, profile: Profile) -> DataFrame:
-    """match_score and match_reasons (six at most) from title, skills, place and salary class."""
-    title = F.col("title")
-    remote = F.col("work_mode") == "Remote"
-    near = ~remote & preferred_city(F.col("location"), profile)
-    manual = keyword_match(title, list(profile.manual))
-    total = F.when(manual, 6).otherwise(0) + F.when(keyword_match(title, [*profile.general, *profile.include]), 3).otherwise(0)
+def _ready(offers: DataFrame, profile: Profile) -> DataFrame:
+    """_title (folded and padded) and _near, made once a row for all rules."""
+    return once(offers.select("*", spaced(F.col("title")).alias("_title"), preferred_city(F.col("location"), profile).alias("_near")))
+
+
+def _scored(offers: DataFrame, profile: Profile, extra=()) -> DataFrame:
+    title, remote = F.col("_title"), F.coalesce(F.lower("work_mode") == "remote", F.lit(False))
+    near = ~remote & F.col("_near")
+    manual = spaced_match(title, profile.manual)
+    total = F.when(manual, 6).otherwise(0) + F.when(spaced_match(title, [*profile.general, *(extra or profile.include)]), 3).otherwise(0)
     reasons = [F.when(manual, F.lit("manual"))]
     for skill, points in profile.skills:
-        has = F.array_contains(F.transform("skills", F.lower), skill.lower())
+        has = F.coalesce(F.array_contains(F.transform("skills", F.lower), skill.lower()), F.lit(False))
         total = total + F.when(has, points).otherwise(0)
         reasons.append(F.when(has, F.lit(skill)))
     total = total + F.when(remote, 3).when(near, 2).otherwise(0)
@@ -131,22 +195,81 @@ def score(offers: DataFrame, profile: Profile) -> DataFrame:
     return offers.withColumn("match_score", total).withColumn("match_reasons", F.slice(F.array_distinct(F.array_compact(F.array(*reasons))), 1, 6))
 
 
-def reject_cascade(offers: DataFrame, profile: Profile, language: Column | None = None, min_score: bool = True) -> DataFrame:
-    """reject_reason: the first rule that fails, null for those that stay. One chain of conditions, no shuffle."""
-    title = F.col("title")
-    made = score(assess_salary(offers, profile), profile)
-    reason = F.when(~keyword_match(title, list(profile.include)), "title")
+def score(offers: DataFrame, profile: Profile) -> DataFrame:
+    """match_score and match_reasons (six at most) from title, skills, place and salary class."""
+    return _scored(_ready(offers, profile), profile).drop("_title", "_near")
+
+
+def reject_cascade(offers: DataFrame, profile: Profile, language: str | None = None, min_score: bool = True, extra_titles=(), extra_seniority=()) -> DataFrame:
+    """reject_reason: the first rule that fails, null for those that stay. One chain of conditions, no shuffle. language: the
+    column of the text in which required languages are looked for (titles alone say them too)."""
+    ready = _ready(offers, profile)
     if language is not None:
-        reason = reason.when(language, "language")
+        ready = foreign_languages(ready, "title", language, "_languages")
+    made = _scored(assess_salary(ready, profile), profile, (*profile.include, *extra_titles))
+    title = F.col("_title")
+    reason = F.when(~spaced_match(title, [*profile.include, *extra_titles]), "title")
+    if language is not None:
+        reason = reason.when(F.size("_languages") > 0, "language")
     reason = (
-        reason.when(keyword_match(title, list(profile.automation_first)) & ~keyword_match(title, list(profile.manual)), "automation")
-        .when(keyword_match(title, list(profile.seniority)), "seniority")
-        .when(~allowed_location(profile), "location")
+        reason.when(spaced_match(title, profile.automation_first) & ~spaced_match(title, profile.manual), "automation")
+        .when(spaced_match(title, [*profile.seniority, *extra_seniority]), "seniority")
+        .when(~_allowed(F.col("work_mode"), F.col("_near"), profile), "location")
         .when(~F.col("salary_ok"), "salary")
     )
     if min_score:
         reason = reason.when(F.col("match_score") < profile.min_score, "score")
-    return made.withColumn("reject_reason", reason)
+    return once(made.withColumn("reject_reason", reason).drop("_title", "_near", "_languages"))
+
+
+# What says that a posting has expired.
+EXPIRED_MARKERS = ("offer expired", "oferta wygasła", "ogłoszenie wygasło", "oferta nieaktualna")
+LONG_SOURCE, LONG_WORDS = "Pracuj.pl", 120
+
+
+def complete(offers: DataFrame) -> DataFrame:
+    """What a list left out, from the description: salary and contracts where blank, the mode where not given."""
+    d = F.coalesce("description", F.lit(""))
+    some = d != ""
+    return offers.withColumns({
+        "salary": F.when(some & (F.coalesce("salary", F.lit("")) == ""), extract_salary(d)).otherwise(F.coalesce("salary", F.lit(""))),
+        "contract_types": F.when(some & (F.size("contract_types") == 0), contracts(d)).otherwise(F.col("contract_types")),
+        "work_mode": F.when(some & (F.col("work_mode") == NOT_GIVEN), work_mode(d)).otherwise(F.col("work_mode")),
+    })
+
+
+def with_long_descriptions(offers: DataFrame, found: DataFrame) -> DataFrame:
+    """offers with ``expired``, and the whole text of a posting (found: url, text) in place of a short description of one source."""
+    short = (F.col("source") == LONG_SOURCE) & (F.size(F.array_remove(F.split(F.coalesce("description", F.lit("")), r"(?U)\s+"), "")) < LONG_WORDS)
+    low = F.lower("_text")
+    gone = F.lit(False)
+    for mark in EXPIRED_MARKERS:
+        gone = gone | low.contains(mark)
+    texts = found.groupBy("url").agg(F.max("text").alias("_text")).withColumnRenamed("url", "_url")
+    both = offers.withColumn("_short", short).join(texts, F.col("_short") & (F.col("url") == F.col("_url")), "left")
+    text = F.when(F.coalesce("_text", F.lit("")) != "", F.substring("_text", 1, 8000)).otherwise(F.col("description"))
+    return both.withColumn("expired", F.coalesce(gone, F.lit(False))).withColumn("description", text).drop("_short", "_text", "_url")
+
+
+def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: DataFrame | None = None) -> DataFrame:
+    """After verification: reject_reason by the whole description (expired, salary, location, language, automation, score), with fields filled from
+    it, and match_score (with a bonus for manual work), manual_share and work_summary."""
+    df = with_long_descriptions(offers, long_descriptions) if long_descriptions is not None else offers.withColumn("expired", F.lit(False))
+    df = once(assess_salary(once(complete(df)), profile))
+    df = df.withColumn("_near", preferred_city(F.col("location"), profile))
+    df = work_profile(foreign_languages(df, "title", "description", "_languages"), "title", "description", "_profile")
+    share = F.col("_profile.manual_share")
+    df = df.withColumn("match_score", F.coalesce("match_score", F.lit(0)) + F.coalesce(F.bround((share - 50) / 10).cast("int"), F.lit(0)))
+    reason = (
+        F.when(F.col("expired"), "expired")
+        .when(~F.col("salary_ok"), "salary")
+        .when(~_allowed(F.col("work_mode"), F.col("_near"), profile), "location")
+        .when(F.size("_languages") > 0, "language")
+        .when(F.col("_profile.automation_first"), "automation")
+        .when(F.col("match_score") < profile.min_score, "score")
+    )
+    made = once(df).withColumn("reject_reason", reason).withColumn("manual_share", share).withColumn("work_summary", F.col("_profile.summary"))
+    return once(made.drop("_near", "_languages", "_profile"))
 
 
 def reject_counts(judged: DataFrame) -> DataFrame:
@@ -156,7 +279,14 @@ def reject_counts(judged: DataFrame) -> DataFrame:
 def top(judged: DataFrame, n: int, order: Order) -> DataFrame:
     """The n best kept offers by score, remote first among equals."""
     kept = judged.where("reject_reason is null")
-    return kept.orderBy(F.col("match_score").desc(), (F.col("work_mode") == "Remote").desc(), *order.asc()).limit(n)
+    return kept.orderBy(F.col("match_score").desc(), (F.lower("work_mode") == "remote").desc(), *order.asc()).limit(n)
+
+
+def analysis_counts(judged: DataFrame, most: int) -> DataFrame:
+    """Rows of each reason, those kept, and those of the kept that a report of ``most`` leaves out."""
+    counts = reject_counts(judged)
+    cut = counts.where("reason = 'kept'").select(F.lit("cut").alias("reason"), F.greatest(F.lit(0), F.col("n") - most).cast("long").alias("n"))
+    return counts.unionByName(cut)
 
 
 def report_row(offers: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Statuses in the order of the report; those done; the names of yes and no.
@@ -58,26 +58,63 @@ def gone(previous: DataFrame, matched: DataFrame, seq: list[str], in_scope: Colu
 
 
 def collapse(rows: DataFrame, seq: list[str]) -> DataFrame:
-    """One row a key. Rows are folded in order: a later one replaces the holder if (active, rank) is greater than the
-    holder's with its status so far; the stronger status and the earlier first_seen pass on."""
-    item = F.struct(*[F.col(c) for c in seq], "link", "active", "status", "first_seen")
-    folded = F.aggregate(
-        F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))),
-        F.col("_rows")[0],
-        lambda a, x: _fold(a, x, [*seq, "link", "active"]),
-    )
-    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("_rows"), F.count("*").alias("n_rows"))
-    return grouped.select("key", "n_rows", folded.alias("_w")).select("key", "n_rows", "_w.link", "_w.active", "_w.status", "_w.first_seen")
-
-
-def _fold(a: Column, x: Column, plain: list[str]) -> Column:
-    ra, rx = status_rank(a["status"]), status_rank(x["status"])
-    aa, ax = (a["active"] == YES).cast("int"), (x["active"] == YES).cast("int")
-    wins = (ax > aa) | ((ax == aa) & (rx > ra))
-    holder = lambda c: F.when(wins, x[c]).otherwise(a[c])
-    stronger = F.when(wins, F.when(ra > rx, a["status"]).otherwise(x["status"])).otherwise(F.when(rx > ra, x["status"]).otherwise(a["status"]))
-    earlier = F.least(F.nullif(a["first_seen"], F.lit("")), F.nullif(x["first_seen"], F.lit("")))
-    return F.struct(*[holder(c).alias(c) for c in plain], stronger.alias("status"), F.coalesce(earlier, F.lit("")).alias("first_seen"))
+    """One row a key, with n_rows and all other columns. Rows are folded in order: a later one replaces the holder if (active, rank) is greater than
+    the holder's with its status so far; the stronger status and the earlier first_seen pass on. Since the holder's two values are the greatest so
+    far, running maxima over a sorted key tell every step: no key is collected."""
+    along = Window.partitionBy("key").orderBy(*[F.col(c).asc() for c in seq])
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    a, r = (F.col("active") == YES).cast("int"), status_rank(F.col("status"))
+    ranked = rows.select("*", F.coalesce(a, F.lit(0)).alias("_a"), r.alias("_r"))
+    seen = ranked.select("*", F.coalesce(F.max("_a").over(before), F.lit(-1)).alias("_ma"), F.coalesce(F.max("_r").over(before), F.lit(-1)).alias("_mr"))
+    wins = (F.col("_a") > F.col("_ma")) | ((F.col("_a") == F.col("_ma")) & (F.col("_r") > F.col("_mr")))
+    told = seen.withColumn("_wins", wins).withColumn("_says", (F.col("_r") > F.col("_mr")) | (F.col("_wins") & (F.col("_r") == F.col("_mr"))))
+    place = F.struct(*[F.col(c) for c in seq])
+    rest = [c for c in rows.columns if c not in ("key", "status", "first_seen")]
+    last = lambda flag, value: F.max(F.when(F.col(flag), F.struct(place.alias("p"), value.alias("v"))))
+    made = told.groupBy("key").agg(
+        F.count("*").alias("n_rows"), last("_wins", F.struct(*[F.col(c) for c in rest])).alias("w"), last("_says", F.col("status")).alias("s"), F.min(F.nullif("first_seen", F.lit(""))).alias("f"),
+    )
+    return made.select("key", "n_rows", *[F.col("w.v").getField(c).alias(c) for c in rest], F.col("s.v").alias("status"), F.coalesce("f", F.lit("")).alias("first_seen"))
+
+
+def other_statuses(rows: DataFrame, list_name: str, order: list[str]) -> DataFrame:
+    """kind (link or key), value and the strongest status of other lists than ``list_name``; the earliest of equal ranks; new ones are not shared."""
+    ranked = rows.where(F.col("list_name") != list_name).withColumn("_r", status_rank(F.col("status"))).where("_r > 0")
+    both = F.explode(F.array(F.struct(F.lit("link").alias("kind"), F.col("link").alias("value")), F.struct(F.lit("key").alias("kind"), F.col("key").alias("value"))))
+    each = ranked.select("_r", "status", *order, both.alias("k")).select("_r", "status", *order, "k.kind", "k.value").where("value <> ''")
+    by = Window.partitionBy("kind", "value").orderBy(F.col("_r").desc(), *[F.col(c).asc() for c in order])
+    return each.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("kind", "value", "status")
+
+
+def raised(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows with the status that other lists have for their link, else for their key, where it is stronger."""
+    of = lambda kind: shared.where(F.col("kind") == kind).select(F.col("value").alias(f"_{kind}"), F.col("status").alias(f"_by_{kind}"))
+    both = rows.join(of("link"), F.col("link") == F.col("_link"), "left").join(of("key"), F.col("key") == F.col("_key"), "left")
+    other = F.coalesce("_by_link", "_by_key", F.lit(""))
+    status = F.when(status_rank(other) > status_rank(F.col("status")), other).otherwise(F.col("status"))
+    return both.withColumn("status", status).select(*rows.columns)
+
+
+def merge(previous: DataFrame, current: DataFrame, run_date: str, seq: list[str], scope: DataFrame | None = None, shared: DataFrame | None = None, incomplete: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all rows, those new in this run). previous and current have key, link, company, source and seq; previous also status, first_seen, last_seen and
+    active. scope (company): what the run looked at, all if not given; incomplete (source): what did not work in full, so it shows nothing gone."""
+    matched = match(previous, current, seq)
+    first = F.coalesce(F.nullif("prev_first_seen", F.lit("")), F.lit(run_date))
+    now = matched.select(*current.columns, "status", first.alias("first_seen"), F.lit(run_date).alias("last_seen"), F.lit(YES).alias("active"), F.lit(0).alias("_part"))
+    claimed = matched.where("claimed is not null").select(*[F.col(f"claimed.{c}").alias(f"_{c}") for c in seq])
+    left = previous.join(claimed, [previous[c] == claimed[f"_{c}"] for c in seq], "left_anti")
+    inside = F.lit(True)
+    if scope is not None:
+        left = left.join(scope.select(F.lower("company").alias("_c")).distinct().withColumn("_in", F.lit(True)), F.lower("company") == F.col("_c"), "left")
+        inside = F.coalesce("_in", F.lit(False))
+    if incomplete is not None:
+        left = left.join(incomplete.select(F.col("source").alias("_s")).distinct().withColumn("_out", F.lit(True)), F.col("source") == F.col("_s"), "left")
+        inside = inside & F.col("_out").isNull()
+    ended = left.withColumn("active", F.when(inside | (F.coalesce("active", F.lit("")) == ""), NO).otherwise(F.col("active"))).withColumn("_part", F.lit(1)).select(*now.columns)
+    every = collapse(now.unionByName(ended), ["_part", *seq]).drop("n_rows", "_part")
+    if shared is not None:
+        every = raised(every, shared)
+    return every, matched.where("is_new").withColumn("first_seen", F.lit(run_date)).select(*current.columns, "status", "first_seen")
 
 
 def order(rows: DataFrame, then: list[str]) -> DataFrame:
@@ -111,8 +148,82 @@ def seed_if_empty(lists: DataFrame, backup: DataFrame) -> DataFrame:
     return lists.unionByName(backup.join(lists.select("list_name").distinct(), "list_name", "left_anti"))
 
 
+POINTER = "current.txt"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the current snapshot, 0 if there is none."""
+    at, files = _files(spark, f"{path}/{POINTER}")
+    return int(spark.read.text(f"{path}/{POINTER}").first()[0]) if files.exists(at) else 0
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of the current snapshot, None if there is none."""
+    v = version(spark, path)
+    return scan(spark.read.parquet(f"{path}/v={v}")) if v else None
+
+
 def write(rows: DataFrame, path: str, version: int) -> str:
     """A new snapshot beside the old ones, by list; the caller flips to the path returned."""
     to = f"{path}/v={version}"
-    rows.write.partitionBy("list_name").parquet(to)
+    rows.write.mode("overwrite").partitionBy("list_name").parquet(to)
     return to
+
+
+def write_list(rows: DataFrame, path: str, list_name: str) -> int:
+    """A new snapshot in which one list is replaced by rows and the others are as before; readers see it once its pointer is flipped."""
+    spark = rows.sparkSession
+    v = version(spark, path)
+    named = rows.withColumn("list_name", F.lit(list_name))
+    if v:
+        named = spark.read.parquet(f"{path}/v={v}").where(F.col("list_name") != list_name).unionByName(named, allowMissingColumns=True)
+    write(named, path, v + 1)
+    flip(spark, path, v + 1)
+    return v + 1
+
+
+def flip(spark: SparkSession, path: str, v: int) -> None:
+    """Names the current snapshot: written beside and moved into place, so that no reader sees half of it."""
+    beside, files = _files(spark, f"{path}/{POINTER}.{v}")
+    out = files.create(beside, True)
+    out.write(bytearray(str(v).encode()))
+    out.close()
+    to, _ = _files(spark, f"{path}/{POINTER}")
+    if files.exists(to):
+        files.delete(to, False)
+    files.rename(beside, to)
+
+
+def update(spark: SparkSession, path: str, backup: str, list_name: str, current: DataFrame, run_date: str, seq: list[str], **more) -> tuple[DataFrame | None, list[str]]:
+    """Merges a run into a list of the stored tracker and writes it: (the new rows, problems). A tracker that cannot be read is never written: the run
+    goes to the backup folder alone, and a problem says so."""
+    try:
+        stored = read_current(spark, path)
+        if stored is not None:
+            stored.limit(1).count()
+    except Exception as error:
+        current.withColumn("list_name", F.lit(list_name)).write.mode("overwrite").parquet(f"{backup}/{list_name}")
+        return None, [f"{list_name}: the tracker could not be read ({type(error).__name__}) and was left as it is; the run is in the backup"]
+    if stored is None:
+        blank = current.where("false")
+        stored = blank.select("*", *[F.lit("").alias(c) for c in ("status", "first_seen", "last_seen", "active")], F.lit(list_name).alias("list_name"))
+    previous = stored.where(F.col("list_name") == list_name).drop("list_name")
+    rows, new = merge(previous, current, run_date, seq, shared=other_statuses(stored, list_name, seq), **more)
+    write_list(rows, path, list_name)
+    return new, []
+
+
+def digest(lists: DataFrame, problems: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """One row a list (list_name, found, saved, active): its new rows and problems, the totals of all, and whether there is anything to send."""
+    news = new_rows.groupBy("list_name").agg(F.count("*").alias("n_new"))
+    bad = problems.groupBy("list_name").agg(F.count("*").alias("n_problems"))
+    both = lists.join(news, "list_name", "left").join(bad, "list_name", "left").na.fill(0, ["n_new", "n_problems"])
+    total = both.agg(F.sum("n_new").alias("total_new"), F.sum("n_problems").alias("total_problems"))
+    joined = both.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return joined.withColumn("send", (F.col("total_new") > 0) | (F.col("total_problems") > 0))

@@ -9,10 +9,10 @@ from jobloom.functions import extract, language, text
 from jobloom.operators import offers as O
 from jobloom.operators import pages as P
 from jobloom.operators import tracker as T
-from jobloom.sources import adapters
-from jobloom.sources.tables import OFFERS_SQL, SEQ, TRACKER_SQL, landing, offers, read, tracker
+from jobloom.sources.tables import OFFERS_SQL, SEQ, TRACKER_SQL, offers, read, tracker
 
-PROFILE = O.Profile()
+#: A profile in words of the test data.
+PROFILE = O.Profile(include=("bolt", "gear", "widget"), automation_first=("red",), seniority=("old",), manual=("small",), general=("plate", "rod"))
 ORDER = O.Order(SEQ)
 TOP = 100  # a report's length, which is what these two queries are about
 
@@ -30,9 +30,9 @@ def query(sql: str | None = None):
     return add
 
 
-# The same folding for DuckDB.
+# The same folding for DuckDB, by its own functions.
 def _fold(x: str) -> str:
-    return f"regexp_replace(translate(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '\\p{{M}}+', '', 'g')"
+    return f"replace(lower(strip_accents(replace(replace(coalesce({x}, ''), 'ł', 'l'), 'Ł', 'L'))), 'ß', 'ss')"
 
 
 def _padded(x: str) -> str:
@@ -40,7 +40,7 @@ def _padded(x: str) -> str:
 
 
 def _keyword(x: str, keywords) -> str:
-    marks = [" ".join(text.fold_literal(k).split()) for k in keywords]
+    marks = keywords  # in the SQL, keywords stand as they are looked for: folded, with single spaces
     return "(" + " OR ".join(f"contains({_padded(x)}, ' {m}{' ' if len(m) <= 3 else ''}')" for m in marks) + ")"
 
 
@@ -51,7 +51,7 @@ def _title(x: str) -> str:
 
 def _core(x: str) -> str:
     tokens = f"list_filter(regexp_split_to_array({_fold(x)}, '[^a-z0-9]+'), lambda t: t <> '')"
-    noise = ", ".join(f"'{n}'" for n in text.COMPANY_NOISE)
+    noise = "'sp','z','o','oo','s','a','sa','spolka','ograniczona','odpowiedzialnoscia','akcyjna','komandytowa','k','sk','polska','poland','pl','group','grupa','gmbh','inc','ltd','llc','plc','ag','bv','corp','corporation','co'"
     core = f"list_filter({tokens}, lambda t: t NOT IN ({noise}))"
     return f"array_to_string(CASE WHEN len({core}) > 0 THEN {core} ELSE {tokens} END, ' ')"
 
@@ -191,16 +191,15 @@ def preferred_city(spark, d) -> DataFrame:
     return offers(spark, d).groupBy("location", O.preferred_city(F.col("location"), PROFILE).alias("near")).agg(F.count("*").alias("n"))
 
 
-_folded_cities = tuple(v for _, vs in extract.CITIES for v in vs)
-_regions, _remote = ["emea", "europe", "eu", "cee", "worldwide", "global"], ["remote", "zdaln"]
+_cities_in = _any(f"(' ' || regexp_replace({_fold('location')}, '[^a-z]+', ' ', 'g') || ' ')", [f" {v} " for _, vs in extract.CITIES for v in vs])
 
 
 @query(
-    f"WITH {OFFERS} SELECT location, (location = 'Nie podano' OR {_any(_fold('location'), ['poland', 'polska', *_folded_cities])} "
-    f"OR ({_any(_fold('location'), _regions)} AND {_any(_fold('location'), _remote)})) AS inside, count(*)::BIGINT AS n FROM o GROUP BY ALL"
+    f"WITH {OFFERS} SELECT location, (location IN ('', 'Nie podano') OR {_any(_fold('location'), ['wroclaw', 'breslau'])} OR {_keyword('location', ['poland', 'polska', 'pl', 'pol'])} OR {_cities_in} "
+    f"OR ({_keyword('location', ['europe', 'emea', 'anywhere', 'worldwide', 'global', 'cee'])} AND {_keyword('location', ['remote', 'zdalnie'])})) AS inside, count(*)::BIGINT AS n FROM o GROUP BY ALL"
 )
 def target_country(spark, d) -> DataFrame:
-    return offers(spark, d).groupBy("location", O.target_country(F.col("location"), PROFILE, _folded_cities).alias("inside")).agg(F.count("*").alias("n"))
+    return offers(spark, d).groupBy("location", O.target_country(F.col("location"), PROFILE).alias("inside")).agg(F.count("*").alias("n"))
 
 
 # -- offers ------------------------------------------------------------------------------------------
@@ -240,17 +239,21 @@ def phrase_cap(spark, d) -> DataFrame:
     return O.phrase_cap(rows, 60, ORDER).select("phrase", "url", "company")
 
 
-@query(f"WITH {OFFERS} SELECT source, count(*)::BIGINT AS n FROM (SELECT source FROM o WHERE source IN ('src0', 'src1') UNION ALL SELECT source FROM o WHERE source IN ('src3', 'src4')) GROUP BY 1")
+_UNION = f"WITH {OFFERS} SELECT url, source, substr(source, 4)::INTEGER AS source_rank, l_orderkey, l_linenumber FROM o"
+
+
+@query(_UNION)
 def union_sources(spark, d) -> DataFrame:
+    """Offers of all sources, each with the rank of its source, which comes first in the order of input rows."""
     o = offers(spark, d)
-    return o.where(F.col("source").isin("src0", "src1")).unionByName(o.where(F.col("source").isin("src3", "src4"))).groupBy("source").agg(F.count("*").alias("n"))
+    parts = [o.where(F.col("source") == f"src{k}") for k in range(5)]
+    return O.union_sources(parts).select("url", "source", F.col("source_rank"), "l_orderkey", "l_linenumber")
 
 
 @query(f"WITH {OFFERS} SELECT source, count(*)::BIGINT AS n FROM o GROUP BY 1")
 def union_all_sources(spark, d) -> DataFrame:
-    """All five sources; union_sources is held to its SQL, which names four."""
     o = offers(spark, d)
-    return o.where(F.col("source").isin("src0", "src1", "src2")).unionByName(o.where(~F.col("source").isin("src0", "src1", "src2"))).groupBy("source").agg(F.count("*").alias("n"))
+    return O.union_sources([o.where(F.col("source").isin("src0", "src1", "src2")), o.where(~F.col("source").isin("src0", "src1", "src2"))]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 _manual, _general = _keyword("title", PROFILE.manual), _keyword("title", [*PROFILE.general, *PROFILE.include])
@@ -304,6 +307,12 @@ def reject_rollup(spark, d) -> DataFrame:
 # -- language and work profile -----------------------------------------------------------------------
 
 
+_MARKS = {
+    "niemiecki": "und oder mit fur wir sie ihre der das ist sind nicht auf eine einen bei werden zur zum deine kenntnisse", "francuski": "et avec pour nous vous les une est sont dans votre notre aux",
+    "niderlandzki": "het een voor wij jij ervaring kennis naar werken", "hiszpański": "para los las del nuestro experiencia conocimientos trabajo", "włoski": "della delle sono nostro esperienza competenze gli lavoro",
+}
+
+
 def _written(lang: str, marks: str) -> str:
     listed = ", ".join(f"'{m}'" for m in marks.split())
     hits = f"len(list_filter(w, lambda x: x IN ({listed})))"
@@ -311,26 +320,17 @@ def _written(lang: str, marks: str) -> str:
     return f"CASE WHEN {head} >= 2 OR ({hits} >= 12 AND {hits}::DOUBLE / greatest(len(w), 1) >= 0.06) THEN '{lang}' END"
 
 
-_langs = ", ".join(_written(k, v) for k, v in language.WRITTEN_IN.items())
+_langs = ", ".join(_written(k, v) for k, v in _MARKS.items())
+WRITTEN = f"list_filter([{_langs}], lambda v: v IS NOT NULL)"
 
 
 @query(
-    f"SELECT doc_id, array_to_string(list_filter([{_langs}], lambda v: v IS NOT NULL), ',') AS languages FROM "
+    f"SELECT doc_id, array_to_string({WRITTEN}, ',') AS languages FROM "
     f"(SELECT doc_id, regexp_extract_all({_fold('text')}, '[a-z]+') AS w, regexp_extract_all({_fold('source')}, '[a-z]+') AS h FROM documents)"
 )
 def written_in(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.array_join(language.written_in(F.col("source"), F.col("text")), ",").alias("languages"))
-
-
-@query()
-def foreign_language(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.array_join(language.foreign_languages(F.col("source"), F.col("text")), ",").alias("languages"))
-
-
-@query()
-def work_profile(spark, d) -> DataFrame:
-    p = language.work_profile(F.col("source"), F.col("text"))
-    return read(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.manual_share", F.array_join("p.manual", ",").alias("manual"), F.array_join("p.automation", ",").alias("automation"))
+    made = language.written_in(read(spark, d, "documents").select("doc_id", "source", "text"), "source", "text")
+    return made.select("doc_id", F.array_join("languages", ",").alias("languages"))
 
 
 # -- pages ---------------------------------------------------------------------------------------------
@@ -347,40 +347,80 @@ def response_class(spark, d) -> DataFrame:
     return _pages(spark, d).select("page_id", P.response_class(F.col("status")).alias("class"))
 
 
-_ptitle = _plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_FINAL = """CASE page_id % 8 WHEN 0 THEN 'https://example.com/' WHEN 1 THEN 'https://example.com/pl/' WHEN 2 THEN 'https://kariera.example.pl/' WHEN 3 THEN 'https://example.com/?q=1'
+  WHEN 4 THEN 'https://example.com/strona-nie-istnieje' WHEN 5 THEN 'https://example.com/x/error' ELSE url END"""
+_SOFT_HTML = "CASE WHEN page_id % 16 = 6 THEN replace(html, '<title>', '<title>Strona NIE istnieje ') ELSE html END"
+_lower_path = "lower(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1))"
+_home = "regexp_full_match({0}, '/?(?:[a-z]{{2}}(?:[-_][a-z]{{2}})?/?)?')"
+_host_words = "' ' || regexp_replace(replace(lower(regexp_extract(final, '^[a-zA-Z]+://([^/?#]*)', 1)), '.', ' '), '[^a-z0-9_]+', ' ', 'g') || ' '"
 
 
 @query(
-    f"SELECT page_id, CASE WHEN {_any('lower(regexp_extract(url, ' + chr(39) + '^[a-zA-Z]+://[^/]+([^?#]*)' + chr(39) + ', 1))', P.ERROR_PATHS)} THEN 'error path' "
-    f"WHEN page_id % 5 = 0 AND rtrim(regexp_extract(url, '^[a-zA-Z]+://[^/]+([^?#]*)', 1), '/') <> '' THEN 'redirected home' "
-    f"WHEN {_any('lower(' + _ptitle + ')', P.ERROR_TITLES)} THEN 'error title' END AS reason FROM pages"
+    f"SELECT page_id, CASE WHEN {_any('fp', ['404', 'not-found', 'notfound', 'nie-znalez', 'page-not-found', 'strona-nie-istnieje'])} THEN 'error path' "
+    f"WHEN NOT {_home.format('rp')} AND {_home.format('fp')} AND regexp_extract(final, '[?]([^#]*)', 1) = '' AND NOT {_any(_host_words, [' kariera', ' karier', ' career', ' careers', ' jobs', ' praca', ' rekrutacja', ' work'])} THEN 'redirected home' "
+    f"WHEN {_any(_fold('t'), ['404', 'page not found', 'nie znaleziono', 'strona nie istnieje', 'nie zostala znaleziona'])} THEN 'error title' END AS reason "
+    f"FROM (SELECT page_id, final, {_lower_path.format('url')} AS rp, {_lower_path.format('final')} AS fp, regexp_extract(html[1:20000], '(?is)<title[^>]*>(.*?)</title>', 1) AS t "
+    f"FROM (SELECT page_id, url, {_FINAL} AS final, {_SOFT_HTML} AS html FROM pages))"
 )
 def soft_404(spark, d) -> DataFrame:
-    final = F.when(F.col("page_id") % 5 == 0, F.lit("https://example.com/")).otherwise(F.col("url"))
-    return read(spark, d, "pages").select("page_id", P.soft_404(F.col("url"), final, F.col("html")).alias("reason"))
+    return read(spark, d, "pages").select("page_id", P.soft_404(F.col("url"), F.expr(_FINAL), F.expr(_SOFT_HTML)).alias("reason"))
+
+
+# Pages as offers of their own headings: every third with another title, every fourth confirmed, half of a portal; some closed, some of a portal's path.
+_CHECKED = f"""SELECT page_id, concat(url, CASE WHEN page_id % 6 = 1 THEN ',oferta,' ELSE '' END) AS url, {_status} AS status,
+  CASE WHEN page_id % 10 = 3 THEN concat(html, '<p>Offer expired</p>') ELSE html END AS html, page_id % 4 = 0 AS api_confirmed,
+  CASE WHEN page_id % 2 = 0 THEN 'Strona kariery (test)' ELSE 'Pracuj.pl' END AS source FROM pages"""
 
 
 def _page_offers(spark, d) -> tuple[DataFrame, DataFrame]:
-    pages = _pages(spark, d)
-    title = P.heading(F.col("html"))
-    made = pages.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.lit("quite another job")).otherwise(title).alias("title"), (F.col("page_id") % 4 == 0).alias("api_confirmed"))
-    source = F.when(F.col("page_id") % 2 == 0, "Strona kariery (test)").otherwise("Pracuj.pl")
+    pages = spark.sql(_CHECKED.replace("FROM pages", "FROM {pages}"), pages=read(spark, d, "pages"))
+    title = F.when(F.col("page_id") % 3 == 0, F.lit("quite another job")).otherwise(P.heading(F.col("html")))
     # a url that was fetched more than once counts as it was last, by page_id
-    return made.withColumn("source", source), pages.groupBy("url").agg(F.max_by(F.struct("status", "html"), "page_id").alias("p")).select("url", "p.status", "p.html")
+    return pages.select("page_id", "url", title.alias("title"), "api_confirmed", "source"), pages.select("url", "status", "html", F.col("page_id").alias("place"))
 
 
-@query()
+def _inner(tag: str) -> str:
+    return _plain(f"regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)")
+
+
+_STOP = "'and','or','the','a','an','i','w','z','na','do','dla','m','k','f','mid','senior','junior','specialist','engineer','tester'"
+
+
+def _telling(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda v: length(v) > 2 AND v NOT IN ({_STOP})))"
+
+
+def _matches(a: str, b: str) -> str:
+    shared = f"len(list_intersect({_telling(a)}, {_telling(b)}))"
+    return f"({b} <> '' AND (contains({b}, {a}) OR contains({a}, {b}) OR (least(len({_telling(a)}), len({_telling(b)})) > 0 AND 2 * {shared} >= least(len({_telling(a)}), len({_telling(b)})))))"
+
+
+VERIFIED = f"""c AS ({_CHECKED}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS n FROM c) WHERE n = 1),
+o AS (SELECT page_id, url, api_confirmed, source, CASE WHEN page_id % 3 = 0 THEN 'quite another job' ELSE {_inner('h1')} END AS title FROM c),
+j AS (SELECT o.*, l.status, {_title('o.title')} AS nt, {_title(_inner('h1'))} AS n1, {_title(_inner('title'))} AS n2, contains(lower(l.html), 'offer expired') AS closed FROM o JOIN l ON l.url = o.url),
+v AS (SELECT page_id, CASE WHEN api_confirmed AND status IN (401, 403, 429) THEN 'confirmed, blocked' WHEN status <> 200 THEN 'status'
+  WHEN source = 'Pracuj.pl' AND NOT contains(url, ',oferta,') AND NOT contains(url, '/job-offer/') THEN 'path' WHEN closed THEN 'closed' WHEN api_confirmed THEN 'confirmed'
+  WHEN {_matches('nt', 'n1')} OR {_matches('nt', 'n2')} THEN 'title' ELSE 'other title' END AS reason FROM j)"""
+
+
+@query(f"WITH {VERIFIED} SELECT page_id, reason, reason IN ('confirmed, blocked', 'confirmed', 'title') AS verified FROM v")
 def verify_offers(spark, d) -> DataFrame:
     return P.verify_offers(*_page_offers(spark, d)).select("page_id", "reason", "verified")
 
 
-@query()
+@query(f"WITH {VERIFIED} SELECT reason, count(*)::BIGINT AS n, count(*) FILTER (reason IN ('confirmed, blocked', 'confirmed', 'title'))::BIGINT AS passed FROM v GROUP BY 1")
 def verify_counts(spark, d) -> DataFrame:
     v = P.verify_offers(*_page_offers(spark, d))
     return v.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("verified").alias("passed"))
 
 
-@query()
+_ANCHOR = '(?is)<a[^>]*href="[^"]*"[^>]*>.*?</a>'
+
+
+@query(
+    f"WITH a AS (SELECT page_id, unnest(range(0, len(m))) AS place, unnest(m) AS x FROM (SELECT page_id, regexp_extract_all(html, '{_ANCHOR}') AS m FROM pages)) "
+    f"SELECT page_id, place::INTEGER AS place, regexp_extract(x, 'href=\"([^\"]*)\"', 1) AS href, {_plain('x')} AS text FROM a"
+)
 def page_links(spark, d) -> DataFrame:
     return P.links(read(spark, d, "pages"))
 
@@ -390,10 +430,32 @@ def pages_by_host(spark, d) -> DataFrame:
     return read(spark, d, "pages").groupBy(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query()
+# Links to boards of every kind, by page, and what each must give.
+_BOARD_LINKS = (
+    ("https://boards.greenhouse.io/embed/job_board?for=acme{0}", "greenhouse", "acme{0}"), ("https://boards-api.eu.greenhouse.io/v1/boards/euro{0}/jobs", "greenhouse", "euro{0}"),
+    ("HTTPS://JOBS.LEVER.CO/Board{0}/x", "lever", "Board{0}"), ("https://careers.smartrecruiters.com/Corp{0}", "smartrecruiters", "Corp{0}"), ("https://www.recruitee.com/x", None, None),
+    ("https://firm{0}.wd3.myworkdayjobs.com/en-US/Careers{0}", "workday", "firm{0}.wd3.myworkdayjobs.com/Careers{0}"), ("https:\\/\\/apply.workable.com\\/work{0}\\/", "workable", "work{0}"),
+    ("https://apply.workable.com/j/ABC", None, None), ("https://eg{0}.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_{0}/job/1", "oracle_hcm", "eg{0}.fa.em2.oraclecloud.com/CX_{0}"),
+    ("https://team{0}.teamtailor.com/jobs", None, None), ("https://skk.erecruiter.pl/Offer.aspx?oid=1&amp;cfg=0123456789abcdef0123456789abcdef", "erecruiter", "0123456789abcdef0123456789abcdef"),
+    ("https://example.com/job/{0}", None, None),
+)
+_link_of = "CASE page_id % 12 " + " ".join(f"WHEN {i} THEN concat('{u.split('{0}')[0]}'" + "".join(f", page_id % 9, '{x}'" for x in u.split("{0}")[1:]) + ")" for i, (u, _, _) in enumerate(_BOARD_LINKS)) + " END"
+_found = [
+    f"SELECT page_id, '{t}' AS type, concat('{k.split('{0}')[0]}'" + "".join(f", page_id % 9, '{x}'" for x in k.split("{0}")[1:]) + f") AS key FROM pages WHERE page_id % 12 = {i}" for i, (_, t, k) in enumerate(_BOARD_LINKS) if t
+]
+
+
+@query(" UNION ALL ".join(x for x in _found if "% 12 = 2" not in x))  # in a page, addresses are looked for in lower case
 def boards_in_pages(spark, d) -> DataFrame:
-    linked = read(spark, d, "pages").withColumn("html", F.concat("html", F.lit('<a href="https://jobs.lever.co/board'), (F.col("page_id") % 9).cast("string"), F.lit('/x">')))
-    return P.boards_in_pages(linked)
+    made = spark.sql("SELECT page_id, url, concat(html, '<a href=\"', " + _link_of.replace("\\", "\\\\") + ", '\">') AS html FROM {pages}", pages=read(spark, d, "pages"))
+    return P.boards_in_pages(made)
+
+
+@query(" UNION ALL ".join(_found))
+def detect_board(spark, d) -> DataFrame:
+    made = spark.sql("SELECT page_id, " + _link_of.replace("\\", "\\\\") + " AS link FROM {pages}", pages=read(spark, d, "pages"))
+    b = made.select("page_id", P.detect_board(F.col("link")).alias("b")).where("b is not null and b.type <> 'teamtailor'")
+    return b.select("page_id", "b.type", "b.key")
 
 
 # -- tracker -------------------------------------------------------------------------------------------
@@ -434,27 +496,35 @@ def tracker_gone(spark, d) -> DataFrame:
     return T.gone(previous, matched, ["event_id"], F.col("list_name") == "list0").select("event_id", "key", "active")
 
 
-@query()
-def tracker_collapse(spark, d) -> DataFrame:
-    return T.collapse(tracker(spark, d), ["event_id"])
+# The fold, step by step over the rows of a key.
+_step = f"""WITH RECURSIVE {TR}, r AS (SELECT *, {_rank} AS rk, (active = 'Tak')::INT AS a, row_number() OVER (PARTITION BY key ORDER BY event_id) AS n, count(*) OVER (PARTITION BY key) AS c FROM t),
+f AS (SELECT key, n, c, event_id, link, active, status, first_seen, list_name, before, rk, a FROM r WHERE n = 1 UNION ALL
+  SELECT r.key, r.n, r.c, CASE WHEN w THEN r.event_id ELSE f.event_id END, CASE WHEN w THEN r.link ELSE f.link END, CASE WHEN w THEN r.active ELSE f.active END,
+    CASE WHEN w AND f.rk > r.rk THEN f.status WHEN w THEN r.status WHEN r.rk > f.rk THEN r.status ELSE f.status END, least(f.first_seen, r.first_seen),
+    CASE WHEN w THEN r.list_name ELSE f.list_name END, CASE WHEN w THEN r.before ELSE f.before END, greatest(f.rk, r.rk), greatest(f.a, r.a)
+  FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1, LATERAL (SELECT r.a > f.a OR (r.a = f.a AND r.rk > f.rk) AS w))"""
 
 
-@query(
-    f"WITH {TR} SELECT event_id, key, status, active FROM t ORDER BY (active = 'Tak') DESC, {_rank} = 2, list_position(['Nowa', 'Obejrzana', 'CV wysłane', 'Rozmowa', 'Odrzucona'], status), first_seen DESC, event_id LIMIT {TOP}"
-)
-def tracker_order(spark, d) -> DataFrame:
-    return T.order(tracker(spark, d), ["event_id"]).select("event_id", "key", "status", "active").limit(TOP)
+@query(f"{_step} SELECT key, c::BIGINT AS n_rows, event_id, link, active, status, first_seen FROM f WHERE n = c")
+def tracker_collapse(spark, d) -> DataFrame:
+    return T.collapse(tracker(spark, d), ["event_id"]).select("key", "n_rows", "event_id", "link", "active", "status", "first_seen")
 
 
 _tracker_order = f"(active = 'Tak') DESC, {_rank} = 2, list_position(['Nowa', 'Obejrzana', 'CV wysłane', 'Rozmowa', 'Odrzucona'], status), first_seen DESC, event_id"
+_PLACED = f"WITH {TR} SELECT event_id, key, status, active, (row_number() OVER (ORDER BY {_tracker_order}) - 1)::BIGINT AS place FROM t"
 
 
-@query(f"WITH {TR} SELECT event_id, key, status, active, (row_number() OVER (ORDER BY {_tracker_order}) - 1)::BIGINT AS place FROM t")
-def tracker_order_all(spark, d) -> DataFrame:
-    """Every row with its place in the order; tracker_order is held to its SQL, which ends after 100."""
+@query(_PLACED)
+def tracker_order(spark, d) -> DataFrame:
+    """Every row with its place in the order."""
     return T.placed(tracker(spark, d), ["event_id"]).select("event_id", "key", "status", "active", "place")
 
 
+@query(_PLACED)
+def tracker_order_all(spark, d) -> DataFrame:
+    return tracker_order(spark, d)
+
+
 @query(f"WITH {TR} SELECT list_name, CASE WHEN {_rank} = 2 THEN 'done' WHEN active = 'Tak' THEN 'active' ELSE 'gone' END AS section, count(*)::BIGINT AS n, count(*) FILTER (active = 'Tak')::BIGINT AS n_active FROM t GROUP BY ALL")
 def report_sections(spark, d) -> DataFrame:
     return T.sections(tracker(spark, d)).groupBy("list_name", "section").agg(F.count("*").alias("n"), F.count_if(F.col("active") == "Tak").alias("n_active"))
@@ -472,37 +542,13 @@ def seed_if_empty(spark, d) -> DataFrame:
     return T.seed_if_empty(t.where("list_name = 'list1'"), t).groupBy("list_name").agg(F.count("*").alias("n"))
 
 
-# -- adapters ------------------------------------------------------------------------------------------
-
-_loc = "location"
-_EXPECT = {
-    # how the board's payload shapes location, work mode and contract
-    "greenhouse": (_loc, None, "''"), "lever": (_loc, "'Hybrid'", "''"), "smartrecruiters": (_loc, "'Remote'", "''"), "workable": (_loc, "'Remote'", "'B2B'"),
-    "recruitee": (_loc, "'Hybrid'", "''"), "ashby": (_loc, "'Office'", "''"), "oracle_hcm": (_loc, None, "''"), "capgemini": ("location || ', Poland'", None, "''"),
-    "phenom": (_loc, None, "''"), "nabory_api": ("location || ', Polska'", "'Office'", "'Permanent'"),
-}
-
-
-def _adapter(source: str):
-    place, mode, contract = _EXPECT[source]
-    shown = mode or _mode(f"lower({place} || ' ' || title)")
-    url = "'https://example.com/job/' || url" if source == "oracle_hcm" else "'https://example.com' || url" if source == "nabory_api" else "url"
-
-    @query(f"WITH {OFFERS} SELECT company, trim(title) AS title, {place} AS location, {shown} AS work_mode, {contract} AS contracts, {'salary' if source == 'ashby' else chr(39) * 2} AS salary, {url} AS url FROM o")
-    def norm(spark, d) -> DataFrame:
-        made = adapters.normalise(landing(spark, d, source), source)
-        return made.select("company", "title", "location", "work_mode", F.array_join("contract_types", ",").alias("contracts"), "salary", "url")
-
-    _queries[f"norm_{source}"], _sql[f"norm_{source}"] = _queries.pop("norm"), _sql.pop("norm")
-
-
-for _source in _EXPECT:
-    _adapter(_source)
-
-
 def queries() -> dict:
+    from jobloom.plans import more, sources  # they register theirs here
+
+    assert more and sources
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

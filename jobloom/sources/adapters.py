@@ -1,7 +1,10 @@
 """Landed responses to offers: a table of how each board's payload maps to the common columns.
 
-A landing table has source, company and body (a response of a list request). JSON boards are read with an
-explicit schema and exploded; HTML cards are read by rules, rows of patterns by field and priority.
+A landing table has source, company and body (a response of a list request), and where a source needs them: key (of its board:
+what its URLs are made with), phrase_no and seq (which request, which response: their order), and run_date. Details are a landing table
+of single postings with the path or id that their list names. JSON boards are read with an explicit schema and exploded; feeds and HTML
+are read by cards.py. Nulls count as empty; a body that is no JSON gives no offers; an empty table gives none; rows of a list that repeat a
+URL are kept but for sources whose policy says which one counts.
 """
 
 from __future__ import annotations
@@ -9,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_salary, extract_skills, work_mode
-from jobloom.functions.text import html_text
+from jobloom.functions.text import html_text, keyword_match, unescape
+from jobloom.operators.offers import Profile, preferred_city
 
 
 @dataclass(frozen=True)
@@ -30,7 +34,23 @@ class Board:
     mode: str = "''"
     contract: str = "''"
     salary: str = "''"
-
+    company: str = "company"
+    #: Which job of a URL counts: "first", "last" or all ("").
+    dedupe: str = ""
+    where: str = "true"
+    source: str = ""
+    #: The mode of offers that give none.
+    otherwise: str = ""
+    #: Whether titles need a keyword.
+    keywords: bool = False
+
+
+#: The value of a field of an advert that is a list of fields; the names of what is an object or a list of objects.
+_VALUE = "get(transform(filter(j.advert.values, v -> v.field_id = '{0}'), v -> v.value), 0)"
+_NAMES = (
+    "transform(CASE WHEN j.{0} LIKE '[%' THEN from_json(j.{0}, 'array<struct<name:string>>') WHEN j.{0} LIKE '{{%' THEN array(from_json(j.{0}, 'struct<name:string>')) "
+    "ELSE cast(array() AS array<struct<name:string>>) END, x -> coalesce(x.name, ''))"
+)
 
 BOARDS: dict[str, Board] = {
     "greenhouse": Board(
@@ -45,8 +65,9 @@ BOARDS: dict[str, Board] = {
         "CASE j.salaryRange.interval WHEN 'per-hour-wage' THEN ' /h' WHEN 'per-month-salary' THEN ' /month' WHEN 'per-year-salary' THEN ' /year' ELSE '' END) END",
     ),
     "smartrecruiters": Board(
-        "content array<struct<id:string,name:string,location:struct<city:string,country:string,remote:boolean>,ref:string>>", "content",
-        "j.name", "j.ref", "concat_ws(', ', j.location.city, j.location.country)", mode="CASE WHEN j.location.remote THEN 'remote' ELSE '' END",
+        "content array<struct<id:string,name:string,location:struct<city:string,fullLocation:string,remote:boolean,hybrid:boolean>>>", "content",
+        "j.name", "concat('https://jobs.smartrecruiters.com/', key, '/', j.id)", "coalesce(nullif(j.location.fullLocation, ''), j.location.city)",
+        mode="CASE WHEN j.location.remote THEN 'remote' WHEN j.location.hybrid THEN 'hybrid' ELSE '' END", dedupe="last",
     ),
     "workable": Board(
         "jobs array<struct<title:string,url:string,locations:array<struct<city:string,country:string>>,telecommuting:boolean,employment_type:string,description:string>>", "jobs",
@@ -65,20 +86,40 @@ BOARDS: dict[str, Board] = {
         "CASE WHEN j.isRemote THEN 'remote' ELSE coalesce(j.workplaceType, '') END", "''", "j.compensation.compensationTierSummary",
     ),
     "oracle_hcm": Board(
-        "items array<struct<requisitionList:array<struct<Id:string,Title:string,PrimaryLocation:string,secondaryLocations:array<struct<Name:string>>>>>>", "items[0].requisitionList",
-        "j.Title", "concat('https://example.com/job/', j.Id)",
-        "array_join(array_distinct(concat(array(j.PrimaryLocation), transform(coalesce(j.secondaryLocations, array()), s -> s.Name))), '; ')",
+        "items array<struct<requisitionList:array<struct<Id:string,Title:string,PrimaryLocation:string,secondaryLocations:array<struct<Name:string>>,WorkplaceType:string,ShortDescriptionStr:string>>>>", "get(_b.items, 0).requisitionList",
+        "j.Title", "concat('https://', split(key, '/')[0], '/hcmUI/CandidateExperience/en/sites/', split(key, '/')[1], '/job/', j.Id)",
+        "array_join(filter(array_distinct(concat(array(coalesce(j.PrimaryLocation, '')), transform(coalesce(j.secondaryLocations, array()), s -> coalesce(s.Name, '')))), x -> x <> ''), '; ')",
+        "j.ShortDescriptionStr", "CASE WHEN lower(j.WorkplaceType) LIKE '%remote%' THEN 'remote' WHEN lower(j.WorkplaceType) LIKE '%hybrid%' THEN 'hybrid' ELSE '' END", dedupe="first",
     ),
     "capgemini": Board(
-        "data array<struct<title:string,apply_job_url:string,location:string>>", "data", "j.title", "j.apply_job_url", "concat(j.location, ', Poland')",
+        "data array<struct<title:string,apply_job_url:string,location:string,description:string,description_stripped:string,contract_type:string>>", "data", "j.title", "j.apply_job_url",
+        "CASE WHEN coalesce(j.location, '') <> '' THEN concat(j.location, '; ', country) ELSE country END", "coalesce(nullif(j.description_stripped, ''), j.description)",
+        "coalesce(nullif(j.description_stripped, ''), j.description)", "j.contract_type", dedupe="first", where="coalesce(j.apply_job_url, '') <> ''",
     ),
     "phenom": Board(
-        "refineSearch struct<data:struct<jobs:array<struct<title:string,applyUrl:string,multi_location:array<string>,city:string,descriptionTeaser:string,ml_skills:array<string>>>>>",
-        "refineSearch.data.jobs", "j.title", "j.applyUrl", "coalesce(array_join(j.multi_location, '; '), j.city)", "concat_ws(' ', j.descriptionTeaser, array_join(j.ml_skills, ' '))",
+        "refineSearch struct<data:struct<jobs:array<struct<title:string,jobId:string,multi_location:array<string>,location:string,descriptionTeaser:string,ml_skills:array<string>>>>>",
+        "refineSearch.data.jobs", "j.title", "concat(key, '/job/', j.jobId)", "coalesce(array_join(filter(j.multi_location, x -> x <> ''), '; '), j.location)",
+        "concat_ws(' ', j.descriptionTeaser, array_join(j.ml_skills, ', '))",
     ),
     "nabory_api": Board(
-        "results array<struct<title:string,path:string,voivodeship:string,submissionDeadline:string>>", "results",
-        "j.title", "concat('https://example.com', j.path)", "concat(j.voivodeship, ', Polska')", mode="'office'", contract="'permanent'",
+        "content array<struct<jobPosition:string,fullPagePath:string,voivodeship:string,submissionDeadline:string,intro:string,employmentForm:string,subjectName:string>>", "content",
+        "j.jobPosition", "j.fullPagePath", "CASE WHEN near_intro THEN concat(city, ', Polska') WHEN coalesce(j.voivodeship, '') <> '' THEN concat(j.voivodeship, ', Polska') ELSE '' END",
+        "j.intro", "j.intro", "j.employmentForm", dedupe="first", where="coalesce(j.submissionDeadline, '9999') >= run_date AND coalesce(j.fullPagePath, '') <> ''",
+        company="j.subjectName", source="Budżetówka (gov.pl)", otherwise="Office", keywords=True,
+    ),
+    "workday": Board(
+        "jobPostings array<struct<title:string,externalPath:string,locationsText:string,remoteType:string>>", "jobPostings",
+        "j.title", "concat('https://', key, j.externalPath)", "j.locationsText", mode="j.remoteType", dedupe="first", where="coalesce(j.externalPath, '') <> ''",
+    ),
+    "traffit": Board(
+        "array<struct<url:string,advert:struct<name:string,values:array<struct<field_id:string,value:string>>>,options:struct<remote:string,jobType:string>>>", "",
+        "j.advert.name", "j.url", f"concat_ws(', ', nullif(get_json_object({_VALUE.format('geolocation')}, '$.locality'), ''), nullif(get_json_object({_VALUE.format('geolocation')}, '$.country'), ''))",
+        _VALUE.format("description"), f"concat_ws(' ', {_VALUE.format('remote')}, j.options.remote)", "j.options.jobType",
+    ),
+    "epam": Board(
+        "data struct<jobs:array<struct<name:string,seo:struct<url:string>,city:string,country:string,vacancy_type:string,description:string,text:string>>>", "data.jobs",
+        "j.name", "concat('https://careers.epam.com', coalesce(j.seo.url, ''))", f"array_join(array_distinct(concat({_NAMES.format('city')}, {_NAMES.format('country')})), '; ')",
+        "coalesce(nullif(j.description, ''), j.text)", "CASE WHEN lower(j.vacancy_type) LIKE '%remote%' THEN 'remote' WHEN lower(j.vacancy_type) LIKE '%hybrid%' THEN 'hybrid' ELSE '' END", dedupe="first",
     ),
 }
 
@@ -90,33 +131,80 @@ def register_adapter(source: str, adapter: Callable[[DataFrame], DataFrame]) ->
     _more[source] = adapter
 
 
-def _offer(rows: DataFrame, source: str) -> DataFrame:
+def offer_columns(rows: DataFrame, source: str, otherwise: str = "", confirmed: bool = True) -> DataFrame:
     """The common columns from title, url, location, description, mode, contract, salary as the source has them."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    description = html_text(text("description"))  # read whole; only the stored column is cut
+    read = rows.withColumn("_d", html_text(unescape(text("description"))))  # read whole; only the stored column is cut
     named = work_mode(text("mode"))
-    return rows.select(
-        F.col("company"), F.trim(text("title")).alias("title"), F.coalesce(F.nullif(F.trim(text("location")), F.lit("")), F.lit(NOT_GIVEN)).alias("location"),
-        F.when(named != NOT_GIVEN, named).otherwise(work_mode(F.concat_ws(" ", text("location"), text("title")))).alias("work_mode"),
-        F.when(text("contract") != "", contracts(text("contract"))).otherwise(contracts(description)).alias("contract_types"),
-        F.when(text("salary") != "", text("salary")).otherwise(extract_salary(description)).alias("salary"),
-        text("url").alias("url"), F.lit(f"Strona kariery ({source})").alias("source"), extract_skills(description).alias("skills"),
-        F.substring(description, 1, 8000).alias("description"), F.lit(True).alias("api_confirmed"),
+    mode = F.when(named != NOT_GIVEN, named).otherwise(F.lit(otherwise) if otherwise else work_mode(F.concat_ws(" ", text("location"), text("title"))))
+    own = contracts(text("contract"))
+    return read.select(
+        F.col("company"), F.trim(F.regexp_replace(text("title"), r"(?U)\s+", " ")).alias("title"), F.coalesce(F.nullif(F.trim(text("location")), F.lit("")), F.lit(NOT_GIVEN)).alias("location"),
+        mode.alias("work_mode"), F.when(F.size(own) > 0, own).otherwise(contracts(F.col("_d"))).alias("contract_types"),
+        F.when(text("salary") != "", text("salary")).otherwise(extract_salary(F.col("_d"))).alias("salary"),
+        text("url").alias("url"), F.lit(source).alias("source"), extract_skills(F.col("_d")).alias("skills"),
+        F.substring("_d", 1, 8000).alias("description"), F.lit(confirmed).alias("api_confirmed"),
     )
 
 
-def normalise(landing: DataFrame, source: str) -> DataFrame:
+def first_or_last(rows: DataFrame, which: str) -> DataFrame:
+    """One row of each url and company, by phrase_no, seq and place. A row number of one lets Spark trim groups before the shuffle."""
+    if not which:
+        return rows
+    order = [F.col(c).asc() if which == "first" else F.col(c).desc() for c in ("phrase_no", "seq", "place")]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("company", "url").orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def _with_details(rows: DataFrame, source: str, details: DataFrame, profile: Profile, keywords) -> DataFrame:
+    """What the pages of single postings add (details: company, path, body), for titles with a keyword."""
+    wanted = keyword_match(F.col("title"), list(keywords or profile.include))
+    if source == "workday":
+        kind = "jobPostingInfo struct<location:string,additionalLocations:array<string>,country:struct<descriptor:string>,remoteType:string,jobDescription:string>"
+        i = F.from_json("body", kind)["jobPostingInfo"]
+        cities = F.array_join(F.filter(F.concat(F.array(F.coalesce(i["location"], F.lit(""))), F.coalesce(i["additionalLocations"], F.array().cast("array<string>"))), lambda c: c != ""), "; ")
+        found = details.select(F.col("company").alias("_c"), F.col("path").alias("_p"), cities.alias("_cities"), F.coalesce(i["country"]["descriptor"], F.lit("")).alias("_country"), i["remoteType"].alias("_mode"), i["jobDescription"].alias("_text"))
+        both = rows.withColumn("_path", F.regexp_replace("url", r"^https://[^/]+/[^/]+", "")).join(found, wanted & (F.col("company") == F.col("_c")) & (F.col("_path") == F.col("_p")), "left")
+        place = F.coalesce(F.nullif("_cities", F.lit("")), F.col("location"), F.lit(""))
+        named = F.when(F.coalesce("_country", F.lit("")).isin("") | F.contains(place, F.coalesce("_country", F.lit(""))), place).when(place == "", F.col("_country")).otherwise(F.concat(place, F.lit(", "), F.col("_country")))
+        new = {"location": named, "mode": F.coalesce(F.nullif("_mode", F.lit("")), F.col("mode")), "description": F.coalesce("_text", "description")}
+    else:
+        texts = F.map_values(F.from_json("body", "struct<jobAd:struct<sections:map<string,struct<text:string>>>>")["jobAd"]["sections"])
+        found = details.select(F.col("company").alias("_c"), F.col("path").alias("_p"), F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("_text"))
+        both = rows.withColumn("_path", F.regexp_extract("url", r"([^/]*)$", 1)).join(found, wanted & (F.col("company") == F.col("_c")) & (F.col("_path") == F.col("_p")), "left")
+        new = {"description": F.coalesce("_text", "description")}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def _workday_mode(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.contains("partially") | low.contains("hybrid"), "hybrid").when(low.contains("remote"), "remote").when(low.contains("on-site") | low.contains("onsite"), "on-site").otherwise("")
+
+
+def normalise(landing: DataFrame, source: str, details: DataFrame | None = None, profile: Profile = Profile(), keywords=()) -> DataFrame:
     """Offers of one source; a body that is no JSON gives none."""
     own = landing.where(F.col("source") == source)
     if source in _more:
         return _more[source](own)
     b = BOARDS[source]
-    body = F.from_json("body", b.schema)
-    parsed = own.select("company", body.alias("_b"))
-    jobs = F.col(f"_b.{b.rows}") if b.rows and "[" not in b.rows else F.expr("get(_b.items, 0).requisitionList") if b.rows else F.col("_b")
-    each = parsed.select("company", F.explode(jobs).alias("j"))
-    fields = ("title", "url", "location", "description", "mode", "contract", "salary")
-    return _offer(each.select("company", *[F.expr(getattr(b, f)).alias(f) for f in fields]), source)
+    given = lambda c, default: F.coalesce(F.col(c), default) if c in landing.columns else default
+    parsed = own.select(
+        "company", given("key", F.lit("")).alias("key"), given("phrase_no", F.lit(0)).alias("phrase_no"), given("seq", F.lit(0)).alias("seq"),
+        given("run_date", F.lit("")).alias("run_date"), F.from_json("body", b.schema).alias("_b"),
+    )
+    jobs = F.expr(b.rows if "(" in b.rows else f"_b.{b.rows}" if b.rows else "_b")
+    each = parsed.select("company", "key", "phrase_no", "seq", "run_date", F.posexplode(jobs).alias("place", "j")).withColumn("country", F.lit(profile.country)).withColumn("city", F.lit(profile.city))
+    near = preferred_city(F.col("j.intro"), profile) if source == "nabory_api" else F.lit(False)
+    kept = each.where(F.expr(b.where)).withColumn("near_intro", near)
+    fields = ("company", "title", "url", "location", "description", "mode", "contract", "salary")
+    rows = kept.select(*[F.expr(getattr(b, f)).alias(f) for f in fields], "phrase_no", "seq", "place")
+    rows = first_or_last(rows, b.dedupe)
+    if details is not None:
+        rows = _with_details(rows, source, details.where(F.col("source") == source), profile, keywords)
+    if source == "workday":
+        rows = rows.withColumn("mode", _workday_mode(F.col("mode")))
+    if b.keywords:
+        rows = rows.where(keyword_match(F.col("title"), list(keywords or profile.include)))
+    return offer_columns(rows, b.source or f"Strona kariery ({source})", b.otherwise)
 
 
 def extract_cards(pages: DataFrame, rules: list[tuple[str, str, str]], card: str) -> DataFrame:
@@ -126,28 +214,3 @@ def extract_cards(pages: DataFrame, rules: list[tuple[str, str, str]], card: str
     for name, pattern, *_ in rules:
         by_field.setdefault(name, []).append(F.nullif(html_text(F.regexp_extract("_card", pattern, 1)), F.lit("")))
     return each.select("page_id", "place", *[F.coalesce(*cs, F.lit("")).alias(name) for name, cs in by_field.items()])
-
-
-def load_registry(spark, path: str) -> DataFrame:
-    """Companies of a registry file: name, careers_url, categories, priority (B if none), ats, enabled."""
-    raw = spark.read.schema("companies array<struct<name:string,careers_url:string,category:string,categories:array<string>,priority:string,enabled:boolean,ats:string>>").json(path, multiLine=True)
-    c = raw.select(F.explode("companies").alias("c")).select("c.*")
-    kind = "array<struct<url:string,type:string>>"
-    ats = (
-        F.when(F.col("ats").startswith("["), F.from_json("ats", kind))
-        .when(F.col("ats").startswith("{"), F.array(F.from_json("ats", "struct<url:string,type:string>")))
-        .when(F.col("ats").isNotNull(), F.array(F.struct(F.col("ats").alias("url"), F.lit(None).cast("string").alias("type"))))
-        .otherwise(F.array().cast(kind))
-    )
-    categories = F.coalesce("categories", F.when(F.col("category").isNotNull(), F.array("category")), F.array(F.lit("Other")))
-    return c.select("name", "careers_url", categories.alias("categories"), F.upper(F.coalesce("priority", F.lit("B"))).alias("priority"), ats.alias("ats"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
-
-
-def select_companies(registry: DataFrame, names=(), tiers=(), categories=()) -> DataFrame:
-    """Enabled companies by name if names are given, else by tier and category."""
-    on = registry.where("enabled")
-    if names:
-        return on.where(F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.contains(F.lower("name"), n)))
-    if tiers:
-        on = on.where(F.col("priority").isin(*tiers))
-    return on.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories)))) if categories else on

@@ -53,26 +53,58 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRACKER_SQL.replace("FROM events", "FROM {events}"), events=read(spark, sf_dir, "events"))
 
 
+#: How each JSON board shapes a job, and the list of jobs.
+JOBS = {
+    "greenhouse": "named_struct('title', title, 'absolute_url', url, 'location', named_struct('name', location), 'content', concat('<p>', title, '</p>'))",
+    "lever": "named_struct('text', title, 'hostedUrl', url, 'categories', named_struct('location', 'x', 'allLocations', array(location, 'Opole'), 'commitment', 'B2B'), 'workplaceType', 'hybrid', 'salaryRange', named_struct('min', l_orderkey, 'max', l_orderkey + 1, 'currency', 'PLN', 'interval', 'per-hour-wage'))",
+    "smartrecruiters": "named_struct('id', id, 'name', title, 'location', named_struct('city', location, 'remote', true))",
+    "workable": "named_struct('title', title, 'url', url, 'locations', array(named_struct('city', location)), 'telecommuting', true, 'employment_type', 'B2B')",
+    "recruitee": "named_struct('title', title, 'careers_url', url, 'city', location, 'country', cast(null AS string), 'description', cast(null AS string), 'requirements', concat('B2B ', l_partkey, ' PLN/h'), 'hybrid', true)",
+    "ashby": "named_struct('title', title, 'jobUrl', url, 'location', location, 'secondaryLocations', array(named_struct('location', 'Opole')), 'isRemote', false, 'workplaceType', 'OnSite', 'compensation', named_struct('compensationTierSummary', salary))",
+    "oracle_hcm": "named_struct('Id', id, 'Title', title, 'PrimaryLocation', location, 'secondaryLocations', array(named_struct('Name', location), named_struct('Name', 'Opole')), 'WorkplaceType', 'Hybrid work')",
+    "capgemini": "named_struct('title', title, 'apply_job_url', CASE WHEN l_partkey % 10 = 0 THEN '' ELSE url END, 'location', CASE WHEN l_partkey % 7 = 0 THEN cast(null AS string) ELSE location END, 'contract_type', 'permanent')",
+    "phenom": "named_struct('title', title, 'jobId', id, 'multi_location', array(location, 'Opole'))",
+    "nabory_api": "named_struct('jobPosition', title, 'fullPagePath', url, 'voivodeship', location, 'submissionDeadline', CASE WHEN l_partkey % 5 = 0 THEN '2024-01-01' WHEN l_partkey % 5 = 1 THEN cast(null AS string) ELSE '2024-03-01' END, 'intro', CASE WHEN l_partkey % 3 = 0 THEN 'Praca we Wrocławiu: Wroclaw' ELSE '' END, 'employmentForm', 'umowa o pracę', 'subjectName', company)",
+    "workday": "named_struct('title', title, 'externalPath', concat('/job/', id), 'locationsText', location, 'remoteType', 'Partially remote')",
+    "traffit": "named_struct('url', url, 'advert', named_struct('name', title, 'values', array(named_struct('field_id', 'geolocation', 'value', to_json(named_struct('locality', location, 'country', 'Polska'))), named_struct('field_id', 'description', 'value', 'SQL'))), 'options', named_struct('remote', 'hybrid', 'jobType', 'B2B'))",
+    "epam": "named_struct('name', title, 'seo', named_struct('url', concat('/job/', id)), 'city', array(named_struct('name', location), named_struct('name', location)), 'country', named_struct('name', 'Poland'), 'vacancy_type', 'Remote')",
+}
+BODIES = {
+    "greenhouse": "named_struct('jobs', jobs)", "lever": "jobs", "smartrecruiters": "named_struct('content', jobs)", "workable": "named_struct('jobs', jobs)", "recruitee": "named_struct('offers', jobs)",
+    "ashby": "named_struct('jobs', jobs)", "oracle_hcm": "named_struct('items', array(named_struct('requisitionList', jobs)))", "capgemini": "named_struct('data', jobs)",
+    "phenom": "named_struct('refineSearch', named_struct('data', named_struct('jobs', jobs)))", "nabory_api": "named_struct('content', jobs)", "workday": "named_struct('jobPostings', jobs)", "traffit": "jobs",
+    "epam": "named_struct('data', named_struct('jobs', jobs))",
+}
+KEYS = {"smartrecruiters": "acme", "oracle_hcm": "eg.oraclecloud.com/CX_1", "phenom": "https://careers.x.com/pl/en", "workday": "t.wd3.myworkdayjobs.com/Site"}
+
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = offers(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "company", "title", "url", "location", "salary")
+    return o.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
 def landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Offers wrapped in the shape of a board's response, one response for each company."""
-    o = offers(spark, sf_dir).select("company", "title", "url", "location", "salary")
-    job = {
-        "greenhouse": "named_struct('title', title, 'absolute_url', url, 'location', named_struct('name', location), 'content', concat('<p>', title, '</p>'))",
-        "lever": "named_struct('text', title, 'hostedUrl', url, 'categories', named_struct('location', location), 'workplaceType', 'hybrid')",
-        "smartrecruiters": "named_struct('id', url, 'name', title, 'location', named_struct('city', location, 'remote', true), 'ref', url)",
-        "workable": "named_struct('title', title, 'url', url, 'locations', array(named_struct('city', location)), 'telecommuting', true, 'employment_type', 'B2B')",
-        "recruitee": "named_struct('title', title, 'careers_url', url, 'city', location, 'hybrid', true)",
-        "ashby": "named_struct('title', title, 'jobUrl', url, 'location', location, 'isRemote', false, 'workplaceType', 'OnSite', 'compensation', named_struct('compensationTierSummary', salary))",
-        "oracle_hcm": "named_struct('Id', url, 'Title', title, 'PrimaryLocation', location)",
-        "capgemini": "named_struct('title', title, 'apply_job_url', url, 'location', location)",
-        "phenom": "named_struct('title', title, 'applyUrl', url, 'city', location)",
-        "nabory_api": "named_struct('title', title, 'path', url, 'voivodeship', location)",
-    }[source]
-    body = {
-        "greenhouse": "named_struct('jobs', jobs)", "lever": "jobs", "smartrecruiters": "named_struct('content', jobs)", "workable": "named_struct('jobs', jobs)",
-        "recruitee": "named_struct('offers', jobs)", "ashby": "named_struct('jobs', jobs)", "oracle_hcm": "named_struct('items', array(named_struct('requisitionList', jobs)))",
-        "capgemini": "named_struct('data', jobs)", "phenom": "named_struct('refineSearch', named_struct('data', named_struct('jobs', jobs)))", "nabory_api": "named_struct('results', jobs)",
-    }[source]
-    # a response holds up to about 50 offers of a company, as boards page them
-    paged = o.withColumn("page", F.pmod(F.xxhash64("url"), F.lit(64))).groupBy("company", "page").agg(F.expr(f"collect_list({job})").alias("jobs"))
-    return paged.select(F.lit(source).alias("source"), "company", F.expr(f"to_json({body})").alias("body"))
+    """Offers wrapped in the shape of a board's response, one response for up to about 50 offers of a company, as boards page them."""
+    paged = numbered(spark, sf_dir).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(64)).cast("int")).groupBy("company", "seq").agg(F.expr(f"collect_list({JOBS[source]})").alias("jobs"))
+    return paged.select(F.lit(source).alias("source"), "company", "seq", F.lit(KEYS.get(source, "")).alias("key"), F.lit("2024-02-01").alias("run_date"), F.expr(f"to_json({BODIES[source]})").alias("body"))
+
+
+#: How each list of cards shows an offer.
+CARD_HTML = {
+    "teamtailor": "concat('<item><title>', title, '</title><link>', url, '</link><remoteStatus>hybrid</remoteStatus><tt:locations><tt:location><tt:city>', location, '</tt:city><tt:country>Polska</tt:country></tt:location><tt:location><tt:city>Opole</tt:city></tt:location></tt:locations><description>&lt;p&gt;B2B ', l_partkey, ' PLN/h&lt;/p&gt;</description></item>')",
+    "successfactors": "concat('<tr><td><a class=\"jobTitle-link\" href=\"/job/', id, '\">', title, '</a></td><td><span class=\"jobLocation\">', location, '</span></td></tr>')",
+    "erecruiter": "concat('<tr offerid=\"', id, '\"><td class=\"skk_positionName\">', title, '</td><td>x</td><td>', location, '</td></tr>')",
+    "justjoinit": "concat('<article><a class=\"offer-card\" href=\"/job-offer/', id, '\"></a><a class=\"offer_list_offer_title_link\">', title, '</a><object><img alt=\"', company, '\"></object><p>', company, '</p><p>Hybrid</p><p>', location, '</p><span>B2B ', l_partkey, ' PLN / h</span><i>7d left</i></article>')",
+    "nofluffjobs": "concat('<a class=\"posting-list-item\" href=\"/pl/job/', id, '\"><h3>', title, ' NOWA</h3><h4 class=\"company-name\">', company, '</h4><span data-cy=\"salary ranges on the job offer listing\">', l_partkey, ' PLN / godz.</span><span data-cy=\"location on the job offer listing\">Hybrydowo, ', location, '</span></a>')",
+    "rocketjobs": "concat('<article><a class=\"offer-card\" href=\"https://rocketjobs.pl/oferta-pracy/', id, '\"></a><h3>', title, '</h3><div><svg class=\"lucide-building\"></svg></div><p>', company, '</p><div><svg class=\"lucide-map-pin\"></svg></div><p>', location, '</p><span>Zdalnie, umowa zlecenie, ', l_partkey, ' PLN/h</span></article>')",
+    "linkedin": "concat('<li><div class=\"job-search-card\"><a class=\"base-card__full-link\" href=\"https://pl.linkedin.com/jobs/view/x-at-y-', 1000000 + l_orderkey, l_linenumber, l_partkey, l_suppkey, '?trk=1\"></a><h3 class=\"base-search-card__title\">', title, '</h3><h4 class=\"base-search-card__subtitle\"><a>', company, '</a></h4><span class=\"job-search-card__location\">', location, '</span><time datetime=\"2024-01-05\"></time></div></li>')",
+}
+
+
+def card_landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Offers as cards of HTML pages (or items of a feed), one page for up to about 50 offers of a company."""
+    paged = numbered(spark, sf_dir).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(64)).cast("int")).groupBy("company", "seq").agg(F.array_join(F.expr(f"collect_list({CARD_HTML[source]})"), "").alias("b"))
+    body = F.concat(F.lit("cb("), F.to_json(F.struct(F.col("b").alias("htm"))), F.lit(");")) if source == "erecruiter" else F.concat(F.lit("<html><body>"), "b", F.lit("</body></html>"))
+    key = {"successfactors": "https://jobs.x.com", "erecruiter": "c0"}.get(source, "")
+    return paged.select(F.lit(source).alias("source"), "company", "seq", F.lit(key).alias("key"), F.lit(True).alias("remote_only"), body.alias("body"))
