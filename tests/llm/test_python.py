@@ -274,3 +274,16 @@ def test_tool_links_keep_null_ids(spark):
     got = K.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), {"add": {"properties": {"a": {"type": "integer"}}}}).collect()
     rows = collections.Counter((r["conv_id"], r["status"], r["position"], r["result_position"], r["step"], r["valid"], r["content"]) for r in got if r["call_id"] is None)
     assert rows == {(1, "open", 1, None, 1, True, None): 2, (2, "open", 0, None, 0, False, None): 1, (None, "open", 0, None, None, True, None): 1, (1, "orphan", None, 2, None, False, "r"): 1, (None, "orphan", None, 3, None, False, None): 1}
+
+
+def test_keep_one_with_text_ids_nulls_and_clashing_names(spark):
+    body = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [("z", body[0], "1", 7), ("b", body[0] + " tail", "2", 7), (None, body[0], "3", 7), ("c", body[1], "4", 7), ("c", body[1], "4", 7), (None, body[2], "5", 7), ("e", "", "6", 7), ("f", None, "7", 7), ("f", None, "7", 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __t string, s int")
+    got = J.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or "", r["__t"]) for r in got.collect()) == [("", "5"), ("b", "2"), ("c", "4"), ("e", "6"), ("f", "7"), ("f", "7")]
+    joined = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.join(docs, 5, 80).collect()}
+    assert joined["z", 56] == joined[None, 56] == "b" or joined["z", 56] == "b"
+    assert joined["e", 0] == "e" and joined["f", 0] == "f"
+    assert J.keep_one(docs.limit(0)).count() == 0
