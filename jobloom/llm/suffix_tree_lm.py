@@ -44,8 +44,10 @@ END = np.uint64(0x5EED00000000E0D1)
 GATHER = 1 << 21
 #: The most words, and contexts and next words of a depth, in the cache.
 CACHED = 1 << 20
-#: Logarithm of the bits of a bitmap.
-BITS = 28
+#: Bits of a bitmap for each key, and the logarithm of the most bits.
+BITS_A_KEY, BITS = 32, 28
+#: A class of counts that no row reaches: 16 times the logarithm of a 64-bit number is less.
+NOTHING = 1 << 11
 #: Tells keys of contexts from those of next words (which are contexts one longer), and both from words.
 _CONTEXT, _NEXT = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -83,17 +85,18 @@ def before(hashes: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - BITS)
+    slot = keys >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for the first bits of each ``key``: keys without one are not in the table."""
-    slot = F.shiftrightunsigned("key", 64 - BITS)
+    """A bit for the first bits of each ``key``: keys without one are not in the table. Its size goes with the table's, up to a bound."""
+    size = min(BITS, max(6, (BITS_A_KEY * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - size)
     word = F.shiftright(slot, 6).alias("at")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))")
     found = keys.select(word, bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -138,9 +141,32 @@ def _keyed(rows: DataFrame, a: str, b: str, name: str, tag: np.uint64 = np.uint6
     return rows.mapInArrow(run, schema)
 
 
+class Index:
+    """Finds keys in a sorted table of hashes by their first bits: a bucket holds about one of them. Made anew where it arrives, so it is never sent."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(1, len(hashes).bit_length())
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each x, -1 if it has none."""
+        bucket = (x >> self.shift).astype(np.int64)
+        at, end, out = self.start[bucket], self.start[bucket + 1], np.full(len(x), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            hit = self.hashes[place] == x[left]
+            out[left[hit]] = place[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 @dataclass
 class Level:
-    """Kept contexts of one depth. ``entries``: sorted context * width + word, with ``p``: the discounted share of each."""
+    """Kept contexts of one depth. ``entries``: context * width + word in the order of their hashes, with ``p``: the discounted share of each."""
 
     keys: np.ndarray  # sorted hashes
     kept: np.ndarray
@@ -148,13 +174,11 @@ class Level:
     entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     p: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def __post_init__(self):
+        self.contexts, self.places = Index(self.keys), Index(hashing.mix(self.entries.view(np.uint64)))
 
-def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each x in a sorted table, -1 if it has none."""
-    if not len(table):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, at, -1)
+    def __reduce__(self):
+        return Level, (self.keys, self.kept, self.rest, self.entries, self.p)
 
 
 @dataclass
@@ -164,13 +188,21 @@ class Tree:
     words: np.ndarray  # sorted hashes
     prior: np.ndarray  # probability of each by frequency alone
     levels: list[Level]
+    none: float = 0.0  # probability of a word that does not occur
+
+    def __post_init__(self):
+        self.places = Index(self.words)
+
+    def __reduce__(self):
+        return Tree, (self.words, self.prior, self.levels, self.none)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return find(self.words, hashes)
+        return self.places.find(hashes)
 
     def share(self, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each context and word among the entries, -1 if there is none."""
-        return np.where((context >= 0) & (word >= 0), find(level.entries, context * len(self.words) + word), -1)
+        code = hashing.mix((context * len(self.words) + word).view(np.uint64))
+        return np.where((context >= 0) & (word >= 0), level.places.find(code), -1)
 
     def log10(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Log-probability of each token by the cache alone; for words outside it, only the factor of their frequency's."""
@@ -178,7 +210,7 @@ class Tree:
         p = np.where(known, self.prior[np.maximum(ids, 0)], 1.0)
         hashes = np.where(known, self.words[np.maximum(ids, 0)], np.uint64(0))
         for (context, ok, _), level in zip(before(hashes, doc), self.levels, strict=True):
-            at = np.where(ok, find(level.keys, context), -1)
+            at = np.where(ok, level.contexts.find(context), -1)
             on = np.flatnonzero(at >= 0)
             where = self.share(level, at[on], ids[on])
             p[on] *= level.rest[at[on]]
@@ -188,7 +220,7 @@ class Tree:
 
 @dataclass
 class Model:
-    """Stored tables. ``counts``: key, n. For each depth, ``contexts``: ctx, occurs, rest of those kept; ``entries``: ctx, word, n, p, key under them."""
+    """Stored tables. ``counts``: key, n. For each depth, ``contexts``: ctx, occurs, rest of those kept; ``entries``: ctx, word, n, occurs, p, key under them."""
 
     counts: DataFrame
     total: int
@@ -221,7 +253,7 @@ def build(docs: DataFrame, text: str = "text") -> Model:
             return context[here], hashes[here], key[here]
 
         pairs = stored(_counted(docs, make, text, ["ctx", "word"]).where(F.col("n") >= JOINT_LEAST), "pairs")
-        shared.unpersist()
+        shared.destroy()
         release(spark)
         sums = pairs.groupBy("ctx").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
         facts = candidates.join(sums, "ctx").withColumn("rest", 1 - (F.col("explicit") - DISCOUNT * F.col("kinds")) / F.col("occurs")).drop("kinds")
@@ -253,7 +285,7 @@ def build(docs: DataFrame, text: str = "text") -> Model:
         kept = stored(kept.select("ctx", "occurs", "rest", "suffix"), "kept")
         needed = kept.select(F.col("suffix").alias("ctx")).distinct().withColumn("needed", F.lit(True))
         under = every[depth - 1].select("ctx", "word", "n").join(kept.select("ctx", "occurs"), "ctx")
-        under = under.select("ctx", "word", "n", ((F.col("n") - DISCOUNT) / F.col("occurs")).alias("p"))
+        under = under.select("ctx", "word", "n", "occurs", ((F.col("n") - DISCOUNT) / F.col("occurs")).alias("p"))
         model.contexts.insert(0, kept)
         model.entries.insert(0, stored(_keyed(under, "ctx", "word", "key", _NEXT), "next"))
         free(judged[depth - 1], every[depth - 1])
@@ -261,44 +293,128 @@ def build(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
-def hottest(table: DataFrame, n: str) -> Column:
-    """Which rows have one of the CACHED largest counts, by classes of counts."""
-    kind = F.floor(F.log2(n) * 16)
-    classes = sorted(((r[0], r[1]) for r in table.groupBy(kind.alias("c")).count().collect()), reverse=True)
-    least, size = None, 0
+def _size(n: str) -> Column:
+    """Classes of counts, sixteen to a doubling."""
+    return F.floor(F.log2(n) * 16)
+
+
+def hottest(table: DataFrame, n: str) -> int:
+    """The least class of counts such that no more than CACHED rows have it or a larger one; 0 if that is all rows."""
+    classes = sorted(((r[0], r[1]) for r in table.groupBy(_size(n).alias("c")).count().collect()), reverse=True)
+    least, size = NOTHING, 0
     for c, rows in classes:
         size += rows
         if size > CACHED:
-            break
+            return least
         least = c
-    return kind >= least if least is not None else F.lit(False)
+    return 0
 
 
-def cache(model: Model) -> Tree:
-    """The hottest part of the model."""
-    rows = model.counts.where(hottest(model.counts, "n")).toArrow()
+def cache(model: Model) -> tuple[Tree, DataFrame]:
+    """The hottest part of the model, and a table (key, found) of all that may not be in it: words with their frequency's probability,
+    contexts with the weight of their suffix, next words with their share."""
+    hot = hottest(model.counts, "n")
+    rows = model.counts.where(_size("n") >= hot).toArrow()
     words, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(words)
-    tree = Tree(words[order], (n[order] + PRIOR) / (model.total + PRIOR * (model.distinct + 1)), [])
+    tree = Tree(words[order], (n[order] + PRIOR) / (model.total + PRIOR * (model.distinct + 1)), [], PRIOR / (model.total + PRIOR * (model.distinct + 1)))
+    cold = model.counts.where(_size("n") < hot).select("key", model.prior(F.col("n")).alias("found"))
+    tag = F.lit(int(_CONTEXT.view(np.int64)))
     for contexts, entries in zip(model.contexts, model.entries, strict=True):
-        rows = contexts.where(hottest(contexts, "occurs")).select("ctx", "rest").toArrow()
+        least, own = hottest(contexts, "occurs"), hottest(entries, "n")
+        rows = contexts.where(_size("occurs") >= least).select("ctx", "rest").toArrow()
         keys = rows["ctx"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        level = Level(keys[order], np.ones(len(keys), bool), rows["rest"].to_numpy()[order])
-        rows = entries.where(hottest(entries, "n")).select("ctx", "word", "p").toArrow()
-        context, word = find(level.keys, rows["ctx"].to_numpy().view(np.uint64)), tree.ids(rows["word"].to_numpy().view(np.uint64))
-        on = (context >= 0) & (word >= 0)
-        code = context[on] * len(tree.words) + word[on]
-        order = np.argsort(code)
-        level.entries, level.p = code[order], rows["p"].to_numpy()[on][order]
-        tree.levels.append(level)
-    return tree
+        keys, rest = keys[order], rows["rest"].to_numpy()[order]
+        # a word occurs as often as it does after a context, or more: all words of these are in the cache
+        cached = (_size("n") >= max(own, hot)) & (_size("occurs") >= least)
+        rows = entries.where(cached).select("ctx", "word", "p").toArrow()
+        context, word = Index(keys).find(rows["ctx"].to_numpy().view(np.uint64)), tree.ids(rows["word"].to_numpy().view(np.uint64))
+        code = context * len(tree.words) + word
+        order = np.argsort(hashing.mix(code.view(np.uint64)))
+        tree.levels.append(Level(keys, np.ones(len(keys), bool), rest, code[order], rows["p"].to_numpy()[order]))
+        cold = cold.unionByName(contexts.where(_size("occurs") < least).select(F.col("ctx").bitwiseXOR(tag).alias("key"), F.col("rest").alias("found")))
+        cold = cold.unionByName(entries.where(~cached).select("key", F.col("p").alias("found")))
+    return tree, cold
 
 
 def learn(docs: DataFrame, text: str = "text") -> tuple[Tree, DataFrame, int, int]:
     """The cache of the tree, the table of all counts (key, n), and how many tokens and distinct tokens the training texts have."""
     model = build(docs, text)
-    return cache(model), model.counts, model.total, model.distinct
+    return cache(model)[0], model.counts, model.total, model.distinct
+
+
+def _listed(doc: np.ndarray, size: int, names: list[str], arrays: list) -> pa.ListArray:
+    """A list of structs for each of ``size`` texts, from rows in the order of their text."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=size))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a) for a in arrays], names))
+
+
+def _look_up(tree: Tree, bits: np.ndarray, texts: list) -> tuple:
+    """What the cache tells of some texts: count and known tokens by text, base and score of the tokens it settles, and what must be joined.
+
+    A token's probability is a + b * x where one part x is open (``one``); where several are, all its parts are listed (``many``)."""
+    hashes, doc, count = tokens(texts)
+    ids = tree.ids(hashes)
+    known = ids >= 0
+    prior = tree.prior[np.maximum(ids, 0)] if len(tree.prior) else np.ones(len(ids))
+    prior = np.where(known, prior, 0.0)
+    a, b, opened = prior.copy(), np.zeros(len(ids)), np.zeros(len(ids), np.int8)
+    slot, keys = np.zeros(len(ids), np.int8), np.zeros(len(ids), np.uint64)
+
+    def ask(on, s, key, add, times):
+        """Part s of these tokens is open: what is known so far becomes add + times * part."""
+        first = opened[on] == 0
+        opened[on] += 1
+        new = on[first]
+        slot[new], keys[new], a[new], b[new] = s, key[new], add[first], times[first]
+
+    unknown = np.flatnonzero(~known)
+    absent = unknown[~marked(bits, hashes[unknown])]
+    none = np.zeros(len(ids), bool)
+    none[absent] = True
+    a[absent] = prior[absent] = tree.none
+    unknown = unknown[~none[unknown]]
+    ask(unknown, 0, hashes, np.zeros(len(unknown)), np.ones(len(unknown)))
+    parts = [(unknown, hashes, prior, known | none)]
+    alive = np.ones(len(ids), bool)
+    for k, ((context, ok, key), level) in enumerate(zip(before(hashes, doc), tree.levels, strict=True), 1):
+        here = np.flatnonzero(ok & alive)  # the suffix of a kept context is kept
+        at = np.full(len(ids), -1)
+        at[here] = level.contexts.find(context[here])
+        context, key = context ^ _CONTEXT, key ^ _NEXT
+        on = np.flatnonzero(at >= 0)
+        asked = here[at[here] < 0]
+        asked = asked[marked(bits, context[asked])]
+        place = np.full(len(ids), -1)
+        place[on] = tree.share(level, at[on], ids[on])
+        own, rest = np.zeros(len(ids)), np.ones(len(ids))
+        found = np.flatnonzero(place >= 0)
+        own[found], rest[on] = level.p[place[found]], level.rest[at[on]]
+        a[on] = own[on] + rest[on] * a[on]
+        b[on] *= rest[on]
+        ask(asked, k, context, np.zeros(len(asked)), a[asked])
+        unsure = np.concatenate([on[place[on] < 0], asked])
+        unsure = unsure[marked(bits, key[unsure])]
+        ask(unsure, k + DEPTH, key, a[unsure], np.ones(len(unsure)))
+        alive = at >= 0
+        alive[asked] = True
+        parts += [(asked, context, rest, at >= 0), (unsure, key, own, place >= 0)]
+    settled, one, several = opened == 0, np.flatnonzero(opened == 1), opened > 1
+    add = lambda x, on: np.bincount(doc[on], x[on], len(texts))
+    base = np.log10(np.where(prior > 0, prior, 1.0))
+    score = add(np.log10(np.where(settled, a, 1.0)), settled)
+    lone = _listed(doc[one], len(texts), ["key", "slot", "a", "b"], [keys[one].view(np.int64), slot[one], a[one], b[one]])
+    rows = []
+    for n, (open_, key, value, have) in enumerate(parts):
+        s = (n + 1) // 2 + (DEPTH if n and n % 2 == 0 else 0)
+        open_, have = open_[several[open_]], np.flatnonzero(have & several)
+        rows.append((open_, np.full(len(open_), s, np.int8), key[open_].view(np.int64), np.zeros(len(open_)), np.ones(len(open_), bool)))
+        rows.append((have, np.full(len(have), s, np.int8), np.zeros(len(have), np.int64), value[have], np.zeros(len(have), bool)))
+    token, part, key, value, asks = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.argsort(doc[token], kind="stable")
+    many = _listed(doc[token[order]], len(texts), ["token", "slot", "key", "value", "asks"], [token[order], part[order], key[order], value[order], asks[order]])
+    return count.astype(np.int64), np.bincount(doc[known], minlength=len(texts)), add(base, settled | (slot > 0) & (opened == 1)), score, lone, many
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,80 +422,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     ship(spark)
     model = build(docs.where(~held_out(id_col)), text)
-    tag = F.lit(int(_CONTEXT.view(np.int64)))
-    facts = [c.select(F.col("ctx").bitwiseXOR(tag).alias("key"), F.col("rest").alias("found")) for c in model.contexts]
-    facts += [e.select("key", F.col("p").alias("found")) for e in model.entries]
-    table = model.counts.select("key", model.prior(F.col("n")).alias("found"))
-    there = None
-    for f in facts:
-        there = f if there is None else there.unionByName(f)
-    shared = spark.sparkContext.broadcast((cache(model), bitmap(there.select("key"))))
+    tree, cold = cache(model)
+    cold = stored(cold, "cold")
+    free(*model.contexts, *model.entries, model.counts)
+    shared = spark.sparkContext.broadcast((tree, bitmap(cold)))
 
     def run(batches):
-        t, bits = shared.value
+        tree, bits = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in hashing.chunks(texts):
-                hashes, doc, count = tokens(texts[i:j])
-                ids = t.ids(hashes)
-                known = ids >= 0
-                prior = t.prior[np.maximum(ids, 0)] if len(t.prior) else np.ones(len(ids))
-                p, parts = prior.copy(), [(0, ~known, hashes, known, prior)]
-                for k, ((context, ok, key), level) in enumerate(zip(before(hashes, doc), t.levels, strict=True), 1):
-                    at = np.where(ok, find(level.keys, context), -1)
-                    context, key = context ^ _CONTEXT, key ^ _NEXT
-                    cached = at >= 0
-                    asked = ok & ~cached & marked(bits, context)
-                    rest = level.rest[np.maximum(at, 0)] if len(level.rest) else np.ones(len(at))
-                    place = t.share(level, at, ids)
-                    own = np.where(place >= 0, level.p[np.maximum(place, 0)], 0.0) if len(level.p) else np.zeros(len(at))
-                    unsure = (cached | asked) & (place < 0) & marked(bits, key)
-                    parts += [(k, asked, context, cached, rest), (k + DEPTH, unsure, key, place >= 0, own)]
-                    p = np.where(cached, own + rest * p, p)
-                # tokens with a part that is neither in the cache nor surely nowhere are finished by a join
-                later = np.logical_or.reduce([q[1] for q in parts])
-                now = ~later
-                add = lambda x, on, d=doc, n=j - i: np.bincount(d[on], x[on], n)
-                where, slot, keys, values = [], [], [], []
-                for s, join, key, have, value in parts:
-                    for on, joined in ((np.flatnonzero(join), True), (np.flatnonzero(have & later), False)):
-                        where.append(on)
-                        slot.append(np.full(len(on), s, np.int8))
-                        keys.append(pa.array(key[on].view(np.int64)) if joined else pa.nulls(len(on), pa.int64()))
-                        values.append(pa.nulls(len(on), pa.float64()) if joined else pa.array(value[on]))
-                where, slot = np.concatenate(where), np.concatenate(slot)
-                order = np.argsort(doc[where], kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[where], minlength=j - i))]).astype(np.int32)
-                take = pa.array(order)
-                items = pa.StructArray.from_arrays(
-                    [pa.array(where[order]), pa.array(slot[order]), pa.concat_arrays(keys).take(take), pa.concat_arrays(values).take(take)], ["token", "slot", "key", "value"]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0)[i:j], b.column(2)[i:j], pa.array(count.astype(np.int64)), pa.array(np.bincount(doc[known], minlength=j - i)),
-                        pa.array(add(np.log10(prior), now)), pa.array(add(np.log10(p), now)), pa.ListArray.from_arrays(pa.array(offsets), items),
-                    ],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "score", "open"],
-                )
+                columns = _look_up(tree, bits, texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], *map(pa.array, columns[:4]), *columns[4:]], ["id", "held_out", "n_tokens", "n_known", "base", "score", "one", "many"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, open array<struct<token:bigint,slot:tinyint,key:bigint,value:double>>"
+    out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, one array<struct<key:bigint,slot:tinyint,a:double,b:double>>"
+    out += ", many array<struct<token:bigint,slot:tinyint,key:bigint,value:double,asks:boolean>>"
     made = docs.select(F.col(id_col), F.col(text), held_out(id_col)).mapInArrow(run, out)
     made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    items = made.select("row", F.inline("open"))
-    for f in facts:
-        table = table.unionByName(f)
-    asked = items.where("key is not null").join(table, "key", "left").select("row", "token", "slot", "found", (F.col("found").isNotNull() & (F.col("slot") == 0)).cast("long").alias("seen"))
-    had = items.where("key is null").select("row", "token", "slot", F.col("value").alias("found"), F.lit(0).cast("long").alias("seen"))
-    part = lambda s: F.max(F.when(F.col("slot") == s, F.col("found")))
-    parts = [part(s).alias(f"v{s}") for s in range(2 * DEPTH + 1)]
+    prior0, word = model.prior(F.lit(0)), F.col("slot") == 0
+    x = F.coalesce("found", F.when(word, prior0).when(F.col("slot") <= DEPTH, 1.0).otherwise(0.0))
+    one = made.select("row", F.inline("one")).join(cold, "key", "left").select("row", word.alias("word"), x.alias("x"), (F.col("a") + F.col("b") * x).alias("p"), F.col("found").isNotNull().alias("hit"))
+    seen = F.sum((F.col("word") & F.col("hit")).cast("long")).alias("seen")
+    one = one.groupBy("row").agg(F.sum(F.when(F.col("word"), F.log10("x")).otherwise(0.0)).alias("more_base"), F.sum(F.log10("p")).alias("more"), seen)
+    items = made.select("row", F.inline("many"))
+    asked = items.where("asks").join(cold, "key", "left").select("row", "token", "slot", "found", (F.col("found").isNotNull() & word).cast("long").alias("seen"))
+    had = items.where("not asks").select("row", "token", "slot", F.col("value").alias("found"), F.lit(0).cast("long").alias("seen"))
+    parts = [F.max(F.when(F.col("slot") == s, F.col("found"))).alias(f"v{s}") for s in range(2 * DEPTH + 1)]
     token = asked.unionByName(had).groupBy("row", "token").agg(F.sum("seen").alias("seen"), *parts)
-    prior = F.coalesce("v0", model.prior(F.lit(0)))
+    prior = F.coalesce("v0", prior0)
     p = prior
     for k in range(1, DEPTH + 1):
         p = F.when(F.col(f"v{k}").isNull(), p).otherwise(F.coalesce(f"v{k + DEPTH}", F.lit(0.0)) + F.col(f"v{k}") * p)
-    rest = token.groupBy("row").agg(F.sum(F.log10(prior)).alias("more_base"), F.sum(F.log10(p)).alias("more"), F.sum("seen").alias("seen"))
-    return made.drop("open").join(rest, "row", "left").select(
+    many = token.select("row", F.log10(prior).alias("more_base"), F.log10(p).alias("more"), "seen")
+    rest = one.unionByName(many).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more_base", "more", "seen")])
+    return made.drop("one", "many").join(rest, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
