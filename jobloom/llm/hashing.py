@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time; numpy needs about 40 times that.
 BLOCK = 1 << 20
@@ -94,6 +96,18 @@ def chunks(texts: list, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def slices(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """The same by bytes, for a column of texts that has not left Arrow yet."""
+    first = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if total and total + n > most:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(column):
+        yield first, len(column)
+
+
 class Words:
     """The words of some texts: ``hash`` of each, ``doc`` (which text) and ``at`` (place in its text) of each, ``count`` by text."""
 

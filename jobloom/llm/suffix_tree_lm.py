@@ -41,7 +41,7 @@ PRIOR = 0.1
 #: Stands for the end token among word hashes.
 END = np.uint64(0x5EED00000000E0D1)
 #: Words whose counts are summed before they leave Python.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: The most words, and contexts and next words of a depth, in the cache.
 CACHED = 1 << 20
 #: Bits of a bitmap for each key, and the logarithm of the most bits.
@@ -109,18 +109,18 @@ def _counted(docs: DataFrame, make, text: str, names: list[str]) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            _, first, c = np.unique(columns[-1], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*[pa.array(x[first].view(np.int64)) for x in columns[: len(names)]], pa.array(c)], [*names, "n"])
+            _, first, c = np.unique(np.concatenate([h[-1] for h in held]), return_index=True, return_counts=True)
+            columns = [np.concatenate([h[k] for h in held])[first] for k in range(len(names))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(c)], [*names, "n"])
 
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in hashing.chunks(texts):
-                held.append(make(*tokens(texts[i:j])))
+            for i, j in hashing.slices(b.column(0)):
+                held.append(make(*tokens(b.column(0)[i:j].to_pylist())))
                 size += len(held[-1][0])
                 if size >= GATHER:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
@@ -430,9 +430,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     def run(batches):
         tree, bits = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in hashing.chunks(texts):
-                columns = _look_up(tree, bits, texts[i:j])
+            for i, j in hashing.slices(b.column(1)):
+                columns = _look_up(tree, bits, b.column(1)[i:j].to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], *map(pa.array, columns[:4]), *columns[4:]], ["id", "held_out", "n_tokens", "n_known", "base", "score", "one", "many"])
 
     kind = docs.schema[id_col].dataType.simpleString()
