@@ -12,7 +12,8 @@ broadcast as a cache; what a text needs beyond that is joined. A bitmap of fixed
 what it cannot tell is joined as well, so it changes no result.
 
 Edge cases: a null text is one end token; a null id counts as an empty string when the fold is drawn; rows
-and ids may repeat and each row is scored; other columns are not carried. Words and contexts are told apart by
+and ids may repeat and each row is scored; other columns are not carried. An empty table gives no rows; a very
+long text is a block by itself. Words and contexts are told apart by
 64-bit hashes.
 """
 

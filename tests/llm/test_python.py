@@ -287,3 +287,7 @@ def test_keep_one_with_text_ids_nulls_and_clashing_names(spark):
     assert joined["z", 56] == joined[None, 56] == "b" or joined["z", 56] == "b"
     assert joined["e", 0] == "e" and joined["f", 0] == "f"
     assert J.keep_one(docs.limit(0)).count() == 0
+
+
+def test_suffix_tree_of_an_empty_table(spark):
+    assert L.score(spark.createDataFrame([], SCHEMA)).collect() == []
