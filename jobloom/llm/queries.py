@@ -6,6 +6,7 @@ from . import (
     decontamination,
     jaccard_join,
     piece_codec,
+    prefix_trie,
     quality_rules,
     secret_scans,
     sharding,
@@ -37,6 +38,7 @@ def queries() -> dict:
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
+        "op13_prefix_trie": prefix_trie.query,
     }
     return {name: _shipped(q) for name, q in found.items()}
 
@@ -48,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
         "op9_secret_scans": secret_scans.sql("documents"),
+        "op13_prefix_trie": prefix_trie.SQL.format(conversations="conversations"),
     }
