@@ -14,6 +14,7 @@ from . import (
     suffix_tree_lm,
     token_counts,
     tool_links,
+    url_filter,
 )
 from .common import ship
 
@@ -38,6 +39,7 @@ def queries() -> dict:
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
+        "op12_url_filter": url_filter.query,
         "op13_prefix_trie": prefix_trie.query,
     }
     return {name: _shipped(q) for name, q in found.items()}

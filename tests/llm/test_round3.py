@@ -2,10 +2,15 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
+import pytest
+
 from jobloom.llm import prefix_trie as P
+from jobloom.llm import url_filter as U
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -93,3 +98,96 @@ def test_range_min_extents():
                 high += 1
             assert (low, high) == (a, b)
             assert index.over(np.array([a]), np.array([b]))[0] == v[a : b + 1].min()
+
+
+PAGES = "page_id long, url string"
+
+
+def url_by_hand(url, rules=U.RULES):
+    """(host, path, rule, verdict, text) of a URL."""
+    if url is None or "://" not in url:
+        return "", "", None, None, url or ""
+    rest = url.split("://", 1)[1]
+    host, after = re.fullmatch(r"([^/?#]*)(.*)", rest, re.S).groups()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    path = re.match(r"[^?#]*", after)[0]
+    fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    _, r, v = max(fits) if fits else (0, None, None)
+    return host, path, r, v, host + after
+
+
+def likelihood(texts, text):
+    """log10 probability of text under a model of texts, by plain counting."""
+    pad = lambda t: [None] * U.ORDER + list(t) + ["end"]
+    seen = collections.defaultdict(collections.Counter)
+    for t in map(pad, texts):
+        for i in range(U.ORDER, len(t)):
+            for o in range(U.ORDER + 1):
+                seen[tuple(t[i - o : i])][t[i]] += 1
+    total, t = 0.0, pad(text)
+    for i in range(U.ORDER, len(t)):
+        p = 1 / U.SYMBOLS
+        for o in range(U.ORDER + 1):
+            c = seen.get(tuple(t[i - o : i]), {})
+            n = sum(c.values())
+            if n >= U.LEAST:
+                p = (c.get(t[i], 0) + len(c) * p) / (n + len(c))
+        total += math.log10(p)
+    return total
+
+
+def urls(seed, n=400):
+    rng = random.Random(seed)
+    host = lambda: "".join(rng.choice("abcst") for _ in range(4))
+    return [f"http{rng.choice(['', 's'])}://{host()}.{rng.choice(['Example.org', 'example.com', 'b.net'])}/{rng.choice(['de', 'fr', 'es', 'en'])}/{rng.randint(1, 300)}{rng.choice(['', '/', '?a=1', '#x'])}" for _ in range(n)]
+
+
+ODD = [None, "", "org/es/", "x", "http://", "https://ORG", "https://org/", "a://b://org/x", "http://notorg/fr/", "http://eXample.org/es/?u=http://com/de/", "http://a.com/de", "http://a.com/fr/\n?x",
+       "http://é.com/de/ü#", "http://example.org/en/1/" + "é" * 40_000, "http://x.net/de/" + "b" * 40_000, "HTTP://a.org?/es/"]
+
+
+def test_url_rules_and_scores(spark):
+    rows = [*enumerate(ODD + urls(3)), (None, "http://a.net/de/1"), (5, "https://ORG")]
+    pages = spark.createDataFrame([(*r, "own") for r in rows], f"{PAGES}, verdict string").repartition(3)
+    got = collections.Counter(tuple(r)[:5] for r in U.parsed(pages).select("id", "host", "path", "rule", "verdict").collect())
+    assert got == collections.Counter((i, *url_by_hand(u)[:4]) for i, u in rows)
+    judged = U.judge(pages).collect()
+    assert len(judged) == len(rows)
+    for r in judged:
+        v = url_by_hand(dict(rows)[r["page_id"]] if r["page_id"] is not None else "http://a.net/de/1")[3]
+        assert r["verdict"] in ("allow", "block") and (v is None or r["verdict"] == v) and r["score"] is not None
+    by_id = {r["page_id"]: r["verdict"] for r in judged}
+    nets = [(by_id[i], u) for i, u in rows if u and i is not None and "b.net" in u]
+    assert sum(v == "block" for v, u in nets if "/es/" in u) > 0.9 * sum("/es/" in u for _, u in nets)
+    assert sum(v == "allow" for v, u in nets if "/fr/" in u) > 0.9 * sum("/fr/" in u for _, u in nets)
+
+
+def test_url_model(spark):
+    """Scores equal those of plain counting; the threshold is the best cut."""
+    train = [(url_by_hand(u)[3], url_by_hand(u)[4]) for u in urls(4, 120)]
+    train = [(v, t) for v, t in train if v] + [("allow", ""), ("block", "")]
+    models = U.fit(spark.createDataFrame(train, "verdict string, text string").repartition(3))
+    texts = [url_by_hand(u)[4] for u in urls(5, 20)] + ["", "ü\U0001f600"]
+    made = {r["text"]: r["score"] for r in U.scored(spark.createDataFrame([(t,) for t in texts], "text string"), models).collect()}
+    for t in texts:
+        a, b = (likelihood([x for v, x in train if v == k], t) for k in ("allow", "block"))
+        assert made[t] == pytest.approx((a - b) / (len(t) + 1), abs=1e-9)
+    assert U.threshold([("allow", 1.0), ("allow", -0.5), ("block", -1.0), ("block", -2.0)]) == -0.5
+    assert U.threshold([("allow", 1.0)]) == 0.0
+
+
+def test_url_filter_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.org/")], PAGES)
+    assert sorted(map(tuple, U.judge(pages).collect())) == [(1, "a.net", "/x", None, "allow", None), (2, "a.org", "/", "org/", "allow", None)]
+    assert U.judge(pages.limit(0)).count() == 0
+
+
+def test_url_filter_held_out(spark):
+    """Accuracy on labelled URLs that neither the models nor the threshold have seen."""
+    rows = sorted({(v, t) for *_, v, t in map(url_by_hand, urls(6, 5000)) if v})
+    random.Random(1).shuffle(rows)
+    models = U.fit(spark.createDataFrame(rows[:1200], "verdict string, text string"))
+    score = lambda part: [(r["verdict"], r["score"]) for r in U.scored(spark.createDataFrame(part, "verdict string, text string"), models).collect()]
+    cut = U.threshold(score(rows[1200:1400]))
+    new = score(rows[1400:])
+    assert len(new) > 300 and sum((s >= cut) == (v == "allow") for v, s in new) > 0.93 * len(new)
