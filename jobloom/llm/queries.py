@@ -10,6 +10,7 @@ from . import (
     quality_rules,
     secret_scans,
     sharding,
+    spelling_variants,
     substring_dedup,
     suffix_tree_lm,
     token_counts,
@@ -39,6 +40,7 @@ def queries() -> dict:
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
         "op9_secret_scans": secret_scans.query,
+        "op11_spelling_variants": spelling_variants.query,
         "op12_url_filter": url_filter.query,
         "op13_prefix_trie": prefix_trie.query,
     }
@@ -52,5 +54,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
         "op9_secret_scans": secret_scans.sql("documents"),
+        "op11_spelling_variants": spelling_variants.SQL.format(docs="documents"),
         "op13_prefix_trie": prefix_trie.SQL.format(conversations="conversations"),
     }

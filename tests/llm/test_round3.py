@@ -10,6 +10,7 @@ import zlib
 import pytest
 
 from jobloom.llm import prefix_trie as P
+from jobloom.llm import spelling_variants as V
 from jobloom.llm import url_filter as U
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -191,3 +192,67 @@ def test_url_filter_held_out(spark):
     cut = U.threshold(score(rows[1200:1400]))
     new = score(rows[1400:])
     assert len(new) > 300 and sum((s >= cut) == (v == "allow") for v, s in new) > 0.93 * len(new)
+
+
+def variants_by_hand(counts):
+    """word to (form, root, n, n_near, form_n)."""
+    def near(w):
+        letters = set("".join(counts))
+        cut = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        put = {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        swap = {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        return [x for x in cut | put | swap if x in counts and x != w]
+
+    forms, kinds = {}, {w: near(w) for w in counts}
+    for w, xs in kinds.items():
+        best = min(xs, key=lambda x: (-counts[x], x), default=None)
+        forms[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+    out = {}
+    for w, f in forms.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = (f, root, counts[w], len(kinds[w]), counts[f] if f else None)
+    return out
+
+
+def vocabulary_cases(seed):
+    rng = random.Random(seed)
+    out = {}
+    for _ in range(700):
+        w = "".join(rng.choice("ab" if rng.random() < 0.8 else "abcé×") for _ in range(rng.randint(5, 10)))
+        out[w] = rng.choice([3, 4, 5, 6, 8, 12, 24, 50, 100])
+    for c in ("abcdefgh", "aaaaaaaaaaaaaaa"):  # one front half that many words share, and chains
+        for i in range(60):
+            out[c + "".join(rng.choice("xyz") for _ in range(5))] = 3 << i % 8
+    long = "".join(rng.choice("abc") for _ in range(3000))
+    return out | {long: 3, long[:1000] + "z" + long[1000:]: 7, long[:-1]: 20, long[:-2] + "qq": 9}
+
+
+@pytest.mark.parametrize("hot", [3, 40, 20_000])
+def test_spelling_variants(spark, hot):
+    counts = vocabulary_cases(hot)
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    want = variants_by_hand(counts)
+    for shard in (60, 40_000):
+        got = V.variants(words, shard, hot).collect()
+        assert {r["word"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+
+
+def test_words_of_variants(spark):
+    rng = random.Random(9)
+    texts = [None, "", "É×÷ÀZ Étage étage", "x" * 50_000 + " naïveté"]
+    texts += [" ".join(rng.choice(["Hello", "world", "naïve", "naïveté", "abcd", "ABCDE", "İstanbul", "straße1straße"]) for _ in range(rng.randint(0, 300))) for _ in range(40)]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(12, texts[12])]
+    seen = collections.Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            w = "".join(c.lower() if c < "\x80" else c for c in w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            seen[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, word string")
+    want = {w: n for w, n in seen.items() if len(w) >= 5 and n >= 3}
+    got = {r["word"]: r["n"] for r in V.vocabulary(V.runs(docs)).collect()}
+    assert got == want
+    assert {r["word"]: tuple(r)[1:] for r in V.variants(V.vocabulary(V.runs(docs))).collect()} == variants_by_hand(want)
+    assert V.variants(V.vocabulary(V.runs(docs.limit(0)))).count() == 0
