@@ -6,8 +6,9 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, salary_numbers, work_mode
 from jobloom.functions.language import foreign_languages, work_profile
@@ -116,19 +117,15 @@ def board_relevant(offers: DataFrame, profile: Profile, keywords=()) -> DataFram
 
 def dedupe_best(offers: DataFrame, profile: Profile, order: Order) -> DataFrame:
     """One offer for each company and title: the richest, the earlier of equals, with ``first_seq``: the order columns of the first of its
-    group, whose place it takes. Only a row a task and key reaches the shuffle (WindowGroupLimit), and no description does: it is
-    fetched for the winners by the order columns, which tell rows apart."""
-    key = ["core", "norm_title"]
+    group, whose place it takes. One grouping gives both, and sends a row a task and key at most to its shuffle. Order columns may be null (first)
+    or shared: what they leave open goes by the other columns, so that the whole row of one offer stands, whatever the partitions."""
     keyed = offers.withColumn("core", company_core(F.col("company"))).withColumn("norm_title", normalize_title(F.col("title")))
-    slim = keyed.drop("description")
     rich = [allowed_location(profile).cast("int"), (F.coalesce("salary", F.lit("")) != "").cast("int"), F.size("skills"), F.size("contract_types"), (F.col("source") != "LinkedIn").cast("int")]
-    by = Window.partitionBy(*key).orderBy(*[r.desc() for r in rich], *order.asc())
-    best = slim.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
-    first = slim.groupBy(*key).agg(F.min(F.struct(*order.columns)).alias("first_seq"))
-    made = best.join(first, key)
-    if "description" in offers.columns:
-        made = made.join(offers.select(*order.columns, "description"), [*order.columns], "left")
-    return made
+    rest = [F.xxhash64(c) if c == "description" else F.col(c) for c in offers.columns if c not in order.columns and not isinstance(offers.schema[c].dataType, (T.MapType, T.VariantType))]
+    rank = F.struct(*[(-F.coalesce(r, F.lit(-1))).alias(f"r{i}") for i, r in enumerate(rich)], *order.columns, *[c.alias(f"c{i}") for i, c in enumerate(rest)])
+    best = F.min_by(F.struct(*offers.columns), rank).alias("_best")
+    made = keyed.groupBy("core", "norm_title").agg(best, F.min(F.struct(*order.columns)).alias("first_seq"))
+    return made.select("core", "norm_title", "_best.*", "first_seq")
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:

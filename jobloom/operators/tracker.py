@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from jobloom.operators import store
 
 # Statuses in the order of the report; those done; the names of yes and no.
 STATUSES = ("Nowa", "Obejrzana", "CV wysłane", "Rozmowa", "Odrzucona", "Nie interesuje mnie", "Błędnie dopasowana")
@@ -148,75 +154,95 @@ def seed_if_empty(lists: DataFrame, backup: DataFrame) -> DataFrame:
     return lists.unionByName(backup.join(lists.select("list_name").distinct(), "list_name", "left_anti"))
 
 
-POINTER = "current.txt"
-
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the current version, 0 if there is none."""
+    return store.latest(spark, path).version
 
 
-def version(spark: SparkSession, path: str) -> int:
-    """The number of the current snapshot, 0 if there is none."""
-    at, files = _files(spark, f"{path}/{POINTER}")
-    return int(spark.read.text(f"{path}/{POINTER}").first()[0]) if files.exists(at) else 0
+def read_lists(spark: SparkSession, path: str, commit: store.Commit) -> DataFrame | None:
+    """Rows of all lists of a version with their list_name, None if it has none. Each list is a folder of its own: a filter on list_name reads its folder only."""
+    parts = [scan(spark.read.parquet(f"{path}/{folder}")).withColumn("list_name", F.lit(name)) for name, folder in sorted(commit.lists.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of the current snapshot, None if there is none."""
-    v = version(spark, path)
-    return scan(spark.read.parquet(f"{path}/v={v}")) if v else None
+    """Rows of the current version, None if there is none."""
+    return read_lists(spark, path, store.latest(spark, path))
 
 
 def write(rows: DataFrame, path: str, version: int) -> str:
-    """A new snapshot beside the old ones, by list; the caller flips to the path returned."""
+    """A snapshot of all lists in a folder of its own, which must not be there yet: its path."""
     to = f"{path}/v={version}"
-    rows.write.mode("overwrite").partitionBy("list_name").parquet(to)
+    rows.write.partitionBy("list_name").parquet(to)
     return to
 
 
+def _written(rows: DataFrame, path: str, base: store.Commit) -> str:
+    """rows in a new data folder for the version after base; no version names it yet."""
+    folder = f"v={base.version + 1}/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    return folder
+
+
 def write_list(rows: DataFrame, path: str, list_name: str) -> int:
-    """A new snapshot in which one list is replaced by rows and the others are as before; readers see it once its pointer is flipped."""
+    """The next version, in which one list is replaced by rows and the others are as they are when it is published."""
     spark = rows.sparkSession
-    v = version(spark, path)
-    named = rows.withColumn("list_name", F.lit(list_name))
-    if v:
-        named = spark.read.parquet(f"{path}/v={v}").where(F.col("list_name") != list_name).unionByName(named, allowMissingColumns=True)
-    write(named, path, v + 1)
-    flip(spark, path, v + 1)
-    return v + 1
-
-
-def flip(spark: SparkSession, path: str, v: int) -> None:
-    """Names the current snapshot: written beside and moved into place, so that no reader sees half of it."""
-    beside, files = _files(spark, f"{path}/{POINTER}.{v}")
-    out = files.create(beside, True)
-    out.write(bytearray(str(v).encode()))
-    out.close()
-    to, _ = _files(spark, f"{path}/{POINTER}")
-    if files.exists(to):
-        files.delete(to, False)
-    files.rename(beside, to)
-
-
-def update(spark: SparkSession, path: str, backup: str, list_name: str, current: DataFrame, run_date: str, seq: list[str], **more) -> tuple[DataFrame | None, list[str]]:
-    """Merges a run into a list of the stored tracker and writes it: (the new rows, problems). A tracker that cannot be read is never written: the run
-    goes to the backup folder alone, and a problem says so."""
+    folder = _written(rows.drop("list_name"), path, store.latest(spark, path))
+    while True:
+        done = store.publish(spark, path, store.latest(spark, path), {list_name: folder})
+        if done is not None:
+            return done.version
+
+
+#: How often a run begins again because another writer was faster.
+ATTEMPTS = 10
+
+
+def _readable(rows: DataFrame) -> Exception | None:
+    """What reading all of rows fails with. Footers alone do not tell: every page is read."""
     try:
-        stored = read_current(spark, path)
-        if stored is not None:
-            stored.limit(1).count()
+        rows.write.format("noop").mode("overwrite").save()
     except Exception as error:
-        current.withColumn("list_name", F.lit(list_name)).write.mode("overwrite").parquet(f"{backup}/{list_name}")
-        return None, [f"{list_name}: the tracker could not be read ({type(error).__name__}) and was left as it is; the run is in the backup"]
-    if stored is None:
-        blank = current.where("false")
-        stored = blank.select("*", *[F.lit("").alias(c) for c in ("status", "first_seen", "last_seen", "active")], F.lit(list_name).alias("list_name"))
-    previous = stored.where(F.col("list_name") == list_name).drop("list_name")
-    rows, new = merge(previous, current, run_date, seq, shared=other_statuses(stored, list_name, seq), **more)
-    write_list(rows, path, list_name)
-    return new, []
+        return error
+    return None
+
+
+def _laid_out(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """previous in the columns of current and the four of the tracker: what it lacks is empty, what is unknown goes."""
+    own = ("status", "first_seen", "last_seen", "active")
+    kinds = {f.name: f.dataType for f in current.schema} | dict.fromkeys(own, T.StringType())
+    empty = lambda kind: F.lit("" if isinstance(kind, T.StringType) else None).cast(kind)
+    return previous.select(*[F.col(c) if c in previous.columns else empty(k).alias(c) for c, k in kinds.items()])
+
+
+def update(
+    spark: SparkSession, path: str, backup: str, list_name: str, current: DataFrame, run_date: str, seq: list[str], batch: tuple[str, int] | None = None, **more
+) -> tuple[DataFrame | None, list[str]]:
+    """Merges a run into a list of the stored tracker and commits it: (the new rows, problems). A tracker that cannot be read is never written: the run
+    goes to the backup folder alone, and a problem says so. batch names a stream and its batch: one that a version holds already changes nothing
+    and has no new rows. If another writer commits in between, the run is merged again into what that one wrote."""
+    for _ in range(ATTEMPTS):
+        before, rows = None, None
+        try:
+            base = store.latest(spark, path)
+            if batch is not None and base.batches.get(batch[0], -1) >= batch[1]:
+                return current.where("false"), []
+            before = read_lists(spark, path, base)
+            if before is None:
+                before = _laid_out(current.where("false"), current).withColumn("list_name", F.lit(list_name))
+            previous = _laid_out(before.where(F.col("list_name") == list_name), current)
+            merged, new = merge(previous, current, run_date, seq, shared=other_statuses(before, list_name, seq), **more)
+            rows = _written(merged, path, base)
+        except Exception as error:
+            cause = error if before is None else _readable(before)
+            if cause is None:  # the tracker is sound, the run is not
+                raise
+            current.write.parquet(f"{backup}/{list_name}/run_date={run_date}/run={uuid.uuid4().hex}")
+            return None, [f"{list_name}: the tracker could not be read ({type(cause).__name__}) and was left as it is; the run is in the backup"]
+        if store.publish(spark, path, base, {list_name: rows}, dict([batch]) if batch else None) is not None:
+            return new, []
+        store.remove(spark, f"{path}/{rows}")
+    raise RuntimeError(f"{list_name}: other writers were faster {ATTEMPTS} times")
 
 
 def digest(lists: DataFrame, problems: DataFrame, new_rows: DataFrame) -> DataFrame:
