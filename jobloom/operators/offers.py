@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, salary_numbers, work_mode
-from jobloom.functions.language import foreign_languages, work_profile
-from jobloom.functions.text import company_core, fold_literal, fold_text, keyword_match, let, normalize_title, once, spaced, spaced_match
+from jobloom.functions.language import foreign_languages, title_asks, work_profile
+from jobloom.functions.text import company_core, fold_literal, fold_text, keyword_match, let, normalize_title, once, spaced, spaced_match, with_once
 
 
 @dataclass(frozen=True)
@@ -146,10 +146,20 @@ def phrase_cap(rows: DataFrame, cap: int, order: Order) -> DataFrame:
     return url_dedupe(capped.drop("_n"), Order(("phrase_no", *order.columns)))
 
 
+# What the report says of a salary.
+NO_SALARY, FOREIGN = "Brak widełek — pokaż ofertę", "Widełki w walucie obcej — do indywidualnej oceny"
+UNREADABLE, UNKNOWN_KIND = "Nie udało się odczytać widełek — pokaż ofertę", "Nieznany typ umowy — pokaż ofertę"
+
+
+def _grouped(n: Column) -> Column:
+    """A whole number, half to even, with a space before each group of thousands."""
+    return F.translate(F.format_number(F.bround(n), 0), ",", " ")
+
+
 def assess_salary(offers: DataFrame, profile: Profile) -> DataFrame:
-    """salary_ok and salary_class: none, foreign, unreadable, b2b_ok, b2b_consider, b2b_low, uop_ok, uop_low, unknown."""
-    low = F.lower(F.coalesce("salary", F.lit("")))
-    numbers = salary_numbers(F.col("salary"))
+    """salary_ok, salary_class (none, foreign, unreadable, b2b_ok, b2b_consider, b2b_low, uop_ok, uop_low, unknown) and salary_assessment, the class in words with its rate."""
+    offers = with_once(offers, _numbers=salary_numbers(F.col("salary")))
+    low, numbers = F.lower(F.coalesce("salary", F.lit(""))), F.col("_numbers")
     top, kinds = F.array_max(numbers), F.col("contract_types")
     hourly = low.contains("/h") | low.contains("/hour") | low.contains("/day")
     value = F.when(low.contains("/year"), top / 12).otherwise(top)
@@ -166,14 +176,29 @@ def assess_salary(offers: DataFrame, profile: Profile) -> DataFrame:
         .when(b2b & (rate >= profile.preferred_b2b), "b2b_ok").when(b2b & (rate >= profile.min_b2b), "b2b_consider").when(b2b & ~uop, "b2b_low")
         .when(uop & (value >= profile.min_employment), "uop_ok").when(uop, "uop_low").otherwise("unknown")
     )
-    out = offers.withColumn("salary_class", kind)
-    ok = F.when(F.col("salary_class") == "none", F.lit(profile.without_salary)).otherwise(~F.col("salary_class").isin("b2b_low", "uop_low"))
-    return out.withColumn("salary_ok", ok)
+    out = offers.withColumn("salary_class", kind).withColumn("_rate", rate).withColumn("_value", value)
+    is_ = lambda c: F.col("salary_class") == c
+    ok = F.when(is_("none"), F.lit(profile.without_salary)).otherwise(~F.col("salary_class").isin("b2b_low", "uop_low"))
+    hour = F.concat(F.bround("_rate").cast("long").cast("string"), F.lit(" zł/h)"))
+    thousands = lambda n: f"{n:,.0f}".replace(",", " ")
+    label = (
+        F.when(is_("none"), NO_SALARY).when(is_("foreign"), FOREIGN).when(is_("unreadable"), UNREADABLE)
+        .when(is_("b2b_ok"), F.concat(F.lit("B2B ok (ok. "), hour)).when(is_("b2b_consider"), F.concat(F.lit("B2B do rozważenia (ok. "), hour))
+        .when(is_("b2b_low"), f"B2B poniżej {profile.min_b2b} zł/h").when(is_("uop_ok"), F.concat(F.lit("UoP ok (do "), _grouped(F.col("_value")), F.lit(" zł brutto)")))
+        .when(is_("uop_low"), f"UoP poniżej {thousands(profile.min_employment)} zł brutto").otherwise(UNKNOWN_KIND)
+    )
+    return out.withColumn("salary_ok", ok).withColumn("salary_assessment", label).drop("_rate", "_value", "_numbers")
 
 
 def _ready(offers: DataFrame, profile: Profile) -> DataFrame:
     """_title (folded and padded) and _near, made once a row for all rules."""
-    return once(offers.select("*", spaced(F.col("title")).alias("_title"), preferred_city(F.col("location"), profile).alias("_near")))
+    return with_once(offers, _title=spaced(F.col("title")), _near=preferred_city(F.col("location"), profile))
+
+
+#: Fixed value: the reason that a title about manual work gives.
+MANUAL_REASON = "testy manualne"
+#: Stands between joined texts.
+_MARK = "\x00"
 
 
 def _scored(offers: DataFrame, profile: Profile, extra=()) -> DataFrame:
@@ -181,15 +206,18 @@ def _scored(offers: DataFrame, profile: Profile, extra=()) -> DataFrame:
     near = ~remote & F.col("_near")
     manual = spaced_match(title, profile.manual)
     total = F.when(manual, 6).otherwise(0) + F.when(spaced_match(title, [*profile.general, *(extra or profile.include)]), 3).otherwise(0)
-    reasons = [F.when(manual, F.lit("manual"))]
+    reasons = [F.when(manual, F.lit(MANUAL_REASON))]
+    known = F.concat(F.lit(_MARK), F.lower(F.coalesce(F.array_join("skills", _MARK), F.lit(""))), F.lit(_MARK))
     for skill, points in profile.skills:
-        has = F.coalesce(F.array_contains(F.transform("skills", F.lower), skill.lower()), F.lit(False))
+        has = F.contains(known, F.lit(f"{_MARK}{skill.lower()}{_MARK}"))
         total = total + F.when(has, points).otherwise(0)
         reasons.append(F.when(has, F.lit(skill)))
     total = total + F.when(remote, 3).when(near, 2).otherwise(0)
     total = total + F.when(F.col("salary_class").isin("b2b_ok", "uop_ok"), 2).when(F.col("salary_class") == "none", 1).otherwise(0)
     reasons += [F.when(remote, F.lit("100% remote")), F.when(near, F.lit(profile.city))]
-    return offers.withColumn("match_score", total).withColumn("match_reasons", F.slice(F.array_distinct(F.array_compact(F.array(*reasons))), 1, 6))
+    # the lambda in array_compact also keeps Spark from putting all rules into one method, too long for the JVM to compile
+    listed = F.slice(F.array_distinct(F.array_compact(F.array(*reasons))), 1, 6)
+    return offers.withColumn("match_score", total).withColumn("match_reasons", listed)
 
 
 def score(offers: DataFrame, profile: Profile) -> DataFrame:
@@ -198,25 +226,28 @@ def score(offers: DataFrame, profile: Profile) -> DataFrame:
 
 
 def reject_cascade(offers: DataFrame, profile: Profile, language: str | None = None, min_score: bool = True, extra_titles=(), extra_seniority=()) -> DataFrame:
-    """reject_reason: the first rule that fails, null for those that stay. One chain of conditions, no shuffle. language: the
-    column of the text in which required languages are looked for (titles alone say them too)."""
+    """reject_reason: the first rule that fails, null for those that stay. One chain of conditions, no shuffle. A title that names a foreign language
+    asks for it; so does the text in the column ``language`` (description where there is one), which is read for titles that pass only."""
+    language = language or ("description" if "description" in offers.columns else None)
     ready = _ready(offers, profile)
-    if language is not None:
-        ready = foreign_languages(ready, "title", language, "_languages")
-    made = _scored(assess_salary(ready, profile), profile, (*profile.include, *extra_titles))
     title = F.col("_title")
-    reason = F.when(~spaced_match(title, [*profile.include, *extra_titles]), "title")
-    if language is not None:
-        reason = reason.when(F.size("_languages") > 0, "language")
+    named = spaced_match(title, [*profile.include, *extra_titles])
+    if language is None:
+        ready = ready.withColumn("_foreign", title_asks(title))
+    else:
+        ready = foreign_languages(ready.withColumn("_text", F.when(named, F.col(language))), "title", "_text", "_languages")
+        ready = ready.withColumn("_foreign", F.size("_languages") > 0).drop("_text", "_languages")
+    made = _scored(assess_salary(ready, profile), profile, (*profile.include, *extra_titles))
     reason = (
-        reason.when(spaced_match(title, profile.automation_first) & ~spaced_match(title, profile.manual), "automation")
+        F.when(~named, "title").when(F.col("_foreign"), "language")
+        .when(spaced_match(title, profile.automation_first) & ~spaced_match(title, profile.manual), "automation")
         .when(spaced_match(title, [*profile.seniority, *extra_seniority]), "seniority")
         .when(~_allowed(F.col("work_mode"), F.col("_near"), profile), "location")
         .when(~F.col("salary_ok"), "salary")
-    )
+    )
     if min_score:
         reason = reason.when(F.col("match_score") < profile.min_score, "score")
-    return once(made.withColumn("reject_reason", reason).drop("_title", "_near", "_languages"))
+    return made.withColumn("reject_reason", reason).drop("_title", "_near", "_foreign")
 
 
 # What says that a posting has expired.
@@ -248,31 +279,47 @@ def with_long_descriptions(offers: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("expired", F.coalesce(gone, F.lit(False))).withColumn("description", text).drop("_short", "_text", "_url")
 
 
-def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: DataFrame | None = None) -> DataFrame:
+def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: DataFrame | None = None, settled_too: bool = True) -> DataFrame:
     """After verification: reject_reason by the whole description (expired, salary, location, language, automation, score), with fields filled from
-    it, and match_score (with a bonus for manual work), manual_share and work_summary."""
+    it, and match_score (with a bonus for manual work), manual_share and work_summary. Without settled_too, the descriptions of rows that expiry, salary or
+    place settles are not read for languages and work, which is what a run needs: their share stays null."""
     df = with_long_descriptions(offers, long_descriptions) if long_descriptions is not None else offers.withColumn("expired", F.lit(False))
     df = once(assess_salary(once(complete(df)), profile))
-    df = df.withColumn("_near", preferred_city(F.col("location"), profile))
-    df = work_profile(foreign_languages(df, "title", "description", "_languages"), "title", "description", "_profile")
+    cheap = (
+        F.when(F.col("expired"), "expired").when(~F.col("salary_ok"), "salary")
+        .when(~_allowed(F.col("work_mode"), preferred_city(F.col("location"), profile), profile), "location")
+    )
+    df = with_once(df, _cheap=cheap)
+    text = F.col("description") if settled_too else F.when(F.col("_cheap").isNull(), F.col("description"))
+    df = work_profile(foreign_languages(df.withColumn("_text", text), "title", "_text", "_languages"), "title", "_text", "_profile").drop("_text")
     share = F.col("_profile.manual_share")
     df = df.withColumn("match_score", F.coalesce("match_score", F.lit(0)) + F.coalesce(F.bround((share - 50) / 10).cast("int"), F.lit(0)))
-    reason = (
-        F.when(F.col("expired"), "expired")
-        .when(~F.col("salary_ok"), "salary")
-        .when(~_allowed(F.col("work_mode"), F.col("_near"), profile), "location")
-        .when(F.size("_languages") > 0, "language")
-        .when(F.col("_profile.automation_first"), "automation")
-        .when(F.col("match_score") < profile.min_score, "score")
+    reason = F.coalesce(
+        F.col("_cheap"),
+        F.when(F.size("_languages") > 0, "language").when(F.col("_profile.automation_first"), "automation").when(F.col("match_score") < profile.min_score, "score"),
     )
     made = once(df).withColumn("reject_reason", reason).withColumn("manual_share", share).withColumn("work_summary", F.col("_profile.summary"))
-    return once(made.drop("_near", "_languages", "_profile"))
+    return once(made.drop("_cheap", "_languages", "_profile"))
 
 
 def reject_counts(judged: DataFrame) -> DataFrame:
     return judged.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: Reasons of both cascades, as their counts name them.
+REASONS = ("expired", "title", "language", "automation", "seniority", "location", "salary", "score")
+
+
+def counted(judged: DataFrame, most: int | None = None) -> tuple[DataFrame, Observation]:
+    """judged, and its counts by reason (and kept; and cut: kept rows beyond a report of ``most``), which come with the rows: any job over judged fills them."""
+    seen = Observation("reasons")
+    kept = F.count_if(F.col("reject_reason").isNull())
+    counts = [F.count_if(F.col("reject_reason") == r).alias(r) for r in REASONS] + [kept.alias("kept")]
+    if most is not None:
+        counts.append(F.greatest(F.lit(0), kept - most).alias("cut"))
+    return judged.observe(seen, *counts), seen
+
+
 def top(judged: DataFrame, n: int, order: Order) -> DataFrame:
     """The n best kept offers by score, remote first among equals."""
     kept = judged.where("reject_reason is null")
@@ -286,11 +333,17 @@ def analysis_counts(judged: DataFrame, most: int) -> DataFrame:
     return counts.unionByName(cut)
 
 
+# Priorities and what stands for no work summary, as the report shows them; the score from which to apply.
+APPLY, CONSIDER, APPLY_FROM = "🟢 Aplikuj", "🟡 Warto rozważyć", 12
+NO_SUMMARY = "brak danych w opisie"
+
+
 def report_row(offers: DataFrame) -> DataFrame:
-    """Priority, score of ten and joined lists, as the report shows them."""
+    """Offers as the report shows them: priority, score of ten, joined lists, and words for what is missing. Columns that earlier steps have not added count as empty."""
     tenth = F.greatest(F.lit(1), F.least(F.lit(10), F.bround(F.col("match_score") / 2).cast("int")))
+    given = lambda c, otherwise: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(otherwise)) if c in offers.columns else F.lit(otherwise)
     return offers.select(
-        "url", "company", "title",
-        F.when(F.col("match_score") >= 12, "Tak").otherwise("Nie").alias("priority"), F.concat(tenth.cast("string"), F.lit("/10")).alias("fit"),
-        F.array_join("contract_types", ", ").alias("contracts"), F.coalesce(F.nullif("salary", F.lit("")), F.lit(NOT_GIVEN)).alias("salary"),
+        F.when(F.col("match_score") >= APPLY_FROM, APPLY).otherwise(CONSIDER).alias("priority"), "company", "title", "location", "work_mode",
+        F.coalesce(F.nullif(F.array_join("contract_types", ", "), F.lit("")), F.lit(NOT_GIVEN)).alias("contracts"), given("salary", NOT_GIVEN).alias("salary"),
+        F.concat(tenth.cast("string"), F.lit("/10")).alias("fit"), given("work_summary", NO_SUMMARY).alias("work_summary"), given("salary_assessment", "").alias("salary_assessment"), "source", "url",
     )

@@ -277,7 +277,7 @@ def reject_counts(spark, d) -> DataFrame:
     return O.reject_counts(O.reject_cascade(offers(spark, d), PROFILE))
 
 
-_reasons = f"array_to_string(list_filter([CASE WHEN {_manual} THEN 'manual' END, CASE WHEN work_mode = 'Remote' THEN '100% remote' WHEN {_near} THEN 'Wrocław' END], lambda v: v IS NOT NULL), ',')"
+_reasons = f"array_to_string(list_filter([CASE WHEN {_manual} THEN 'testy manualne' END, CASE WHEN work_mode = 'Remote' THEN '100% remote' WHEN {_near} THEN 'Wrocław' END], lambda v: v IS NOT NULL), ',')"
 
 
 @query(f"{JUDGED} SELECT score::INTEGER AS match_score, {_reasons} AS reasons, count(*)::BIGINT AS n FROM j GROUP BY ALL")
@@ -291,12 +291,57 @@ def topk_candidates(spark, d) -> DataFrame:
     return O.top(O.reject_cascade(offers(spark, d), PROFILE), TOP, ORDER).select("url", "title", "match_score")
 
 
+# contracts go in every third row, so that their name for nothing is seen
+_said = "CASE WHEN l_partkey % 3 = 0 THEN 'Nie podano' ELSE contract END"
+_hour = "round_even(m / (CASE WHEN contains(salary, '/h') THEN 1 ELSE 160 END), 0)::BIGINT"
+_assessed = f"""CASE salary_class WHEN 'none' THEN 'Brak widełek — pokaż ofertę' WHEN 'b2b_ok' THEN 'B2B ok (ok. ' || {_hour} || ' zł/h)'
+  WHEN 'b2b_consider' THEN 'B2B do rozważenia (ok. ' || {_hour} || ' zł/h)' WHEN 'b2b_low' THEN 'B2B poniżej 80 zł/h'
+  WHEN 'uop_ok' THEN 'UoP ok (do ' || replace(format('{{:,}}', round_even(m, 0)::BIGINT), ',', ' ') || ' zł brutto)' ELSE 'UoP poniżej 9 000 zł brutto' END"""
+
+
 @query(
-    f"{JUDGED} SELECT url, company, title, CASE WHEN score >= 12 THEN 'Tak' ELSE 'Nie' END AS priority, greatest(1, least(10, round_even(score / 2, 0)::INTEGER))::VARCHAR || '/10' AS fit, "
-    "contract AS contracts, CASE WHEN salary = '' THEN 'Nie podano' ELSE salary END AS salary FROM j WHERE reason IS NULL"
+    f"{JUDGED} SELECT CASE WHEN score >= 12 THEN '🟢 Aplikuj' ELSE '🟡 Warto rozważyć' END AS priority, company, title, location, work_mode, {_said} AS contracts, "
+    "CASE WHEN salary = '' THEN 'Nie podano' ELSE salary END AS salary, greatest(1, least(10, round_even(score / 2, 0)::INTEGER))::VARCHAR || '/10' AS fit, "
+    f"'brak danych w opisie' AS work_summary, {_assessed} AS salary_assessment, source, url FROM j WHERE reason IS NULL"
 )
 def report_row(spark, d) -> DataFrame:
-    return O.report_row(O.reject_cascade(offers(spark, d), PROFILE).where("reject_reason is null"))
+    kept = O.reject_cascade(offers(spark, d), PROFILE).where("reject_reason is null")
+    return O.report_row(kept.withColumn("contract_types", F.expr("CASE WHEN l_partkey % 3 = 0 THEN array() ELSE contract_types END")))
+
+
+@query(f"{JUDGED} SELECT salary, salary_class, {_assessed} AS salary_assessment, count(*)::BIGINT AS n FROM j GROUP BY ALL")
+def salary_labels(spark, d) -> DataFrame:
+    made = O.assess_salary(offers(spark, d), PROFILE)
+    return made.groupBy("salary", "salary_class", "salary_assessment").agg(F.count("*").alias("n"))
+
+
+# titles that ask for languages, or are written in one, or only look like it
+_ENDS = (
+    (" with German", True), (" (Czech speaker)", True), (" und mit Bolt", True), (" pour les gears", True), (" Dutchman", True), (" redutch", False), (" mit Bolt", False), (" Polish", False), ("", False),
+)
+_ended = "concat(title, CASE l_partkey % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_ENDS)) + " END)"
+_foreign = "l_partkey % 9 IN (" + ", ".join(str(i) for i, (_, asks) in enumerate(_ENDS) if asks) + ")"
+_named_titles = f"{JUDGED.replace('FROM o)', 'FROM (SELECT * REPLACE (' + _ended + ' AS title) FROM o))')}"
+
+
+@query(
+    f"{_named_titles} SELECT l_orderkey, l_linenumber, l_partkey, title, CASE WHEN reason = 'title' THEN 'title' WHEN {_foreign} THEN 'language' ELSE coalesce(reason, 'kept') END AS reason FROM j"
+)
+def reject_languages(spark, d) -> DataFrame:
+    """The cascade over titles that ask for languages in several ways."""
+    j = O.reject_cascade(offers(spark, d).withColumn("title", F.expr(_ended)), PROFILE)
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "title", F.coalesce("reject_reason", F.lit("kept")).alias("reason"))
+
+
+_points = "CASE l_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END"
+
+
+@query(f"{JUDGED} SELECT url, l_orderkey, l_linenumber, (score + {_points})::INTEGER AS match_score FROM j")
+def skill_scores(spark, d) -> DataFrame:
+    """Scores of offers whose skills differ from row to row, in either case, known and unknown, repeated."""
+    skills = F.expr("CASE l_partkey % 5 WHEN 0 THEN array('SQL', 'sql') WHEN 1 THEN array('Java', 'sql', 'Jira') WHEN 2 THEN array('JIRA') WHEN 3 THEN array('Cobol') ELSE array() END")
+    made = offers(spark, d).withColumn("skills", skills.cast("array<string>"))
+    return O.score(O.assess_salary(made, PROFILE), PROFILE).select("url", "l_orderkey", "l_linenumber", "match_score")
 
 
 @query(f"{JUDGED} SELECT source, reason, count(*)::BIGINT AS n FROM (SELECT source, coalesce(reason, 'kept') AS reason FROM j) GROUP BY ROLLUP (source, reason)")
