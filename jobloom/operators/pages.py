@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import jsonld
+from jobloom.functions.dom import link_parts
 from jobloom.functions.extract import NOT_GIVEN, cities_first, contracts, extract_salary, extract_skills, has_any, work_mode
 from jobloom.functions.text import (
     fold_literal, fold_text, html_text, keyword_match, let, once, page_main_text, site_key, titles_match, unescape, url_host, url_path,
@@ -85,23 +86,27 @@ def offer_path(source: Column, url: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def asked_for(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """Pages of the urls (url) only. Spark filters them before anything is read from their HTML."""
+    return pages.join(urls.select("url").distinct(), "url", "left_semi")
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
-    """url, status and, of its html, only: whether it says it is closed, the titles it has, its longest embedded description, its main
-    text, the first posting embedded, the first heading. The last page of a url (by ``place`` if there is one) counts."""
+    """One row a url: status and, of its html, only: whether it says it is closed, the titles it has, its longest embedded description, its main
+    text, the first posting embedded, the first heading. Of several pages of a url the last counts: by ``place`` if there is one (nulls before all),
+    then by status and by a hash of the page, so that the same page counts on every run and rows that repeat count once."""
     found = jsonld.postings(pages, "html", "_postings")
     described = F.transform("_postings", lambda p: html_text(jsonld.field(p, "description")))
     longest = F.aggregate(described, F.lit(""), lambda a, d: F.when(F.char_length(d) > F.char_length(a), d).otherwise(a))
     titles = F.concat(F.transform("_postings", jsonld.title), F.array(heading(F.col("html")), og_title(F.col("html")), page_title(F.col("html"))))
-    made = once(found).select(
-        "url", "status", *(["place"] if "place" in pages.columns else []), F.col("final_url") if "final_url" in pages.columns else F.col("url").alias("final_url"),
-        has_any(F.lower(html_text(F.col("html"))), CLOSED).alias("closed"), titles.alias("titles"), longest.alias("embedded"),
-        page_main_text(F.col("html")).alias("main_text"), F.get("_postings", F.lit(0)).alias("posting"), heading(F.col("html")).alias("heading"),
+    place = [F.col("place")] if "place" in pages.columns else []
+    facts = F.struct(
+        F.lit(True).alias("read"), F.col("status").alias("status"), (F.col("final_url") if "final_url" in pages.columns else F.col("url")).alias("final_url"),
+        has_any(F.lower(html_text(F.col("html"))), CLOSED).alias("closed"), titles.alias("titles"), longest.alias("embedded"), F.col("_main").alias("main_text"),
+        F.get("_postings", F.lit(0)).alias("posting"), heading(F.col("html")).alias("heading"),
     )
-    if "place" not in pages.columns:
-        return made
-    # only places meet in the aggregate; the facts follow by a join
-    last = pages.groupBy("url").agg(F.max("place").alias("place"))
-    return made.join(last, ["url", "place"], "left_semi").drop("place")
+    each = found.withColumn("_main", page_main_text(F.col("html"))).select("url", F.struct(*place, "status", F.xxhash64("html")).alias("_order"), facts.alias("_facts"))
+    return each.groupBy("url").agg(F.max_by("_facts", "_order").alias("_facts")).select("url", "_facts.*").drop("read")
 
 
 def page_description(title: Column) -> Column:
@@ -116,7 +121,7 @@ def page_description(title: Column) -> Column:
 def verify_offers(offers: DataFrame, pages: DataFrame) -> DataFrame:
     """offers (url, title, api_confirmed, perhaps source and description) with verified, reason and the longer description, by their
     pages (url, status, html, perhaps final_url and place). First rule decides. Offers without a source column count as direct."""
-    both = offers.join(page_facts(pages), "url", "left")
+    both = offers.join(page_facts(asked_for(pages, offers)), "url", "left")
     path = offer_path(F.col("source"), F.coalesce("final_url", "url")) if "source" in offers.columns else F.lit(True)
     confirmed = F.coalesce("api_confirmed", F.lit(False))
     matches = F.coalesce(F.exists("titles", lambda t: (t != "") & titles_match(F.col("title"), t)), F.lit(False))
@@ -142,9 +147,9 @@ def enrich_offers(offers: DataFrame, pages: DataFrame, profile: Profile, keyword
     """offers with what their own page says, where it was read (status 200): of the first posting embedded, else of what follows the title in
     the main text. Offers that an API confirmed and that have skills or a place are left as they are. A title changes only to one with a keyword."""
     words = [*(keywords or profile.include)]
-    facts = page_facts(pages.where("status = 200")).drop("status", "final_url", "closed", "titles", "embedded").withColumn("_page", F.lit(True))
-    both = offers.join(facts, "url", "left")
     done = F.coalesce("api_confirmed", F.lit(False)) & ((F.size("skills") > 0) | (F.col("location") != NOT_GIVEN))
+    facts = page_facts(asked_for(pages.where("status = 200"), offers.where(~done))).drop("status", "final_url", "closed", "titles", "embedded").withColumn("_page", F.lit(True))
+    both = offers.join(facts, "url", "left")
     at = F.instr(F.lower("main_text"), F.lower(F.substring("title", 1, 40)))
     staged = both.select(
         "*", (F.coalesce("_page", F.lit(False)) & ~done & F.col("posting").isNotNull()).alias("_j"), (F.coalesce("_page", F.lit(False)) & ~done & F.col("posting").isNull() & (at > 0)).alias("_m"),
@@ -197,9 +202,6 @@ LISTING_LINK_TEXT = (
     "ogłoszenia o pracę", "ogloszenia o prace", "open positions", "job openings", "current openings", "open roles", "all jobs", "see jobs", "see all jobs",
     "view jobs", "view all jobs", "browse jobs", "search jobs", "find jobs", "job offers", "job search", "vacancies", "join us", "dołącz do nas",
 )
-TITLE_CLASS = r"title|position|stanowisk|nazwa|job-?name|offer-?name"
-ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a\s*>"""
-CARD = r"(?is)<(?:article|li|div|section|tr)\b"
 
 
 def absolute(href: Column, page: Column) -> Column:
@@ -224,33 +226,21 @@ def ats_host(host: Column) -> Column:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """A row for each anchor of a page (page_id, url, html): page_id, page_url, place, href (whole), text, title (of its heading, else its
-    text, else its label; for a link that says nothing, the heading before it in its card), context (the text of its card, if short)."""
-    parts = pages.select("page_id", F.col("url").alias("page_url"), _text("html").alias("_html"))
-    found = parts.select("page_id", "page_url", F.split("_html", ANCHOR).alias("_gaps"), F.regexp_extract_all("_html", F.lit(ANCHOR), F.lit(0)).alias("_all"))
-    each = found.select("page_id", "page_url", "_gaps", F.posexplode("_all").alias("place", "_a"))
-    last_card = lambda gap: F.regexp_extract(gap, rf"(?is)^.*({CARD[5:]}.*)$", 1)
-    near = each.select(
-        "page_id", "page_url", "place", "_a", last_card(F.get("_gaps", F.col("place"))).alias("_before"),
-        F.get(F.split(F.get("_gaps", F.col("place") + 1), r"(?i)</(?:article|li|div|section|tr)\s*>"), F.lit(0)).alias("_after"),
-    )
-    tagged = lambda c, tags: F.regexp_extract(c, rf"(?is)<({tags})\b[^>]*>(.*?)</\1\s*>", 2)
-    classed = F.regexp_extract("_a", rf"""(?is)<(\w+)\b[^>]*\bclass\s*=\s*["'][^"']*(?:{TITLE_CLASS})[^"']*["'][^>]*>(.*?)</\1\s*>""", 2)
-    inner = F.regexp_replace("_a", r"(?is)^<a\b[^>]*>|</a\s*>$", "")
-    label = lambda name: F.regexp_extract("_a", rf"""(?is)^<a\b[^>]*\b{name}\s*=\s*["']([^"']*)["']""", 1)
-    bare = html_text(F.regexp_replace(inner, r"(?is)<(style|script)\b.*?</\1\s*>", " "))
+    """A row for each link of a page (page_id, url, html): page_id, page_url, place, href (whole), text, title (of its heading, else its
+    text, else its label; for a link that says nothing, the heading of its card), context (the text of the largest card around it that is short and has
+    few links). A row carries its own parts only, so that the work is linear in the page."""
+    each = pages.select("page_id", F.col("url").alias("page_url"), link_parts(_text("html")).alias("_links")).select("page_id", "page_url", F.posexplode("_links").alias("place", "_a"))
+    label = lambda name: F.coalesce(
+        *[F.nullif(F.regexp_extract("_a.open", rf"(?is)\s{name}\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in ('"', "'")], F.regexp_extract("_a.open", rf"""(?is)\s{name}\s*=\s*([^\s"'>]+)""", 1)
+    )
     some = lambda c: F.nullif(c, F.lit(""))
-    own = F.coalesce(some(html_text(tagged(inner, "h[1-6]"))), some(html_text(classed)), some(bare), some(html_text(label("aria-label"))), html_text(label("title")))
-    read = near.select(
-        "page_id", "page_url", "place", absolute(F.trim(unescape(label("href"))), F.col("page_url")).alias("href"), F.trim(unescape(label("href"))).alias("_raw"), html_text(F.col("_a")).alias("text"),
-        own.alias("_own"), html_text(tagged(F.col("_before"), "h[2-5]")).alias("_card"), html_text(F.concat("_before", "_a", F.coalesce("_after", F.lit("")))).alias("_context"),
-    )
-    read = once(read)
-    generic = keyword_match(F.col("_own"), GENERIC_LINK_TEXT) & (F.char_length("_own") < 30) & (F.col("_card") != "")
-    return once(read.select(
-        "page_id", "page_url", "place", "href", "_raw", "text", F.when(generic, F.col("_card")).otherwise(F.col("_own")).alias("title"),
-        F.when(F.char_length("_context") <= 400, F.col("_context")).otherwise(F.col("text")).alias("context"),
+    own = F.coalesce(some(html_text(F.col("_a.own"))), some(html_text(F.col("_a.bare"))), some(html_text(label("aria-label"))), html_text(label("title")))
+    read = once(each.select(
+        "page_id", "page_url", "place", absolute(F.trim(unescape(label("href"))), F.col("page_url")).alias("href"), F.trim(unescape(label("href"))).alias("_raw"), html_text(F.col("_a.bare")).alias("text"),
+        own.alias("_own"), html_text(F.col("_a.card")).alias("_card"), F.trim(F.regexp_replace("_a.context", r"(?U)\s+", " ")).alias("context"),
     ))
+    generic = keyword_match(F.col("_own"), GENERIC_LINK_TEXT) & (F.char_length("_own") < 30) & (F.col("_card") != "")
+    return once(read.select("page_id", "page_url", "place", "href", "_raw", "text", F.when(generic, F.col("_card")).otherwise(F.col("_own")).alias("title"), "context"))
 
 
 def links(pages: DataFrame) -> DataFrame:

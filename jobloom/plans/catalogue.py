@@ -107,8 +107,9 @@ def canonical_url(spark, d) -> DataFrame:
 
 def _plain(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
         out = f"replace({out}, '{entity}', '{char}')"
+    out = f"regexp_replace({out}, '&amp;?', '&', 'g')"  # the old names count without a semicolon
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom.functions import jsonld
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, extract_skills, has_any, work_mode
 from jobloom.functions.text import html_text, keyword_match, linkedin_url
 from jobloom.operators.offers import Profile, preferred_city
@@ -214,16 +215,8 @@ def read_pracuj(landing: DataFrame, profile: Profile = Profile()) -> DataFrame:
     link counts, and all places are named."""
     own = landing.where("source = 'pracuj'")
     given = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in landing.columns else F.lit(0)
-    nodes = F.array(F.regexp_extract(F.coalesce("body", F.lit("")), r"""(?is)<script id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>""", 1))
-    df = own.select(given("phrase_no").alias("phrase_no"), given("seq").alias("seq"), nodes.alias("_n0"))
-    inside = lambda n: F.filter(
-        F.when(n.startswith("["), F.from_json(n, "array<string>")).otherwise(F.coalesce(F.map_values(F.from_json(n, "map<string,string>")), F.array().cast("array<string>"))), lambda v: v.rlike(r"^[\[{]")
-    )
-    depth = 6  # of the object that is looked for
-    for k in range(depth):
-        df = df.withColumn(f"_n{k + 1}", F.flatten(F.transform(f"_n{k}", inside)))
-    hits = [F.filter(F.transform(f"_n{k}", lambda n: F.get_json_object(n, "$.groupedOffers")), lambda x: x.isNotNull()) for k in range(depth + 1)]
-    found = df.select("phrase_no", "seq", F.get(F.concat(*hits), F.lit(0)).alias("_g"))
+    data = F.regexp_extract(F.coalesce("body", F.lit("")), r"""(?is)<script id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>""", 1)
+    found = own.select(given("phrase_no").alias("phrase_no"), given("seq").alias("seq"), jsonld.first_value(data, "groupedOffers").alias("_g"))
     each = found.select("phrase_no", "seq", F.posexplode(F.from_json("_g", _GROUP)).alias("place", "g"))
     near = F.get(F.filter("g.offers", lambda o: preferred_city(o["displayWorkplace"], profile)), F.lit(0))
     chosen = F.coalesce(near, F.get("g.offers", F.lit(0)))
