@@ -1,13 +1,14 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams against training token windows.
 
 A window is ``size`` consecutive words of a benchmark item (the whole item if it is shorter). Training
-documents are scanned once: a place is a candidate if all words of its window occur in the benchmark at
-all; candidates are joined with the set on the words themselves, so a hit is a verified hit. Spans or
-whole documents are then removed.
-
-Edge cases: null texts have no words; items without words have no windows; items with a null id are
-ignored; equal items share their windows and each counts; repeated documents rows are each returned;
-documents without words are never contaminated. Other columns of the input are not carried.
+documents are scanned once: a place is a candidate if all words of its window fall on marks of a bitmap that the words of
+the benchmark set (of a fixed size, whatever the benchmark: it lets more through the more words there are); candidates are joined
+with the set on the words themselves, so a hit is a verified hit. Spans or whole documents are then removed.
+
+Edge cases: null texts have no words; items without words have no windows; the windows of items with a null id count for
+hits, but give no id; equal items share their windows and each counts; repeated documents rows are each returned;
+documents without words are never contaminated; very long texts are read whole, in one row; an empty benchmark hits nothing, an empty table gives an empty
+one. verdicts() carries no other columns; remove_documents() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_struct, indexes, lower_ascii, words
+from .common import as_struct, indexes, let, lower_ascii, words
 
 #: What is not a word, once A-Z is lower case.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 13
-#: The set is broadcast up to this many bytes of words, and its vocabulary put into the plan up to
-#: so many words; beyond either, Spark joins by a shuffle, with the same rows.
+#: The set is broadcast up to this many bytes of words; beyond, Spark joins by a shuffle, with the same rows.
 BROADCAST_BYTES = 64 << 20
-VOCABULARY = 20_000
+#: Bytes of the bitmap of benchmark words, and the marks in each: seven, so that each byte is a character.
+BITMAP, MARKS = 1 << 18, 7
 
 
 def tokens(text: Column) -> Column:
@@ -34,7 +35,7 @@ def tokens(text: Column) -> Column:
 
 def test_windows(bench: DataFrame, size: int = SIZE) -> DataFrame:
     """win (array of words), its length, and the ids of the items that have it; one row a window."""
-    items = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("_item"), tokens(F.col("text")).alias("_w"))
+    items = bench.select(F.col("item_id").alias("_item"), tokens(F.col("text")).alias("_w"))
     length = F.least(F.lit(size), F.size("_w"))
     return (
         items.where(F.size("_w") > 0)
@@ -47,6 +48,24 @@ def test_windows(bench: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BITMAP * MARKS))
+
+
+def bitmap(windows: DataFrame) -> bytes:
+    """The bitmap of all words of the windows; the driver gets at most a number for each of its marks."""
+    made = bytearray(BITMAP)
+    for (slot,) in windows.select(F.explode("win").alias("w")).select(_slot(F.col("w"))).distinct().collect():
+        made[slot // MARKS] |= 1 << slot % MARKS
+    return bytes(made)
+
+
+def _marked(words_: Column, marks: bytes) -> Column:
+    """Of each word, whether the bitmap has its mark."""
+    byte = lambda n: F.ascii(F.substring(F.lit(marks), F.floor(n / MARKS).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.transform(words_, lambda w: let(_slot(w), lambda n: F.call_function("shiftright", byte(n), (n % MARKS).cast("int")).bitwiseAND(1) == 1))
+
+
 def scan(docs: DataFrame, bench: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_words, spans (array of start, end in words, of all hits), items (ids hit)."""
     windows = test_windows(bench, size)
@@ -55,8 +74,6 @@ def scan(docs: DataFrame, bench: DataFrame, size: int = SIZE, id_col: str = "doc
         F.sort_array(F.collect_set(F.size("win"))).alias("lengths"),  # at most ``size`` numbers
     ).first()
     lengths, total = facts["lengths"] or [], facts["bytes"] or 0
-    vocabulary = [r[0] for r in windows.select(F.explode("win")).distinct().limit(VOCABULARY + 1).collect()] if total <= BROADCAST_BYTES else []
-
     # equal rows have equal keys and are counted, so that each comes back
     keyed = docs.select(
         F.col(id_col).alias("_id"),
@@ -64,18 +81,14 @@ def scan(docs: DataFrame, bench: DataFrame, size: int = SIZE, id_col: str = "doc
         tokens(F.col(text_col)).alias("_w"),
     )
     least = min(lengths, default=size)
-    if vocabulary and len(vocabulary) <= VOCABULARY:
-        listed = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in vocabulary)
-        keyed = keyed.withColumn("_in", F.expr(f"transform(_w, x -> x IN ({listed}))"))
-        keyed = keyed.withColumn(
-            "_starts",
-            F.filter(
-                indexes(F.size("_w") - (least - 1)),
-                lambda i: F.get("_in", i) & F.get("_in", i + (least - 1)) & F.forall(F.slice("_in", i + 1, F.lit(least)), lambda x: x),
-            ),
-        )
-    else:
-        keyed = keyed.withColumn("_starts", indexes(F.size("_w") - (least - 1)))
+    keyed = keyed.withColumn("_in", _marked(F.col("_w"), bitmap(windows)))
+    keyed = keyed.withColumn(
+        "_starts",
+        F.filter(
+            indexes(F.size("_w") - (least - 1)),
+            lambda i: F.get("_in", i) & F.get("_in", i + (least - 1)) & F.forall(F.slice("_in", i + 1, F.lit(least)), lambda x: x),
+        ),
+    )
 
     def places(n: int) -> Column:
         return F.transform(
@@ -128,11 +141,10 @@ def verdicts(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
 
 def remove_documents(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
     """docs without contaminated documents; all columns and clean rows stay."""
-    bad = verdicts(docs, bench, size).where("contaminated").select(
-        F.col("doc_id").alias("__bad_id"), F.col("_h").alias("__bad_h"), F.col("_h2").alias("__bad_h2")
-    ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_h")) & (F.hash(F.col("text"), F.lit(1)) == F.col("__bad_h2"))
-    return docs.join(bad, same, "left_anti")
+    bad = verdicts(docs, bench, size).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("_h").alias("__h"), F.col("_h2").alias("__h2")).distinct()
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__i"), F.xxhash64("text").alias("__k"), F.hash(F.col("text"), F.lit(1)).alias("__k2"))
+    same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")) & (F.col("__k2") == F.col("__h2"))
+    return rows.join(bad, same, "left_anti").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, size: int = SIZE) -> DataFrame:
@@ -161,14 +173,14 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_
              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {docs}),
 b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
         FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
 plc AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
        FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT rid, i, plc.n, item_id FROM plc JOIN win ON plc.s = win.s AND plc.n = win.n),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
-its AS (SELECT rid, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids
+its AS (SELECT rid, count(x) AS n, string_agg(x, ',' ORDER BY x) AS ids
         FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
        sha256(coalesce(its.ids, '')) AS items_sha256,

@@ -163,6 +163,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """The ablations of every version of the policy, from one ledger."""
+    from functools import reduce
+
+    from .common import read, stored
+
+    led = stored(ledger(read(spark, sf_dir, "documents")).select("fail_bits"), "quality-ledger")
+    return reduce(DataFrame.unionByName, [ablations(led, p).withColumn("policy", F.lit(p)) for p in POLICIES])
+
+
 #: The same in DuckDB; {docs} is the table it reads.
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {docs}),
@@ -183,3 +193,14 @@ b AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b
 """
+
+
+def ablation_sql(docs: str) -> str:
+    """The same in DuckDB."""
+    head = SQL.format(docs=docs)
+    head = head[: head.rindex("SELECT doc_id, n_words")]
+    of = lambda p, r: (
+        f"SELECT '{p}' AS policy, '{r.name}' AS rule, count(*) FILTER (fail_bits & {1 << r.bit} <> 0)::BIGINT AS n_failed, "
+        f"count(*) FILTER (fail_bits & {mask(p)} = {1 << r.bit})::BIGINT AS n_only_this, count(*) FILTER (fail_bits & {mask(p)} <> 0)::BIGINT AS n_rejected FROM b"
+    )
+    return head + " UNION ALL ".join(of(p, r) for p in POLICIES for r in RULES if r.name in POLICIES[p])

@@ -39,6 +39,7 @@ def queries() -> dict:
         "op6_decontamination": decontamination.query,
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
+        "quality_ablations": quality_rules.ablation_query,
         "op9_secret_scans": secret_scans.query,
         "op11_spelling_variants": spelling_variants.query,
         "op12_url_filter": url_filter.query,
@@ -53,6 +54,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.SQL.format(docs="documents"),
         "op6_decontamination": decontamination.SQL.format(docs="documents"),
         "op8_quality_rules": quality_rules.SQL.format(docs="documents"),
+        "quality_ablations": quality_rules.ablation_sql("documents"),
         "op9_secret_scans": secret_scans.sql("documents"),
         "op11_spelling_variants": spelling_variants.SQL.format(docs="documents"),
         "op13_prefix_trie": prefix_trie.SQL.format(conversations="conversations"),

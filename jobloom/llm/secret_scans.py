@@ -121,15 +121,21 @@ def _holds(query, has) -> Column:
     return out
 
 
+def _key(docs: DataFrame, text_col: str) -> Column:
+    """What rows meet their postings by: ids where there are some, so that copies of a text do not all meet in one task; equal keys have equal texts,
+    or, if hashes collide, rules that are tried in vain."""
+    return F.xxhash64(*[c for c in ("doc_id",) if c in docs.columns], text_col)
+
+
 def postings(docs: DataFrame, wanted: list[str], text_col: str = "text") -> DataFrame:
-    """The index: (text key, trigram), for the wanted trigrams that the text has in either case."""
-    low = docs.select(F.xxhash64(text_col).alias("key"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    """The index: (row key, trigram), for the wanted trigrams that the text has in either case."""
+    low = docs.select(_key(docs, text_col).alias("key"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
     listed = F.array(*[F.lit(t) for t in wanted])
     return low.select("key", F.explode(F.filter(listed, lambda t: F.contains(F.col("_low"), t))).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """(text key, array of rule numbers whose trigram query holds), for texts with any such rule."""
+    """(row key, array of rule numbers whose trigram query holds), for texts with any such rule."""
     queries = [(i, trigram_query(r.pattern)) for i, r in enumerate(rules)]
     queries = [(i, q) for i, q in queries if q is not True]
     wanted = sorted(set().union(set(), *(trigrams(q) for _, q in queries)))
@@ -176,7 +182,7 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 def _with_spans(docs: DataFrame, rules, text_col: str) -> DataFrame:
     """Each input row as the struct ``__row`` (so its names cannot clash), its text, and all its spans in order."""
     found = candidates(docs, rules, text_col).select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-    base = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.xxhash64(text_col).alias("__k"))
+    base = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), _key(docs, text_col).alias("__k"))
     joined = base.join(found, F.col("__k") == F.col("__key"), "left")
     parts = []
     for i, r in enumerate(rules):
