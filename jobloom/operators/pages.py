@@ -104,6 +104,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.lit(True).alias("read"), F.col("status").alias("status"), (F.col("final_url") if "final_url" in pages.columns else F.col("url")).alias("final_url"),
         has_any(F.lower(html_text(F.col("html"))), CLOSED).alias("closed"), titles.alias("titles"), longest.alias("embedded"), F.col("_main").alias("main_text"),
         F.get("_postings", F.lit(0)).alias("posting"), heading(F.col("html")).alias("heading"),
+        F.coalesce(F.get(F.filter(F.transform("_postings", jsonld.organization), lambda n: n != ""), F.lit(0)), F.lit("")).alias("organization"),
     )
     each = found.withColumn("_main", page_main_text(F.col("html"))).select("url", F.struct(*place, "status", F.xxhash64("html")).alias("_order"), facts.alias("_facts"))
     return each.groupBy("url").agg(F.max_by("_facts", "_order").alias("_facts")).select("url", "_facts.*").drop("read")
@@ -148,7 +149,7 @@ def enrich_offers(offers: DataFrame, pages: DataFrame, profile: Profile, keyword
     the main text. Offers that an API confirmed and that have skills or a place are left as they are. A title changes only to one with a keyword."""
     words = [*(keywords or profile.include)]
     done = F.coalesce("api_confirmed", F.lit(False)) & ((F.size("skills") > 0) | (F.col("location") != NOT_GIVEN))
-    facts = page_facts(asked_for(pages.where("status = 200"), offers.where(~done))).drop("status", "final_url", "closed", "titles", "embedded").withColumn("_page", F.lit(True))
+    facts = page_facts(asked_for(pages.where("status = 200"), offers.where(~done))).drop("status", "final_url", "closed", "titles", "embedded", "organization").withColumn("_page", F.lit(True))
     both = offers.join(facts, "url", "left")
     at = F.instr(F.lower("main_text"), F.lower(F.substring("title", 1, 40)))
     staged = both.select(

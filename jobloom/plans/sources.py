@@ -18,14 +18,32 @@ _cities = "location IN ('Wrocław', 'Warszawa, Poland')"
 #: source -> location, mode, contracts, salary, url, and a condition.
 EXPECT = {
     "greenhouse": ("location", _remote_title.format("location"), "''", "''", "url", "true"),
-    "lever": ("location || '; Opole'", "'Hybrid'", "'B2B'", "l_orderkey || ' - ' || (l_orderkey + 1) || ' PLN /h'", "url", "true"),
+    "lever": (
+        "CASE WHEN l_partkey % 3 = 0 THEN location || '; Opole' ELSE location END",
+        f"CASE l_partkey % 4 WHEN 0 THEN 'Hybrid' WHEN 1 THEN 'Remote' ELSE {_remote_title.format('location')} END", "CASE WHEN l_partkey % 2 = 0 THEN 'B2B,Permanent' ELSE 'B2B' END",
+        "CASE l_orderkey % 5 WHEN 0 THEN '100 - 100 PLN /h' WHEN 1 THEN '12.5 - 20.25 EUR' WHEN 3 THEN l_orderkey || ' - ' || (l_orderkey + 1) || ' PLN /month' ELSE '' END", "url", "true",
+    ),
     "smartrecruiters": ("location", "'Remote'", "''", "''", f"'https://jobs.smartrecruiters.com/acme/' || {_id}", "true"),
-    "workable": ("location", "'Remote'", "'B2B'", "''", "url", "true"),
-    "recruitee": ("location", "'Hybrid'", "'B2B'", "l_partkey || ' PLN /h'", "url", "true"),
-    "ashby": ("location || '; Opole'", "'Office'", "''", "salary", "url", "true"),
+    "workable": (
+        "CASE WHEN l_partkey % 3 = 0 THEN location || '; Polska' WHEN l_partkey % 2 = 0 THEN location || ', Polska' ELSE location END",
+        f"CASE WHEN l_partkey % 5 = 0 THEN 'Remote' ELSE {_remote_title.format('location')} END", "CASE WHEN l_partkey % 7 > 0 THEN 'B2B' ELSE '' END", "''",
+        f"CASE WHEN l_partkey % 4 = 0 THEN 'https://w.co/' || {_id} ELSE url END", "true",
+    ),
+    "recruitee": (
+        "CASE WHEN l_partkey % 4 = 0 THEN CASE WHEN l_partkey % 3 = 0 THEN 'Poland' ELSE 'Nie podano' END WHEN l_partkey % 3 = 0 THEN location || ', Poland' ELSE location END",
+        f"CASE WHEN l_partkey % 5 = 0 THEN 'Remote' WHEN l_partkey % 5 > 1 THEN 'Hybrid' WHEN contains(title, 'Remote') OR (l_partkey % 4 > 0 AND contains(location, 'Remote')) THEN 'Remote' ELSE 'Nie podano' END",
+        "CASE WHEN l_partkey % 7 = 0 THEN 'Permanent' ELSE 'B2B' END", "l_partkey || ' PLN /h'", "url", "true",
+    ),
+    "ashby": (
+        "CASE WHEN l_partkey % 4 = 0 THEN CASE WHEN l_partkey % 3 = 0 THEN 'Opole' ELSE 'Nie podano' END WHEN l_partkey % 3 = 0 THEN location || '; Opole' ELSE location END",
+        "CASE WHEN l_partkey % 5 = 0 OR l_partkey % 7 % 4 = 2 THEN 'Remote' WHEN l_partkey % 7 % 4 = 1 THEN 'Hybrid' WHEN contains(title, 'Remote') OR (l_partkey % 4 > 0 AND contains(location, 'Remote')) THEN 'Remote' ELSE 'Nie podano' END",
+        "''", "CASE WHEN l_partkey % 2 = 0 THEN salary ELSE '' END", "url", "true",
+    ),
     "oracle_hcm": ("location || '; Opole'", "'Hybrid'", "''", "''", f"'https://eg.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/job/' || {_id}", "true"),
     "capgemini": ("CASE WHEN l_partkey % 7 = 0 THEN 'Poland' ELSE location || '; Poland' END", "CASE WHEN contains(title, 'Remote') OR (l_partkey % 7 <> 0 AND contains(location, 'Remote')) THEN 'Remote' ELSE 'Nie podano' END", "'Permanent'", "''", "url", "l_partkey % 10 <> 0"),
-    "phenom": ("location || '; Opole'", _remote_title.format("location"), "''", "''", f"'https://careers.x.com/pl/en/job/' || {_id}", "true"),
+    "phenom": (
+        "CASE WHEN l_partkey % 3 = 0 THEN location || '; Opole' ELSE location || ' HQ' END", _remote_title.format("location"), "''", "''", f"'https://careers.x.com/pl/en/job/' || {_id}", "true",
+    ),
     "nabory_api": ("CASE WHEN l_partkey % 3 = 0 THEN 'Wrocław, Polska' ELSE location || ', Polska' END", "'Office'", "'Permanent'", "''", "url", f"l_partkey % 5 <> 0 AND {_keyword('title', ['bolt', 'gear', 'widget'])}"),
     "workday": ("location", "'Hybrid'", "''", "''", f"'https://t.wd3.myworkdayjobs.com/Site/job/' || {_id}", "true"),
     "traffit": ("location || ', Polska'", "'Hybrid'", "'B2B'", "''", "url", "true"),
@@ -33,7 +51,10 @@ EXPECT = {
     "teamtailor": ("location || ', Polska; Opole'", "'Hybrid'", "'B2B'", "l_partkey || ' PLN /h'", "url", "true"),
     "successfactors": ("location", _remote_title.format("location"), "''", "''", f"'https://jobs.x.com/job/' || {_id}", "true"),
     "erecruiter": ("CASE WHEN contains(location, ',') THEN location ELSE location || ', Polska' END", _remote_title.format("location"), "''", "''", f"'https://skk.erecruiter.pl/Offer.aspx?oid=' || {_id} || '&cfg=c0'", "true"),
-    "justjoinit": ("location", "'Hybrid'", "'B2B'", "l_partkey || ' PLN / h'", f"'https://justjoin.it/job-offer/' || {_id}", "true"),
+    "justjoinit": (
+        "CASE l_partkey % 4 WHEN 1 THEN 'Remote or Hybrid' WHEN 2 THEN 'office, mobile' WHEN 3 THEN 'Any place' ELSE location END",
+        "CASE WHEN l_partkey % 4 = 1 OR contains(title, 'Remote') OR contains(location, 'Remote') THEN 'Remote' WHEN l_partkey % 4 = 0 THEN 'Hybrid' WHEN l_partkey % 4 = 2 THEN 'Office' ELSE 'Nie podano' END",
+        "'B2B' || CASE l_partkey % 3 WHEN 0 THEN ',Contract' WHEN 1 THEN ',Permanent,Mandate contract,Contract' ELSE '' END || CASE WHEN l_partkey % 4 = 3 THEN ',Any' ELSE '' END", "l_partkey || ' PLN / h'", f"'https://justjoin.it/job-offer/' || {_id}", "true"),
     "nofluffjobs": ("CASE WHEN location = 'Wrocław' THEN 'Wrocław' ELSE 'Remote' END", "'Hybrid'", "''", "l_partkey || ' PLN /h'", f"'https://nofluffjobs.com/pl/job/' || {_id}", "true"),
     "rocketjobs": ("location", "'Remote'", "'Mandate contract'", "l_partkey || ' PLN /h'", f"'https://rocketjobs.pl/oferta-pracy/' || {_id}", "true"),
     "linkedin": ("location", f"CASE WHEN {_cities} THEN 'Nie podano' ELSE 'Remote' END", "''", "''", "'https://www.linkedin.com/jobs/view/' || (1000000 + l_orderkey) || l_linenumber || l_partkey || l_suppkey", "true"),
@@ -104,6 +125,26 @@ def norm_nabory(spark, d) -> DataFrame:
     return cards.nabory(lists, details, ["bolt"], PROFILE).select("company", "title", "location", "work_mode", "url", "salary")
 
 
+_page = "concat('<h1>', title, '</h1><script type=\"application/ld+json\">', to_json(named_struct('@type', 'JobPosting', 'hiringOrganization', named_struct('name', concat('Org ', company)), 'description', CASE WHEN l_partkey % 3 = 0 THEN 'umowa o pracę, 9000 PLN brutto, SQL, praca hybrydowa, a text that is longer than its title' ELSE 'B2B 50 PLN/h, a text that is longer than its title' END)), '</script>')"
+
+
+@query(
+    f"{N} SELECT DISTINCT CASE WHEN l_partkey % 5 > 0 THEN company WHEN l_partkey % 4 > 0 THEN 'Org ' || company ELSE 'Nie podano' END AS company, trim(title) AS title, 'https://nofluffjobs.com/pl/job/' || {_id} AS url, "
+    "CASE WHEN l_partkey % 4 > 0 THEN CASE WHEN l_partkey % 3 = 0 THEN 'Permanent' ELSE 'B2B' END ELSE '' END AS contracts, CASE WHEN l_partkey % 7 > 0 THEN l_partkey || ' PLN /h' WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 3 = 0 THEN '9000 PLN brutto' ELSE '50 PLN /h' END AS salary, "
+    "CASE WHEN l_partkey % 4 > 0 AND l_partkey % 3 = 0 THEN 'SQL' ELSE '' END AS skills FROM n"
+)
+def nofluffjobs_pages(spark, d) -> DataFrame:
+    """Cards with the pages of their offers: some cards name no company or salary, some pages were not read."""
+    from jobloom.sources.tables import CARD_HTML
+
+    card = CARD_HTML["nofluffjobs"].replace("company, '</h4>", "CASE WHEN l_partkey % 5 > 0 THEN company ELSE '' END, '</h4>").replace("l_partkey, ' PLN / godz.", "CASE WHEN l_partkey % 7 > 0 THEN concat(l_partkey, ' PLN / godz.') ELSE '' END, '")
+    rows = numbered(spark, d)
+    lists = rows.select(F.lit("nofluffjobs").alias("source"), F.lit("x").alias("company"), F.col("l_orderkey").cast("int").alias("seq"), F.expr(card).alias("body"))
+    pages = rows.select(F.concat(F.lit("https://nofluffjobs.com/pl/job/"), "id").alias("url"), F.expr("CASE WHEN l_partkey % 4 = 0 THEN 404 ELSE 200 END").alias("status"), F.expr(_page).alias("html"))
+    o = cards.nofluffjobs_details(cards.read_cards(lists, "nofluffjobs", PROFILE), pages)
+    return o.select("company", "title", "url", F.array_join("contract_types", ",").alias("contracts"), "salary", F.array_join("skills", ",").alias("skills"))
+
+
 @query(f"WITH {OFFERS} SELECT company, count(*)::BIGINT AS n FROM o GROUP BY 1")
 def landing_scan(spark, d) -> DataFrame:
     """One source of a landing of two; where it is partitioned by source, the filter prunes."""

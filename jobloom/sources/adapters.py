@@ -1,7 +1,7 @@
 """Landed responses to offers: a table of how each board's payload maps to the common columns.
 
 A landing table has source, company and body (a response of a list request), and where a source needs them: key (of its board:
-what its URLs are made with), phrase_no and seq (which request, which response: their order), and run_date. Details are a landing table
+what its URLs are made with), company_categories (carried on), phrase_no and seq (which request, which response: their order), and run_date. Details are a landing table
 of single postings with the path or id that their list names. JSON boards are read with an explicit schema and exploded; feeds and HTML
 are read by cards.py. Nulls count as empty; a body that is no JSON gives no offers; an empty table gives none; rows of a list that repeat a
 URL are kept but for sources whose policy says which one counts.
@@ -43,6 +43,8 @@ class Board:
     otherwise: str = ""
     #: Whether titles need a keyword.
     keywords: bool = False
+    #: Until when an offer stands; offers of a board without it have no such column.
+    expires: str = ""
 
 
 #: The value of a field of an advert that is a list of fields; the names of what is an object or a list of objects.
@@ -52,6 +54,22 @@ _NAMES = (
     "ELSE cast(array() AS array<struct<name:string>>) END, x -> coalesce(x.name, ''))"
 )
 
+
+
+def _joined(texts: str) -> str:
+    """Those of an array that are not blank."""
+    return f"array_join(filter({texts}, x -> coalesce(x, '') <> ''), '; ')"
+
+
+def _pair(a: str, b: str) -> str:
+    return f"concat_ws(', ', nullif({a}, ''), nullif({b}, ''))"
+
+
+def _flags(remote: str, hybrid: str) -> str:
+    """Only these two modes are taken from flags; without them the mode is read from place and title."""
+    return f"CASE WHEN {remote} THEN 'remote' WHEN {hybrid} THEN 'hybrid' ELSE '' END"
+
+
 BOARDS: dict[str, Board] = {
     "greenhouse": Board(
         "jobs array<struct<title:string,absolute_url:string,location:struct<name:string>,content:string>>", "jobs",
@@ -59,9 +77,11 @@ BOARDS: dict[str, Board] = {
     ),
     "lever": Board(
         "array<struct<text:string,hostedUrl:string,categories:struct<location:string,allLocations:array<string>,commitment:string>,"
-        "workplaceType:string,descriptionPlain:string,salaryRange:struct<min:bigint,max:bigint,currency:string,interval:string>>>", "",
-        "j.text", "j.hostedUrl", "coalesce(array_join(j.categories.allLocations, '; '), j.categories.location)", "j.descriptionPlain", "j.workplaceType", "j.categories.commitment",
-        "CASE WHEN j.salaryRange.min IS NOT NULL THEN concat(j.salaryRange.min, ' - ', j.salaryRange.max, ' ', j.salaryRange.currency, "
+        "workplaceType:string,descriptionPlain:string,salaryRange:struct<min:string,max:string,currency:string,interval:string>>>", "",
+        "j.text", "j.hostedUrl", f"CASE WHEN size(j.categories.allLocations) > 0 THEN {_joined('j.categories.allLocations')} ELSE j.categories.location END",
+        "concat(coalesce(j.descriptionPlain, ''), ' ', coalesce(j.categories.commitment, ''))", _flags("lower(j.workplaceType) = 'remote'", "lower(j.workplaceType) = 'hybrid'"), "''",
+        "CASE WHEN coalesce(j.salaryRange.min, '0') NOT IN ('', '0', '0.0') AND coalesce(j.salaryRange.currency, '') <> '' "
+        "THEN concat(j.salaryRange.min, ' - ', coalesce(j.salaryRange.max, j.salaryRange.min), ' ', j.salaryRange.currency, "
         "CASE j.salaryRange.interval WHEN 'per-hour-wage' THEN ' /h' WHEN 'per-month-salary' THEN ' /month' WHEN 'per-year-salary' THEN ' /year' ELSE '' END) END",
     ),
     "smartrecruiters": Board(
@@ -70,20 +90,20 @@ BOARDS: dict[str, Board] = {
         mode="CASE WHEN j.location.remote THEN 'remote' WHEN j.location.hybrid THEN 'hybrid' ELSE '' END", dedupe="last",
     ),
     "workable": Board(
-        "jobs array<struct<title:string,url:string,locations:array<struct<city:string,country:string>>,telecommuting:boolean,employment_type:string,description:string>>", "jobs",
-        "j.title", "j.url", "array_join(transform(j.locations, l -> concat_ws(', ', l.city, l.country)), '; ')", "j.description",
+        "jobs array<struct<title:string,url:string,shortlink:string,city:string,country:string,locations:array<struct<city:string,country:string>>,telecommuting:boolean,employment_type:string,description:string>>", "jobs",
+        "j.title", "coalesce(nullif(j.url, ''), j.shortlink)",
+        f"CASE WHEN size(j.locations) > 0 THEN array_join(transform(j.locations, l -> {_pair('l.city', 'l.country')}), '; ') ELSE {_pair('j.city', 'j.country')} END", "j.description",
         "CASE WHEN j.telecommuting THEN 'remote' ELSE '' END", "j.employment_type",
     ),
     "recruitee": Board(
-        "offers array<struct<title:string,careers_url:string,city:string,country:string,description:string,requirements:string,remote:boolean,hybrid:boolean>>", "offers",
-        "j.title", "j.careers_url", "concat_ws(', ', j.city, j.country)", "concat_ws(' ', j.description, j.requirements)",
-        "CASE WHEN j.remote THEN 'remote' WHEN j.hybrid THEN 'hybrid' ELSE '' END",
+        "offers array<struct<title:string,careers_url:string,city:string,country:string,description:string,requirements:string,remote:boolean,hybrid:boolean,employment_type_code:string>>", "offers",
+        "j.title", "j.careers_url", _pair("j.city", "j.country"), "concat_ws(' ', j.description, j.requirements)", _flags("j.remote", "j.hybrid"), "j.employment_type_code",
     ),
     "ashby": Board(
         "jobs array<struct<title:string,jobUrl:string,location:string,secondaryLocations:array<struct<location:string>>,isRemote:boolean,workplaceType:string,"
         "descriptionPlain:string,compensation:struct<compensationTierSummary:string>>>", "jobs",
-        "j.title", "j.jobUrl", "array_join(concat(array(j.location), transform(coalesce(j.secondaryLocations, array()), s -> s.location)), '; ')", "j.descriptionPlain",
-        "CASE WHEN j.isRemote THEN 'remote' ELSE coalesce(j.workplaceType, '') END", "''", "j.compensation.compensationTierSummary",
+        "j.title", "j.jobUrl", _joined("concat(array(j.location), transform(coalesce(j.secondaryLocations, array()), s -> s.location))"), "j.descriptionPlain",
+        _flags("j.isRemote OR lower(j.workplaceType) = 'remote'", "lower(j.workplaceType) = 'hybrid'"), "''", "j.compensation.compensationTierSummary",
     ),
     "oracle_hcm": Board(
         "items array<struct<requisitionList:array<struct<Id:string,Title:string,PrimaryLocation:string,secondaryLocations:array<struct<Name:string>>,WorkplaceType:string,ShortDescriptionStr:string>>>>", "get(_b.items, 0).requisitionList",
@@ -98,14 +118,14 @@ BOARDS: dict[str, Board] = {
     ),
     "phenom": Board(
         "refineSearch struct<data:struct<jobs:array<struct<title:string,jobId:string,multi_location:array<string>,location:string,descriptionTeaser:string,ml_skills:array<string>>>>>",
-        "refineSearch.data.jobs", "j.title", "concat(key, '/job/', j.jobId)", "coalesce(array_join(filter(j.multi_location, x -> x <> ''), '; '), j.location)",
+        "refineSearch.data.jobs", "j.title", "concat(key, '/job/', j.jobId)", f"CASE WHEN size(j.multi_location) > 0 THEN {_joined('j.multi_location')} ELSE j.location END",
         "concat_ws(' ', j.descriptionTeaser, array_join(j.ml_skills, ', '))",
     ),
     "nabory_api": Board(
         "content array<struct<jobPosition:string,fullPagePath:string,voivodeship:string,submissionDeadline:string,intro:string,employmentForm:string,subjectName:string>>", "content",
         "j.jobPosition", "j.fullPagePath", "CASE WHEN near_intro THEN concat(city, ', Polska') WHEN coalesce(j.voivodeship, '') <> '' THEN concat(j.voivodeship, ', Polska') ELSE '' END",
         "j.intro", "j.intro", "j.employmentForm", dedupe="first", where="coalesce(j.submissionDeadline, '9999') >= run_date AND coalesce(j.fullPagePath, '') <> ''",
-        company="j.subjectName", source="Budżetówka (gov.pl)", otherwise="Office", keywords=True,
+        company="j.subjectName", source="Budżetówka (gov.pl)", otherwise="Office", keywords=True, expires="coalesce(substring(j.submissionDeadline, 1, 10), '')",
     ),
     "workday": Board(
         "jobPostings array<struct<title:string,externalPath:string,locationsText:string,remoteType:string>>", "jobPostings",
@@ -132,18 +152,20 @@ def register_adapter(source: str, adapter: Callable[[DataFrame], DataFrame]) ->
 
 
 def offer_columns(rows: DataFrame, source: str, otherwise: str = "", confirmed: bool = True) -> DataFrame:
-    """The common columns from title, url, location, description, mode, contract, salary as the source has them."""
+    """The common columns from title, url, location, description, mode, contract, salary as the source has them. Where a source has read them itself,
+    rows may bring _mode (null: not given) and _contracts, _skills (the text skills are looked for in), company_categories and expires_in."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     read = rows.withColumn("_d", html_text(unescape(text("description"))))  # read whole; only the stored column is cut
     named = work_mode(text("mode"))
     mode = F.when(named != NOT_GIVEN, named).otherwise(F.lit(otherwise) if otherwise else work_mode(F.concat_ws(" ", text("location"), text("title"))))
     own = contracts(text("contract"))
+    kinds = F.col("_contracts") if "_contracts" in rows.columns else F.when(F.size(own) > 0, own).otherwise(contracts(F.col("_d")))
     return read.select(
         F.col("company"), F.trim(F.regexp_replace(text("title"), r"(?U)\s+", " ")).alias("title"), F.coalesce(F.nullif(F.trim(text("location")), F.lit("")), F.lit(NOT_GIVEN)).alias("location"),
-        mode.alias("work_mode"), F.when(F.size(own) > 0, own).otherwise(contracts(F.col("_d"))).alias("contract_types"),
+        (F.coalesce("_mode", F.lit(NOT_GIVEN)) if "_mode" in rows.columns else mode).alias("work_mode"), kinds.alias("contract_types"),
         F.when(text("salary") != "", text("salary")).otherwise(extract_salary(F.col("_d"))).alias("salary"),
-        text("url").alias("url"), F.lit(source).alias("source"), extract_skills(F.col("_d")).alias("skills"),
-        F.substring("_d", 1, 8000).alias("description"), F.lit(confirmed).alias("api_confirmed"),
+        text("url").alias("url"), F.lit(source).alias("source"), extract_skills(F.col("_skills" if "_skills" in rows.columns else "_d")).alias("skills"),
+        F.substring("_d", 1, 8000).alias("description"), F.lit(confirmed).alias("api_confirmed"), *[c for c in ("company_categories", "expires_in") if c in rows.columns],
     )
 
 
@@ -187,16 +209,18 @@ def normalise(landing: DataFrame, source: str, details: DataFrame | None = None,
         return _more[source](own)
     b = BOARDS[source]
     given = lambda c, default: F.coalesce(F.col(c), default) if c in landing.columns else default
+    kept_columns = [c for c in ("company_categories",) if c in landing.columns]
     parsed = own.select(
         "company", given("key", F.lit("")).alias("key"), given("phrase_no", F.lit(0)).alias("phrase_no"), given("seq", F.lit(0)).alias("seq"),
-        given("run_date", F.lit("")).alias("run_date"), F.from_json("body", b.schema).alias("_b"),
+        given("run_date", F.lit("")).alias("run_date"), *kept_columns, F.from_json("body", b.schema).alias("_b"),
     )
     jobs = F.expr(b.rows if "(" in b.rows else f"_b.{b.rows}" if b.rows else "_b")
-    each = parsed.select("company", "key", "phrase_no", "seq", "run_date", F.posexplode(jobs).alias("place", "j")).withColumn("country", F.lit(profile.country)).withColumn("city", F.lit(profile.city))
+    each = parsed.select("company", "key", "phrase_no", "seq", "run_date", *kept_columns, F.posexplode(jobs).alias("place", "j")).withColumn("country", F.lit(profile.country)).withColumn("city", F.lit(profile.city))
     near = preferred_city(F.col("j.intro"), profile) if source == "nabory_api" else F.lit(False)
     kept = each.where(F.expr(b.where)).withColumn("near_intro", near)
     fields = ("company", "title", "url", "location", "description", "mode", "contract", "salary")
-    rows = kept.select(*[F.expr(getattr(b, f)).alias(f) for f in fields], "phrase_no", "seq", "place")
+    until = [F.expr(b.expires).alias("expires_in")] if b.expires else []
+    rows = kept.select(*[F.expr(getattr(b, f)).alias(f) for f in fields], "phrase_no", "seq", "place", *kept_columns, *until)
     rows = first_or_last(rows, b.dedupe)
     if details is not None:
         rows = _with_details(rows, source, details.where(F.col("source") == source), profile, keywords)

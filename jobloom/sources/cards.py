@@ -13,7 +13,7 @@ from jobloom.functions import jsonld
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, extract_skills, has_any, work_mode
 from jobloom.functions.text import html_text, keyword_match, linkedin_url
 from jobloom.operators.offers import Profile, preferred_city
-from jobloom.operators.pages import absolute
+from jobloom.operators.pages import absolute, asked_for, page_description, page_facts
 from jobloom.sources.adapters import first_or_last, offer_columns
 
 #: What one posting is, by source.
@@ -70,6 +70,9 @@ RULES = {
 POLICY = {"successfactors": "first", "nabory_kprm": "first", "justjoinit": "first", "rocketjobs": "first", "nofluffjobs": "last", "linkedin": "last"}
 BASE = {"nabory_kprm": "https://nabory.kprm.gov.pl/", "justjoinit": "https://justjoin.it/", "nofluffjobs": "https://nofluffjobs.com", "rocketjobs": "https://rocketjobs.pl", "linkedin": "https://www.linkedin.com"}
 NAMES = {"justjoinit": "JustJoinIT", "nofluffjobs": "No Fluff Jobs", "rocketjobs": "RocketJobs", "linkedin": "LinkedIn", "nabory_kprm": "Budżetówka (nabory.kprm.gov.pl)", "pracuj": "Pracuj.pl"}
+# Names of modes and contracts on one portal's cards; of several modes the first counts.
+JJIT_MODES = ("Remote", "Hybrid", "Office", "Mobile")
+JJIT_CONTRACTS = ("B2B", "Permanent", "Mandate contract", "Contract", "Any")
 FIELDS = ("href", "id", "title", "company", "location", "place", "mode", "description", "salary_text", "unit", "expires_in")
 #: Rows of a list that count for a phrase.
 PER_PHRASE = 60
@@ -123,6 +126,8 @@ def read_cards(landing: DataFrame, source: str, profile: Profile = Profile()) ->
         place = F.get(F.filter(parts, lambda p: (p != "") & (p != F.col("company")) & ~p.isin("Remote", "Hybrid", "Office", "Mobile")), F.lit(0))
         pay = F.replace(F.regexp_extract(text, r"(?iU)(?:\d[\d\s,.]*\s*-\s*)?\d[\d\s,.]*\s*(?:PLN|EUR|USD|CHF)\s*/\s*(?:h|hour|day|month)", 0), F.lit(" "), F.lit(" "))
         new |= {"company": _or_not_given("company"), "location": F.coalesce(place, F.lit("")), "mode": text, "contract": text, "salary": pay}
+        word = lambda name: text.rlike(rf"(?iU)\b{name}\b")
+        new |= {"_mode": F.coalesce(*[F.when(word(m), F.lit(m)) for m in JJIT_MODES]), "_contracts": F.array_compact(F.array(*[F.when(word(k), F.lit(k)) for k in JJIT_CONTRACTS]))}
     made = c.where(ready).select(
         *[v.alias(k) for k, v in new.items()], "phrase_no", "seq", F.col("place_in_page").alias("place"), "filtered", "unit", text.alias("_text"), F.col("_l_company").alias("_board"),
         F.when(F.lit(source).isin("nofluffjobs", "rocketjobs"), F.when(F.lower(text).contains("nowa"), "Nowa").otherwise("")).otherwise(F.col("expires_in")).alias("expires_in"),
@@ -133,18 +138,31 @@ def read_cards(landing: DataFrame, source: str, profile: Profile = Profile()) ->
     if source in POLICY and source != "nabory_kprm":
         made = first_or_last(made, POLICY[source])
     portal = source in NAMES
-    out = offer_columns(made.drop("_text"), NAMES.get(source, f"Strona kariery ({source})"), NOT_GIVEN if portal else "", confirmed=not portal and source != "successfactors")
-    # a portal's skills are looked for in the whole card
-    if portal:
-        skills = first_or_last(made, "").select("url", F.col("company").alias("_c"), extract_skills(F.col("_text")).alias("_skills"), "expires_in")
-        out = out.join(skills, (out["url"] == skills["url"]) & (out["company"] == skills["_c"])).select(*[out[c] for c in out.columns if c != "skills"], F.col("_skills").alias("skills"), "expires_in")
-    return out
+    # a portal's skills are looked for in the whole card, and it says until when an offer stands
+    rows = made.withColumn("_skills", F.col("_text")) if portal else made.drop("expires_in")
+    return offer_columns(rows, NAMES.get(source, f"Strona kariery ({source})"), NOT_GIVEN if portal else "", confirmed=not portal and source != "successfactors")
 
 
 def _or_not_given(name: str) -> Column:
     return F.when(F.col(name) != "", F.col(name)).otherwise(NOT_GIVEN)
 
 
+def nofluffjobs_details(offers: DataFrame, pages: DataFrame) -> DataFrame:
+    """offers with what their own page (url, status, html) says: its description, and from that the mode, contracts and salary that the card does not
+    give, and more skills; the company from the posting embedded where the card has none. Offers whose page was not read stay as they are."""
+    facts = page_facts(asked_for(pages.where("status = 200"), offers)).select(F.col("url").alias("_u"), "embedded", "main_text", "organization")
+    both = offers.join(facts, F.col("url") == F.col("_u"), "left")
+    staged = both.withColumn("_d", F.when(F.col("_u").isNotNull(), page_description(F.col("title"))))
+    read, d = F.col("_u").isNotNull(), F.col("_d")
+    named = F.when(F.col("company") == NOT_GIVEN, F.coalesce(F.nullif("organization", F.lit("")), F.col("company"))).otherwise(F.col("company"))
+    return staged.withColumns({
+        "company": named, "description": F.when(read, d).otherwise(F.col("description")), "work_mode": F.when(read & (F.col("work_mode") == NOT_GIVEN), work_mode(d)).otherwise(F.col("work_mode")),
+        "contract_types": F.when(read & (F.size("contract_types") == 0), contracts(d)).otherwise(F.col("contract_types")),
+        "salary": F.when(read & (F.col("salary") == ""), extract_salary(d)).otherwise(F.col("salary")),
+        "skills": F.when(read, F.array_distinct(F.concat("skills", extract_skills(d)))).otherwise(F.col("skills")),
+    }).select(*offers.columns)
+
+
 def linkedin_details(offers: DataFrame, pages: DataFrame, keywords) -> DataFrame:
     """offers whose title has a keyword, with what their own page (url, html) says: closed ones are marked so and keep the rest."""
     low = F.lower(html_text(F.col("html")))

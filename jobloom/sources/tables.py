@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What tells rows apart, in order.
@@ -56,14 +56,21 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: How each JSON board shapes a job, and the list of jobs.
 JOBS = {
     "greenhouse": "named_struct('title', title, 'absolute_url', url, 'location', named_struct('name', location), 'content', concat('<p>', title, '</p>'))",
-    "lever": "named_struct('text', title, 'hostedUrl', url, 'categories', named_struct('location', 'x', 'allLocations', array(location, 'Opole'), 'commitment', 'B2B'), 'workplaceType', 'hybrid', 'salaryRange', named_struct('min', l_orderkey, 'max', l_orderkey + 1, 'currency', 'PLN', 'interval', 'per-hour-wage'))",
+    "lever": "named_struct('text', title, 'hostedUrl', url, 'categories', named_struct('location', location, 'allLocations', CASE l_partkey % 3 WHEN 0 THEN array(location, '', 'Opole') WHEN 1 THEN cast(array() AS array<string>) END, 'commitment', 'B2B'), "
+    "'workplaceType', element_at(array('hybrid', 'Remote', 'on-site', cast(null AS string)), cast(l_partkey % 4 + 1 AS int)), 'descriptionPlain', CASE WHEN l_partkey % 2 = 0 THEN 'umowa o pracę' END, "
+    "'salaryRange', CASE l_orderkey % 5 WHEN 0 THEN named_struct('min', '100', 'max', cast(null AS string), 'currency', 'PLN', 'interval', 'per-hour-wage') WHEN 1 THEN named_struct('min', '12.5', 'max', '20.25', 'currency', 'EUR', 'interval', 'other') "
+    "WHEN 2 THEN named_struct('min', '1', 'max', '2', 'currency', cast(null AS string), 'interval', 'x') WHEN 3 THEN named_struct('min', cast(l_orderkey AS string), 'max', cast(l_orderkey + 1 AS string), 'currency', 'PLN', 'interval', 'per-month-salary') END)",
     "smartrecruiters": "named_struct('id', id, 'name', title, 'location', named_struct('city', location, 'remote', true))",
-    "workable": "named_struct('title', title, 'url', url, 'locations', array(named_struct('city', location)), 'telecommuting', true, 'employment_type', 'B2B')",
-    "recruitee": "named_struct('title', title, 'careers_url', url, 'city', location, 'country', cast(null AS string), 'description', cast(null AS string), 'requirements', concat('B2B ', l_partkey, ' PLN/h'), 'hybrid', true)",
-    "ashby": "named_struct('title', title, 'jobUrl', url, 'location', location, 'secondaryLocations', array(named_struct('location', 'Opole')), 'isRemote', false, 'workplaceType', 'OnSite', 'compensation', named_struct('compensationTierSummary', salary))",
+    "workable": "named_struct('title', title, 'url', CASE WHEN l_partkey % 4 = 0 THEN '' ELSE url END, 'shortlink', concat('https://w.co/', id), 'city', location, 'country', CASE WHEN l_partkey % 2 = 0 THEN 'Polska' END, "
+    "'locations', CASE l_partkey % 3 WHEN 0 THEN array(named_struct('city', location, 'country', ''), named_struct('city', '', 'country', 'Polska')) WHEN 1 THEN cast(array() AS array<struct<city:string,country:string>>) END, "
+    "'telecommuting', l_partkey % 5 = 0, 'employment_type', CASE WHEN l_partkey % 7 > 0 THEN 'B2B' END)",
+    "recruitee": "named_struct('title', title, 'careers_url', url, 'city', CASE WHEN l_partkey % 4 = 0 THEN '' ELSE location END, 'country', CASE l_partkey % 3 WHEN 0 THEN 'Poland' WHEN 1 THEN '' END, 'description', cast(null AS string), "
+    "'requirements', concat('B2B ', l_partkey, ' PLN/h'), 'hybrid', l_partkey % 5 > 1, 'remote', l_partkey % 5 = 0, 'employment_type_code', CASE WHEN l_partkey % 7 = 0 THEN 'permanent' END)",
+    "ashby": "named_struct('title', title, 'jobUrl', url, 'location', CASE WHEN l_partkey % 4 = 0 THEN cast(null AS string) ELSE location END, 'secondaryLocations', CASE l_partkey % 3 WHEN 0 THEN array(named_struct('location', 'Opole'), named_struct('location', '')) WHEN 1 THEN cast(array() AS array<struct<location:string>>) END, "
+    "'isRemote', CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END, 'workplaceType', element_at(array('OnSite', 'Hybrid', 'Remote', cast(null AS string)), cast(l_partkey % 7 % 4 + 1 AS int)), 'compensation', CASE WHEN l_partkey % 2 = 0 THEN named_struct('compensationTierSummary', salary) END)",
     "oracle_hcm": "named_struct('Id', id, 'Title', title, 'PrimaryLocation', location, 'secondaryLocations', array(named_struct('Name', location), named_struct('Name', 'Opole')), 'WorkplaceType', 'Hybrid work')",
     "capgemini": "named_struct('title', title, 'apply_job_url', CASE WHEN l_partkey % 10 = 0 THEN '' ELSE url END, 'location', CASE WHEN l_partkey % 7 = 0 THEN cast(null AS string) ELSE location END, 'contract_type', 'permanent')",
-    "phenom": "named_struct('title', title, 'jobId', id, 'multi_location', array(location, 'Opole'))",
+    "phenom": "named_struct('title', title, 'jobId', id, 'multi_location', CASE l_partkey % 3 WHEN 0 THEN array(location, '', 'Opole') WHEN 1 THEN cast(array() AS array<string>) END, 'location', concat(location, ' HQ'), 'descriptionTeaser', 'SQL', 'ml_skills', array('Jira'))",
     "nabory_api": "named_struct('jobPosition', title, 'fullPagePath', url, 'voivodeship', location, 'submissionDeadline', CASE WHEN l_partkey % 5 = 0 THEN '2024-01-01' WHEN l_partkey % 5 = 1 THEN cast(null AS string) ELSE '2024-03-01' END, 'intro', CASE WHEN l_partkey % 3 = 0 THEN 'Praca we Wrocławiu: Wroclaw' ELSE '' END, 'employmentForm', 'umowa o pracę', 'subjectName', company)",
     "workday": "named_struct('title', title, 'externalPath', concat('/job/', id), 'locationsText', location, 'remoteType', 'Partially remote')",
     "traffit": "named_struct('url', url, 'advert', named_struct('name', title, 'values', array(named_struct('field_id', 'geolocation', 'value', to_json(named_struct('locality', location, 'country', 'Polska'))), named_struct('field_id', 'description', 'value', 'SQL'))), 'options', named_struct('remote', 'hybrid', 'jobType', 'B2B'))",
@@ -86,7 +93,7 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Offers wrapped in the shape of a board's response, one response for up to about 50 offers of a company, as boards page them."""
-    paged = numbered(spark, sf_dir).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(64)).cast("int")).groupBy("company", "seq").agg(F.expr(f"collect_list({JOBS[source]})").alias("jobs"))
+    paged = numbered(spark, sf_dir).withColumn("seq", (F.row_number().over(Window.partitionBy("company").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "url", "salary")) / 50).cast("int")).groupBy("company", "seq").agg(F.expr(f"collect_list({JOBS[source]})").alias("jobs"))
     return paged.select(F.lit(source).alias("source"), "company", "seq", F.lit(KEYS.get(source, "")).alias("key"), F.lit("2024-02-01").alias("run_date"), F.expr(f"to_json({BODIES[source]})").alias("body"))
 
 
@@ -95,7 +102,8 @@ CARD_HTML = {
     "teamtailor": "concat('<item><title>', title, '</title><link>', url, '</link><remoteStatus>hybrid</remoteStatus><tt:locations><tt:location><tt:city>', location, '</tt:city><tt:country>Polska</tt:country></tt:location><tt:location><tt:city>Opole</tt:city></tt:location></tt:locations><description>&lt;p&gt;B2B ', l_partkey, ' PLN/h&lt;/p&gt;</description></item>')",
     "successfactors": "concat('<tr><td><a class=\"jobTitle-link\" href=\"/job/', id, '\">', title, '</a></td><td><span class=\"jobLocation\">', location, '</span></td></tr>')",
     "erecruiter": "concat('<tr offerid=\"', id, '\"><td class=\"skk_positionName\">', title, '</td><td>x</td><td>', location, '</td></tr>')",
-    "justjoinit": "concat('<article><a class=\"offer-card\" href=\"/job-offer/', id, '\"></a><a class=\"offer_list_offer_title_link\">', title, '</a><object><img alt=\"', company, '\"></object><p>', company, '</p><p>Hybrid</p><p>', location, '</p><span>B2B ', l_partkey, ' PLN / h</span><i>7d left</i></article>')",
+    # modes and contracts by row, in the portal's own names
+    "justjoinit": "concat('<article><a class=\"offer-card\" href=\"/job-offer/', id, '\"></a><a class=\"offer_list_offer_title_link\">', title, '</a><object><img alt=\"', company, '\"></object><p>', company, '</p><p>', element_at(array('Hybrid', 'Remote or Hybrid', 'office, mobile', 'Any place'), cast(l_partkey % 4 + 1 AS int)), '</p><p>', location, '</p><b>', element_at(array('Contract', 'Permanent, Mandate contract', 'permanently'), cast(l_partkey % 3 + 1 AS int)), '</b><span>B2B ', l_partkey, ' PLN / h</span><i>7d left</i></article>')",
     "nofluffjobs": "concat('<a class=\"posting-list-item\" href=\"/pl/job/', id, '\"><h3>', title, ' NOWA</h3><h4 class=\"company-name\">', company, '</h4><span data-cy=\"salary ranges on the job offer listing\">', l_partkey, ' PLN / godz.</span><span data-cy=\"location on the job offer listing\">Hybrydowo, ', location, '</span></a>')",
     "rocketjobs": "concat('<article><a class=\"offer-card\" href=\"https://rocketjobs.pl/oferta-pracy/', id, '\"></a><h3>', title, '</h3><div><svg class=\"lucide-building\"></svg></div><p>', company, '</p><div><svg class=\"lucide-map-pin\"></svg></div><p>', location, '</p><span>Zdalnie, umowa zlecenie, ', l_partkey, ' PLN/h</span></article>')",
     "linkedin": "concat('<li><div class=\"job-search-card\"><a class=\"base-card__full-link\" href=\"https://pl.linkedin.com/jobs/view/x-at-y-', 1000000 + l_orderkey, l_linenumber, l_partkey, l_suppkey, '?trk=1\"></a><h3 class=\"base-search-card__title\">', title, '</h3><h4 class=\"base-search-card__subtitle\"><a>', company, '</a></h4><span class=\"job-search-card__location\">', location, '</span><time datetime=\"2024-01-05\"></time></div></li>')",
@@ -104,7 +112,7 @@ CARD_HTML = {
 
 def card_landing(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Offers as cards of HTML pages (or items of a feed), one page for up to about 50 offers of a company."""
-    paged = numbered(spark, sf_dir).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(64)).cast("int")).groupBy("company", "seq").agg(F.array_join(F.expr(f"collect_list({CARD_HTML[source]})"), "").alias("b"))
+    paged = numbered(spark, sf_dir).withColumn("seq", (F.row_number().over(Window.partitionBy("company").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "url", "salary")) / 50).cast("int")).groupBy("company", "seq").agg(F.array_join(F.expr(f"collect_list({CARD_HTML[source]})"), "").alias("b"))
     body = F.concat(F.lit("cb("), F.to_json(F.struct(F.col("b").alias("htm"))), F.lit(");")) if source == "erecruiter" else F.concat(F.lit("<html><body>"), "b", F.lit("</body></html>"))
     key = {"successfactors": "https://jobs.x.com", "erecruiter": "c0"}.get(source, "")
     return paged.select(F.lit(source).alias("source"), "company", "seq", F.lit(key).alias("key"), F.lit(True).alias("remote_only"), body.alias("body"))
