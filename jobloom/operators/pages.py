@@ -374,3 +374,36 @@ def boards_in_pages(pages: DataFrame) -> DataFrame:
     every = named.unionByName(pages.select("page_id", F.explode(hosted).alias("b")))
     return every.select("page_id", "b.type", "b.key").distinct()
 
+
+#: Schema of board rules: their order; the type of board; the end of its hosts, whole labels; the pattern of its addresses; the key, with the pattern's groups as $1,
+#: $2...; the group that tells keys which are none; whether keys are lower-cased.
+BOARD_RULES = "no int, type string, suffix string, pattern string, key string, named string, lower boolean"
+
+
+def board_rules(spark) -> DataFrame:
+    """The rules of BOARDS as a table, to which others can be added."""
+    suffix = {"greenhouse": "greenhouse.io", "lever": "lever.co", "smartrecruiters": "smartrecruiters.com", "workable": "workable.com", "workday": "myworkdayjobs.com", "recruitee": "recruitee.com",
+              "ashby": "ashbyhq.com", "traffit": "traffit.com", "teamtailor": "teamtailor.com", "oracle_hcm": "oraclecloud.com", "erecruiter": "erecruiter.pl"}
+    key = {"workday": "$1.$2.myworkdayjobs.com/$3", "oracle_hcm": "$1/$2"}
+    named = {"workday": "$3", "oracle_hcm": "-"}
+    rows = [(i, kind, suffix[kind], pattern, key.get(kind, f"${g[0]}"), named.get(kind, f"${g[0]}"), kind == "erecruiter") for i, (kind, pattern, g) in enumerate(BOARDS)]
+    return spark.createDataFrame(rows, BOARD_RULES)
+
+
+def detect_boards(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """urls with the type and key of the board that each belongs to (null: none), by rules in a table. Rules meet URLs by the ends of the hosts that a
+    URL names, so each URL is tried against its few candidates only; the first rule that fits counts, even if its key is none. Each distinct URL is tried once."""
+    whole = lambda c: F.rtrim(F.replace(unescape(c), F.lit("\\/"), F.lit("/")), F.lit("\\"))
+    each = urls.where(F.col(url).isNotNull()).select(F.col(url).alias("_url")).distinct().withColumn("_u", whole(F.col("_url")))
+    hosts = F.regexp_extract_all(F.lower("_u"), F.lit(r"https?://([^/?#\s]+)"), F.lit(1))
+
+    def ends(host: Column) -> Column:
+        labels = F.split(host, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    tried = each.withColumn("suffix", F.explode(F.array_distinct(F.flatten(F.transform(hosts, ends))))).join(rules, "suffix").where(F.expr("_u RLIKE pattern"))
+    hit = "regexp_extract(_u, pattern, 0)"
+    key, named = F.expr(f"regexp_replace({hit}, pattern, key)"), F.expr(f"regexp_replace({hit}, pattern, named)")
+    found = F.struct("no", "type", F.when(F.col("lower"), F.lower(key)).otherwise(key).alias("key"), F.lower(named).isin(*IGNORED_KEYS).alias("none"))
+    first = tried.groupBy("_url").agg(F.min(found).alias("_b")).where("NOT _b.none").select("_url", "_b.type", "_b.key")
+    return urls.join(first, F.col(url) == F.col("_url"), "left").drop("_url")

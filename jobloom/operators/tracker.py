@@ -145,8 +145,14 @@ def placed(rows: DataFrame, then: list[str]) -> DataFrame:
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """section: active, done or gone."""
-    return rows.withColumn("section", F.when(F.col("status").isin(*DONE), "done").when(F.col("active") == YES, "active").otherwise("gone"))
+    """section: gone (not found in the last run, whatever its status), done or active."""
+    return rows.withColumn("section", F.when(F.coalesce("active", F.lit("")) != YES, "gone").when(F.col("status").isin(*DONE), "done").otherwise("active"))
+
+
+def section_counts(rows: DataFrame, run_date: str) -> DataFrame:
+    """Rows of each section of each list, and how many of the active ones were seen first on run_date."""
+    new = (F.col("section") == "active") & (F.col("first_seen") == run_date)
+    return sections(rows).groupBy("list_name", "section").agg(F.count("*").alias("n"), F.count_if(new).alias("n_new"))
 
 
 def seed_if_empty(lists: DataFrame, backup: DataFrame) -> DataFrame:
@@ -253,3 +259,16 @@ def digest(lists: DataFrame, problems: DataFrame, new_rows: DataFrame) -> DataFr
     total = both.agg(F.sum("n_new").alias("total_new"), F.sum("n_problems").alias("total_problems"))
     joined = both.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
     return joined.withColumn("send", (F.col("total_new") > 0) | (F.col("total_problems") > 0))
+
+
+# The dash between company and title in a digest.
+DASH = " – "
+
+
+def digest_rows(new_rows: DataFrame, problems: DataFrame) -> DataFrame:
+    """What a digest tells, a row a line: list_name, part (new or problem), line and link. New rows name company, title, place and mode; problems follow their
+    list's name. Lines of a list are ordered by part and line: nothing is gathered here, as a list may have any number."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    label = F.concat(text("company"), F.lit(DASH), text("title"), F.lit(" ("), text("location"), F.lit(", "), text("work_mode"), F.lit(")"))
+    news = new_rows.select("list_name", F.lit("new").alias("part"), label.alias("line"), text("link").alias("link"))
+    return news.unionByName(problems.select("list_name", F.lit("problem").alias("part"), F.concat("list_name", F.lit(": "), "problem").alias("line"), F.lit("").alias("link")))

@@ -505,6 +505,18 @@ def detect_board(spark, d) -> DataFrame:
     return b.select("page_id", "b.type", "b.key")
 
 
+# one more board, by a rule in the table alone
+_ADDED = (99, "own", "example.com", r"https?://example\.com/job/(\d+)", "job-$1", "$1", False)
+
+
+@query(" UNION ALL ".join([*_found, "SELECT page_id, 'teamtailor' AS type, concat('team', page_id % 9) AS key FROM pages WHERE page_id % 12 = 9", "SELECT page_id, 'own', concat('job-', page_id % 9) FROM pages WHERE page_id % 12 = 11"]))
+def detect_board_rules(spark, d) -> DataFrame:
+    """Boards by rules in a table, with one rule added to it."""
+    rules = P.board_rules(spark).union(spark.createDataFrame([_ADDED], P.BOARD_RULES))
+    made = spark.sql("SELECT page_id, " + _link_of.replace("\\", "\\\\") + " AS url FROM {pages}", pages=read(spark, d, "pages"))
+    return P.detect_boards(made, rules).where("type IS NOT NULL").select("page_id", "type", "key")
+
+
 # -- tracker -------------------------------------------------------------------------------------------
 
 TR = f"t AS ({TRACKER_SQL.replace('STRING', 'VARCHAR')})"
@@ -572,15 +584,41 @@ def tracker_order_all(spark, d) -> DataFrame:
     return tracker_order(spark, d)
 
 
-@query(f"WITH {TR} SELECT list_name, CASE WHEN {_rank} = 2 THEN 'done' WHEN active = 'Tak' THEN 'active' ELSE 'gone' END AS section, count(*)::BIGINT AS n, count(*) FILTER (active = 'Tak')::BIGINT AS n_active FROM t GROUP BY ALL")
+_section = f"CASE WHEN active <> 'Tak' THEN 'gone' WHEN {_rank} = 2 THEN 'done' ELSE 'active' END"
+
+
+@query(
+    f"WITH {TR} SELECT list_name, {_section} AS section, count(*)::BIGINT AS n, count(*) FILTER (active = 'Tak')::BIGINT AS n_active, "
+    f"count(*) FILTER ({_section} = 'active' AND first_seen = '2024-01-09')::BIGINT AS n_new FROM t GROUP BY ALL"
+)
 def report_sections(spark, d) -> DataFrame:
-    return T.sections(tracker(spark, d)).groupBy("list_name", "section").agg(F.count("*").alias("n"), F.count_if(F.col("active") == "Tak").alias("n_active"))
+    t = tracker(spark, d)
+    active = T.sections(t).groupBy("list_name", "section").agg(F.count_if(F.col("active") == "Tak").alias("n_active"))
+    return T.section_counts(t, "2024-01-09").join(active, ["list_name", "section"])
+
 
+# rows of the second snapshot are new; every eleventh event is a problem of its list
+_bad = "event_id % 11 = 0 AND list_name <> 'list1'"
 
-@query(f"WITH {TR} SELECT list_name, count(*) FILTER (NOT before)::BIGINT AS n_new, count(*) FILTER (active = 'Tak')::BIGINT AS n_active, count(*)::BIGINT AS n, count(*) FILTER (NOT before) > 0 AS send FROM t GROUP BY 1")
+
+@query(
+    f"WITH {TR}, c AS (SELECT list_name, count(*) FILTER (NOT before)::BIGINT AS n_new, count(*) FILTER ({_bad})::BIGINT AS n_problems, count(*) FILTER (active = 'Tak')::BIGINT AS active, "
+    "count(*)::BIGINT AS saved FROM t GROUP BY 1) SELECT *, (sum(n_new) OVER ())::BIGINT AS total_new, (sum(n_problems) OVER ())::BIGINT AS total_problems, (sum(n_new) OVER ()) > 0 OR (sum(n_problems) OVER ()) > 0 AS send FROM c"
+)
 def run_digest(spark, d) -> DataFrame:
-    t = tracker(spark, d).groupBy("list_name").agg(F.count_if(~F.col("before")).alias("n_new"), F.count_if(F.col("active") == "Tak").alias("n_active"), F.count("*").alias("n"))
-    return t.withColumn("send", F.col("n_new") > 0)
+    t = tracker(spark, d)
+    lists = t.groupBy("list_name").agg(F.count_if(F.col("active") == "Tak").alias("active"), F.count("*").alias("saved"))
+    return T.digest(lists, t.where(_bad), t.where("not before"))
+
+
+@query(
+    f"WITH {TR} SELECT list_name, 'new' AS part, key || ' – ' || status || ' (' || active || ', )' AS line, link FROM t WHERE NOT before "
+    f"UNION ALL SELECT list_name, 'problem', list_name || ': bad ' || event_id, '' FROM t WHERE {_bad}"
+)
+def digest_rows(spark, d) -> DataFrame:
+    t = tracker(spark, d)
+    news = t.where("not before").select("list_name", F.col("key").alias("company"), F.col("status").alias("title"), F.col("active").alias("location"), F.lit(None).cast("string").alias("work_mode"), "link")
+    return T.digest_rows(news, t.where(_bad).select("list_name", F.expr("concat('bad ', event_id)").alias("problem")))
 
 
 @query(f"WITH {TR}, a AS (SELECT * FROM t WHERE list_name = 'list1') SELECT list_name, count(*)::BIGINT AS n FROM (SELECT list_name FROM a UNION ALL SELECT list_name FROM t WHERE list_name <> 'list1') GROUP BY 1")

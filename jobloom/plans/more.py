@@ -9,6 +9,7 @@ from jobloom.functions import jsonld, language
 from jobloom.functions.text import titles_match as match_titles
 from jobloom.operators import offers as O
 from jobloom.operators import pages as P
+from jobloom.operators import store
 from jobloom.operators import tracker as T
 from jobloom.plans.catalogue import (
     DEDUPED, OFFERS, ORDER, PROFILE, SEQ, TR, _any, _fold, _inner, _keyword, _matches, _plain, _rank, _title, _written, _MARKS, query, read, tracker,
@@ -410,6 +411,32 @@ def tracker_union(spark, d) -> DataFrame:
     return rows.select("key", "event_id", "link", "active", "status", "first_seen")
 
 
+# a tracker of three lists; a run over the first, with the statuses of the others
+_written_u = (
+    _u.replace("WHERE before AND list_name <> 'list2'", "WHERE before AND list_name = 'list0'").replace("WHERE NOT before AND list_name <> 'list2'", "WHERE NOT before AND list_name = 'list0'")
+    .replace("company = 'list0' AND source <> 's3'", "true").replace("FROM b WHERE list_name = 'list2'", "FROM b WHERE before AND list_name <> 'list0'").replace("ORDER BY {_rank} DESC, event_id", "ORDER BY {_rank} DESC, event_id")
+)
+
+
+@query(
+    f"{_written_u} SELECT 'list0' AS list_name, key, event_id, link, active, CASE WHEN {_rank.replace('status', 'other')} > rk THEN other ELSE status END AS status, first_seen FROM o "
+    "UNION ALL SELECT list_name, key, event_id, link, active, status, first_seen FROM b WHERE before AND list_name <> 'list0'"
+)
+def tracker_write(spark, d) -> DataFrame:
+    """Two runs through the stored tracker: the first commits three lists, the second merges into one of them; read back from the store."""
+    import uuid
+
+    t = tracker(spark, d).withColumn("company", F.col("list_name")).withColumn("source", F.concat(F.lit("s"), F.col("event_id") % 4)).withColumn("last_seen", F.lit(""))
+    t = t.withColumn("key", F.concat("key", F.lit("/"), F.col("event_id") % 50))
+    path = f"{store.shared_dir(spark)}/tracker-{uuid.uuid4().hex}"
+    for name in ("list0", "list1", "list2"):
+        T.write_list(t.where(F.col("before") & (F.col("list_name") == name)).drop("before"), path, name)
+    run = t.where("not before and list_name = 'list0'").drop("before", "list_name", "status", "first_seen", "active", "last_seen")
+    _, told = T.update(spark, path, f"{path}-backup", "list0", run, "2024-02-01", ["event_id"])
+    assert not told, told
+    return T.read_current(spark, path).select("list_name", "key", "event_id", "link", "active", "status", "first_seen")
+
+
 @query(f"WITH {TR} SELECT list_name, count(*) FILTER (active = 'Tak')::BIGINT AS n_active FROM t GROUP BY 1")
 def active_count(spark, d) -> DataFrame:
     return tracker(spark, d).groupBy("list_name").agg(F.count_if(F.col("active") == "Tak").alias("n_active"))
@@ -498,3 +525,15 @@ def scan_methods(spark, d) -> DataFrame:
     return registry.scan_methods(found).select("company", F.array_join("methods", ",").alias("methods"), "n_urls")
 
 
+# runs of portals, from the suppliers: some fail, some warn, some give nothing
+_RUNS = "SELECT s_name AS source, CASE WHEN s_suppkey % 5 = 0 THEN concat('HTTP ', s_suppkey) ELSE '' END AS error, s_suppkey % 3 = 1 AS warned, CAST(s_suppkey % 4 AS INT) AS n_offers FROM supplier"
+
+
+@query(
+    f"WITH r AS ({_RUNS}) SELECT source, source || ': źródło nie działa (' || error || ')' AS problem, true AS incomplete FROM r WHERE error <> '' "
+    "UNION ALL SELECT source, 'blocked at ' || source, true FROM r WHERE error = '' AND warned UNION ALL SELECT source, source || ': 0 ofert - możliwa zmiana strony portalu', false FROM r WHERE error = '' AND n_offers = 0"
+)
+def source_problems(spark, d) -> DataFrame:
+    runs = spark.sql(_RUNS.replace("FROM supplier", "FROM {supplier}"), supplier=read(spark, d, "supplier"))
+    warnings = F.expr("CASE WHEN warned THEN array(concat('blocked at ', source)) END")
+    return registry.source_problems(runs.withColumn("warnings", warnings))

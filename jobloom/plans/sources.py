@@ -153,3 +153,19 @@ def landing_scan(spark, d) -> DataFrame:
     return own.groupBy("company").agg(F.sum("n").alias("n"))
 
 
+@query(f"{N} SELECT company, trim(title) AS title, url FROM n WHERE l_suppkey % 2 = 0")
+def landing_partitions(spark, d) -> DataFrame:
+    """Three landed sources of two days, of which a run asks for one day of one: the scan lists that directory only."""
+    import uuid
+
+    from jobloom.operators.store import shared_dir
+    from jobloom.sources.landing import read_landing, write_landing
+
+    path = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    for source in ("greenhouse", "recruitee", "capgemini"):
+        landed = landing(spark, d, source)
+        by_day = F.expr("CASE WHEN CAST(substring(split(company, ' ')[0], 10) AS INT) % 2 = 0 THEN '2024-02-02' ELSE '2024-02-01' END")
+        write_landing(landed.withColumn("run_date", by_day), path)
+    wanted = spark.createDataFrame([("greenhouse", "2024-02-02")], "source string, run_date string")
+    o = adapters.normalise(read_landing(spark, path, wanted), "greenhouse", profile=PROFILE)
+    return o.select("company", "title", "url")

@@ -97,3 +97,18 @@ def problems(scans: DataFrame) -> DataFrame:
     failed = scans.where("coalesce(error, '') <> ''").select("company", F.concat(label, named(F.col("error"))).alias("problem"))
     warned = scans.select("company", F.explode("warnings").alias("w")).where(F.contains("w", F.lit(UNREACHABLE))).select("company", F.concat(F.lit(WARNING), named(F.col("w"))).alias("problem"))
     return failed.unionByName(warned)
+
+
+# Problems of sources that are no companies: one that fails, one that gives nothing.
+SOURCE_FAILS, SOURCE_EMPTY = ": źródło nie działa (", ": 0 ofert - możliwa zmiana strony portalu"
+
+
+def source_problems(runs: DataFrame) -> DataFrame:
+    """Of runs of portals and public sources (source, error, warnings, n_offers): source, problem and incomplete. A source that failed has that problem alone; others have
+    each of their warnings, and one more if they gave no offer. What failed or warned is incomplete: what it does not show is not gone."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    fault = F.array(F.struct(F.concat("source", F.lit(SOURCE_FAILS), "error", F.lit(")")).alias("problem"), F.lit(True).alias("incomplete")))
+    warned = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.struct(w.alias("problem"), F.lit(True).alias("incomplete")))
+    empty = F.when(F.coalesce("n_offers", F.lit(0)) == 0, F.array(F.struct(F.concat("source", F.lit(SOURCE_EMPTY)).alias("problem"), F.lit(False).alias("incomplete"))))
+    told = F.when(failed, fault).otherwise(F.concat(warned, F.coalesce(empty, F.array().cast("array<struct<problem:string,incomplete:boolean>>"))))
+    return runs.select("source", F.inline(told))
