@@ -12,7 +12,7 @@ from jobloom.operators import pages as P
 from jobloom.operators import store
 from jobloom.operators import tracker as T
 from jobloom.plans.catalogue import (
-    DEDUPED, OFFERS, ORDER, PROFILE, SEQ, TR, _any, _fold, _inner, _keyword, _matches, _plain, _rank, _title, _written, _MARKS, query, read, tracker,
+    DEDUPED, OFFERS, ORDER, PROFILE, SEQ, TR, _any, _fold, _inner, _keyword, _matches, _plain, _rank, _title, _written, query, read, tracker,
 )
 from jobloom.sources import registry
 from jobloom.sources.tables import offers
@@ -43,29 +43,21 @@ def described(spark, d) -> DataFrame:
     return made.withColumn("salary", F.lit("")).withColumn("contract_types", empty).withColumn("skills", empty)
 
 
-_stems = (
-    "niemiecki:niemieck german deutsch;francuski:francusk french francais;włoski:wlosk italian italiano;hiszpański:hiszpansk spanish espanol;portugalski:portugalsk portuguese;"
-    "niderlandzki:niderlandzk holendersk dutch nederlands flemish;szwedzki:szwedzk swedish svenska;norweski:norwesk norwegian;duński:dunsk danish;fiński:finsk finnish;czeski:czesk czech;"
-    "słowacki:slowack slovak;węgierski:wegiersk hungarian;rumuński:rumunsk romanian;rosyjski:rosyjsk russian;ukraiński:ukrainsk ukrainian;japoński:japonsk japanese;chiński:chinsk chinese mandarin;"
-    "koreański:koreansk korean;turecki:tureck turkish;grecki:greck greek;arabski:arabsk arabic;hebrajski:hebrajsk hebrew"
-)
-_stem_rows = ", ".join(f"({i}, '{part.split(':')[0]}', '{stem}')" for i, part in enumerate(_stems.split(";")) for stem in part.split(":")[1].split())
-_context = "jezyk,language,speaking,speaker,fluent,plynn,komunikatyw,native,biegl,znajomosc,knowledge,proficien,b1,b2,c1,c2,with ,z jezykiem,spoken,written,verbal,pisemn,ustn".split(",")
-_optional = "mile widzian,nice to have,nice-to-have,a plus,is a plus,will be a plus,advantage,atut,dodatkow,preferred but,optional,opcjonaln,bonus".split(",")
-_learning = "kurs,course,lekcj,lesson,zajecia,classes,nauka,nauki,learning,szkoleni,training,dofinansowan,platform".split(",")
-_picker = "\\b[a-z]+ \\((?:united states|united kingdom|france|deutschland|germany|espana|spain|italia|italy|polska|poland|portugal|brasil|nederland)\\)"
-_written_rows = ", ".join(f"({100 + i}, '{k}', {_written(k, v)} IS NOT NULL)" for i, (k, v) in enumerate(_MARKS.items()))
+_stem_rows = ", ".join(f"({i}, '{name}', '{stem}')" for i, (name, stems) in enumerate(language.LANGUAGES) for stem in stems)
+_written_names = [name for name, _ in language.WRITTEN_IN]
+_written_rows = ", ".join(f"({100 + i}, '{name}')" for i, name in enumerate(_written_names))
+_written_found = ", ".join(f"CASE WHEN {_written(name, marks)} IS NOT NULL THEN {100 + i} END" for i, (name, marks) in enumerate(language.WRITTEN_IN))
 #: l: doc_id and its languages, of rows p (doc_id, title, description).
 LANGUAGES = f"""stem(no, lang, stem) AS (VALUES {_stem_rows}), b AS (SELECT doc_id, {_fold('title')} AS h, {_fold('description')} AS b FROM p),
 tt AS (SELECT DISTINCT doc_id, no, lang FROM b, stem WHERE regexp_matches(h, '(^|[^a-z])' || stem)),
-ss AS (SELECT doc_id, no, lang, stem, unnest(regexp_split_to_array(regexp_replace(b, '{_picker}', ' ', 'g'), '[.;!?\\n•|]+')) AS s FROM b, stem WHERE contains(b, stem)),
+ss AS (SELECT doc_id, no, lang, stem, unnest(regexp_split_to_array(regexp_replace(b, '{language.PICKER}', ' ', 'g'), '[.;!?\\n•|]+')) AS s FROM b, stem WHERE contains(b, stem)),
 pp AS (SELECT *, unnest(range(1, len(s) - len(stem) + 2)) AS i FROM ss WHERE contains(s, stem)),
 ww AS (SELECT doc_id, no, lang, s[greatest(1, i - 80):i + len(stem) - 1 + 80] AS w FROM pp WHERE s[i:i + len(stem) - 1] = stem AND (i = 1 OR NOT regexp_matches(s[greatest(i - 1, 1):greatest(i - 1, 1)], '[a-z]'))),
-rr AS (SELECT DISTINCT doc_id, no, lang FROM ww WHERE {_any('w', _context)} AND NOT {_any('w', _optional)} AND NOT {_any('w', _learning)}),
-wi AS (SELECT doc_id, unnest([{', '.join(f"CASE WHEN {_written(k, v)} IS NOT NULL THEN {100 + i} END" for i, (k, v) in enumerate(_MARKS.items()))}]) AS no
+rr AS (SELECT DISTINCT doc_id, no, lang FROM ww WHERE {_any('w', language.CONTEXT)} AND NOT {_any('w', language.OPTIONAL)} AND NOT {_any('w', language.LEARNING)}),
+wi AS (SELECT doc_id, unnest([{_written_found}]) AS no
   FROM (SELECT doc_id, regexp_extract_all(b, '[a-z]+') AS w, regexp_extract_all(h, '[a-z]+') AS h FROM b)),
 al AS (SELECT doc_id, min(no) AS no, lang FROM (SELECT * FROM tt UNION ALL SELECT * FROM rr UNION ALL
-  SELECT doc_id, wi.no, k.lang FROM wi JOIN (VALUES {', '.join(f"({100 + i}, '{k}')" for i, k in enumerate(_MARKS))}) AS k(no, lang) ON k.no = wi.no) GROUP BY doc_id, lang),
+  SELECT doc_id, wi.no, k.lang FROM wi JOIN (VALUES {_written_rows}) AS k(no, lang) ON k.no = wi.no) GROUP BY doc_id, lang),
 l AS (SELECT doc_id, string_agg(lang, ',' ORDER BY no) AS languages FROM al GROUP BY doc_id)"""
 
 
@@ -75,7 +67,7 @@ def foreign_language(spark, d) -> DataFrame:
     return made.select("doc_id", F.array_join("languages", ",").alias("languages"))
 
 
-# patterns as RE2 takes them, with weights
+# Patterns over folded text, as RE2 takes them (without lookarounds), with weights and names.
 _manual = (
     ("manual", 3, "testy manualne"), ("przypadk\\w* testow|test cases?|scenariusz\\w* testow|test scenario", 2, "przypadki testowe"), ("eksploracyjn|exploratory", 2, "eksploracyjne"), ("\\buat\\b|akceptacyjn|acceptance test", 1, "UAT"),
     ("funkcjonaln|functional|integration testing|testy integracyjn|ui testing|mobile testing|testy mobiln", 1, "funkcjonalne / UI / mobile"), ("regresj|regression", 1, "regresja"),
