@@ -177,6 +177,22 @@ def extract_salary(spark, d) -> DataFrame:
     return offers(spark, d).select("salary", extract.extract_salary(said).alias("found")).groupBy("salary", "found").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {OFFERS} SELECT {_title('title')} AS norm_title, {_core('company')} AS core, {_keyword('title', ['bolt', 'gear'])} AS named, {_fold('location')} AS place, "
+    f"salary AS found, count(*)::BIGINT AS n FROM o GROUP BY ALL"
+)
+def sql_functions(spark, d) -> DataFrame:
+    """A query written in SQL, with the text functions under their names."""
+    from jobloom.functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        "SELECT normalize_title(title) AS norm_title, company_core(company) AS core, keyword_match(title, 'Bolt') OR keyword_match(title, 'gear') AS named, fold_text(location) AS place, "
+        "extract_salary(concat_ws(' ', title, salary, 'zdalnie')) AS found, count(*) AS n FROM {o} GROUP BY ALL",
+        o=offers(spark, d),
+    )
+
+
 _class = f"""CASE WHEN salary = '' THEN 'none' WHEN contract = 'B2B' AND m / (CASE WHEN contains(salary, '/h') THEN 1 ELSE 160 END) >= 110 THEN 'b2b_ok'
   WHEN contract = 'B2B' AND m / (CASE WHEN contains(salary, '/h') THEN 1 ELSE 160 END) >= 80 THEN 'b2b_consider' WHEN contract = 'B2B' THEN 'b2b_low'
   WHEN m >= 9000 THEN 'uop_ok' ELSE 'uop_low' END"""
