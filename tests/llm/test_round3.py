@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -256,3 +257,71 @@ def test_words_of_variants(spark):
     assert got == want
     assert {r["word"]: tuple(r)[1:] for r in V.variants(V.vocabulary(V.runs(docs))).collect()} == variants_by_hand(want)
     assert V.variants(V.vocabulary(V.runs(docs.limit(0)))).count() == 0
+
+
+def links_by_hand(calls, results, schemas):
+    """Rows of link() by plain loops: (conv, id, position, result position, step, status, valid)."""
+    from jobloom.llm import tool_links as K
+
+    last = 1 << 40
+    by = lambda rows: sorted(rows, key=lambda r: last if r[2] is None else r[2])
+    firsts, got, out = {}, {}, []
+    valid = lambda c: c[3] in schemas and isinstance(json.loads(c[4]), dict) and K.fits(json.loads(c[4]), schemas[c[3]])
+    for c in by(calls):
+        k = c[:2]
+        if k in firsts:
+            out.append((*k, c[2], None, None, "repeated", False))
+        else:
+            firsts[k] = c
+    for r in by(results):
+        if r[:2] in got:
+            out.append((*r[:2], None, r[2], None, "repeated", False))
+        else:
+            got[r[:2]] = r
+    waits = {k: {(k[0], w) for w in c[5]} & set(firsts) for k, c in firsts.items()}
+    step, n = {}, 0
+    while ready := [k for k in firsts if k not in step and all(w in step for w in waits[k])]:
+        step |= dict.fromkeys(ready, n)
+        n += 1
+    for k in set(firsts) | set(got):
+        c, r = firsts.get(k), got.get(k)
+        status = "orphan" if c is None else "open" if r is None else "early" if r[2] <= c[2] else "linked"
+        out.append((*k, c and c[2], r and r[2], step.get(k), status, bool(c and valid(c))))
+    return collections.Counter(out)
+
+
+SCHEMA_CASES = {
+    "add": {"properties": {"a": {"type": "integer"}, "b": {"type": ["number", "null"]}}, "required": ["a"], "additionalProperties": False},
+    "find": {"properties": {"q": {"type": "object", "properties": {"k": {"enum": ["x", 1]}}, "required": ["k"]}, "tags": {"type": "array", "items": {"type": "string"}}}},
+}
+
+
+def test_tool_links_by_hand(spark):
+    from jobloom.llm import tool_links as K
+
+    rng = random.Random(11)
+    texts = ['{"a":1}', '{"a":1.0,"b":null}', '{"a":1.5}', '{"b":2}', '{"a":1,"c":2}', "[]", "7", '{"q":{"k":"x"},"tags":["t"]}', '{"q":{"k":1.0}}', '{"q":{"k":2}}', '{"tags":[1]}', '{"q":null}', "{}"]
+    calls = [(rng.randint(1, 6), f"c{rng.randint(1, 9)}", rng.randint(0, 50), rng.choice(["add", "find", "none"]), rng.choice(texts), [f"c{rng.randint(1, 10)}" for _ in range(rng.randint(0, 2))]) for _ in range(60)]
+    calls = list({(c[0], c[1], c[2]): c for c in calls}.values())
+    results = list({(r[0], r[1], r[2]): r for r in [(rng.randint(1, 6), f"c{rng.randint(1, 12)}", rng.randint(0, 60), "r") for _ in range(50)]}.values())
+    made = K.link(
+        spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, waits_for array<string>").repartition(3),
+        spark.createDataFrame(results, "conv_id long, call_id string, position long, content string"), SCHEMA_CASES,
+    ).select("conv_id", "call_id", "position", "result_position", "step", "status", "valid").collect()
+    assert collections.Counter(map(tuple, made)) == links_by_hand(calls, results, SCHEMA_CASES)
+    empty = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, waits_for array<string>").limit(0)
+    assert K.link(empty, spark.createDataFrame(results[:0], "conv_id long, call_id string, position long, content string"), SCHEMA_CASES).count() == 0
+
+
+def test_canonical_json():
+    from jobloom.llm import tool_links as K
+
+    cases = {
+        "1.0": "1", "1e2": "100", "1e25": "1e+25", "100.0": "100", "-0.0": "0", "0.1": "0.1", "1E-7": "1e-7", "1.5e-9": "1.5e-9", "0.000001": "0.000001", "1.25e-5": "0.0000125", "123456789012345678901234567890": "123456789012345678901234567890", "1e21": "1e+21", "1.5e300": "1.5e+300",
+        '{"b":1,"a":{"d":[1.50,2],"c":"\\u00e9\\n"}}': '{"a":{"c":"é\\n","d":[1.5,2]},"b":1}', '"\\u0007\\/"': '"\\u0007/"', "null": "null", " [ true , false ] ": "[true,false]",
+    }
+    for text, want in cases.items():
+        assert K.written(K._parsed(text)) == want, text
+    for bad in ('{"a":1,"a":2}', "{", "NaN", "", "[1,]"):
+        with pytest.raises(ValueError):
+            K._parsed(bad)
