@@ -8,7 +8,7 @@ encoded once and its ids are reused. Each piece's normalised length then project
 bytes of the source. Decoding goes from ids alone.
 
 Edge cases: a null text counts as empty (begin and end ids only); rows and ids may repeat or be null,
-each row gives one row; very long texts are one row's memory, a few times their bytes.
+each row gives one row; an empty table gives none; very long texts are one row's memory, a few times their bytes.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ bitwise aggregates over the ledger, so neither touches the texts again.
 
 Edge cases: a null text counts as empty (0 words, so ``too_short`` fails); repeated rows and null
 ids stay as they are, one ledger row for each input row; columns of the input other than the id
-and the text are not carried, so they cannot clash.
+and the text are not carried, so they cannot clash; an empty table gives an empty ledger, and ablations of none; a very
+long text is measured whole, in one row.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
 """Secret scans behind a trigram inverted index.
 
 From each rule's regex a Boolean query over lower-case trigrams is derived: what any match must
-contain. Postings (text key, trigram) are made for the trigrams that some query names, intersected
+contain. Postings (row key, trigram) are made for the trigrams that some query names, intersected
 per text, and only candidate texts are verified with the regex itself. A rule without mandatory
 trigrams (a run of hex digits) scans every text.
 
-Edge cases: a null text counts as empty; equal texts share one posting list and are each verified
-and returned; ids may repeat or be null; other columns are not carried. Offsets are code points,
-end exclusive. The text key is a 64-bit hash: a collision could only add a candidate, never hide one.
+Edge cases: a null text counts as empty; rows that repeat share one posting list and are each verified
+and returned; ids may repeat or be null; an empty table gives an empty one; a very long text is scanned whole; scan() carries no
+other columns, redact() all, whatever their names. Offsets are code points, end exclusive. The row key is a 64-bit hash: a collision could only
+add a candidate, never hide one.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ which starts from the left and replaces only by a strictly better score. A chara
 least piece less ten, and neighbours of that kind count as one.
 
 Where no piece has a word mark after another character, each distinct segment from mark to mark is
-counted once. Edge cases: a null text counts as empty (0 tokens); rows and ids may repeat; other columns
-are not carried.
+counted once. Edge cases: a null text counts as empty (0 tokens); rows and ids may repeat or be null, each row gives one row; an empty
+table gives none; a very long text is one row's memory; other columns are not carried, so names cannot clash.
 """
 
 from __future__ import annotations
