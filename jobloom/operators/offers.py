@@ -135,9 +135,12 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def url_dedupe(offers: DataFrame, order: Order, last: bool = False) -> DataFrame:
-    """One offer for each URL: the first, or the last."""
-    by = Window.partitionBy("url").orderBy(*[F.col(c).desc() if last else F.col(c).asc() for c in order.columns])
-    return offers.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    """One offer for each URL: the first, or the last; with ``first_seq``, the order columns of the first, whose place either takes. What the order leaves open goes by the other columns."""
+    rest = [F.xxhash64(c) if c == "description" else F.col(c) for c in offers.columns if c not in order.columns and not isinstance(offers.schema[c].dataType, (T.MapType, T.VariantType))]
+    rank = F.struct(*order.columns, *[c.alias(f"c{i}") for i, c in enumerate(rest)])
+    pick = F.max_by if last else F.min_by
+    made = offers.groupBy("url").agg(pick(F.struct(*offers.columns), rank).alias("_best"), F.min(F.struct(*order.columns)).alias("first_seq"))
+    return made.select("_best.*", "first_seq")
 
 
 def phrase_cap(rows: DataFrame, cap: int, order: Order) -> DataFrame:

@@ -169,3 +169,19 @@ def landing_partitions(spark, d) -> DataFrame:
     wanted = spark.createDataFrame([("greenhouse", "2024-02-02")], "source string, run_date string")
     o = adapters.normalise(read_landing(spark, path, wanted), "greenhouse", profile=PROFILE)
     return o.select("company", "title", "url")
+
+
+_bolts = _keyword("title", ["bolt", "gear", "widget"])
+
+
+@query(
+    f"{N} SELECT DISTINCT {_id} AS id, CASE WHEN {_bolts} AND l_partkey % 4 > 0 THEN 'B2B' ELSE '' END AS contracts, CASE WHEN {_bolts} AND l_partkey % 4 > 0 THEN l_partkey || ' PLN /h' ELSE '' END AS salary, "
+    f"CASE WHEN {_bolts} AND l_partkey % 4 > 0 THEN 'SQL,Jira' ELSE '' END AS skills FROM n"
+)
+def smartrecruiters_details(spark, d) -> DataFrame:
+    """Lists with the pages of their postings, in sections; of titles with a keyword only, and some pages are missing."""
+    ad = "to_json(named_struct('jobAd', named_struct('sections', map('a', named_struct('text', '<p>Jira, B2B</p>'), 'b', named_struct('text', concat(l_partkey, ' PLN/h, SQL'))))))"
+    rows = numbered(spark, d).where("l_partkey % 4 > 0")
+    details = rows.select(F.lit("smartrecruiters").alias("source"), "company", F.col("id").alias("path"), F.expr(ad).alias("body")).distinct()
+    o = adapters.normalise(landing(spark, d, "smartrecruiters"), "smartrecruiters", details, PROFILE)
+    return o.select(F.regexp_extract("url", r"([^/]*)$", 1).alias("id"), F.array_join("contract_types", ",").alias("contracts"), "salary", F.array_join("skills", ",").alias("skills")).distinct()
