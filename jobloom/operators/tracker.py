@@ -131,17 +131,18 @@ def order(rows: DataFrame, then: list[str]) -> DataFrame:
 
 
 def placed(rows: DataFrame, then: list[str]) -> DataFrame:
-    """Every row with its place in the order, from 0. Sorted by ranges; the driver sees only the number of rows of each."""
-    at = order(rows, then).withColumn("_at", F.monotonically_increasing_id()).persist()
+    """Every row with its place in the order, from 0. Sorted by ranges and checkpointed, so that a lost executor cannot deal the ranges anew; the driver sees
+    only the number of rows of each range, and hands their starts back as a table of that many rows."""
+    spark = rows.sparkSession
+    store.shared_dir(spark)
+    at = order(rows, then).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_at", 33)
-    first, before = F.lit(0).cast("long"), 0
-    starts = []
+    starts, before = [], 0
     for p, n in sorted(tuple(r) for r in at.groupBy(part.alias("p")).count().collect()):
         starts.append((p, before))
         before += n
-    if starts:
-        first = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair]), part)
-    return at.withColumn("place", first + F.col("_at") - F.shiftleft(part, 33)).drop("_at")
+    first = spark.createDataFrame(starts, "_part long, _first long")
+    return at.withColumn("_part", part).join(first, "_part").withColumn("place", F.col("_first") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_first")
 
 
 def sections(rows: DataFrame) -> DataFrame:

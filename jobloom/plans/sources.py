@@ -185,3 +185,19 @@ def smartrecruiters_details(spark, d) -> DataFrame:
     details = rows.select(F.lit("smartrecruiters").alias("source"), "company", F.col("id").alias("path"), F.expr(ad).alias("body")).distinct()
     o = adapters.normalise(landing(spark, d, "smartrecruiters"), "smartrecruiters", details, PROFILE)
     return o.select(F.regexp_extract("url", r"([^/]*)$", 1).alias("id"), F.array_join("contract_types", ",").alias("contracts"), "salary", F.array_join("skills", ",").alias("skills")).distinct()
+
+
+_read_page, _closed = "l_partkey % 4 > 0 AND l_partkey % 3 > 0", "l_partkey % 4 > 0 AND l_partkey % 3 = 0"
+
+
+@query(
+    f"{N} SELECT DISTINCT company, trim(title) AS title, 'https://www.linkedin.com/jobs/view/' || (1000000 + l_orderkey) || l_linenumber || l_partkey || l_suppkey AS url, CASE WHEN {_closed} THEN 'Zamknięta' ELSE '2024-01-05' END AS expires_in, "
+    f"CASE WHEN {_read_page} THEN 'Hybrid' WHEN {_cities} THEN 'Nie podano' ELSE 'Remote' END AS work_mode, CASE WHEN {_read_page} THEN 'B2B' ELSE '' END AS contracts, CASE WHEN {_read_page} THEN l_partkey || ' PLN /h' ELSE '' END AS salary FROM n WHERE {_bolts}"
+)
+def linkedin_pages(spark, d) -> DataFrame:
+    """Cards with the pages of their offers, of titles with a keyword: some are closed, some were not read."""
+    url = "concat('https://www.linkedin.com/jobs/view/', 1000000 + l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    html = "CASE WHEN l_partkey % 3 = 0 THEN '<p>No longer accepting applications</p>' ELSE concat('<div class=\"show-more-less-html__markup\">B2B ', l_partkey, ' PLN/h, praca hybrydowa</div> 9 EUR/h') END"
+    pages = numbered(spark, d).where("l_partkey % 4 > 0").select(F.expr(url).alias("url"), F.expr(html).alias("html")).distinct()
+    o = cards.linkedin_details(cards.read_cards(card_landing(spark, d, "linkedin"), "linkedin", PROFILE), pages, list(PROFILE.include))
+    return o.select("company", "title", "url", "expires_in", "work_mode", F.array_join("contract_types", ",").alias("contracts"), "salary")
