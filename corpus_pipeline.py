@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir); run() writes its rows as Parquet in the shared folder and
 hands them on read again. All stages but the last return the columns of ``documents``; the last
 returns one row of ids and digests a document.
+
+Edge cases: a null or empty text fails the quality rules; rows with a null id are documents like others; rows that repeat are copies, of which the second
+stage keeps one; null languages, sources and lengths stay; columns beside those of ``documents`` go through all stages but the last, whatever their names; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
