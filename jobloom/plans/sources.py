@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.plans.catalogue import OFFERS, PROFILE, _keyword, _queries, _sql, query, read
 from jobloom.sources import adapters, cards
-from jobloom.sources.tables import card_landing, landing, numbered
+from jobloom.sources.tables import card_landing, in_pages, landing, numbered
 
 _id = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
 #: Rows with an id; k: one row of each id, as the sources keep one of a URL.
@@ -98,13 +98,13 @@ def workday_details(spark, d) -> DataFrame:
     "l_partkey || ' - ' || (l_partkey + 1) || ' PLN netto /h' AS salary FROM n"
 )
 def norm_pracuj(spark, d) -> DataFrame:
-    """Pages with their data in a script, postings grouped by title, several places each."""
+    """Pages with their data in a script, up to about 50 postings of a company each, with several places."""
     group = (
         "named_struct('jobTitle', title, 'companyName', company, 'offers', array(named_struct('displayWorkplace', 'Sopot', 'offerAbsoluteUri', concat('https://x/', id), 'isWholePoland', false), "
         "named_struct('displayWorkplace', location, 'offerAbsoluteUri', concat('https://w/', id), 'isWholePoland', true)), 'workModes', array('Praca stacjonarna', 'praca hybrydowa'), 'typesOfContract', array('Kontrakt B2B', 'Umowa o pracę'), "
         "'salaryDisplayText', concat(l_partkey, '–', l_partkey + 1, ' zł netto (+ VAT) / godz.'), 'expirationDate', '2024-03-01T00:00')"
     )
-    paged = numbered(spark, d).withColumn("seq", F.pmod(F.xxhash64("id"), F.lit(999)).cast("int")).groupBy("seq").agg(F.expr(f"collect_list({group})").alias("g"))
+    paged = in_pages(numbered(spark, d)).groupBy("company", "seq").agg(F.expr(f"collect_list({group})").alias("g"))
     data = F.to_json(F.expr("named_struct('props', named_struct('list', array(named_struct('deep', named_struct('groupedOffers', g)))))"))
     pages = paged.select(F.lit("pracuj").alias("source"), F.lit("").alias("company"), "seq", F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script></html>")).alias("body"))
     o = cards.read_pracuj(pages, PROFILE)

@@ -13,3 +13,20 @@ def test_titles_match_keeps_sharp_s(spark):
     one = spark.range(1)
     got = one.select(text.titles_match(F.lit("SS"), F.lit("und äßä erer")).alias("a"), text.titles_match(F.lit("Straße"), F.lit("die STRAßE")).alias("b"), text.normalize_title(F.lit("Große (m/f)")).alias("c")).first()
     assert tuple(got) == (False, True, "große")
+
+
+def test_enrich_offers_of_repeated_urls(spark, tmp_path):
+    """Pages of one URL keep their own salaries."""
+    write_pages(spark, tmp_path, [(1, "https://x.pl/a", "<p>x</p>"), (2, "https://x.pl/a", "<p>x</p>"), (3, None, "<p>y</p>")])
+    got = {r["page_id"]: r["salary"] for r in catalogue.queries()["enrich_offers"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1 EUR", 2: "2 EUR", 3: "3 EUR"}
+
+
+def test_pracuj_pages_are_bounded(spark):
+    """Numbered offers come in responses of about 50 of a company, however many there are."""
+    from jobloom.sources.tables import in_pages
+
+    ids = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = spark.range(1203).select(*[F.col("id").alias(c) for c in ids], F.lit("c").alias("company"), F.lit("u").alias("url"), F.lit("").alias("salary"))
+    sizes = [r["count"] for r in in_pages(rows).groupBy("company", "seq").count().collect()]
+    assert sum(sizes) == 1203 and max(sizes) <= 50
