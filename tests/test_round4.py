@@ -30,3 +30,22 @@ def test_pracuj_pages_are_bounded(spark):
     rows = spark.range(1203).select(*[F.col("id").alias(c) for c in ids], F.lit("c").alias("company"), F.lit("u").alias("url"), F.lit("").alias("salary"))
     sizes = [r["count"] for r in in_pages(rows).groupBy("company", "seq").count().collect()]
     assert sum(sizes) == 1203 and max(sizes) <= 50
+
+
+def test_batches_are_read_in_parts(monkeypatch):
+    """A batch becomes Python objects a part at a time: results of a part are written before the next is read."""
+    import pyarrow as pa
+
+    from jobloom.functions import dom
+
+    monkeypatch.setattr(dom, "PART", 100)
+    texts = [None, *["x" * (i % 40) for i in range(500)], "y" * 1000]
+    run = dom.in_parts(lambda t: [t or "", "z"], pa.list_(pa.string()))
+    assert run(pa.array(texts, pa.string())).to_pylist() == [[t or "", "z"] for t in texts]
+    assert run(pa.array([], pa.string())).to_pylist() == []
+    seen, most = [], []
+    counting = dom.in_parts(lambda t: seen.append(t), pa.string())
+    real = pa.array
+    monkeypatch.setattr(pa, "array", lambda values, *a: (most.append(len(values)), real(values, *a))[1])
+    counting(real(texts, pa.string()))
+    assert len(seen) == len(texts) and max(most) < 20
