@@ -49,3 +49,16 @@ def test_batches_are_read_in_parts(monkeypatch):
     monkeypatch.setattr(pa, "array", lambda values, *a: (most.append(len(values)), real(values, *a))[1])
     counting(real(texts, pa.string()))
     assert len(seen) == len(texts) and max(most) < 20
+
+
+def test_dedupe_carries_each_column_once(spark):
+    """Whole rows come back, maps and descriptions too; without these the aggregate is one struct that holds each column once."""
+    from jobloom.operators import offers as O
+
+    df = spark.createDataFrame([("u", 2, "b", "two", {"k": 2}), ("u", 1, "a", "one", {"k": 1}), ("v", None, "c", None, None)], "url string, seq int, title string, description string, m map<string,int>")
+    for last, want in ((False, "one"), (True, "two")):
+        got = {r["url"]: r for r in O.url_dedupe(df, O.Order(), last).collect()}
+        assert (got["u"]["description"], got["u"]["first_seq"]["seq"], got["u"]["m"]["k"]) == (want, 1, 2 if last else 1) and got["v"]["title"] == "c" and got["v"]["first_seq"]["seq"] is None
+    plain = df.drop("description", "m")
+    best, restored = O._least(plain, O.Order())
+    assert len(plain.agg(best.alias("b")).schema["b"].dataType) == len(plain.columns) == len(restored)
