@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Columns of a landed response; source and run_date are the table's partitions.
@@ -15,8 +16,9 @@ def write_landing(responses: DataFrame, path: str) -> None:
 
 
 def read_landing(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """The table; with wanted (source, run_date; a row each), only their partitions: Spark evaluates the few wanted rows first and lists no other directory."""
+    """The table; with wanted (source, run_date; a row each), only their partitions: Spark evaluates the few wanted rows first and lists no other directory.
+    They are sent to every task: shuffled by source and day, all that landed in a partition would go to one task."""
     found = spark.read.parquet(path).schema
     texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("source", "run_date") else f.dataType) for f in found])  # days stay texts, as they were landed
     table = spark.read.schema(texts).parquet(path)
-    return table if wanted is None else table.join(wanted.select("source", "run_date").distinct(), ["source", "run_date"], "left_semi")
+    return table if wanted is None else table.join(F.broadcast(wanted.select("source", "run_date").distinct()), ["source", "run_date"], "left_semi")
