@@ -299,13 +299,13 @@ def _size(n: str) -> Column:
     return F.floor(F.log2(n) * 16)
 
 
-def hottest(table: DataFrame, n: str) -> int:
-    """The least class of counts such that no more than CACHED rows have it or a larger one; 0 if that is all rows."""
+def hottest(table: DataFrame, n: str, most: int | None = None) -> int:
+    """The least class of counts such that no more than ``most`` rows (CACHED) have it or a larger one; 0 if that is all rows."""
     classes = sorted(((r[0], r[1]) for r in table.groupBy(_size(n).alias("c")).count().collect()), reverse=True)
     least, size = NOTHING, 0
     for c, rows in classes:
         size += rows
-        if size > CACHED:
+        if size > (CACHED if most is None else most):
             return least
         least = c
     return 0

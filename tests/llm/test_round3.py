@@ -325,3 +325,24 @@ def test_canonical_json():
     for bad in ('{"a":1,"a":2}', "{", "NaN", "", "[1,]"):
         with pytest.raises(ValueError):
             K._parsed(bad)
+
+
+def test_url_filter_learns_from_every_row(spark, monkeypatch):
+    """No labelled row is left out: more than 10 000 a verdict, long URLs among them; the same scores with a cache of a few grams; the cut is that of threshold()."""
+    assert not hasattr(U, "SAMPLE")
+    long = "q" * 300
+    train = [("allow", f"a.org/{i}") for i in range(12_000)] + [("block", f"com/de/{i}") for i in range(12_000)] + [("block", long)]
+    model = U.fit(spark.createDataFrame(train, "verdict string, text string").repartition(3))
+    ends = model.where(model.back.bitwiseAND((1 << 21) - 1) == U.END).groupBy().sum("allow", "block").first()
+    assert tuple(ends) == (12_000, 12_001)
+    q = sum(ord("q") << 21 * i for i in range(3))
+    assert model.where((model.front == q) & (model.back == q)).first()["block"] == 295
+    texts = spark.createDataFrame([("a.org/77",), (long,), ("",), ("com/de/9/ü",)], "text string")
+    whole = sorted(map(tuple, U.scored(texts, model).collect()))
+    monkeypatch.setattr(U, "CACHED", 3)
+    assert sorted(map(tuple, U.scored(texts, model).collect())) == whole
+    rng = random.Random(2)
+    for shift in (0, 3, -9):
+        rows = [(v, round(rng.gauss(m, 1), 1) + shift) for v, m in (("allow", 0.5), ("block", -0.5)) for _ in range(60)]
+        assert U.best_cut(spark.createDataFrame(rows, "verdict string, score double")) == U.threshold(rows)
+    assert U.best_cut(spark.createDataFrame([("allow", -2.0), ("block", -1.0)], "verdict string, score double")) == 0.0
