@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_cities, extract_salary, salary_numbers, work_mode
-from jobloom.functions.language import foreign_languages, title_asks, work_profile
+from jobloom.functions.language import folded, foreign_languages, title_asks, work_profile
 from jobloom.functions.text import company_core, fold_literal, fold_text, keyword_match, let, normalize_title, once, spaced, spaced_match, with_once
 
 
@@ -298,6 +298,8 @@ def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: Dat
     it, and match_score (with a bonus for manual work), manual_share and work_summary. Without settled_too, the descriptions of rows that expiry, salary or
     place settles are not read for languages and work, which is what a run needs: their share stays null."""
     df = with_long_descriptions(offers, long_descriptions) if long_descriptions is not None else offers.withColumn("expired", F.lit(False))
+    # reading a text costs far more than moving it: tasks of equal numbers of rows, whatever the files and however few the bytes
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = once(assess_salary(once(complete(df)), profile))
     cheap = (
         F.when(F.col("expired"), "expired").when(~F.col("salary_ok"), "salary")
@@ -305,7 +307,8 @@ def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: Dat
     )
     df = with_once(df, _cheap=cheap)
     text = F.col("description") if settled_too else F.when(F.col("_cheap").isNull(), F.col("description"))
-    df = work_profile(foreign_languages(df.withColumn("_text", text), "title", "_text", "_languages"), "title", "_text", "_profile").drop("_text")
+    df = folded(df.withColumn("_text", text), "title", "_text")
+    df = work_profile(foreign_languages(df, "title", "_text", "_languages"), "title", "_text", "_profile").drop("_text")
     share = F.col("_profile.manual_share")
     df = df.withColumn("match_score", F.coalesce("match_score", F.lit(0)) + F.coalesce(F.bround((share - 50) / 10).cast("int"), F.lit(0)))
     reason = F.coalesce(
