@@ -23,6 +23,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """mix() the other way round."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, as many as asked for so far."""
 
@@ -111,16 +118,21 @@ def slices(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: ``hash`` of each, ``doc`` (which text) and ``at`` (place in its text) of each, ``count`` by text."""
 
-    def __init__(self, texts: list, breaks: np.ndarray = SPACES, lower: bool = False):
-        raw = [(t or "").encode() for t in texts]
-        buf = np.frombuffer(b" ".join(raw), np.uint8)
+    def __init__(self, texts: list | pa.Array, breaks: np.ndarray = SPACES, lower: bool = False):
+        if isinstance(texts, pa.Array):  # without making Python strings
+            rows = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
+            firsts = np.frombuffer(rows.buffers()[1], np.int64)[: len(rows) + 1]
+            buf = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[: firsts[-1]]
+        else:
+            raw = [(t or "").encode() for t in texts]
+            firsts = np.cumsum([0, *[len(r) + 1 for r in raw]])
+            buf = np.frombuffer(b" ".join(raw), np.uint8)
         if lower:
             buf = LOWER[buf]
         starts, ends = places(buf, breaks)
-        firsts = np.cumsum([0, *[len(r) + 1 for r in raw]])
         self.first = np.searchsorted(starts, firsts)
         self.count = np.diff(self.first)
         self.hash = word_hashes(buf, starts, ends)
-        self.doc = np.repeat(np.arange(len(raw)), self.count)
+        self.doc = np.repeat(np.arange(len(texts)), self.count)
         self.at = np.arange(len(starts)) - self.first[:-1][self.doc]
         self.buf, self.starts, self.ends = buf, starts, ends

@@ -6,9 +6,13 @@ are explicit where context and word occur together often enough; each kept conte
 with its suffix's distribution, down to the smoothed word frequencies. A text is scored from the longest kept
 suffix at each place.
 
+A next word that a context has, its suffix has too. So the logarithm of a token's probability is a sum of parts that need not
+know of each other: one of its word, and for each kept context before it one of the context (its suffix's weight) and
+one of the next word (what that adds to the suffix's part). A text's score adds up the parts of all its keys.
+
 All counts cover every training text, and the tree grows with them: least counts are fixed numbers, and
-words, contexts and next words are stored tables, joined by hash. A fixed number of the most frequent of each is
-broadcast as a cache; what a text needs beyond that is joined. A bitmap of fixed size tells most of what is in no table;
+words, contexts and next words are a stored table of keys and parts. A fixed number of the most frequent is
+broadcast as a cache; what a text needs beyond that is joined, a row a key. A bitmap of fixed size tells most of what is in no table;
 what it cannot tell is joined as well, so it changes no result.
 
 Edge cases: a null text is one end token; a null id counts as an empty string when the fold is drawn; rows
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import free, release, ship, stored
+from .common import free, partitions, release, ship, stored
 
 #: A context with its next word is explicit from this count on.
 JOINT_LEAST = 2
@@ -41,10 +46,15 @@ DIVERGENCE = 0.01
 PRIOR = 0.1
 #: Stands for the end token among word hashes.
 END = np.uint64(0x5EED00000000E0D1)
-#: Words whose counts are summed before they leave Python.
-GATHER = 1 << 20
-#: The most words, and contexts and next words of a depth, in the cache.
+#: Tokens that are counted at once, and rows of counts that are summed before they leave Python.
+GATHER, MERGE = 1 << 21, 1 << 22
+#: The first bits of a key that name its bucket. Counts travel as one row a bucket, a bucket's counts are added up at once.
+BUCKETS = 13
+#: The most words, and contexts and next words of a depth, in a tree; score() has so many times ``SHARE`` in its cache, of all kinds.
 CACHED = 1 << 20
+SHARE = 5
+#: Keys that a task of the join holds.
+HELD = 1 << 20
 #: Bits of a bitmap for each key, and the logarithm of the most bits.
 BITS_A_KEY, BITS = 32, 28
 #: A class of counts that no row reaches: 16 times the logarithm of a 64-bit number is less.
@@ -57,7 +67,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
 
 
-def tokens(texts: list):
+def tokens(texts: list | pa.Array):
     """(word hashes with an end after each text, the text of each token, how many each text has)."""
     w = hashing.Words(texts, lower=True)
     count = w.count + 1
@@ -102,31 +112,77 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _counted(docs: DataFrame, make, text: str, names: list[str]) -> DataFrame:
-    """``names``, n: how often make(tokens) gives each row of keys (the last tells rows apart and is left out if there are more),
-    summed in Python first, then by Spark."""
+def following(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The word of a context's key: join_key() the other way round."""
+    return hashing.unmix(key) - context * np.uint64(0x9E3779B97F4A7C15)
 
-    def run(batches):
-        held, size = [], 0
 
-        def flush():
-            _, first, c = np.unique(np.concatenate([h[-1] for h in held]), return_index=True, return_counts=True)
-            columns = [np.concatenate([h[k] for h in held])[first] for k in range(len(names))]
-            held.clear()
-            return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(c)], [*names, "n"])
+def _summed(context: np.ndarray, key: np.ndarray, n: np.ndarray | None = None) -> tuple:
+    """context, key and how often each key comes (or the sum of its n), by key."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    sums = np.diff(first, append=len(key)) if n is None else np.add.reduceat(n[order], first) if len(key) else n
+    return context[order[first]], key[first], sums
+
+
+def _counted(docs: DataFrame, make, text: str) -> DataFrame:
+    """ctx, word, key, n: how often make(tokens), contexts and keys, gives each key, from JOINT_LEAST on (all of those under END).
+    Summed in Python by task, then by buckets of keys that Spark has dealt and sorted; a row has the counts of a bucket from a task."""
+    shift = np.uint64(64 - BUCKETS)
+
+    def count(batches):
+        held, size, sums = [], 0, []
+        joined = lambda rows: [np.concatenate(c) for c in zip(*rows, strict=True)]
+
+        def table(*columns):
+            bucket = (columns[1] >> shift).astype(np.int32)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            offsets = pa.py_buffer((np.append(first, len(bucket)) * 8).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
+            rows = pa.RecordBatch.from_arrays([pa.array(bucket[first]), *packed], ["bucket", "ctx", "key", "n"])
+            return [rows.slice(i, 1024) for i in range(0, len(first), 1024)]
 
         for b in batches:
             for i, j in hashing.slices(b.column(0)):
-                held.append(make(*tokens(b.column(0)[i:j].to_pylist())))
+                held.append(make(*tokens(b.column(0)[i:j])))
                 size += len(held[-1][0])
                 if size >= GATHER:
-                    yield flush()
-                    size = 0
+                    sums.append(_summed(*joined(held)))
+                    held, size = [], 0
+                    if sum(len(x[0]) for x in sums) >= MERGE:
+                        sums = [_summed(*joined(sums))]
+                        if len(sums[0][0]) >= MERGE // 2:
+                            yield from table(*sums.pop())
         if held:
-            yield flush()
+            sums.append(_summed(*joined(held)))
+        if sums:
+            yield from table(*_summed(*joined(sums)))
+
+    def add(batches):
+        def table(context, key, n):
+            on = (n >= JOINT_LEAST) | (context == END)
+            context, key, n = context[on], key[on], n[on]
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, following(context, key), key)), pa.array(n)], ["ctx", "word", "key", "n"])
+
+        def values(column, kind):
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+            return np.frombuffer(column.buffers()[2], kind)[offsets[0] : offsets[-1]]
+
+        kinds = np.uint64, np.uint64, np.int64
+        last = [np.zeros(0, k) for k in kinds]
+        for b in batches:
+            if b.num_rows:
+                rows = [np.concatenate([x, values(c, k)]) for x, c, k in zip(last, b.columns[1:], kinds, strict=True)]
+                bucket = rows[1] >> shift
+                cut = np.flatnonzero(bucket != bucket[-1])
+                cut = cut[-1] + 1 if len(cut) else 0  # the last bucket may go on
+                yield table(*_summed(*(x[:cut] for x in rows)))
+                last = [x[cut:] for x in rows]
+        yield table(*_summed(*last))
 
-    schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
-    return docs.select(F.col(text)).mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text)).mapInArrow(count, "bucket int, ctx binary, key binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(add, "ctx bigint, word bigint, key bigint, n bigint")
 
 
 def _keyed(rows: DataFrame, a: str, b: str, name: str, tag: np.uint64 = np.uint64(0)) -> DataFrame:
@@ -219,49 +275,76 @@ class Tree:
         return np.log10(p)
 
 
+@dataclass
+class Parts:
+    """The most frequent keys with their parts."""
+
+    keys: np.ndarray  # sorted
+    values: np.ndarray
+
+    @cached_property
+    def places(self) -> Index:
+        return Index(self.keys)
+
+    def __reduce__(self):
+        return Parts, (self.keys, self.values)
+
+
 @dataclass
 class Model:
-    """Stored tables. ``counts``: key, n. For each depth, ``contexts``: ctx, occurs, rest of those kept; ``entries``: ctx, word, n, occurs, p, key under them."""
+    """``counts``: key, n. For each depth, ``contexts``: ctx, occurs, rest of those kept; ``entries`` under them: ctx, word, n, occurs, p, key
+    and ``adds``, the logarithm of what the entry makes of its suffix's part. ``files``: the stored tables behind each depth."""
 
     counts: DataFrame
     total: int
     distinct: int
     contexts: list[DataFrame]
     entries: list[DataFrame]
+    files: list[list[DataFrame]]
 
     def prior(self, n: Column) -> Column:
         return (n + PRIOR) / (self.total + PRIOR * (self.distinct + 1))
 
 
+def _first(hashes: np.ndarray, doc: np.ndarray, count: np.ndarray):
+    """Words (under END, which is no context) and pairs of words."""
+    context, ok, key = next(before(hashes, doc))
+    top = np.full(len(hashes), END)
+    return np.concatenate([top, context[ok]]), np.concatenate([join_key(top, hashes), key[ok]])
+
+
 def build(docs: DataFrame, text: str = "text") -> Model:
     """All counts and the kept contexts, by joins."""
     spark = docs.sparkSession
-    counts = stored(_counted(docs, lambda hashes, doc, count: (hashes,), text, ["key"]), "words")
+    end = int(END.view(np.int64))
+    word = F.col("ctx") == end
+    grams = stored(_counted(docs, _first, text), "pairs")
     release(spark)
+    counts = stored(grams.where(word).select(F.col("word").alias("key"), "n"), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = Model(counts, total, distinct, [], [])
-    end = int(END.view(np.int64))
+    model = Model(counts, total, distinct, [], [], [])
     candidates = counts.where((F.col("n") >= CONTEXT_LEAST) & (F.col("key") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("occurs"), F.lit(0).cast("long").alias("suffix"))
     below = counts.select(F.col("key").alias("word"), model.prior(F.col("n")).alias("below"))
-    on = ["word"]
+    on, pairs = ["word"], grams.where(~word)
     every, judged = [], []
     for depth in range(1, DEPTH + 1):
-        shared = spark.sparkContext.broadcast(bitmap(candidates.select(F.col("ctx").alias("key"))))
+        if depth > 1:
+            shared = spark.sparkContext.broadcast(bitmap(candidates.select(F.col("ctx").alias("key"))))
 
-        def make(hashes, doc, count, depth=depth, shared=shared):
-            *_, (context, ok, key) = before(hashes, doc, depth)
-            here = ok & marked(shared.value, context)
-            return context[here], hashes[here], key[here]
+            def make(hashes, doc, count, depth=depth, shared=shared):
+                *_, (context, ok, key) = before(hashes, doc, depth)
+                here = ok & marked(shared.value, context)
+                return context[here], key[here]
 
-        pairs = stored(_counted(docs, make, text, ["ctx", "word"]).where(F.col("n") >= JOINT_LEAST), "pairs")
-        shared.destroy()
-        release(spark)
+            pairs = grams = stored(_counted(docs, make, text), "pairs")
+            shared.destroy()
+            release(spark)
         sums = pairs.groupBy("ctx").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
         facts = candidates.join(sums, "ctx").withColumn("rest", 1 - (F.col("explicit") - DISCOUNT * F.col("kinds")) / F.col("occurs")).drop("kinds")
         facts = stored(facts, "facts")
         made = pairs.join(facts, "ctx").join(below, on).withColumn("mixed", (F.col("n") - DISCOUNT) / F.col("occurs") + F.col("rest") * F.col("below"))
-        entries = stored(made.select("ctx", "word", "n", "suffix", "below", "mixed"), "entries")
-        free(pairs)
+        entries = stored(made.select("ctx", "word", "key", "n", *["suffix"] * (1 < depth < DEPTH), "below", "mixed"), "entries")
+        free(grams)
         release(spark)
         told = entries.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("mixed") / F.col("below"))).alias("told"))
         gain = F.col("told") + (F.col("occurs") - F.col("explicit")) * F.log(F.greatest(F.col("rest"), F.lit(1e-12)))
@@ -271,9 +354,9 @@ def build(docs: DataFrame, text: str = "text") -> Model:
         every.append(entries)
         below, on = entries.select(F.col("ctx").alias("suffix"), "word", F.col("mixed").alias("below")), ["suffix", "word"]
         if depth < DEPTH:
-            longer = _keyed(entries.where((F.col("n") >= CONTEXT_LEAST) & (F.col("word") != end)).select("ctx", "word", "suffix", "n"), "ctx", "word", "key")
+            longer = entries.where((F.col("n") >= CONTEXT_LEAST) & (F.col("word") != end))
             if depth > 1:
-                longer = _keyed(longer, "suffix", "word", "shorter")
+                longer = _keyed(longer.select("key", "word", "suffix", "n"), "suffix", "word", "shorter")
             shorter = F.col("shorter" if depth > 1 else "word")
             candidates = stored(longer.select(F.col("key").alias("ctx"), F.col("n").alias("occurs"), shorter.alias("suffix")), "candidates")
     needed = None
@@ -285,11 +368,13 @@ def build(docs: DataFrame, text: str = "text") -> Model:
             kept = kept.where("enough")
         kept = stored(kept.select("ctx", "occurs", "rest", "suffix"), "kept")
         needed = kept.select(F.col("suffix").alias("ctx")).distinct().withColumn("needed", F.lit(True))
-        under = every[depth - 1].select("ctx", "word", "n").join(kept.select("ctx", "occurs"), "ctx")
-        under = under.select("ctx", "word", "n", "occurs", ((F.col("n") - DISCOUNT) / F.col("occurs")).alias("p"))
+        under = every[depth - 1].select("ctx", "word", "key", "n", F.log10(F.col("mixed") / F.col("below")).alias("ratio"))
+        under = under.join(kept.select("ctx", "occurs", "rest"), "ctx")
+        under = under.select("ctx", "word", "n", "occurs", ((F.col("n") - DISCOUNT) / F.col("occurs")).alias("p"), "key", (F.col("ratio") - F.log10("rest")).alias("adds"))
         model.contexts.insert(0, kept)
-        model.entries.insert(0, stored(_keyed(under, "ctx", "word", "key", _NEXT), "next"))
-        free(judged[depth - 1], every[depth - 1])
+        model.entries.insert(0, under)
+        model.files.insert(0, [kept, every[depth - 1]])
+        free(judged[depth - 1])
     release(spark)
     return model
 
@@ -311,16 +396,13 @@ def hottest(table: DataFrame, n: str, most: int | None = None) -> int:
     return 0
 
 
-def cache(model: Model) -> tuple[Tree, DataFrame]:
-    """The hottest part of the model, and a table (key, found) of all that may not be in it: words with their frequency's probability,
-    contexts with the weight of their suffix, next words with their share."""
+def cache(model: Model) -> Tree:
+    """The hottest part of the model as a tree."""
     hot = hottest(model.counts, "n")
     rows = model.counts.where(_size("n") >= hot).toArrow()
     words, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(words)
     tree = Tree(words[order], (n[order] + PRIOR) / (model.total + PRIOR * (model.distinct + 1)), [], PRIOR / (model.total + PRIOR * (model.distinct + 1)))
-    cold = model.counts.where(_size("n") < hot).select("key", model.prior(F.col("n")).alias("found"))
-    tag = F.lit(int(_CONTEXT.view(np.int64)))
     for contexts, entries in zip(model.contexts, model.entries, strict=True):
         least, own = hottest(contexts, "occurs"), hottest(entries, "n")
         rows = contexts.where(_size("occurs") >= least).select("ctx", "rest").toArrow()
@@ -334,88 +416,61 @@ def cache(model: Model) -> tuple[Tree, DataFrame]:
         code = context * len(tree.words) + word
         order = np.argsort(hashing.mix(code.view(np.uint64)))
         tree.levels.append(Level(keys, np.ones(len(keys), bool), rest, code[order], rows["p"].to_numpy()[order]))
-        cold = cold.unionByName(contexts.where(_size("occurs") < least).select(F.col("ctx").bitwiseXOR(tag).alias("key"), F.col("rest").alias("found")))
-        cold = cold.unionByName(entries.where(~cached).select("key", F.col("p").alias("found")))
-    return tree, cold
+    return tree
 
 
 def learn(docs: DataFrame, text: str = "text") -> tuple[Tree, DataFrame, int, int]:
     """The cache of the tree, the table of all counts (key, n), and how many tokens and distinct tokens the training texts have."""
     model = build(docs, text)
-    return cache(model)[0], model.counts, model.total, model.distinct
+    return cache(model), model.counts, model.total, model.distinct
+
 
+def parts(model: Model) -> list[DataFrame]:
+    """Stored tables key, part, heat of words and of each depth: the logarithms that a token's probability is the sum of (a word's beyond that of a word that does not occur),
+    and how often the training texts ask for each. The model's own tables are freed."""
+    made = [stored(model.counts.select("key", F.log10((F.col("n") + PRIOR) / PRIOR).alias("part"), F.col("n").alias("heat")), "parts")]
+    free(model.counts)
+    context, after = (F.lit(int(t.view(np.int64))) for t in (_CONTEXT, _NEXT))
+    for contexts, entries, files in zip(model.contexts, model.entries, model.files, strict=True):
+        rows = contexts.select(F.col("ctx").bitwiseXOR(context).alias("key"), F.log10("rest").alias("part"), F.col("occurs").alias("heat"))
+        made.append(stored(rows.unionByName(entries.select(F.col("key").bitwiseXOR(after).alias("key"), F.col("adds").alias("part"), F.col("n").alias("heat"))), "parts"))
+        free(*files)
+    return made
 
-def _listed(doc: np.ndarray, size: int, names: list[str], arrays: list) -> pa.ListArray:
-    """A list of structs for each of ``size`` texts, from rows in the order of their text."""
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=size))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a) for a in arrays], names))
 
+#: Kinds of rows that score() adds up: keys of words and others that are open, and what is known of a text without them.
+_WORD, _OTHER, _TOKENS, _KNOWN, _BASE, _SCORE = range(6)
 
-def _look_up(tree: Tree, bits: np.ndarray, texts: list) -> tuple:
-    """What the cache tells of some texts: count and known tokens by text, base and score of the tokens it settles, and what must be joined.
 
-    A token's probability is a + b * x where one part x is open (``one``); where several are, all its parts are listed (``many``)."""
+def _look_up(cached: Parts, bits: np.ndarray, none: float, texts: pa.Array) -> tuple:
+    """What the cache tells of some texts: tokens, known tokens, base and score of each; and the text, kind and key of each part that is open."""
     hashes, doc, count = tokens(texts)
-    ids = tree.ids(hashes)
-    known = ids >= 0
-    prior = tree.prior[np.maximum(ids, 0)] if len(tree.prior) else np.ones(len(ids))
-    prior = np.where(known, prior, 0.0)
-    a, b, opened = prior.copy(), np.zeros(len(ids)), np.zeros(len(ids), np.int8)
-    slot, keys = np.zeros(len(ids), np.int8), np.zeros(len(ids), np.uint64)
-
-    def ask(on, s, key, add, times):
-        """Part s of these tokens is open: what is known so far becomes add + times * part."""
-        first = opened[on] == 0
-        opened[on] += 1
-        new = on[first]
-        slot[new], keys[new], a[new], b[new] = s, key[new], add[first], times[first]
-
-    unknown = np.flatnonzero(~known)
-    absent = unknown[~marked(bits, hashes[unknown])]
-    none = np.zeros(len(ids), bool)
-    none[absent] = True
-    a[absent] = prior[absent] = tree.none
-    unknown = unknown[~none[unknown]]
-    ask(unknown, 0, hashes, np.zeros(len(unknown)), np.ones(len(unknown)))
-    parts = [(unknown, hashes, prior, known | none)]
-    alive = np.ones(len(ids), bool)
-    for k, ((context, ok, key), level) in enumerate(zip(before(hashes, doc), tree.levels, strict=True), 1):
-        here = np.flatnonzero(ok & alive)  # the suffix of a kept context is kept
-        at = np.full(len(ids), -1)
-        at[here] = level.contexts.find(context[here])
-        context, key = context ^ _CONTEXT, key ^ _NEXT
-        on = np.flatnonzero(at >= 0)
-        asked = here[at[here] < 0]
-        asked = asked[marked(bits, context[asked])]
-        place = np.full(len(ids), -1)
-        place[on] = tree.share(level, at[on], ids[on])
-        own, rest = np.zeros(len(ids)), np.ones(len(ids))
-        found = np.flatnonzero(place >= 0)
-        own[found], rest[on] = level.p[place[found]], level.rest[at[on]]
-        a[on] = own[on] + rest[on] * a[on]
-        b[on] *= rest[on]
-        ask(asked, k, context, np.zeros(len(asked)), a[asked])
-        unsure = np.concatenate([on[place[on] < 0], asked])
-        unsure = unsure[marked(bits, key[unsure])]
-        ask(unsure, k + DEPTH, key, a[unsure], np.ones(len(unsure)))
-        alive = at >= 0
-        alive[asked] = True
-        parts += [(asked, context, rest, at >= 0), (unsure, key, own, place >= 0)]
-    settled, one, several = opened == 0, np.flatnonzero(opened == 1), opened > 1
-    add = lambda x, on: np.bincount(doc[on], x[on], len(texts))
-    base = np.log10(np.where(prior > 0, prior, 1.0))
-    score = add(np.log10(np.where(settled, a, 1.0)), settled)
-    lone = _listed(doc[one], len(texts), ["key", "slot", "a", "b"], [keys[one].view(np.int64), slot[one], a[one], b[one]])
-    rows = []
-    for n, (open_, key, value, have) in enumerate(parts):
-        s = (n + 1) // 2 + (DEPTH if n and n % 2 == 0 else 0)
-        open_, have = open_[several[open_]], np.flatnonzero(have & several)
-        rows.append((open_, np.full(len(open_), s, np.int8), key[open_].view(np.int64), np.zeros(len(open_)), np.ones(len(open_), bool)))
-        rows.append((have, np.full(len(have), s, np.int8), np.zeros(len(have), np.int64), value[have], np.zeros(len(have), bool)))
-    token, part, key, value, asks = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.argsort(doc[token], kind="stable")
-    many = _listed(doc[token[order]], len(texts), ["token", "slot", "key", "value", "asks"], [token[order], part[order], key[order], value[order], asks[order]])
-    return count.astype(np.int64), np.bincount(doc[known], minlength=len(texts)), add(base, settled | (slot > 0) & (opened == 1)), score, lone, many
+    asked = []
+
+    def look(on, keys, kind):
+        """Which of these tokens have the key or may have it; those that have it get its part."""
+        at = cached.places.find(keys)
+        has = at >= 0
+        score[on[has]] += cached.values[at[has]]
+        miss = np.flatnonzero(~has)
+        miss = miss[marked(bits, keys[miss])]
+        asked.append((doc[on[miss]], np.full(len(miss), kind), keys[miss]))
+        may = has.copy()
+        may[miss] = True
+        return has, may
+
+    score = np.full(len(hashes), none)
+    here = np.arange(len(hashes))
+    known, may = look(here, hashes, _WORD)
+    base = score.copy()
+    for context, ok, key in before(hashes, doc):
+        here = here[ok[here]]  # the suffix of a kept context is kept
+        here = here[look(here, context[here] ^ _CONTEXT, _OTHER)[1]]
+        on = here[may[here]]  # a next word is one of the suffix too
+        may = np.zeros(len(hashes), bool)
+        may[on[look(on, key[on] ^ _NEXT, _OTHER)[1]]] = True
+    add = lambda x: np.bincount(doc, x, len(texts))
+    return count, add(known), add(base), add(score), *(np.concatenate(c) for c in zip(*asked, strict=True))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,43 +478,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     ship(spark)
     model = build(docs.where(~held_out(id_col)), text)
-    tree, cold = cache(model)
-    cold = stored(cold, "cold")
-    free(*model.contexts, *model.entries, model.counts)
-    shared = spark.sparkContext.broadcast((tree, bitmap(cold)))
+    tables = parts(model)
+    release(spark)
+    table = reduce(DataFrame.unionByName, tables)
+    hot = hottest(table, "heat", SHARE * CACHED)
+    keys, values = [], []
+    for t in tables:
+        rows = t.where(_size("heat") >= hot).select("key", "part").toArrow()
+        keys.append(rows["key"].to_numpy().view(np.uint64).copy())
+        values.append(rows["part"].to_numpy().copy())
+        del rows
+        pa.default_memory_pool().release_unused()
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(keys)
+    cached = Parts(keys[order], values[order])
+    del keys, values, order
+    cold = table.where(_size("heat") < hot).select("key", F.col("part").alias("found"))
+    none = math.log10(PRIOR / (model.total + PRIOR * (model.distinct + 1)))
+    shared = spark.sparkContext.broadcast((cached, bitmap(cold), none))
+    del cached
+    pa.default_memory_pool().release_unused()
+    release(spark)
 
     def run(batches):
-        tree, bits = shared.value
         for b in batches:
-            for i, j in hashing.slices(b.column(1)):
-                columns = _look_up(tree, bits, b.column(1)[i:j].to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], *map(pa.array, columns[:4]), *columns[4:]], ["id", "held_out", "n_tokens", "n_known", "base", "score", "one", "many"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, one array<struct<key:bigint,slot:tinyint,a:double,b:double>>"
-    out += ", many array<struct<token:bigint,slot:tinyint,key:bigint,value:double,asks:boolean>>"
-    made = docs.select(F.col(id_col), F.col(text), held_out(id_col)).mapInArrow(run, out)
-    made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    prior0, word = model.prior(F.lit(0)), F.col("slot") == 0
-    x = F.coalesce("found", F.when(word, prior0).when(F.col("slot") <= DEPTH, 1.0).otherwise(0.0))
-    one = made.select("row", F.inline("one")).join(cold, "key", "left").select("row", word.alias("word"), x.alias("x"), (F.col("a") + F.col("b") * x).alias("p"), F.col("found").isNotNull().alias("hit"))
-    seen = F.sum((F.col("word") & F.col("hit")).cast("long")).alias("seen")
-    one = one.groupBy("row").agg(F.sum(F.when(F.col("word"), F.log10("x")).otherwise(0.0)).alias("more_base"), F.sum(F.log10("p")).alias("more"), seen)
-    items = made.select("row", F.inline("many"))
-    asked = items.where("asks").join(cold, "key", "left").select("row", "token", "slot", "found", (F.col("found").isNotNull() & word).cast("long").alias("seen"))
-    had = items.where("not asks").select("row", "token", "slot", F.col("value").alias("found"), F.lit(0).cast("long").alias("seen"))
-    parts = [F.max(F.when(F.col("slot") == s, F.col("found"))).alias(f"v{s}") for s in range(2 * DEPTH + 1)]
-    token = asked.unionByName(had).groupBy("row", "token").agg(F.sum("seen").alias("seen"), *parts)
-    prior = F.coalesce("v0", prior0)
-    p = prior
-    for k in range(1, DEPTH + 1):
-        p = F.when(F.col(f"v{k}").isNull(), p).otherwise(F.coalesce(f"v{k + DEPTH}", F.lit(0.0)) + F.col(f"v{k}") * p)
-    many = token.select("row", F.log10(prior).alias("more_base"), F.log10(p).alias("more"), "seen")
-    rest = one.unionByName(many).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more_base", "more", "seen")])
-    return made.drop("one", "many").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+            for i, j in hashing.slices(b.column(2)):
+                *told, at, kind, key = _look_up(*shared.value, b.column(2)[i:j])
+                row, size = b.column(0)[i:j].to_numpy(), j - i
+                of = np.concatenate([*[row * 8 + k for k in (_TOKENS, _KNOWN, _BASE, _SCORE)], row[at] * 8 + kind])
+                keys = np.concatenate([hashing.mix(of[: 4 * size].view(np.uint64)), key]).view(np.int64)  # the first are dealt evenly
+                ids = pa.concat_arrays([b.column(1)[i:j], pa.nulls(len(of) - size, b.column(1).type)])
+                value = pa.concat_arrays([pa.array(np.concatenate(told).astype(float)), pa.nulls(len(at), pa.float64())])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(keys), ids, value], ["of", "key", "id", "value"])
+
+    made = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text))
+    made = made.mapInArrow(run, f"of bigint, key bigint, id {docs.schema[id_col].dataType.simpleString()}, value double")
+    n = max(partitions(spark), table.count() // HELD + 1)
+    made = made.repartition(n, "key").join(cold.repartition(n, "key").hint("shuffle_hash"), "key", "left")
+    made = made.where(F.col("value").isNotNull() | F.col("found").isNotNull())
+    kind, x = F.col("of").bitwiseAND(7), F.coalesce("value", "found")
+    added = lambda x, *kinds: F.sum(F.when(kind.isin(*kinds), x))
+    sums = made.groupBy(F.shiftright("of", 3).alias("row")).agg(
+        F.max("id").alias(id_col), added(x, _TOKENS).cast("long").alias("n_tokens"), added(F.coalesce("value", F.lit(1.0)), _KNOWN, _WORD).cast("long").alias("n_known"),
+        added(x, _BASE, _WORD).alias("base_score"), added(x, _SCORE, _WORD, _OTHER).alias("score"),
     )
+    return sums.select(id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

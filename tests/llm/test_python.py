@@ -291,3 +291,22 @@ def test_keep_one_with_text_ids_nulls_and_clashing_names(spark):
 
 def test_suffix_tree_of_an_empty_table(spark):
     assert L.score(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_suffix_tree_counts_in_parts(spark, monkeypatch):
+    """Counts are the same however often they leave Python, and hashes can be read back."""
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} a b d{i % 5}") for i in range(300)] + [(300, None), (301, "")], SCHEMA)
+    whole = {(r["ctx"], r["word"], r["key"]): r["n"] for r in L._counted(docs, L._first, "text").collect()}
+    monkeypatch.setattr(L, "GATHER", 64)
+    monkeypatch.setattr(L, "MERGE", 16)
+    rows = L._counted(docs.repartition(3), L._first, "text").collect()
+    assert len(rows) == len(whole) and {(r["ctx"], r["word"], r["key"]): r["n"] for r in rows} == whole
+    a, b = (int(x) for x in hashing.Words(["a b"]).hash.view(np.int64))
+    assert {n for (ctx, word, _), n in whole.items() if (ctx, word) == (a, b)} == {600}
+
+
+def test_suffix_tree_sends_a_key_for_each_open_part(spark):
+    """What the cache leaves open leaves Python as one key a part: no lists of parts are stored beside their own shuffle."""
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} a b d{i % 5}") for i in range(300)], SCHEMA)
+    plan = L.score(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
