@@ -280,8 +280,8 @@ def complete(offers: DataFrame) -> DataFrame:
     })
 
 
-def with_long_descriptions(offers: DataFrame, found: DataFrame) -> DataFrame:
-    """offers with ``expired``, and the whole text of a posting (found: url, text) in place of a short description of one source."""
+def with_long_descriptions(offers: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
+    """offers with ``expired``, and the whole text of a posting (found: url, text) in place of a short description of one source; with ``most``, as many characters of it."""
     short = (F.col("source") == LONG_SOURCE) & (F.size(F.array_remove(F.split(F.coalesce("description", F.lit("")), r"(?U)\s+"), "")) < LONG_WORDS)
     low = F.lower("_text")
     gone = F.lit(False)
@@ -289,15 +289,16 @@ def with_long_descriptions(offers: DataFrame, found: DataFrame) -> DataFrame:
         gone = gone | low.contains(mark)
     texts = found.groupBy("url").agg(F.max("text").alias("_text")).withColumnRenamed("url", "_url")
     both = offers.withColumn("_short", short).join(texts, F.col("_short") & (F.col("url") == F.col("_url")), "left")
-    text = F.when(F.coalesce("_text", F.lit("")) != "", F.substring("_text", 1, 8000)).otherwise(F.col("description"))
+    long = F.col("_text") if most is None else F.substring("_text", 1, most)
+    text = F.when(F.coalesce("_text", F.lit("")) != "", long).otherwise(F.col("description"))
     return both.withColumn("expired", F.coalesce(gone, F.lit(False))).withColumn("description", text).drop("_short", "_text", "_url")
 
 
-def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: DataFrame | None = None, settled_too: bool = True) -> DataFrame:
+def analysis_cascade(offers: DataFrame, profile: Profile, long_descriptions: DataFrame | None = None, settled_too: bool = True, most: int | None = None) -> DataFrame:
     """After verification: reject_reason by the whole description (expired, salary, location, language, automation, score), with fields filled from
     it, and match_score (with a bonus for manual work), manual_share and work_summary. Without settled_too, the descriptions of rows that expiry, salary or
-    place settles are not read for languages and work, which is what a run needs: their share stays null."""
-    df = with_long_descriptions(offers, long_descriptions) if long_descriptions is not None else offers.withColumn("expired", F.lit(False))
+    place settles are not read for languages and work, which is what a run needs: their share stays null. most: as in with_long_descriptions()."""
+    df = with_long_descriptions(offers, long_descriptions, most) if long_descriptions is not None else offers.withColumn("expired", F.lit(False))
     # reading a text costs far more than moving it: tasks of equal numbers of rows, whatever the files and however few the bytes
     df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = once(assess_salary(once(complete(df)), profile))
