@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.extract import NOT_GIVEN, contracts, extract_salary, extract_skills, work_mode
-from jobloom.functions.text import html_text, keyword_match, unescape
+from jobloom.functions.text import html_text, keyword_match, let, unescape
 from jobloom.operators.offers import Profile, preferred_city
 
 
@@ -151,21 +151,22 @@ def register_adapter(source: str, adapter: Callable[[DataFrame], DataFrame]) ->
     _more[source] = adapter
 
 
-def offer_columns(rows: DataFrame, source: str, otherwise: str = "", confirmed: bool = True) -> DataFrame:
-    """The common columns from title, url, location, description, mode, contract, salary as the source has them. Where a source has read them itself,
-    rows may bring _mode (null: not given) and _contracts, _skills (the text skills are looked for in), company_categories and expires_in."""
+def offer_columns(rows: DataFrame, source: str, otherwise: str = "", confirmed: bool = True, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The common columns from title, url, location, description, mode, contract, salary as the source has them, and the columns ``kept``. Where a source has
+    read them itself, rows may bring _mode (null: not given) and _contracts, _skills (the text skills are looked for in), company_categories and expires_in."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    read = rows.withColumn("_d", html_text(unescape(text("description"))))  # read whole; only the stored column is cut
-    named = work_mode(text("mode"))
-    mode = F.when(named != NOT_GIVEN, named).otherwise(F.lit(otherwise) if otherwise else work_mode(F.concat_ws(" ", text("location"), text("title"))))
+    described = "description" in rows.columns  # cards have none, and nothing is looked for in it
+    read = rows.withColumn("_d", html_text(unescape(text("description"))) if described else F.lit(""))  # read whole; only the stored column is cut
+    mode = let(work_mode(text("mode")), lambda m: F.when(m != NOT_GIVEN, m).otherwise(F.lit(otherwise) if otherwise else work_mode(F.concat_ws(" ", text("location"), text("title")))))
     own = contracts(text("contract"))
-    kinds = F.col("_contracts") if "_contracts" in rows.columns else F.when(F.size(own) > 0, own).otherwise(contracts(F.col("_d")))
+    kinds = F.col("_contracts") if "_contracts" in rows.columns else let(own, lambda k: F.when(F.size(k) > 0, k).otherwise(contracts(F.col("_d")))) if described else own
+    salary = F.when(text("salary") != "", text("salary")).otherwise(extract_salary(F.col("_d"))) if described else text("salary")
     return read.select(
         F.col("company"), F.trim(F.regexp_replace(text("title"), r"(?U)\s+", " ")).alias("title"), F.coalesce(F.nullif(F.trim(text("location")), F.lit("")), F.lit(NOT_GIVEN)).alias("location"),
-        (F.coalesce("_mode", F.lit(NOT_GIVEN)) if "_mode" in rows.columns else mode).alias("work_mode"), kinds.alias("contract_types"),
-        F.when(text("salary") != "", text("salary")).otherwise(extract_salary(F.col("_d"))).alias("salary"),
+        (F.coalesce("_mode", F.lit(NOT_GIVEN)) if "_mode" in rows.columns else mode).alias("work_mode"), kinds.alias("contract_types"), salary.alias("salary"),
         text("url").alias("url"), F.lit(source).alias("source"), extract_skills(F.col("_skills" if "_skills" in rows.columns else "_d")).alias("skills"),
         F.substring("_d", 1, 8000).alias("description"), F.lit(confirmed).alias("api_confirmed"), *[c for c in ("company_categories", "expires_in") if c in rows.columns],
+        *kept,
     )
 
 
