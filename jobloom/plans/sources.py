@@ -182,7 +182,9 @@ def smartrecruiters_details(spark, d) -> DataFrame:
     """Lists with the pages of their postings, in sections; of titles with a keyword only, and some pages are missing."""
     ad = "to_json(named_struct('jobAd', named_struct('sections', map('a', named_struct('text', '<p>Jira, B2B</p>'), 'b', named_struct('text', concat(l_partkey, ' PLN/h, SQL'))))))"
     rows = numbered(spark, d).where("l_partkey % 4 > 0")
-    details = rows.select(F.lit("smartrecruiters").alias("source"), "company", F.col("id").alias("path"), F.expr(ad).alias("body")).distinct()
+    # a path's body is made of its part: one row a company and path is one row of all four, shuffled as the join needs it and before the body is made
+    once = rows.select("company", F.col("id").alias("path"), "l_partkey").dropDuplicates(["company", "path"])
+    details = once.select(F.lit("smartrecruiters").alias("source"), "company", "path", F.expr(ad).alias("body"))
     o = adapters.normalise(landing(spark, d, "smartrecruiters"), "smartrecruiters", details, PROFILE)
     return o.select(F.regexp_extract("url", r"([^/]*)$", 1).alias("id"), F.array_join("contract_types", ",").alias("contracts"), "salary", F.array_join("skills", ",").alias("skills")).distinct()
 

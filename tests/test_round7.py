@@ -89,3 +89,9 @@ def test_pages_carry_numbers(spark):
     below = plan[plan.index("Window [") :]
     assert "https://example.com" not in below and "PLN /h" not in below and "concat_ws" not in below
     assert "PLN /h" in tables.landing(spark, "/root/testdata/sf0.001", "ashby")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_details_are_shuffled_once(spark):
+    """Details are made distinct by what they are joined by, before their body is made."""
+    plan = catalogue.queries()["smartrecruiters_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[company#\d+, path#\d+\]", plan) and not re.search(r"Aggregate \[[^\]]*body#", plan)
