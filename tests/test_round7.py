@@ -95,3 +95,13 @@ def test_details_are_shuffled_once(spark):
     """Details are made distinct by what they are joined by, before their body is made."""
     plan = catalogue.queries()["smartrecruiters_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[company#\d+, path#\d+\]", plan) and not re.search(r"Aggregate \[[^\]]*body#", plan)
+
+
+def test_cards_of_pages_are_read_once(spark):
+    """The urls of pages come from the links of lists, which hold those of all cards."""
+    body = '<a class="posting-list-item" href="/pl/job/x&amp;y"><h3>QA</h3></a><a href="https://a.pl/pl/job/z">no card</a><a class="posting-list-item" data-x=1 href=\'https://b.pl/pl/job/w\'><h3>QA</h3></a>'
+    landed = spark.createDataFrame([("nofluffjobs", "", body), ("linkedin", "", body), ("nofluffjobs", "", None)], "source string, company string, body string")
+    urls = sorted(r["url"] for r in cards.nofluffjobs_urls(landed).collect())
+    assert urls == ["https://a.pl/pl/job/z", "https://b.pl/pl/job/w", "https://nofluffjobs.com/pl/job/x&y"] and {r["url"] for r in cards.read_cards(landed, "nofluffjobs").collect()} <= set(urls)
+    plan = catalogue.queries()["nofluffjobs_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bposting-list-item\b") == 1
